@@ -56,3 +56,13 @@ def quantiles(c: Column, probs: list[float], exact: bool = True,
 def safe_ratio(num: Column, den: Column) -> Column:
     """num / den, NULL where den is 0 or NULL (no ANSI division error)."""
     return F.try_divide(num, den)
+
+
+def rnd(c: Column, digits: int = 4) -> Column:
+    """Round half up as plain IEEE arithmetic: floor(x * 10^d + 0.5) / 10^d.
+
+    Deterministic across engines (the same bits in Spark and in SQL
+    engines), unlike decimal-string based rounding.  NULL stays NULL.
+    """
+    scale = float(10 ** digits)
+    return (F.floor(c.cast("double") * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")

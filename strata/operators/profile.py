@@ -87,7 +87,7 @@ def column_profile(df: DataFrame, target: str | None = None, columns: list[str]
     wide = df.agg(*aggs)
 
     def rnd(c: Column) -> Column:
-        return F.round(c, round_digits) if round_digits is not None else c
+        return S.rnd(c, round_digits) if round_digits is not None else c
 
     n = F.col("__n")
     rows = []
@@ -218,7 +218,7 @@ def detect_task(df: DataFrame, target: str) -> DataFrame:
     clf_wins = F.col("clf") >= F.col("reg")
     return sums.select(
         F.when(clf_wins, F.lit("classification")).otherwise(F.lit("regression")).alias("task_type"),
-        F.round(F.coalesce(F.when(clf_wins, F.col("clf_mean")).otherwise(F.col("reg_mean")),
+        S.rnd(F.coalesce(F.when(clf_wins, F.col("clf_mean")).otherwise(F.col("reg_mean")),
                            F.lit(0.5)), 4).alias("confidence"))
 
 
@@ -271,18 +271,18 @@ def target_stats(df: DataFrame, target: str, task_type: str) -> DataFrame:
                       S.sample_skew(_num(target, dt)).alias("skew")]))
     common = [F.lit(dt.simpleString()).alias("dtype"),
               (F.col("n") - F.col("nn")).cast("bigint").alias("null_count"),
-              F.round(F.coalesce(F.try_divide(F.col("n") - F.col("nn"), F.col("n")), F.lit(0.0)), 4)
+              S.rnd(F.coalesce(F.try_divide(F.col("n") - F.col("nn"), F.col("n")), F.lit(0.0)), 4)
               .alias("null_rate"),
               F.col("cardinality").cast("bigint").alias("cardinality")]
     if task_type == "classification":
         dist = class_distribution(df, target).agg(
             F.count(F.lit(1)).alias("n_classes"), F.max("n").alias("max_n"), F.min("n").alias("min_n"))
-        ratio = F.round(F.try_divide(F.col("max_n").cast("double"), F.col("min_n")), 4)
+        ratio = S.rnd(F.try_divide(F.col("max_n").cast("double"), F.col("min_n")), 4)
         return base.crossJoin(dist).select(
             *common, F.col("n_classes").cast("bigint").alias("n_classes"),
             ratio.alias("imbalance_ratio"),
             F.coalesce(ratio > IMBALANCE_RATIO, F.lit(False)).alias("is_imbalanced"))
-    return base.select(*common, *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max", "skew")],
+    return base.select(*common, *[S.rnd(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "max", "skew")],
                        F.lit(False).alias("is_imbalanced"))
 
 

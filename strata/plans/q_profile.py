@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from strata.operators import profile as P
 from strata.plans.catalog import register, table
-from strata.plans.sqlgen import profile_sql
+from strata.plans.sqlgen import R, profile_sql
 
 _ORDERS_COLS = [("o_orderkey", "bigint", True), ("o_custkey", "bigint", True),
                 ("o_totalprice", "double", True), ("o_orderdate", "timestamp_ntz", False),
@@ -17,3 +19,192 @@ _ORDERS_COLS = [("o_orderkey", "bigint", True), ("o_custkey", "bigint", True),
 def c_profile_orders(spark, sf_dir):
     """Column profile of ``orders`` with target ``o_orderstatus``."""
     return P.column_profile(table(spark, sf_dir, "orders"), target="o_orderstatus")
+
+
+# customer with nulls injected by fixed rules (the supplied tables have none)
+CUSTOMER_NULLS_SQL = (
+    "(SELECT c_custkey, c_name, c_nationkey, "
+    "CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS c_acctbal, "
+    "CASE WHEN c_nationkey < 10 THEN NULL ELSE c_mktsegment END AS c_segment, "
+    "c_mktsegment FROM customer) cn")
+
+
+def customer_nulls(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select(
+        "c_custkey", "c_name", "c_nationkey",
+        F.when(~(F.col("c_acctbal") < 0), F.col("c_acctbal")).alias("c_acctbal"),
+        F.when(~(F.col("c_nationkey") < 10), F.col("c_mktsegment")).alias("c_segment"),
+        "c_mktsegment")
+
+
+_CUST_COLS = [("c_custkey", "bigint", True), ("c_name", "string", False),
+              ("c_nationkey", "int", True), ("c_acctbal", "double", True),
+              ("c_segment", "string", False)]
+
+
+@register("c_profile_customer_nulls", profile_sql(CUSTOMER_NULLS_SQL, _CUST_COLS))
+def c_profile_customer_nulls(spark, sf_dir):
+    """Column profile with NULLs in a numeric and a string column."""
+    return P.column_profile(customer_nulls(spark, sf_dir), target="c_mktsegment")
+
+
+@register("c_top_values_part", """
+WITH long AS (
+  SELECT 'p_name' AS col, p_name AS value FROM part
+  UNION ALL SELECT 'p_brand', p_brand FROM part
+  UNION ALL SELECT 'p_type', p_type FROM part),
+counts AS (SELECT col, value, CAST(count(*) AS BIGINT) AS n FROM long WHERE value IS NOT NULL GROUP BY col, value),
+ranked AS (SELECT col, value, n, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS rank FROM counts)
+SELECT col, CAST(rank AS INTEGER) AS rank, value, n FROM ranked WHERE rank <= 5
+""")
+def c_top_values_part(spark, sf_dir):
+    """Top-5 values of the non-numeric columns of ``part`` (C11)."""
+    part = table(spark, sf_dir, "part")
+    return P.top_values(part, ["p_name", "p_brand", "p_type"], n=5)
+
+
+@register("c_target_stats_clf", f"""
+WITH d AS (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY quality)
+SELECT 'int' AS dtype, CAST((SELECT count(*) - count(quality) FROM labels) AS BIGINT) AS null_count,
+  {R('(SELECT coalesce((count(*) - count(quality)) / count(*), 0) FROM labels)')} AS null_rate,
+  CAST((SELECT count(DISTINCT quality) FROM labels) AS BIGINT) AS cardinality,
+  CAST(count(*) AS BIGINT) AS n_classes,
+  {R('max(n) / min(n)')} AS imbalance_ratio,
+  coalesce({R('max(n) / min(n)')} > 3.0, FALSE) AS is_imbalanced
+FROM d
+""")
+def c_target_stats_clf(spark, sf_dir):
+    """Classification target profile of ``labels.quality``."""
+    return P.target_stats(table(spark, sf_dir, "labels"), "quality", "classification")
+
+
+@register("c_target_stats_reg", f"""
+SELECT 'double' AS dtype, CAST(count(*) - count(o_totalprice) AS BIGINT) AS null_count,
+  {R('coalesce((count(*) - count(o_totalprice)) / count(*), 0)')} AS null_rate,
+  CAST(count(DISTINCT o_totalprice) AS BIGINT) AS cardinality,
+  {R('avg(o_totalprice)')} AS mean, {R('stddev_samp(o_totalprice)')} AS std,
+  {R('min(o_totalprice)')} AS min, {R('max(o_totalprice)')} AS max,
+  CASE WHEN count(o_totalprice) < 3 THEN NULL ELSE {R('coalesce(skewness(o_totalprice), 0)')} END AS skew,
+  FALSE AS is_imbalanced
+FROM orders
+""")
+def c_target_stats_reg(spark, sf_dir):
+    """Regression target profile of ``orders.o_totalprice``."""
+    return P.target_stats(table(spark, sf_dir, "orders"), "o_totalprice", "regression")
+
+
+DOC_LABELS_SQL = (
+    "(SELECT d.doc_id, d.lang, d.source, d.text, "
+    "CASE WHEN d.n_chars < 2000 THEN NULL ELSE d.n_chars END AS n_chars, l.quality "
+    "FROM documents d JOIN labels l ON d.doc_id = l.doc_id) dl")
+
+
+def doc_labels(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    return d.join(lab, "doc_id").select(
+        "doc_id", "lang", "source", "text",
+        F.when(~(F.col("n_chars") < 2000), F.col("n_chars")).alias("n_chars"), "quality")
+
+
+def _warn_sql(frame_sql, cols_numeric, target):
+    rows = []
+    for c, numeric in cols_numeric:
+        nr = R(f"coalesce((count(*) - count({c})) / count(*), 0)")
+        cr = R(f"coalesce(count(DISTINCT {c}) / count(*), 0)")
+        rows.append(f"SELECT '{c}' AS col, {nr} AS null_rate, {cr} AS card_rate, "
+                    f"{str(numeric).upper()} AS is_numeric FROM {frame_sql}")
+    prof = " UNION ALL ".join(rows)
+    return f"""
+WITH p AS ({prof}),
+d AS (SELECT {target}, count(*) AS n FROM {frame_sql} WHERE {target} IS NOT NULL GROUP BY {target}),
+r AS (SELECT {R('max(n) / min(n)')} AS ratio FROM d)
+SELECT 'missing' AS kind, col, printf('''%s'' has %.1f%% missing values — may be dropped by cleaning', col, null_rate * 100) AS message
+FROM p WHERE null_rate > 0.3
+UNION ALL
+SELECT 'id_like', col, printf('''%s'' has %.1f%% unique values — likely an ID column, will be dropped', col, card_rate * 100)
+FROM p WHERE card_rate > 0.9 AND NOT is_numeric
+UNION ALL
+SELECT 'imbalanced', '{target}', printf('Target ''%s'' is imbalanced (ratio %.1fx) — consider class weighting', '{target}', ratio)
+FROM r WHERE ratio > 3.0
+"""
+
+
+@register("c_warnings", _warn_sql(DOC_LABELS_SQL, [("doc_id", True), ("lang", False), ("source", False),
+                                                   ("text", False), ("n_chars", True)], "quality"))
+def c_warnings(spark, sf_dir):
+    """Data-quality warnings for ``documents`` joined with ``labels``."""
+    frame = doc_labels(spark, sf_dir)
+    cp = P.column_profile(frame, target="quality")
+    ts = P.target_stats(frame, "quality", "classification")
+    return P.build_warnings(cp, "quality", ts)
+
+
+# targets whose type is detected: (table, column, pandas dtype, numeric)
+_VOTE_TARGETS = [("orders", "o_orderstatus", "object", False),
+                 ("orders", "o_totalprice", "float64", True),
+                 ("orders", "o_custkey", "int64", True),
+                 ("labels", "quality", "int32", True),
+                 ("customer", "c_nationkey", "int32", True),
+                 ("lineitem", "l_quantity", "float64", True),
+                 ("part", "p_size", "int32", True)]
+
+
+def _votes_sql_one(tbl, col, pdt, numeric):
+    in01 = (f"coalesce(bool_and(CASE WHEN {col} IS NOT NULL THEN CAST({col} AS DOUBLE) IN (0, 1) END), TRUE)"
+            if numeric else f"count({col}) = 0")
+    parts = []
+    if pdt == "object":
+        parts.append("SELECT 'data_type' AS rule, 'classification' AS task, CAST(0.95 AS DOUBLE) AS confidence FROM f")
+    parts.append("SELECT 'binary', 'classification', CASE WHEN in01 THEN CAST(0.99 AS DOUBLE) ELSE CAST(0.90 AS DOUBLE) END "
+                 "FROM f WHERE in01 OR nu = 2")
+    parts.append("SELECT 'unique_count', CASE WHEN nu <= 20 THEN 'classification' ELSE 'regression' END, "
+                 "CASE WHEN nu <= 10 AND nn > 20 AND nu / nn < 0.3 THEN CAST(0.95 AS DOUBLE) "
+                 "WHEN nu <= 20 THEN CAST(0.80 AS DOUBLE) ELSE CAST(0.75 AS DOUBLE) END FROM f")
+    parts.append("SELECT 'unique_ratio', CASE WHEN nu / nn < 0.05 THEN 'classification' ELSE 'regression' END, "
+                 "CASE WHEN nu / nn < 0.05 THEN CAST(0.85 AS DOUBLE) ELSE CAST(0.80 AS DOUBLE) END "
+                 "FROM f WHERE nn > 0 AND (nu / nn < 0.05 OR nu / nn > 0.5)")
+    if pdt in ("int64", "int32", "int16", "int8"):
+        parts.append("SELECT 'integer_pattern', 'classification', CAST(0.70 AS DOUBLE) FROM f WHERE nu < 20")
+    if pdt in ("float64", "float32", "int64", "int32"):
+        second = " OR nu / nn > 0.5" if pdt in ("int64", "int32") else ""
+        parts.append("SELECT 'continuous', 'regression', CASE WHEN nu / nn > 0.8 THEN CAST(0.95 AS DOUBLE) "
+                     f"ELSE CAST(0.90 AS DOUBLE) END FROM f WHERE nn > 0 AND (nu / nn > 0.8{second})")
+    body = " UNION ALL ".join(parts)
+    return (f"SELECT '{tbl}.{col}' AS target, * FROM (WITH f AS (SELECT count(*) AS n, count({col}) AS nn, "
+            f"count(DISTINCT {col}) AS nu, {in01} AS in01 FROM {tbl}) {body})")
+
+
+_VOTES_SQL = " UNION ALL ".join(_votes_sql_one(*t) for t in _VOTE_TARGETS)
+
+
+def _all_votes(spark, sf_dir):
+    frames = [P.task_votes(table(spark, sf_dir, t), c).select(F.lit(f"{t}.{c}").alias("target"), "*")
+              for t, c, _, _ in _VOTE_TARGETS]
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+@register("c_task_votes", _VOTES_SQL)
+def c_task_votes(spark, sf_dir):
+    """Votes of the six detection rules for seven candidate targets."""
+    return _all_votes(spark, sf_dir)
+
+
+@register("c_task_detect", f"""
+WITH v AS ({_VOTES_SQL})
+SELECT target,
+  CASE WHEN coalesce(sum(CASE WHEN task = 'classification' THEN confidence END), 0)
+         >= coalesce(sum(CASE WHEN task = 'regression' THEN confidence END), 0)
+       THEN 'classification' ELSE 'regression' END AS task_type,
+  {R('''coalesce(CASE WHEN coalesce(sum(CASE WHEN task = 'classification' THEN confidence END), 0)
+         >= coalesce(sum(CASE WHEN task = 'regression' THEN confidence END), 0)
+       THEN avg(CASE WHEN task = 'classification' THEN confidence END)
+       ELSE avg(CASE WHEN task = 'regression' THEN confidence END) END, 0.5)''')} AS confidence
+FROM v GROUP BY target
+""")
+def c_task_detect(spark, sf_dir):
+    """Task decision (type, confidence) for seven candidate targets."""
+    frames = [P.detect_task(table(spark, sf_dir, t), c).select(F.lit(f"{t}.{c}").alias("target"), "*")
+              for t, c, _, _ in _VOTE_TARGETS]
+    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 
+def R(expr: str, d: int = 4) -> str:
+    """Round half up by IEEE arithmetic, the same rule as ``stats.rnd``."""
+    return f"(floor(CAST({expr} AS DOUBLE) * 1e{d} + 0.5) / 1e{d})"
+
+
 def profile_row_sql(table_sql: str, col: str, dtype: str, numeric: bool) -> str:
     """One row of the column profile in DuckDB SQL."""
     x = f"CAST({col} AS DOUBLE)"
     if numeric:
-        stats = (f"round(avg({x}), 4) AS mean, round(stddev_samp({x}), 4) AS std, "
-                 f"round(min({x}), 4) AS min, round(max({x}), 4) AS max, "
-                 f"round(quantile_cont({x}, 0.5), 4) AS median, "
-                 f"CASE WHEN count({x}) < 3 THEN NULL ELSE round(coalesce(skewness({x}), 0), 4) END AS skew")
+        stats = (f"{R(f'avg({x})')} AS mean, {R(f'stddev_samp({x})')} AS std, "
+                 f"{R(f'min({x})')} AS min, {R(f'max({x})')} AS max, "
+                 f"{R(f'quantile_cont({x}, 0.5)')} AS median, "
+                 f"CASE WHEN count({x}) < 3 THEN NULL ELSE {R(f'coalesce(skewness({x}), 0)')} END AS skew")
     else:
         stats = ("CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min, "
                  "CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS skew")
     return (f"SELECT '{col}' AS col, '{dtype}' AS dtype, {str(numeric).upper()} AS is_numeric, "
             f"CAST(count(*) - count({col}) AS BIGINT) AS null_count, "
-            f"round(coalesce((count(*) - count({col})) / count(*), 0), 4) AS null_rate, "
+            f"{R(f'coalesce((count(*) - count({col})) / count(*), 0)')} AS null_rate, "
             f"CAST(count(DISTINCT {col}) AS BIGINT) AS cardinality, "
-            f"round(coalesce(count(DISTINCT {col}) / count(*), 0), 4) AS cardinality_rate, "
+            f"{R(f'coalesce(count(DISTINCT {col}) / count(*), 0)')} AS cardinality_rate, "
             f"{stats} FROM {table_sql}")
 
 

@@ -60,7 +60,8 @@ def _num(c: str, dt: T.DataType) -> Column:
 
 
 def column_profile(df: DataFrame, target: str | None = None, columns: list[str] | None = None,
-                   exact: bool | str = True, round_digits: int | None = 4) -> DataFrame:
+                   exact: bool | str = True, round_digits: int | None = 4,
+                   include_n: bool = False) -> DataFrame:
     """Long table, one row per feature column.
 
     Columns: col, dtype, is_numeric, null_count, null_rate, cardinality,
@@ -106,6 +107,7 @@ def column_profile(df: DataFrame, target: str | None = None, columns: list[str]
             rnd(F.coalesce(F.try_divide(F.col(f"card{i}"), n), F.lit(0.0))).alias("cardinality_rate"),
             stat("mean").alias("mean"), stat("std").alias("std"), stat("min").alias("min"),
             stat("max").alias("max"), stat("med").alias("median"), stat("skew").alias("skew"),
+            *([n.cast("bigint").alias("n_rows")] if include_n else []),
         ))
     if not rows:
         return df.sparkSession.createDataFrame([], _PROFILE_SCHEMA)
@@ -257,33 +259,41 @@ def target_stats(df: DataFrame, target: str, task_type: str) -> DataFrame:
 
     Classification: dtype, null_count, null_rate, cardinality, n_classes,
     imbalance_ratio (max/min class count, rounded 4), is_imbalanced (> 3.0).
+    The class counts come from one ``groupBy`` that keeps the NULL group, so
+    every field derives from that small table (no second pass, no join).
     Regression: dtype, null_count, null_rate, cardinality, mean, std, min,
-    max, skew, is_imbalanced = false.
+    max, skew, is_imbalanced = false (one aggregate).
     """
     y = F.col(target)
     dt = df.schema[target].dataType
-    base = df.agg(F.count(F.lit(1)).alias("n"), F.count(y).alias("nn"),
-                  F.count_distinct(y).alias("cardinality"),
-                  *([] if task_type == "classification" else [
-                      F.avg(_num(target, dt)).alias("mean"),
-                      F.stddev_samp(_num(target, dt)).alias("std"),
-                      F.min(_num(target, dt)).alias("min"), F.max(_num(target, dt)).alias("max"),
-                      S.sample_skew(_num(target, dt)).alias("skew")]))
-    common = [F.lit(dt.simpleString()).alias("dtype"),
-              (F.col("n") - F.col("nn")).cast("bigint").alias("null_count"),
-              S.rnd(F.coalesce(F.try_divide(F.col("n") - F.col("nn"), F.col("n")), F.lit(0.0)), 4)
-              .alias("null_rate"),
-              F.col("cardinality").cast("bigint").alias("cardinality")]
+    dtype = F.lit(dt.simpleString()).alias("dtype")
     if task_type == "classification":
-        dist = class_distribution(df, target).agg(
-            F.count(F.lit(1)).alias("n_classes"), F.max("n").alias("max_n"), F.min("n").alias("min_n"))
+        groups = df.groupBy(y.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        known = F.col("value").isNotNull()
+        agg = groups.agg(
+            F.sum("n").alias("rows"), F.sum(F.when(~known, F.col("n"))).alias("nulls"),
+            F.count_if(known).alias("n_classes"),
+            F.max(F.when(known, F.col("n"))).alias("max_n"), F.min(F.when(known, F.col("n"))).alias("min_n"))
+        nulls = F.coalesce(F.col("nulls"), F.lit(0))
         ratio = S.rnd(F.try_divide(F.col("max_n").cast("double"), F.col("min_n")), 4)
-        return base.crossJoin(dist).select(
-            *common, F.col("n_classes").cast("bigint").alias("n_classes"),
+        return agg.select(
+            dtype, nulls.cast("bigint").alias("null_count"),
+            S.rnd(F.coalesce(F.try_divide(nulls, F.col("rows")), F.lit(0.0)), 4).alias("null_rate"),
+            F.col("n_classes").cast("bigint").alias("cardinality"),
+            F.col("n_classes").cast("bigint").alias("n_classes"),
             ratio.alias("imbalance_ratio"),
             F.coalesce(ratio > IMBALANCE_RATIO, F.lit(False)).alias("is_imbalanced"))
-    return base.select(*common, *[S.rnd(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "max", "skew")],
-                       F.lit(False).alias("is_imbalanced"))
+    x = _num(target, dt)
+    base = df.agg(F.count(F.lit(1)).alias("n"), F.count(y).alias("nn"),
+                  F.count_distinct(y).alias("cardinality"), F.avg(x).alias("mean"),
+                  F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+                  S.sample_skew(x).alias("skew"))
+    return base.select(
+        dtype, (F.col("n") - F.col("nn")).cast("bigint").alias("null_count"),
+        S.rnd(F.coalesce(F.try_divide(F.col("n") - F.col("nn"), F.col("n")), F.lit(0.0)), 4).alias("null_rate"),
+        F.col("cardinality").cast("bigint").alias("cardinality"),
+        *[S.rnd(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "max", "skew")],
+        F.lit(False).alias("is_imbalanced"))
 
 
 def fmt1(c: Column) -> Column:
@@ -331,7 +341,7 @@ def memory_bytes(df: DataFrame) -> DataFrame:
     total = terms[0]
     for t in terms[1:]:
         total = total + t
-    return df.agg(F.sum(total.cast("bigint")).alias("bytes"))
+    return df.agg(F.sum(total.cast("bigint")).alias("bytes"), F.count(F.lit(1)).alias("n"))
 
 
 @dataclass
@@ -368,7 +378,7 @@ def profile(df: DataFrame, target: str, exact: bool | str = "auto") -> Profile:
     cols = [c for c in df.columns if c != target]
     cp = column_profile(df, target, exact=exact).cache()
     ts = target_stats(df, target, decision["task_type"]).cache()
-    agg = df.agg(F.count(F.lit(1)).alias("n")).crossJoin(memory_bytes(df)).first()
+    agg = memory_bytes(df).first()
     return Profile(
         n_rows=agg["n"], n_cols=len(cols), target=target, task_type=decision["task_type"],
         task_confidence=decision["confidence"],

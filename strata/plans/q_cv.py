@@ -1 +1,147 @@
-"""Registered queries."""
+"""Queries for folds, strata and out-of-fold metrics (2.H).
+
+The metric queries score stand-in predictions: fixed rules over the same
+``orders`` / ``lineitem`` rows give (key, fold, y, prediction) tables of the
+expected schema; folds come from the library's fold assignment.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from strata.functions import stats as S
+from strata.operators import cv as CV
+from strata.plans.catalog import register, table
+from strata.plans.sqlgen import R
+
+FOLDS_SQL = ("SELECT *, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY "
+             "md5(concat_ws('|', '42', CAST(o_orderkey AS VARCHAR))), CAST(o_orderkey AS VARCHAR)) - 1) % 5 "
+             "AS INTEGER) AS fold FROM orders")
+
+
+def order_folds(spark, sf_dir):
+    return CV.assign_folds(table(spark, sf_dir, "orders"), k=5, strata_col="o_orderstatus",
+                           key_cols=["o_orderkey"], seed=42)
+
+
+@register("h_stratified_folds", f"SELECT o_orderkey, o_orderstatus, fold FROM ({FOLDS_SQL})")
+def h_stratified_folds(spark, sf_dir):
+    """Stratified, seeded 5-fold assignment of ``orders`` by ``o_orderstatus`` (H1)."""
+    return order_folds(spark, sf_dir).select("o_orderkey", "o_orderstatus", "fold")
+
+
+@register("h_regression_strata", """
+WITH e AS (SELECT list_sort(list_distinct(quantile_cont(o_totalprice,
+             [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges FROM orders)
+SELECT o_orderkey, CAST(len(list_filter(edges[2:len(edges) - 1], lambda x: x < o_totalprice)) AS INTEGER) AS stratum
+FROM orders, e
+""")
+def h_regression_strata(spark, sf_dir):
+    """Quantile strata (10 bins, right-closed) of ``o_totalprice`` (H2)."""
+    o = table(spark, sf_dir, "orders")
+    return CV.regression_strata(o, "o_totalprice", k=5, exact=True).select("o_orderkey", "stratum")
+
+
+# stand-in predictions (fixed rules) for the metric operators
+_RULES = {
+    "price_rule": ("CASE WHEN o_totalprice > 300000 THEN 'F' WHEN o_totalprice > 150000 THEN 'O' ELSE 'P' END",
+                   lambda: F.when(F.col("o_totalprice") > 300000, "F")
+                   .when(F.col("o_totalprice") > 150000, "O").otherwise("P")),
+    "priority_rule": ("CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'F' "
+                      "WHEN o_orderpriority = '3-MEDIUM' THEN 'O' ELSE 'P' END",
+                      lambda: F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "F")
+                      .when(F.col("o_orderpriority") == "3-MEDIUM", "O").otherwise("P")),
+    "constant_rule": ("'O'", lambda: F.lit("O")),
+}
+
+
+def _oof(spark, sf_dir, models):
+    f = order_folds(spark, sf_dir)
+    parts = [f.select(F.lit(m).alias("model"), F.col("o_orderkey").alias("key"), "fold",
+                      F.col("o_orderstatus").alias("y"), _RULES[m][1]().alias("prediction")) for m in models]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _oof_sql(models):
+    return " UNION ALL ".join(
+        f"SELECT '{m}' AS model, o_orderkey AS key, fold, o_orderstatus AS y, {_RULES[m][0]} AS prediction "
+        f"FROM ({FOLDS_SQL})" for m in models)
+
+
+def _clf_metrics_sql(oof_sql):
+    return f"""
+conf AS (SELECT model, y AS t, prediction AS p, count(*) AS n FROM ({oof_sql}) WHERE y IS NOT NULL GROUP BY model, y, prediction),
+roles AS (SELECT model, t AS c, n AS support, CASE WHEN t = p THEN n ELSE 0 END AS tp, 0 AS predicted FROM conf
+          UNION ALL SELECT model, p, 0, 0, n FROM conf),
+per AS (SELECT model, c, sum(support) AS support, sum(tp) AS tp, sum(predicted) AS predicted FROM roles GROUP BY model, c),
+pr AS (SELECT model, support, tp, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS prec,
+          CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rec FROM per),
+m AS (SELECT model, sum(tp) / sum(support) AS accuracy, sum(prec * support) / sum(support) AS precision,
+        sum(rec * support) / sum(support) AS recall,
+        sum(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END * support) / sum(support) AS f1
+      FROM pr GROUP BY model)"""
+
+
+@register("h_fold_losses", f"""
+SELECT fold, {R("1 - avg(CASE WHEN y = prediction THEN 1.0 ELSE 0.0 END)", 6)} AS loss
+FROM ({_oof_sql(['price_rule'])}) GROUP BY fold
+""")
+def h_fold_losses(spark, sf_dir):
+    """Per-fold loss (1 - accuracy) of an out-of-fold table (H7)."""
+    losses = CV.fold_losses(_oof(spark, sf_dir, ["price_rule"]), "classification")
+    return losses.select("fold", S.rnd(F.col("loss"), 6).alias("loss"))
+
+
+@register("h_cv_summary", f"""
+SELECT {R('avg(loss)', 6)} AS cv_loss_mean, {R('stddev_pop(loss)', 6)} AS cv_loss_std FROM (
+  SELECT fold, 1 - avg(CASE WHEN y = prediction THEN 1.0 ELSE 0.0 END) AS loss
+  FROM ({_oof_sql(['price_rule'])}) GROUP BY fold)
+""")
+def h_cv_summary(spark, sf_dir):
+    """Mean and population std of fold losses (H8)."""
+    s = CV.cv_summary(CV.fold_losses(_oof(spark, sf_dir, ["price_rule"]), "classification"))
+    return s.select(S.rnd(F.col("cv_loss_mean"), 6).alias("cv_loss_mean"),
+                    S.rnd(F.col("cv_loss_std"), 6).alias("cv_loss_std"))
+
+
+@register("h_metrics_clf", f"""
+WITH {_clf_metrics_sql(_oof_sql(['price_rule']))}
+SELECT {R('accuracy')} AS accuracy, {R('precision')} AS precision, {R('recall')} AS recall, {R('f1')} AS f1 FROM m
+""")
+def h_metrics_clf(spark, sf_dir):
+    """Accuracy and weighted precision / recall / F1 on OOF predictions."""
+    return CV.classification_metrics(_oof(spark, sf_dir, ["price_rule"]))
+
+
+@register("h_metrics_reg", f"""
+SELECT {R('sqrt(avg((y - p) * (y - p)))')} AS rmse, {R('avg(abs(y - p))')} AS mae,
+  {R('CASE WHEN var_pop(y) * count(y) > 0 THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) '
+     'WHEN sum((y - p) * (y - p)) = 0 THEN 1.0 ELSE 0.0 END')} AS r2
+FROM (SELECT l_extendedprice AS y, l_quantity * 2100.0 AS p FROM lineitem)
+""")
+def h_metrics_reg(spark, sf_dir):
+    """RMSE, MAE and R^2 of a stand-in prediction on all of ``lineitem``."""
+    li = table(spark, sf_dir, "lineitem")
+    oof = li.select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 2100.0).alias("prediction"))
+    return CV.regression_metrics(oof)
+
+
+_BOARD = ["price_rule", "priority_rule", "constant_rule"]
+
+
+@register("h_leaderboard", f"""
+WITH {_clf_metrics_sql(_oof_sql(_BOARD))},
+fl AS (SELECT model, fold, 1 - avg(CASE WHEN y = prediction THEN 1.0 ELSE 0.0 END) AS loss
+       FROM ({_oof_sql(_BOARD)}) GROUP BY model, fold),
+s AS (SELECT model, avg(loss) AS mean_loss, stddev_pop(loss) AS std_loss FROM fl GROUP BY model)
+SELECT s.model, {R('mean_loss')} AS cv_loss_mean, {R('std_loss')} AS cv_loss_std,
+  {R('accuracy')} AS accuracy, {R('precision')} AS precision, {R('recall')} AS recall, {R('f1')} AS f1,
+  CAST(row_number() OVER (ORDER BY {R('mean_loss')}, s.model) AS INTEGER) AS rank
+FROM s JOIN m ON s.model = m.model
+""")
+def h_leaderboard(spark, sf_dir):
+    """Leaderboard of three scored prediction sets, all in one set of jobs."""
+    board = CV.leaderboard(_oof(spark, sf_dir, _BOARD), "classification")
+    return CV.rank_board(board)

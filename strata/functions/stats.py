@@ -62,7 +62,10 @@ def rnd(c: Column, digits: int = 4) -> Column:
     """Round half up as plain IEEE arithmetic: floor(x * 10^d + 0.5) / 10^d.
 
     Deterministic across engines (the same bits in Spark and in SQL
-    engines), unlike decimal-string based rounding.  NULL stays NULL.
+    engines), unlike decimal-string based rounding.  Values too large to
+    carry fractional digits are returned unchanged.  NULL stays NULL.
     """
     scale = float(10 ** digits)
-    return (F.floor(c.cast("double") * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")
+    x = c.cast("double")
+    rounded = (F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale))
+    return F.when(F.abs(x) * F.lit(scale) < F.lit(4.5e15), rounded).otherwise(x)

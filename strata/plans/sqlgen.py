@@ -5,7 +5,8 @@ from __future__ import annotations
 
 def R(expr: str, d: int = 4) -> str:
     """Round half up by IEEE arithmetic, the same rule as ``stats.rnd``."""
-    return f"(floor(CAST({expr} AS DOUBLE) * 1e{d} + 0.5) / 1e{d})"
+    x = f"CAST({expr} AS DOUBLE)"
+    return f"(CASE WHEN abs({x}) * 1e{d} < 4.5e15 THEN floor({x} * 1e{d} + 0.5) / 1e{d} ELSE {x} END)"
 
 
 def profile_row_sql(table_sql: str, col: str, dtype: str, numeric: bool) -> str:

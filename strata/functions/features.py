@@ -410,3 +410,54 @@ def fit_features(features: list[Feature], df: DataFrame) -> FittedFeatures:
 def apply_features(features: list[Feature], df: DataFrame) -> DataFrame:
     """Frame scope: statistics from the frame that is transformed."""
     return fit_features(features, df).transform(df)
+
+
+# ---------------------------------------------------------------------------
+# The feature step as a pipeline stage (fit on training rows, K3 fallback)
+# ---------------------------------------------------------------------------
+
+from pyspark.ml import Estimator as _Estimator  # noqa: E402
+from pyspark.ml import Model as _Model  # noqa: E402
+
+
+class FeatureStep(_Estimator):
+    """Pipeline stage wrapping a feature list (J27 surface).
+
+    ``stat_scope="train"`` fits statistics on the training rows and reuses
+    them on any frame; ``"frame"`` recomputes them on each transformed frame.
+    A step that fails leaves the frame unchanged and records the error.
+    """
+
+    def __init__(self, features: list[Feature], stat_scope: str = "train"):
+        super().__init__()
+        self.features, self.stat_scope = list(features), stat_scope
+
+    def _fit(self, df: DataFrame) -> "FeatureStepModel":
+        if self.stat_scope == "frame":
+            return FeatureStepModel(self.features, None, None)
+        try:
+            fitted = fit_features(self.features, df)
+            return FeatureStepModel(self.features, fitted, None)
+        except Exception as e:  # recorded, the step becomes the identity
+            return FeatureStepModel(self.features, None, f"{type(e).__name__}: {e}")
+
+    def describe(self) -> str:
+        return "; ".join(f.describe() for f in self.features)
+
+
+class FeatureStepModel(_Model):
+    def __init__(self, features, fitted, error):
+        super().__init__()
+        self.features, self.fitted, self.error = features, fitted, error
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        if self.error is not None:
+            return df
+        try:
+            out = (self.fitted.transform(df) if self.fitted is not None
+                   else apply_features(self.features, df))
+            out.schema  # analysis errors surface here
+            return out
+        except Exception as e:
+            self.error = f"{type(e).__name__}: {e}"
+            return df

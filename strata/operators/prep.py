@@ -195,5 +195,5 @@ def label_indexer(target: str, label_col: str = "label") -> StringIndexer:
 
 
 def fit_preprocessor(df: DataFrame, num_cols: list[str], cat_cols: list[str],
-                     scaler: str = "standard") -> PipelineModel:
-    return Pipeline(stages=preprocessing_stages(num_cols, cat_cols, scaler)).fit(df)
+                     scaler: str = "standard", mode: str = "auto") -> PipelineModel:
+    return Pipeline(stages=preprocessing_stages(num_cols, cat_cols, scaler, mode=mode)).fit(df)

@@ -39,43 +39,44 @@ def cleaning_stats(df: DataFrame, columns: list[str], distinct: str = "auto") ->
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(columns):
         col, dt = F.col(c), fields[c]
-        aggs.append((F.approx_count_distinct(col, RSD) if approx else F.count_distinct(col)).alias(f"u{i}"))
         aggs.append(F.count_if(col.isNull()).alias(f"z{i}"))
         if TY.is_numeric(dt):
             x = col.cast("double") if TY.is_real_numeric(dt) else col.cast("int").cast("double")
             aggs.append(F.var_samp(x).alias(f"v{i}"))
     wide = df.agg(*aggs)
-    if approx:
-        wide = _recount_near_threshold(df, columns, wide)
     rows = []
     for i, c in enumerate(columns):
         dt = fields[c]
         var = F.col(f"v{i}") if TY.is_numeric(dt) else F.lit(None).cast("double")
         rows.append(F.struct(
             F.lit(c).alias("col"), F.col("__n").cast("bigint").alias("n_rows"),
-            F.col(f"u{i}").cast("bigint").alias("n_unique"),
             F.coalesce(F.try_divide(F.col(f"z{i}"), F.col("__n")), F.lit(0.0)).alias("null_share"),
             var.alias("variance"), F.lit(TY.is_float(dt)).alias("is_float"),
             F.lit(TY.is_numeric(dt)).alias("is_numeric"),
             F.lit(TY.is_real_numeric(dt)).alias("is_real_numeric")))
-    return wide.select(F.inline(F.array(*rows)))
+    stats = wide.select(F.inline(F.array(*rows)))
+    card = S.distinct_counts(df, columns, exact=not approx, rsd=RSD)
+    if approx:
+        card = _recount_near_threshold(df, stats, card)
+    # one row per column on both sides: bounded broadcast
+    out = stats.join(F.broadcast(card), "col")
+    return out.select("col", "n_rows", "n_unique", "null_share", "variance", "is_float", "is_numeric",
+                      "is_real_numeric")
 
 
-def _recount_near_threshold(df: DataFrame, columns: list[str], wide: DataFrame) -> DataFrame:
+def _recount_near_threshold(df: DataFrame, stats: DataFrame, card: DataFrame) -> DataFrame:
     """Exact distinct counts for the columns whose sketch is near the ID threshold.
 
-    ``wide`` is the one-row statistics table; it is collected (a few numbers
-    per column) and rebuilt with the exact counts patched in.
+    Only those columns (usually none) are recounted exactly; the small
+    per-column tables are collected to decide which.
     """
-    row = wide.first().asDict()
-    n = row["__n"] or 0
-    near = [i for i in range(len(columns))
-            if n and abs(row[f"u{i}"] / n - CARDINALITY_THRESHOLD) <= 3 * RSD]
+    n = stats.select("n_rows").first()[0] or 0
+    approx = {r["col"]: r["n_unique"] for r in card.collect()}
+    near = [c for c, u in approx.items() if n and abs(u / n - CARDINALITY_THRESHOLD) <= 3 * RSD]
     if near:
-        exact = df.agg(*[F.count_distinct(F.col(columns[i])).alias(f"e{i}") for i in near]).first()
-        for i in near:
-            row[f"u{i}"] = exact[f"e{i}"]
-    return df.sparkSession.createDataFrame([row], schema=wide.schema)
+        exact = {r["col"]: r["n_unique"] for r in S.distinct_counts(df, near, exact=True).collect()}
+        approx.update(exact)
+    return df.sparkSession.createDataFrame(list(approx.items()), "col string, n_unique bigint")
 
 
 def cleaning_report(stats: DataFrame, cardinality_threshold: float = CARDINALITY_THRESHOLD,

@@ -71,14 +71,16 @@ def column_profile(df: DataFrame, target: str | None = None, columns: list[str]
     bounded-memory median sketch instead of exact ones.
     """
     cols = columns if columns is not None else [c for c in df.columns if c != target]
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], _PROFILE_SCHEMA)
     use_exact = _use_exact(df, exact)
     fields = {f.name: f.dataType for f in df.schema.fields}
+    # job 1: counts, nulls, moments and medians (no distinct aggregate here)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
         col, dt = F.col(c), fields[c]
         aggs.append(F.count_if(col.isNull()).alias(f"nul{i}"))
-        aggs.append((F.count_distinct(col) if use_exact else F.approx_count_distinct(col, 0.01))
-                    .alias(f"card{i}"))
         if TY.is_numeric(dt):
             x = _num(c, dt)
             aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
@@ -103,15 +105,19 @@ def column_profile(df: DataFrame, target: str | None = None, columns: list[str]
             F.lit(numeric).alias("is_numeric"),
             F.col(f"nul{i}").cast("bigint").alias("null_count"),
             rnd(F.coalesce(F.try_divide(F.col(f"nul{i}"), n), F.lit(0.0))).alias("null_rate"),
-            F.col(f"card{i}").cast("bigint").alias("cardinality"),
-            rnd(F.coalesce(F.try_divide(F.col(f"card{i}"), n), F.lit(0.0))).alias("cardinality_rate"),
             stat("mean").alias("mean"), stat("std").alias("std"), stat("min").alias("min"),
             stat("max").alias("max"), stat("med").alias("median"), stat("skew").alias("skew"),
-            *([n.cast("bigint").alias("n_rows")] if include_n else []),
+            n.cast("bigint").alias("n_rows"),
         ))
-    if not rows:
-        return df.sparkSession.createDataFrame([], _PROFILE_SCHEMA)
-    return wide.select(F.inline(F.array(*rows)))
+    stats = wide.select(F.inline(F.array(*rows)))
+    # job 2: distinct counts; both sides have one row per column (bounded broadcast)
+    card = S.distinct_counts(df, cols, exact=use_exact)
+    out = stats.join(F.broadcast(card), "col").select(
+        "col", "dtype", "is_numeric", "null_count", "null_rate",
+        F.col("n_unique").alias("cardinality"),
+        rnd(F.coalesce(F.try_divide(F.col("n_unique"), F.col("n_rows")), F.lit(0.0))).alias("cardinality_rate"),
+        "mean", "std", "min", "max", "median", "skew", *(["n_rows"] if include_n else []))
+    return out
 
 
 def top_values(df: DataFrame, columns: list[str], n: int = 5) -> DataFrame:

@@ -20,6 +20,7 @@ ORACLE: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table with NaN canonicalised to NULL."""
     return canonical_nulls(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 

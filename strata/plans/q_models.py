@@ -1 +1,260 @@
-"""Registered queries."""
+"""Queries for models, training, explanation and feature search (2.G-2.K).
+
+Targets with signal are derived from ``lineitem`` by fixed formulas (the
+supplied columns are independent noise); ``embeddings`` gives a 10-class
+problem on 64 float features.  Model queries train on whole tables with
+3-fold CV and small ensembles; their checks are rows-only.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from strata.functions import features as FE
+from strata.functions import stats as S
+from strata.operators import eda as E
+from strata.operators import explain as X
+from strata.operators import search as K
+from strata.operators import train as T
+from strata.plans.catalog import register, table
+from strata.plans.sqlgen import R
+
+KEY6 = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+FOLDS = 3
+
+
+def clf_frame(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    target = ((F.col("l_quantity") * 0.02 + F.col("l_discount") * 10) > 1.0).cast("string")
+    return li.select(*KEY6, "l_discount", "l_tax", "l_returnflag", "l_linestatus", target.alias("target"))
+
+
+def reg_frame(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    y = F.col("l_quantity") * 100 + F.col("l_discount") * 5000 + F.col("l_extendedprice") / 1000
+    return li.select(*KEY6, "l_discount", "l_tax", "l_returnflag", y.alias("y"))
+
+
+def emb_frame(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)],
+                    F.col("label").cast("string").alias("label_class"))
+
+
+# the key columns are excluded from the features: passed as keys
+def _train_clf(spark, sf_dir, models, params=None):
+    df = clf_frame(spark, sf_dir)
+    return T.train(df, "target", "classification", key_cols=KEY6, models=models, model_params=params,
+                   k=FOLDS, refit=False)
+
+
+def _train_reg(spark, sf_dir, models, params=None):
+    df = reg_frame(spark, sf_dir)
+    return T.train(df, "y", "regression", key_cols=KEY6, models=models, model_params=params,
+                   k=FOLDS, refit=False)
+
+
+def _board(res):
+    if res.leaderboard is None:
+        return res.oof.sparkSession.createDataFrame([], "model string") if res.oof is not None else None
+    return res.leaderboard.drop("time_s")
+
+
+@register("g_logreg")
+def g_logreg(spark, sf_dir):
+    """Logistic regression (C=1 as regParam=1/n), 3-fold CV leaderboard row."""
+    return _board(_train_clf(spark, sf_dir, ["Logistic Regression"]))
+
+
+@register("g_forest")
+def g_forest(spark, sf_dir):
+    """Random forest classifier, 20 trees."""
+    return _board(_train_clf(spark, sf_dir, ["Random Forest"], {"Random Forest": {"n_estimators": 20}}))
+
+
+@register("g_gbt")
+def g_gbt(spark, sf_dir):
+    """Gradient-boosted trees, 10 iterations, and the two booster stand-ins."""
+    p = {m: {"n_estimators": 10} for m in ("Gradient Boosting", "XGBoost", "LightGBM")}
+    return _board(_train_clf(spark, sf_dir, ["Gradient Boosting", "XGBoost", "LightGBM"], p))
+
+
+@register("g_tree")
+def g_tree(spark, sf_dir):
+    """Decision tree classifier, depth 10."""
+    return _board(_train_clf(spark, sf_dir, ["Decision Tree"]))
+
+
+@register("g_gaussian_nb")
+def g_gaussian_nb(spark, sf_dir):
+    """Gaussian naive Bayes."""
+    return _board(_train_clf(spark, sf_dir, ["Naive Bayes"]))
+
+
+@register("g_adaboost")
+def g_adaboost(spark, sf_dir):
+    """SAMME AdaBoost of weighted stumps, 8 rounds."""
+    return _board(_train_clf(spark, sf_dir, ["AdaBoost"], {"AdaBoost": {"n_estimators": 8}}))
+
+
+@register("g_linear")
+def g_linear(spark, sf_dir):
+    """Linear, ridge and lasso regression."""
+    return _board(_train_reg(spark, sf_dir, ["Linear Regression", "Ridge", "Lasso"]))
+
+
+@register("g_trees_reg")
+def g_trees_reg(spark, sf_dir):
+    """Tree regressors: forest (20), boosting (10), single tree, booster stand-ins."""
+    p = {"Random Forest": {"n_estimators": 20, "max_depth": 8},
+         "Gradient Boosting": {"n_estimators": 10}, "XGBoost": {"n_estimators": 10},
+         "LightGBM": {"n_estimators": 10}}
+    return _board(_train_reg(spark, sf_dir, ["Random Forest", "Gradient Boosting", "Decision Tree",
+                                             "XGBoost", "LightGBM"], p))
+
+
+@register("g_adaboost_reg")
+def g_adaboost_reg(spark, sf_dir):
+    """AdaBoost.R2 with weighted depth-3 trees, 6 rounds."""
+    return _board(_train_reg(spark, sf_dir, ["AdaBoost"], {"AdaBoost": {"n_estimators": 6}}))
+
+
+@register("g_multiclass")
+def g_multiclass(spark, sf_dir):
+    """Ten-class problem on 64 float features: multinomial LR, naive Bayes, tree."""
+    df = emb_frame(spark, sf_dir)
+    res = T.train(df, "label_class", "classification", key_cols=["vec_id"],
+                  models=["Logistic Regression", "Naive Bayes", "Decision Tree"], k=FOLDS, refit=False)
+    return _board(res)
+
+
+@register("h_train_oof")
+def h_train_oof(spark, sf_dir):
+    """Out-of-fold predictions: one row per key per model, folds fitted leak-free (H5, H6)."""
+    res = _train_clf(spark, sf_dir, ["Decision Tree", "Naive Bayes"])
+    return res.oof
+
+
+@register("h_train_refit")
+def h_train_refit(spark, sf_dir):
+    """Full run: CV, best model refit on all rows, batch scoring of the table."""
+    df = clf_frame(spark, sf_dir)
+    res = T.train(df, "target", "classification", key_cols=KEY6,
+                  models=["Logistic Regression", "Decision Tree"], k=FOLDS, refit=True, explain=False)
+    scored = T.predict(res.pipeline, df, res.labels)
+    return scored.select(*KEY6, "target", "predicted_label")
+
+
+@register("i_sample_300", """
+SELECT o_orderkey FROM orders
+ORDER BY md5(concat_ws('|', '42', CAST(o_orderkey AS VARCHAR))), CAST(o_orderkey AS VARCHAR) LIMIT 300
+""")
+def i_sample_300(spark, sf_dir):
+    """Seeded sample of at most 300 rows for explanation."""
+    return X.explain_sample(table(spark, sf_dir, "orders"), ["o_orderkey"], 42, 300).select("o_orderkey")
+
+
+_KEY6_SQL = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in KEY6) + ")"
+
+
+@register("i_linear_shap", f"""
+WITH s AS (SELECT covar_pop(l_quantity, l_quantity) AS s11, covar_pop(l_quantity, l_discount) AS s12,
+             covar_pop(l_discount, l_discount) AS s22, covar_pop(l_quantity, l_extendedprice) AS s1y,
+             covar_pop(l_discount, l_extendedprice) AS s2y FROM lineitem),
+b AS (SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+             (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM s),
+smp AS (SELECT l_quantity, l_discount FROM lineitem
+        ORDER BY md5(concat_ws('|', '42', {_KEY6_SQL})), {_KEY6_SQL} LIMIT 300)
+SELECT 'num__l_quantity' AS feature,
+  {R('(SELECT abs(b1) FROM b) * avg(abs(l_quantity - (SELECT avg(l_quantity) FROM smp)))', 3)} AS importance FROM smp
+UNION ALL
+SELECT 'num__l_discount',
+  {R('(SELECT abs(b2) FROM b) * avg(abs(l_discount - (SELECT avg(l_discount) FROM smp)))', 3)} FROM smp
+""")
+def i_linear_shap(spark, sf_dir):
+    """Mean |linear SHAP| on the 300-row sample of an OLS fit on all of lineitem."""
+    li = table(spark, sf_dir, "lineitem")
+    va = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(li)
+    lr = LinearRegression(labelCol="l_extendedprice", regParam=0.0, solver="normal").fit(va)
+    sample = X.explain_sample(va, KEY6, 42, 300)
+    imp = X.linear_shap(sample, [lr.coefficients.toArray().tolist()], ["num__l_quantity", "num__l_discount"])
+    return imp.select("feature", S.rnd(F.col("importance"), 3).alias("importance"))
+
+
+def _corr_expr(a, b):
+    both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+    x = f"CASE WHEN {both} THEN CAST({a} AS DOUBLE) END"
+    y = f"CASE WHEN {both} THEN CAST({b} AS DOUBLE) END"
+    return (f"CASE WHEN stddev_pop({x}) * stddev_pop({y}) > 0 THEN "
+            f"covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END")
+
+
+_IMP_FEATS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
+
+
+@register("i_top_dead", f"""
+WITH imp AS ({' UNION ALL '.join(f"SELECT 'num__{c}' AS feature, abs({R(_corr_expr(c, 'l_extendedprice'))}) AS importance FROM lineitem" for c in _IMP_FEATS)}),
+r AS (SELECT feature, importance, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM imp WHERE importance IS NOT NULL)
+SELECT regexp_replace(feature, '^(num|cat)__', '') AS feature, importance, CAST(rank AS INTEGER) AS rank,
+  rank <= 3 AS is_top, importance < 0.01 AS is_dead FROM r
+""")
+def i_top_dead(spark, sf_dir):
+    """Top-n and dead features of an importance table, prefixes stripped."""
+    li = table(spark, sf_dir, "lineitem").drop("l_returnflag", "l_linestatus", "l_shipdate")
+    corr = E.target_correlation(li, "l_extendedprice")
+    imp = corr.select(F.concat(F.lit("num__"), F.col("feature")).alias("feature"), F.abs("r").alias("importance"))
+    return X.top_and_dead(imp, top_n=3, dead=0.01)
+
+
+@register("i_tree_importance")
+def i_tree_importance(spark, sf_dir):
+    """Importance table of a refitted tree ensemble, ranked with top / dead flags."""
+    df = clf_frame(spark, sf_dir)
+    res = T.train(df, "target", "classification", key_cols=KEY6, models=["Random Forest"],
+                  model_params={"Random Forest": {"n_estimators": 10}}, k=FOLDS, refit=True, explain=True)
+    return X.top_and_dead(res.importance)
+
+
+def _validate_candidates():
+    return [
+        ("ratio", [FE.Ratio("price_per_cust", "o_totalprice", "o_custkey")]),
+        ("filter", [FE.FrameFunction("f", lambda d: d.where(F.col("o_totalprice") > 200000))]),
+        ("empty", [FE.FrameFunction("f", lambda d: d.where(F.lit(False)))]),
+        ("no_columns", [FE.FrameFunction("f", lambda d: d.select())]),
+        ("all_null", [FE.FrameFunction("f", lambda d: d.select(
+            *[F.lit(None).cast("double").alias(c) for c in d.columns]))]),
+        ("bad_column", [FE.Expr("x", "no_such_column * 2")]),
+    ]
+
+
+@register("k_validate", """
+WITH n AS (SELECT count(*) AS n FROM orders)
+SELECT 'ratio' AS candidate, TRUE AS ok, CAST(NULL AS VARCHAR) AS kind, n AS rows_in, n AS rows_out FROM n
+UNION ALL SELECT 'filter', FALSE, 'row_count', n, (SELECT count(*) FROM orders WHERE o_totalprice > 200000) FROM n
+UNION ALL SELECT 'empty', FALSE, 'empty', n, 0 FROM n
+UNION ALL SELECT 'no_columns', FALSE, 'no_columns', n, NULL FROM n
+UNION ALL SELECT 'all_null', FALSE, 'all_null', n, n FROM n
+UNION ALL SELECT 'bad_column', FALSE, 'exception', n, NULL FROM n
+""")
+def k_validate(spark, sf_dir):
+    """Validation of candidate feature steps with structured errors (K1, K2)."""
+    o = table(spark, sf_dir, "orders")
+    rows = []
+    for name, feats in _validate_candidates():
+        v = K.validate_step(feats, o)
+        rows.append((name, v["kind"] is None, v["kind"], v["rows_in"], v["rows_out"]))
+    return spark.createDataFrame(rows, "candidate string, ok boolean, kind string, rows_in bigint, rows_out bigint")
+
+
+@register("k_search_log")
+def k_search_log(spark, sf_dir):
+    """Feature search: baseline plus automatic candidates, accepted by CV loss."""
+    df = reg_frame(spark, sf_dir).drop("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    cands = K.auto_candidates(df.drop("l_extendedprice"), "y", max_candidates=3)
+    res = K.search_features(df, "y", cands, run_id="search", task_type="regression",
+                            key_cols=["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+                            max_rounds=3, models=["Decision Tree"], k=FOLDS,
+                            model_params={"Decision Tree": {"max_depth": 6}})
+    return res.log

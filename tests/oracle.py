@@ -83,9 +83,12 @@ if __name__ == "__main__":
     names = sys.argv[1:] or list(E.queries())
     con = duck(sf)
     bad = 0
+    import time
     for n in names:
+        t0 = time.time()
         try:
             ok, msg = compare(spark, n, sf, con)
+            msg += f" [{time.time() - t0:.1f}s]"
         except Exception as e:  # report and continue
             ok, msg = False, f"{n}: ERROR {type(e).__name__}: {str(e)[:400]}"
         bad += not ok

@@ -18,7 +18,7 @@ from strata.functions.joins import join_small
 
 PREFIX_HEX = 3          # 16^3 = 4096 ordered buckets per stratum
 MAX_REG_STRATA = 10
-EXACT_ROW_LIMIT = 50_000_000
+EXACT_ROW_LIMIT = 10_000_000   # exact quantiles for regression strata up to this many rows
 
 
 def key_string(df: DataFrame, key_cols: list[str] | None) -> Column:

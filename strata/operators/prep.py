@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from strata.functions import stats as S
 from strata.operators.mlparams import float_list_param, list_param, str_param
 
-EXACT_ROW_LIMIT = 50_000_000
+# exact medians / quantiles merge a value -> count map in one task: sketch above this
+EXACT_ROW_LIMIT = 10_000_000
 MISSING_TOKEN = "missing"
 
 

@@ -19,8 +19,12 @@ from strata.functions import stats as S
 from strata.functions import types as TY
 from strata.sources.readers import require_column
 
-# Rows above which exact distinct counts / medians switch to sketches.
+# Rows above which exact distinct counts switch to HyperLogLog (the exact path
+# is a shuffle and scales, but multiplies rows by the column count).
 EXACT_ROW_LIMIT = 50_000_000
+# Rows above which exact medians switch to a quantile sketch: the exact
+# percentile merges a value -> count map of the whole column in one task.
+EXACT_MEDIAN_ROWS = 10_000_000
 
 # Thresholds of the profiler and its warnings.
 NULL_WARN_RATE = 0.3
@@ -48,10 +52,12 @@ def _pandas_like_dtype(dt: T.DataType) -> str:
     return dt.simpleString()
 
 
-def _use_exact(df: DataFrame, exact: bool | str) -> bool:
+def _use_exact(df: DataFrame, exact: bool | str) -> tuple[bool, bool]:
+    """(exact distinct counts, exact medians) for this table."""
     if exact == "auto":
-        return df.count() <= EXACT_ROW_LIMIT
-    return bool(exact)
+        n = df.count()
+        return n <= EXACT_ROW_LIMIT, n <= EXACT_MEDIAN_ROWS
+    return bool(exact), bool(exact)
 
 
 def _num(c: str, dt: T.DataType) -> Column:
@@ -60,21 +66,22 @@ def _num(c: str, dt: T.DataType) -> Column:
 
 
 def column_profile(df: DataFrame, target: str | None = None, columns: list[str] | None = None,
-                   exact: bool | str = True, round_digits: int | None = 4,
+                   exact: bool | str = "auto", round_digits: int | None = 4,
                    include_n: bool = False) -> DataFrame:
     """Long table, one row per feature column.
 
     Columns: col, dtype, is_numeric, null_count, null_rate, cardinality,
     cardinality_rate, mean, std, min, max, median, skew.  Statistics of
-    non-numeric columns are NULL.  ``exact=False`` (or ``"auto"`` above
-    ``EXACT_ROW_LIMIT`` rows) uses HyperLogLog distinct counts and a
-    bounded-memory median sketch instead of exact ones.
+    non-numeric columns are NULL.  ``exact=False`` uses HyperLogLog distinct
+    counts and a bounded-memory median sketch; ``"auto"`` keeps exact
+    distinct counts up to ``EXACT_ROW_LIMIT`` rows and exact medians up to
+    ``EXACT_MEDIAN_ROWS`` rows.
     """
     cols = columns if columns is not None else [c for c in df.columns if c != target]
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], _PROFILE_SCHEMA)
-    use_exact = _use_exact(df, exact)
+    use_exact, exact_median = _use_exact(df, exact)
     fields = {f.name: f.dataType for f in df.schema.fields}
     # job 1: counts, nulls, moments and medians (no distinct aggregate here)
     aggs = [F.count(F.lit(1)).alias("__n")]
@@ -85,7 +92,7 @@ def column_profile(df: DataFrame, target: str | None = None, columns: list[str]
             x = _num(c, dt)
             aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                      F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                     S.median(x, exact=use_exact).alias(f"med{i}"),
+                     S.median(x, exact=exact_median).alias(f"med{i}"),
                      S.sample_skew(x).alias(f"skew{i}")]
     wide = df.agg(*aggs)
 

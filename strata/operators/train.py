@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -84,7 +85,8 @@ def _prepare_fold(train: DataFrame, val: DataFrame, target: str, passthrough: li
 def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: list[str] | None = None,
           models: list[str] | None = None, model_params: dict | None = None, k: int = 5, seed: int = 42,
           fe_step: FeatureStep | None = None, scaler: str = "standard", cleaning: dict | None = None,
-          refit: bool = True, explain: bool = True, explain_rows: int = 300) -> TrainResult:
+          refit: bool = True, explain: bool = True, explain_rows: int = 300,
+          parallelism: int = 4) -> TrainResult:
     """Cross-validate the models, rank them, refit the best on all rows."""
     require_column(df, target)
     task = task_type or detect_task(df, target).first()["task_type"]
@@ -100,35 +102,50 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
     data = data.withColumn("__key", CV.key_string(df, key_cols))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     n_rows = data.count()
-    mode = "exact" if n_rows <= PR.EXACT_ROW_LIMIT else "approx"
+    mode = "exact" if n_rows <= PR.EXACT_ROW_LIMIT else "approx"   # quantiles and distinct counts
     passthrough = [target, "label", "fold", "__key"] + list(key_cols or [])
 
-    parts, timings, errors, fe_error = [], {m: 0.0 for m in models}, {}, None
-    for f in range(k):
+    def run_fold(f: int):
+        """Fit the fold's stages once, then every model on the cached vectors."""
+        parts, timings, errors = [], {m: 0.0 for m in models}, {}
         train_rows, val_rows = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
         tr, va, _, _, fe_err = _prepare_fold(train_rows, val_rows, target, passthrough, fe_step, scaler,
                                               cleaning, mode)
-        fe_error = fe_error or fe_err
         tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
         va = va.persist(StorageLevel.MEMORY_AND_DISK)
         ctx = M.fit_context(tr, task)
         if task == "classification":
             ctx.n_classes = max(ctx.n_classes, len(labels or []))
         for name in models:
-            if name in errors:
-                continue
             t0 = time.time()
             try:
                 est = M.get_model(name, task, ctx, model_params.get(name))
                 pred = est.fit(tr).transform(va).select(
                     F.lit(name).alias("model"), F.col("__key").alias("key"), "fold",
                     F.col("label").alias("y"), F.col("prediction").cast("double").alias("prediction"))
-                parts.append(_materialize(pred))
+                parts.append((name, _materialize(pred)))
             except Exception as e:  # a failing model is skipped (H19)
                 errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
             timings[name] += time.time() - t0
         tr.unpersist()
         va.unpersist()
+        return parts, timings, errors, fe_err
+
+    # folds are independent Spark jobs: a few run concurrently from driver threads
+    workers = max(1, min(parallelism, k))
+    if workers > 1:
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            fold_results = list(pool.map(run_fold, range(k)))
+    else:
+        fold_results = [run_fold(f) for f in range(k)]
+    timings, errors, fe_error = {m: 0.0 for m in models}, {}, None
+    for _, tm, er, fe_err in fold_results:
+        for m, v in tm.items():
+            timings[m] += v
+        errors.update(er)
+        fe_error = fe_error or fe_err
+    # a model that failed in any fold has an incomplete OOF table: drop it everywhere
+    parts = [p for fr in fold_results for name, p in fr[0] if name not in errors]
 
     ok_models = [m for m in models if m not in errors]
     if not ok_models:

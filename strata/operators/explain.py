@@ -10,9 +10,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,64 @@ def linear_shap(vectors: DataFrame, coef_rows: list[list[float]], names: list[st
     return per.select(nm.alias("feature"), (w * F.col("dev")).alias("importance"))
 
 
+def shapley_mc(model, vectors: DataFrame, names: list[str], permutations: int = 8, seed: int = 42,
+               features_col: str = "features") -> DataFrame:
+    """Monte-Carlo Shapley values of any fitted model, mean |value| per feature.
+
+    For explained row x, permutation pi and feature j, two hybrid rows take
+    x on the features placed before j (with / without j itself) and a
+    background row z elsewhere; phi_j is the mean of f(with) - f(without).
+    Background rows are other rows of the explained sample.  All hybrid rows
+    (at most 2 * rows * permutations * features) are generated with array
+    functions and scored by the model in one job; classifiers are explained
+    on their class probabilities, averaged over classes.
+    """
+    spark = vectors.sparkSession
+    d = len(names)
+    if d == 0:
+        return spark.createDataFrame([], _SCHEMA)
+    rng = np.random.default_rng(seed)
+    ranks = []
+    for _ in range(permutations):
+        perm = rng.permutation(d)
+        inv = np.empty(d, dtype=int)
+        inv[perm] = np.arange(d)
+        ranks.append([int(v) for v in inv])
+    base = vectors.select(vector_to_array(features_col).alias("x"))
+    w = Window.orderBy(F.md5(F.to_json(F.col("x"))), F.to_json(F.col("x")))
+    rows = base.withColumn("rid", F.row_number().over(w) - 1)   # bounded: the explained sample
+    n = rows.count()
+    if n == 0:
+        return spark.createDataFrame([], _SCHEMA)
+    perms = spark.createDataFrame([(m, r) for m, r in enumerate(ranks)], "m int, rank array<int>")
+    # each (row, permutation) gets a background partner: row (rid + m + 1) mod n
+    cand = rows.select("rid", "x").withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    cand = cand.withColumn("zid", (F.col("rid") + F.col("m") + 1) % F.lit(n))
+    z = rows.select(F.col("rid").alias("zid"), F.col("x").alias("z"))
+    paired = cand.join(z, "zid").join(F.broadcast(perms), "m")
+    hyb = paired.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
+    rj = F.element_at("rank", F.col("j") + 1)
+
+    def mix(strict: bool):
+        return F.transform(F.col("x"), lambda v, p: F.when(
+            (F.element_at(F.col("rank"), p + 1) < rj) if strict else (F.element_at(F.col("rank"), p + 1) <= rj),
+            v).otherwise(F.element_at(F.col("z"), p + 1)))
+
+    both = hyb.select("rid", "m", "j", F.explode(F.array(
+        F.struct(F.lit(1.0).alias("sign"), mix(False).alias("v")),
+        F.struct(F.lit(-1.0).alias("sign"), mix(True).alias("v")))).alias("h"))
+    scored = model.transform(both.select("rid", "m", "j", "h.sign", array_to_vector("h.v").alias(features_col)))
+    if "probability" in scored.columns:
+        out = vector_to_array("probability")
+    else:
+        out = F.array(F.col("prediction").cast("double"))
+    contrib = scored.select("rid", "m", "j", F.posexplode(out).alias("k", "f"), "sign") \
+        .groupBy("rid", "j", "k").agg((F.sum(F.col("sign") * F.col("f")) / permutations).alias("phi"))
+    per = contrib.groupBy("j", "k").agg(F.avg(F.abs("phi")).alias("a")).groupBy("j").agg(F.avg("a").alias("imp"))
+    nm = F.element_at(F.array(*[F.lit(v) for v in names]), F.col("j") + 1)
+    return per.select(nm.alias("feature"), F.col("imp").alias("importance"))
+
+
 def native_importance(spark, values: list[float] | None, names: list[str]) -> DataFrame:
     """Importances reported by the model itself (tree ensembles)."""
     if not values or len(values) != len(names):
@@ -58,20 +117,30 @@ def native_importance(spark, values: list[float] | None, names: list[str]) -> Da
 
 
 def explain_model(pipeline: PipelineModel, data: DataFrame, names: list[str],
-                  key_cols: list[str] | None = None, seed: int = 42, n: int = SAMPLE_ROWS) -> DataFrame:
-    """Importance table of the pipeline's final model."""
+                  key_cols: list[str] | None = None, seed: int = 42, n: int = SAMPLE_ROWS,
+                  method: str = "auto", permutations: int = 8) -> DataFrame:
+    """Importance table of the pipeline's final model.
+
+    ``auto``: linear models -> exact linear SHAP; tree ensembles -> Monte-Carlo
+    Shapley; other models -> empty table.  ``native`` uses the model's own
+    impurity importances (the cheap path).
+    """
     spark = data.sparkSession
     model = pipeline.stages[-1]
     try:
+        if method == "native":
+            return native_importance(spark, importance_vector(model), names)
+        sample = explain_sample(data, key_cols, seed, n)
+        vectors = PipelineModel(stages=pipeline.stages[:-1]).transform(sample)
         if isinstance(model, (LogisticRegressionModel, LinearRegressionModel)):
-            sample = explain_sample(data, key_cols, seed, n)
-            vectors = PipelineModel(stages=pipeline.stages[:-1]).transform(sample)
             if isinstance(model, LogisticRegressionModel):
                 coefs = model.coefficientMatrix.toArray().tolist()
             else:
                 coefs = [model.coefficients.toArray().tolist()]
             return linear_shap(vectors, coefs, names)
-        return native_importance(spark, importance_vector(model), names)
+        if importance_vector(model) is not None:
+            return shapley_mc(model, vectors, names, permutations, seed)
+        return spark.createDataFrame([], _SCHEMA)
     except Exception:
         return spark.createDataFrame([], _SCHEMA)
 

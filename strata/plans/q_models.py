@@ -22,19 +22,22 @@ from strata.plans.catalog import register, table
 from strata.plans.sqlgen import R
 
 KEY6 = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+# row key of the model frames (the key columns are passed through, not used as features)
+KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 FOLDS = 3
 
 
 def clf_frame(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     target = ((F.col("l_quantity") * 0.02 + F.col("l_discount") * 10) > 1.0).cast("string")
-    return li.select(*KEY6, "l_discount", "l_tax", "l_returnflag", "l_linestatus", target.alias("target"))
+    return li.select(*KEY, "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                     target.alias("target"))
 
 
 def reg_frame(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     y = F.col("l_quantity") * 100 + F.col("l_discount") * 5000 + F.col("l_extendedprice") / 1000
-    return li.select(*KEY6, "l_discount", "l_tax", "l_returnflag", y.alias("y"))
+    return li.select(*KEY, "l_quantity", "l_discount", "l_tax", "l_returnflag", y.alias("y"))
 
 
 def emb_frame(spark, sf_dir):
@@ -46,13 +49,13 @@ def emb_frame(spark, sf_dir):
 # the key columns are excluded from the features: passed as keys
 def _train_clf(spark, sf_dir, models, params=None):
     df = clf_frame(spark, sf_dir)
-    return T.train(df, "target", "classification", key_cols=KEY6, models=models, model_params=params,
+    return T.train(df, "target", "classification", key_cols=KEY, models=models, model_params=params,
                    k=FOLDS, refit=False)
 
 
 def _train_reg(spark, sf_dir, models, params=None):
     df = reg_frame(spark, sf_dir)
-    return T.train(df, "y", "regression", key_cols=KEY6, models=models, model_params=params,
+    return T.train(df, "y", "regression", key_cols=KEY, models=models, model_params=params,
                    k=FOLDS, refit=False)
 
 
@@ -141,10 +144,10 @@ def h_train_oof(spark, sf_dir):
 def h_train_refit(spark, sf_dir):
     """Full run: CV, best model refit on all rows, batch scoring of the table."""
     df = clf_frame(spark, sf_dir)
-    res = T.train(df, "target", "classification", key_cols=KEY6,
+    res = T.train(df, "target", "classification", key_cols=KEY,
                   models=["Logistic Regression", "Decision Tree"], k=FOLDS, refit=True, explain=False)
     scored = T.predict(res.pipeline, df, res.labels)
-    return scored.select(*KEY6, "target", "predicted_label")
+    return scored.select(*KEY, "target", "predicted_label")
 
 
 @register("i_sample_300", """
@@ -210,11 +213,13 @@ def i_top_dead(spark, sf_dir):
 
 @register("i_tree_importance")
 def i_tree_importance(spark, sf_dir):
-    """Importance table of a refitted tree ensemble, ranked with top / dead flags."""
+    """Impurity importances of a refitted tree ensemble, ranked with top / dead flags (I4 cheap path, I6)."""
     df = clf_frame(spark, sf_dir)
-    res = T.train(df, "target", "classification", key_cols=KEY6, models=["Random Forest"],
-                  model_params={"Random Forest": {"n_estimators": 10}}, k=FOLDS, refit=True, explain=True)
-    return X.top_and_dead(res.importance)
+    res = T.train(df, "target", "classification", key_cols=KEY, models=["Random Forest"],
+                  model_params={"Random Forest": {"n_estimators": 10}}, k=FOLDS, refit=True, explain=False)
+    from strata.operators.models import importance_vector
+    imp = X.native_importance(spark, importance_vector(res.pipeline.stages[-1]), res.feature_names)
+    return X.top_and_dead(imp)
 
 
 def _validate_candidates():
@@ -251,10 +256,22 @@ def k_validate(spark, sf_dir):
 @register("k_search_log")
 def k_search_log(spark, sf_dir):
     """Feature search: baseline plus automatic candidates, accepted by CV loss."""
-    df = reg_frame(spark, sf_dir).drop("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    cands = K.auto_candidates(df.drop("l_extendedprice"), "y", max_candidates=3)
-    res = K.search_features(df, "y", cands, run_id="search", task_type="regression",
-                            key_cols=["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+    df = reg_frame(spark, sf_dir)
+    cands = K.auto_candidates(df, "y", max_candidates=3, exclude=KEY)
+    res = K.search_features(df, "y", cands, run_id="search", task_type="regression", key_cols=KEY,
                             max_rounds=3, models=["Decision Tree"], k=FOLDS,
                             model_params={"Decision Tree": {"max_depth": 6}})
     return res.log
+
+
+@register("i_shapley_mc")
+def i_shapley_mc(spark, sf_dir):
+    """Monte-Carlo Shapley importances of a refitted forest on its 300-row sample."""
+    df = clf_frame(spark, sf_dir)
+    res = T.train(df, "target", "classification", key_cols=KEY, models=["Random Forest"],
+                  model_params={"Random Forest": {"n_estimators": 10}}, k=FOLDS, refit=True, explain=False)
+    sample = X.explain_sample(df.where(F.col("target").isNotNull()), KEY, 42, 300)
+    from pyspark.ml import PipelineModel
+    vectors = PipelineModel(stages=res.pipeline.stages[:-1]).transform(sample)
+    imp = X.shapley_mc(res.pipeline.stages[-1], vectors, res.feature_names, permutations=8)
+    return X.top_and_dead(imp)

@@ -82,16 +82,22 @@ def _prepare_fold(train: DataFrame, val: DataFrame, target: str, passthrough: li
             PR.feature_names(prep), fe_error)
 
 
-def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: list[str] | None = None,
-          models: list[str] | None = None, model_params: dict | None = None, k: int = 5, seed: int = 42,
-          fe_step: FeatureStep | None = None, scaler: str = "standard", cleaning: dict | None = None,
-          refit: bool = True, explain: bool = True, explain_rows: int = 300,
-          parallelism: int = 4) -> TrainResult:
-    """Cross-validate the models, rank them, refit the best on all rows."""
-    require_column(df, target)
-    task = task_type or detect_task(df, target).first()["task_type"]
-    models = models or M.DEFAULT_MODELS[task]
-    model_params = model_params or {}
+@dataclass
+class Prepared:
+    """Labelled rows with their fold, cached once and shared by several trainings."""
+    data: DataFrame
+    task: str
+    labels: list[str] | None
+    n_rows: int
+    k: int
+
+    def release(self) -> None:
+        self.data.unpersist()
+
+
+def prepare(df: DataFrame, target: str, task: str, key_cols: list[str] | None = None, k: int = 5,
+            seed: int = 42) -> Prepared:
+    """Label, assign stratified folds and cache the rows (H1-H4); reused across search rounds."""
     data = df.where(F.col(target).isNotNull())
     data, labels = _label(data, target, task)
     if task == "classification":
@@ -101,7 +107,27 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
         data = CV.assign_folds(data, k, strata_col="__stratum", key_cols=key_cols, seed=seed).drop("__stratum")
     data = data.withColumn("__key", CV.key_string(df, key_cols))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    n_rows = data.count()
+    return Prepared(data, task, labels, data.count(), k)
+
+
+def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: list[str] | None = None,
+          models: list[str] | None = None, model_params: dict | None = None, k: int = 5, seed: int = 42,
+          fe_step: FeatureStep | None = None, scaler: str = "standard", cleaning: dict | None = None,
+          refit: bool = True, explain: bool = True, explain_rows: int = 300,
+          parallelism: int = 4, prepared: Prepared | None = None) -> TrainResult:
+    """Cross-validate the models, rank them, refit the best on all rows.
+
+    ``prepared`` (from :func:`prepare`) reuses an already folded and cached
+    table; otherwise one is built and released at the end.
+    """
+    require_column(df, target)
+    task = (prepared.task if prepared is not None else None) or task_type or \
+        detect_task(df, target).first()["task_type"]
+    models = models or M.DEFAULT_MODELS[task]
+    model_params = model_params or {}
+    own = prepared is None
+    prep_rows = prepare(df, target, task, key_cols, k, seed) if own else prepared
+    data, labels, n_rows, k = prep_rows.data, prep_rows.labels, prep_rows.n_rows, prep_rows.k
     mode = "exact" if n_rows <= PR.EXACT_ROW_LIMIT else "approx"   # quantiles and distinct counts
     passthrough = [target, "label", "fold", "__key"] + list(key_cols or [])
 
@@ -149,7 +175,8 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
 
     ok_models = [m for m in models if m not in errors]
     if not ok_models:
-        data.unpersist()
+        if own:
+            data.unpersist()
         return TrainResult("failed", task, "", float("inf"), float("inf"), errors=errors, fe_error=fe_error,
                            labels=labels)
     oof = reduce(lambda a, b: a.unionByName(b), parts)
@@ -170,7 +197,8 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
             from strata.operators.explain import explain_model
             result.importance = explain_model(result.pipeline, data, result.feature_names, key_cols, seed,
                                               explain_rows)
-    data.unpersist()
+    if own:
+        data.unpersist()
     return result
 
 
@@ -205,6 +233,3 @@ def predict(pipeline: PipelineModel, df: DataFrame, labels: list[str] | None = N
                                           F.col("prediction").cast("int") + 1))
     return out
 
-
-def sanitize_loss(v: float) -> float | None:
-    return None if v is None or math.isinf(v) or math.isnan(v) else v

@@ -224,6 +224,11 @@ class ModelSpec:
         return _BUILDERS[(self.task, self.name)](p, ctx)
 
 
+def _knn(p):
+    from strata.operators.knn import KNNClassifier
+    return KNNClassifier(k=p["n_neighbors"])
+
+
 def _gbt_clf(p, ctx):
     gbt = GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"],
                         seed=SEED)
@@ -242,6 +247,7 @@ _BUILDERS = {
     ("classification", "Gradient Boosting"): _gbt_clf,
     ("classification", "Decision Tree"): lambda p, c: DecisionTreeClassifier(maxDepth=p["max_depth"], seed=SEED),
     ("classification", "Naive Bayes"): lambda p, c: NaiveBayes(modelType="gaussian"),
+    ("classification", "K-Nearest Neighbors"): lambda p, c: _knn(p),
     ("classification", "AdaBoost"): lambda p, c: AdaBoostClassifier(
         n_estimators=p["n_estimators"], learning_rate=p["learning_rate"], n_classes=c.n_classes),
     ("classification", "XGBoost"): _gbt_clf,
@@ -286,6 +292,9 @@ _CATALOGUE = [
                     "slow", False, False, False, False)),
     ModelSpec("Decision Tree", "classification", {"max_depth": 10},
               _info(["Interpretable", "Fast"], ["Prone to overfit"], "fast", False, False, False, True)),
+    ModelSpec("K-Nearest Neighbors", "classification", {"n_neighbors": 5},
+              _info(["Simple", "No training"], ["Slow prediction", "Requires scaling"],
+                    "medium", True, False, False, False)),
     ModelSpec("Naive Bayes", "classification", {},
               _info(["Extremely fast", "Works with small datasets"], ["Assumes feature independence"],
                     "fast", False, False, False, True)),

@@ -275,3 +275,28 @@ def i_shapley_mc(spark, sf_dir):
     vectors = PipelineModel(stages=res.pipeline.stages[:-1]).transform(sample)
     imp = X.shapley_mc(res.pipeline.stages[-1], vectors, res.feature_names, permutations=8)
     return X.top_and_dead(imp)
+
+
+@register("g_knn", """
+WITH f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label,
+             (row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '42', CAST(vec_id AS VARCHAR))),
+                                 CAST(vec_id AS VARCHAR)) - 1) % 3 AS fold
+           FROM embeddings),
+d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label, list_distance(q.x, t.x) AS dist
+      FROM f q JOIN f t ON q.fold <> t.fold),
+r AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY dist, CAST(tid AS VARCHAR)) AS rn FROM d),
+v AS (SELECT qid, label, count(*) AS c FROM r WHERE rn <= 5 GROUP BY qid, label),
+w AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY c DESC, label) AS rk FROM v)
+SELECT CAST(qid AS VARCHAR) AS key, CAST(label AS DOUBLE) AS prediction FROM w WHERE rk = 1
+""")
+def g_knn(spark, sf_dir):
+    """Exact 5-NN out-of-fold predictions on the 64-d embeddings."""
+    from strata.operators import cv as CV
+    from strata.operators.knn import knn_predict
+    e = table(spark, sf_dir, "embeddings")
+    f = CV.assign_folds(e, FOLDS, "label", ["vec_id"], 42)
+    q = f.select("vec_id", F.col("embedding").alias("x"), "label", F.col("fold").alias("g"))
+    folds = F.array(*[F.lit(i) for i in range(FOLDS)])
+    t = f.select("vec_id", F.col("embedding").alias("x"), "label",
+                 F.explode(F.filter(folds, lambda v: v != F.col("fold"))).alias("g"))
+    return knn_predict(t, q, k=5, features_col="x", label_col="label", key_col="vec_id", group_col="g")

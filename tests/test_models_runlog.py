@@ -90,3 +90,29 @@ def test_log_best_round_and_progression(spark):
     assert st == {0: "baseline", 1: "best", 2: "best", 3: "no improvement"}
     rec = L.recommendation(log).first()
     assert rec["recommendation"] == "round 2"
+
+
+def test_knn_through_training_runner(spark):
+    df = _clf(spark, 150)
+    res = T.train(df, "target", key_cols=["id"], models=["K-Nearest Neighbors"], k=3, refit=False)
+    assert res.status == "complete", res.errors
+    assert res.oof.count() == 150 and res.cv_score > 0.6
+
+
+def test_knn_matches_bruteforce(spark):
+    from strata.operators.knn import knn_predict
+    rng = np.random.default_rng(3)
+    tr = rng.normal(size=(60, 4))
+    qx = rng.normal(size=(25, 4))
+    lab = rng.integers(0, 3, 60)
+    train_df = spark.createDataFrame([(f"t{i}", tr[i].tolist(), float(lab[i])) for i in range(60)],
+                                     "__key string, features array<double>, label double")
+    query_df = spark.createDataFrame([(f"q{i}", qx[i].tolist()) for i in range(25)],
+                                     "__key string, features array<double>")
+    got = {r["key"]: r["prediction"] for r in knn_predict(train_df, query_df, k=5, block_rows=7).collect()}
+    tkeys = [f"t{i}" for i in range(60)]
+    for i in range(25):
+        d = np.sqrt(((tr - qx[i]) ** 2).sum(1))
+        order = sorted(range(60), key=lambda j: (d[j], tkeys[j]))[:5]
+        counts = np.bincount(lab[order], minlength=3)
+        assert got[f"q{i}"] == float(np.argmax(counts))

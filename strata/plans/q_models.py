@@ -300,3 +300,79 @@ def g_knn(spark, sf_dir):
     t = f.select("vec_id", F.col("embedding").alias("x"), "label",
                  F.explode(F.filter(folds, lambda v: v != F.col("fold"))).alias("g"))
     return knn_predict(t, q, k=5, features_col="x", label_col="label", key_col="vec_id", group_col="g")
+
+
+_OLS_S = """(SELECT covar_pop(l_quantity, l_quantity) AS s11, covar_pop(l_quantity, l_discount) AS s12,
+  covar_pop(l_discount, l_discount) AS s22, covar_pop(l_quantity, l_extendedprice) AS s1y,
+  covar_pop(l_discount, l_extendedprice) AS s2y, avg(l_quantity) AS m1, avg(l_discount) AS m2,
+  avg(l_extendedprice) AS my, count(*) AS n FROM lineitem)"""
+
+
+def _coef_sql(lam: str) -> str:
+    # 2x2 normal equations on centred data: (n*S + lam*I) w = n*s_y
+    a11, a12, a22 = f"(n * s11 + {lam})", "(n * s12)", f"(n * s22 + {lam})"
+    det = f"({a11} * {a22} - {a12} * {a12})"
+    w1 = f"(({a22}) * n * s1y - ({a12}) * n * s2y) / {det}"
+    w2 = f"(({a11}) * n * s2y - ({a12}) * n * s1y) / {det}"
+    return f"""
+WITH s AS {_OLS_S}, w AS (SELECT {w1} AS w1, {w2} AS w2, m1, m2, my FROM s)
+SELECT 'l_quantity' AS term, {R('w1', 3)} AS value FROM w
+UNION ALL SELECT 'l_discount', {R('w2', 3)} FROM w
+UNION ALL SELECT 'intercept', {R('my - w1 * m1 - w2 * m2', 3)} FROM w
+"""
+
+
+def _fit_linear(spark, sf_dir, name):
+    from strata.operators import models as M
+    li = table(spark, sf_dir, "lineitem")
+    va = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(
+        li.select("l_quantity", "l_discount", F.col("l_extendedprice").alias("label")))
+    ctx = M.fit_context(va, "regression")
+    m = M.get_model(name, "regression", ctx).fit(va)
+    w = m.coefficients.toArray().tolist()
+    rows = [("l_quantity", w[0]), ("l_discount", w[1]), ("intercept", float(m.intercept))]
+    return spark.createDataFrame(rows, "term string, value double").select(
+        "term", S.rnd(F.col("value"), 3).alias("value"))
+
+
+@register("g_ols_coef", _coef_sql("0"))
+def g_ols_coef(spark, sf_dir):
+    """Linear regression coefficients on all of lineitem equal the normal-equation solution."""
+    return _fit_linear(spark, sf_dir, "Linear Regression")
+
+
+@register("g_ridge_coef", _coef_sql("1.0"))
+def g_ridge_coef(spark, sf_dir):
+    """Ridge (alpha 1) coefficients equal (X'X + I)^-1 X'y on centred data."""
+    return _fit_linear(spark, sf_dir, "Ridge")
+
+
+_NB_FEATS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _nb_sql():
+    stats = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in _NB_FEATS)
+    terms = " + ".join(f"ln(2 * pi() * (v_{c} + e)) + (li.{c} - m_{c}) * (li.{c} - m_{c}) / (v_{c} + e)"
+                       for c in _NB_FEATS)
+    keys = ", ".join(f"li.{k}" for k in KEY)
+    return f"""
+WITH st AS (SELECT l_returnflag AS c, count(*) AS nc, {stats} FROM lineitem GROUP BY l_returnflag),
+g AS (SELECT 1e-9 * greatest({', '.join(f'var_pop({c})' for c in _NB_FEATS)}) AS e, count(*) AS n FROM lineitem),
+ll AS (SELECT {keys}, st.c, ln(st.nc / g.n) - 0.5 * ({terms}) AS s FROM lineitem li, st, g),
+r AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(KEY)} ORDER BY s DESC) AS rn FROM ll)
+SELECT {', '.join(KEY)}, c AS predicted_flag FROM r WHERE rn = 1
+"""
+
+
+@register("g_nb_predict", _nb_sql())
+def g_nb_predict(spark, sf_dir):
+    """Gaussian naive Bayes fitted on all of lineitem, predicting every row."""
+    from pyspark.ml.feature import IndexToString, StringIndexer
+    from strata.operators import models as M
+    li = table(spark, sf_dir, "lineitem")
+    idx = StringIndexer(inputCol="l_returnflag", outputCol="label", stringOrderType="alphabetAsc").fit(li)
+    va = VectorAssembler(inputCols=_NB_FEATS, outputCol="features").transform(idx.transform(li))
+    model = M.get_model("Naive Bayes", "classification", M.fit_context(va, "classification")).fit(va)
+    out = IndexToString(inputCol="prediction", outputCol="predicted_flag", labels=idx.labels).transform(
+        model.transform(va))
+    return out.select(*KEY, "predicted_flag")

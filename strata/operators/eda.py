@@ -8,6 +8,7 @@ map-side combine; empty bins come from a left join with the (tiny) bin list.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,10 +67,25 @@ def right_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
     return total.cast("int")
 
 
-def histogram(df: DataFrame, col: str, bins: int = FEATURE_BINS, closed: str = "left") -> DataFrame:
+def _format_intervals(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([f"{x:.2g}–{y:.2g}" for x, y in zip(a, b)])
+
+
+def _interval_label(lo, hi):
+    """Text label ``{lo:.2g}–{hi:.2g}`` per bin (Python general format).
+
+    Runs over the finished histogram (one row per bin), never over data rows.
+    """
+    return F.pandas_udf(_format_intervals, "string")(lo, hi)
+
+
+def histogram(df: DataFrame, col: str, bins: int = FEATURE_BINS, closed: str = "left",
+              labels: bool = False) -> DataFrame:
     """Histogram with every bin present (D2 left-closed, D3 right-closed).
 
-    Output: bin, lo, hi, n (lo/hi rounded to 4 digits).
+    Output: bin, lo, hi, n (lo/hi rounded to 4 digits), plus ``label`` when
+    ``labels``: the interval text of the right-closed view, whose first
+    interval starts 0.1 % of the range below the minimum (pandas.cut).
     """
     mn, mx = _range(df, [col])[col]
     spark = df.sparkSession
@@ -85,12 +101,16 @@ def histogram(df: DataFrame, col: str, bins: int = FEATURE_BINS, closed: str = "
               .agg(F.count(F.lit(1)).alias("n")))
     step = (hi - lo) / bins
     frame = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (frame.join(counts, "bin", "left")
-            .select("bin",
-                    S.rnd(F.col("bin") * F.lit(step) + F.lit(lo), 4).alias("lo"),
-                    S.rnd(F.when(F.col("bin") == bins - 1, F.lit(hi))
-                          .otherwise((F.col("bin") + 1) * F.lit(step) + F.lit(lo)), 4).alias("hi"),
-                    F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    lo_c = F.col("bin") * F.lit(step) + F.lit(lo)
+    hi_c = F.when(F.col("bin") == bins - 1, F.lit(hi)).otherwise((F.col("bin") + 1) * F.lit(step) + F.lit(lo))
+    out = frame.join(counts, "bin", "left").select(
+        "bin", S.rnd(lo_c, 4).alias("lo"), S.rnd(hi_c, 4).alias("hi"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+        F.when(F.col("bin") == 0, F.lit(lo - (hi - lo) * 0.001)).otherwise(lo_c).alias("__l"),
+        hi_c.alias("__r"))
+    if labels:
+        out = out.withColumn("label", _interval_label(F.col("__l"), F.col("__r")))
+    return out.drop("__l", "__r")
 
 
 def feature_histograms(df: DataFrame, target: str | None = None, bins: int = FEATURE_BINS,

@@ -44,15 +44,17 @@ c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin),
 g AS (SELECT range AS bin FROM range({bins}))
 SELECT CAST(g.bin AS INTEGER) AS bin, {R(f'g.bin * ((mx - mn) / {bins}.0) + mn')} AS lo,
   {R(f'CASE WHEN g.bin = {bins - 1} THEN mx ELSE (g.bin + 1) * ((mx - mn) / {bins}.0) + mn END')} AS hi,
-  CAST(coalesce(c.n, 0) AS BIGINT) AS n
+  CAST(coalesce(c.n, 0) AS BIGINT) AS n,
+  printf('%.2g', CASE WHEN g.bin = 0 THEN mn - (mx - mn) * 0.001 ELSE g.bin * ((mx - mn) / {bins}.0) + mn END)
+    || '–' || printf('%.2g', CASE WHEN g.bin = {bins - 1} THEN mx ELSE (g.bin + 1) * ((mx - mn) / {bins}.0) + mn END) AS label
 FROM g CROSS JOIN r LEFT JOIN c ON c.bin = g.bin
 """
 
 
 @register("d_hist_right", _hist_right_sql("orders", "o_totalprice", 20))
 def d_hist_right(spark, sf_dir):
-    """20-bin right-closed (pandas.cut) histogram of ``o_totalprice`` (D3)."""
-    return E.histogram(table(spark, sf_dir, "orders"), "o_totalprice", bins=20, closed="right")
+    """20-bin right-closed (pandas.cut) histogram of ``o_totalprice`` with interval labels (D3)."""
+    return E.histogram(table(spark, sf_dir, "orders"), "o_totalprice", bins=20, closed="right", labels=True)
 
 
 _LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]

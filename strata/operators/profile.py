@@ -1,10 +1,12 @@
 """Table profiling and task detection (survey section 2.C).
 
-Every statistic of every column comes out of **one** aggregate job (the
-distinct counts plan as one ``Expand`` + partial aggregation, so a hot value
-is combined map-side).  The one-row result is turned into the long
-``column_profile`` table inside Spark (``inline`` of an array of structs), so
-nothing is collected to build it.
+The statistics of every column come out of two jobs: one aggregate for null
+counts, moments, min/max, medians and skew, and one unpivot + ``groupBy``
+for distinct counts (map-side combined, so a hot value collapses before the
+shuffle; kept apart because distinct aggregates next to ``percentile`` make
+Spark expand and sort every row).  The one-row result is turned into the
+long ``column_profile`` table inside Spark (``inline`` of an array of
+structs), so nothing is collected to build it.
 """
 
 from __future__ import annotations
@@ -257,10 +259,48 @@ def detection_details(df: DataFrame, target: str, n_samples: int = 10) -> dict:
 
 def simple_task_type(df: DataFrame, target: str, threshold: int = 15) -> str:
     """Fallback detector (C30): strings -> classification; <= threshold distinct -> classification."""
-    if isinstance(df.schema[target].dataType, (T.StringType, T.BooleanType)):
-        return "classification"
-    nu = df.agg(F.count_distinct(target)).first()[0]
-    return "classification" if nu <= threshold else "regression"
+    return simple_task_types(df, [target], threshold).first()["task_type"]
+
+
+def simple_task_types(df: DataFrame, targets: list[str], threshold: int = 15) -> DataFrame:
+    """Fallback detector for several candidate targets in one aggregate.
+
+    Output: target, task_type.
+    """
+    text = {t for t in targets if isinstance(df.schema[t].dataType, (T.StringType, T.BooleanType))}
+    counted = [t for t in targets if t not in text]
+    wide = df.agg(F.count(F.lit(1)).alias("__n"),
+                  *[F.count_distinct(t).alias(f"u{i}") for i, t in enumerate(counted)])
+    rows = []
+    for t in targets:
+        if t in text:
+            task = F.lit("classification")
+        else:
+            u = F.col(f"u{counted.index(t)}")
+            task = F.when(u <= threshold, F.lit("classification")).otherwise(F.lit("regression"))
+        rows.append(F.struct(F.lit(t).alias("target"), task.alias("task_type")))
+    return wide.select(F.inline(F.array(*rows)))
+
+
+def detection_details_table(df: DataFrame, target: str, order_by: list[str], n_samples: int = 10) -> DataFrame:
+    """Detection facts as one row (C29): decision, counts, ratio, dtype, nulls, sample values.
+
+    The sample is the first ``n_samples`` non-null values in ``order_by``
+    order (a distributed top-k; at most n values reach the driver).
+    """
+    facts = _target_facts(df, target)
+    decision = detect_task(df, target).first()
+    sample = [str(r[0]) for r in df.where(F.col(target).isNotNull()).orderBy(*order_by)
+              .select(target).limit(n_samples).collect()]
+    nn, n = F.col("n_nonnull"), F.col("n_samples")
+    return facts.select(
+        F.lit(decision["task_type"]).alias("task_type"), F.lit(decision["confidence"]).alias("confidence"),
+        n.cast("bigint").alias("n_samples"), F.col("n_unique").cast("bigint").alias("n_unique"),
+        F.coalesce(S.rnd(F.try_divide(F.col("n_unique").cast("double"), nn), 4), F.lit(0.0)).alias("unique_ratio"),
+        F.lit(_pandas_like_dtype(df.schema[target].dataType)).alias("dtype"),
+        (n - nn).cast("bigint").alias("null_count"),
+        F.coalesce(S.rnd(F.try_divide((n - nn).cast("double"), n), 4), F.lit(0.0)).alias("null_rate"),
+        F.array(*[F.lit(v) for v in sample]).cast("array<string>").alias("sample_values"))
 
 
 # ---------------------------------------------------------------------------
@@ -354,7 +394,8 @@ def memory_bytes(df: DataFrame) -> DataFrame:
     total = terms[0]
     for t in terms[1:]:
         total = total + t
-    return df.agg(F.sum(total.cast("bigint")).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    agg = df.agg(F.coalesce(F.sum(total.cast("bigint")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    return agg.withColumn("memory_mb", S.rnd(F.col("bytes") / 1048576.0, 3))
 
 
 @dataclass

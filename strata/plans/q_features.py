@@ -225,3 +225,36 @@ def j_frame_fn(spark, sf_dir):
     out = FE.apply_features([FE.FrameFunction("line_share", _line_share),
                              FE.Expr("l_quantity", "l_quantity * 2")], li)
     return _out(out, ["l_orderkey", "l_linenumber"], ["line_share", "l_quantity"])
+
+
+def _context_sql():
+    from strata.plans.q_profile import _CUST_COLS
+    prof = []
+    for c, dtype, num in _CUST_COLS:
+        x = f"CAST({c} AS DOUBLE)"
+        stats = (f"{R(f'avg({x})')} AS mean, {R(f'stddev_samp({x})')} AS std, "
+                 f"CASE WHEN count({x}) < 3 THEN NULL ELSE {R(f'coalesce(skewness({x}), 0)')} END AS skew"
+                 if num else "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS skew")
+        prof.append(f"SELECT '{c}' AS col, '{dtype}' AS dtype, {stats}, "
+                    f"{R(f'coalesce((count(*) - count({c})) / count(*), 0)')} AS null_rate FROM {CUSTOMER_NULLS_SQL}")
+    cats = [c for c, _, num in _CUST_COLS if not num]
+    top = " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM {CUSTOMER_NULLS_SQL}"
+                             for c in cats)
+    return f"""
+WITH p AS ({' UNION ALL '.join(prof)}),
+cnt AS (SELECT col, value, count(*) AS n FROM ({top}) WHERE value IS NOT NULL GROUP BY col, value),
+rk AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS r FROM cnt),
+t AS (SELECT col, list(value || '(' || CAST(n AS VARCHAR) || ')' ORDER BY r) AS top_values FROM rk WHERE r <= 3 GROUP BY col)
+SELECT p.col, p.dtype, p.mean, p.std, p.skew, p.null_rate, t.top_values FROM p LEFT JOIN t ON p.col = t.col
+"""
+
+
+@register("k_candidate_context", _context_sql())
+def k_candidate_context(spark, sf_dir):
+    """Per-column context for candidate generation: moments, null rate, top-3 values (K9)."""
+    from strata.operators import profile as P
+    from strata.operators import search as K
+    df = customer_nulls(spark, sf_dir)
+    cp = P.column_profile(df, target="c_mktsegment")
+    top = P.top_values(df, ["c_name", "c_segment"], 3)
+    return K.candidate_context(cp, top)

@@ -154,23 +154,29 @@ _VOTE_TARGETS = [("orders", "o_orderstatus", "object", False),
 def _votes_sql_one(tbl, col, pdt, numeric):
     in01 = (f"coalesce(bool_and(CASE WHEN {col} IS NOT NULL THEN CAST({col} AS DOUBLE) IN (0, 1) END), TRUE)"
             if numeric else f"count({col}) = 0")
+
+    def vote(rule, task, conf, where="TRUE"):
+        return f"SELECT '{rule}' AS rule, {task} AS task, {conf} AS confidence FROM f WHERE {where}"
+
+    d = lambda v: f"CAST({v} AS DOUBLE)"
     parts = []
     if pdt == "object":
-        parts.append("SELECT 'data_type' AS rule, 'classification' AS task, CAST(0.95 AS DOUBLE) AS confidence FROM f")
-    parts.append("SELECT 'binary', 'classification', CASE WHEN in01 THEN CAST(0.99 AS DOUBLE) ELSE CAST(0.90 AS DOUBLE) END "
-                 "FROM f WHERE in01 OR nu = 2")
-    parts.append("SELECT 'unique_count', CASE WHEN nu <= 20 THEN 'classification' ELSE 'regression' END, "
-                 "CASE WHEN nu <= 10 AND nn > 20 AND nu / nn < 0.3 THEN CAST(0.95 AS DOUBLE) "
-                 "WHEN nu <= 20 THEN CAST(0.80 AS DOUBLE) ELSE CAST(0.75 AS DOUBLE) END FROM f")
-    parts.append("SELECT 'unique_ratio', CASE WHEN nu / nn < 0.05 THEN 'classification' ELSE 'regression' END, "
-                 "CASE WHEN nu / nn < 0.05 THEN CAST(0.85 AS DOUBLE) ELSE CAST(0.80 AS DOUBLE) END "
-                 "FROM f WHERE nn > 0 AND (nu / nn < 0.05 OR nu / nn > 0.5)")
+        parts.append(vote("data_type", "'classification'", d(0.95)))
+    parts.append(vote("binary", "'classification'", f"CASE WHEN in01 THEN {d(0.99)} ELSE {d(0.90)} END",
+                      "in01 OR nu = 2"))
+    parts.append(vote("unique_count", "CASE WHEN nu <= 20 THEN 'classification' ELSE 'regression' END",
+                      f"CASE WHEN nu <= 10 AND nn > 20 AND nu / nn < 0.3 THEN {d(0.95)} "
+                      f"WHEN nu <= 20 THEN {d(0.80)} ELSE {d(0.75)} END"))
+    parts.append(vote("unique_ratio", "CASE WHEN nu / nn < 0.05 THEN 'classification' ELSE 'regression' END",
+                      f"CASE WHEN nu / nn < 0.05 THEN {d(0.85)} ELSE {d(0.80)} END",
+                      "nn > 0 AND (nu / nn < 0.05 OR nu / nn > 0.5)"))
     if pdt in ("int64", "int32", "int16", "int8"):
-        parts.append("SELECT 'integer_pattern', 'classification', CAST(0.70 AS DOUBLE) FROM f WHERE nu < 20")
+        parts.append(vote("integer_pattern", "'classification'", d(0.70), "nu < 20"))
     if pdt in ("float64", "float32", "int64", "int32"):
         second = " OR nu / nn > 0.5" if pdt in ("int64", "int32") else ""
-        parts.append("SELECT 'continuous', 'regression', CASE WHEN nu / nn > 0.8 THEN CAST(0.95 AS DOUBLE) "
-                     f"ELSE CAST(0.90 AS DOUBLE) END FROM f WHERE nn > 0 AND (nu / nn > 0.8{second})")
+        parts.append(vote("continuous", "'regression'",
+                          f"CASE WHEN nu / nn > 0.8 THEN {d(0.95)} ELSE {d(0.90)} END",
+                          f"nn > 0 AND (nu / nn > 0.8{second})"))
     body = " UNION ALL ".join(parts)
     return (f"SELECT '{tbl}.{col}' AS target, * FROM (WITH f AS (SELECT count(*) AS n, count({col}) AS nn, "
             f"count(DISTINCT {col}) AS nu, {in01} AS in01 FROM {tbl}) {body})")
@@ -208,3 +214,62 @@ def c_task_detect(spark, sf_dir):
     frames = [P.detect_task(table(spark, sf_dir, t), c).select(F.lit(f"{t}.{c}").alias("target"), "*")
               for t, c, _, _ in _VOTE_TARGETS]
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+@register("c_memory", """
+SELECT CAST(count(*) * 32 + sum(strlen(o_orderstatus)) + sum(strlen(o_orderpriority)) AS BIGINT) AS bytes,
+  CAST(count(*) AS BIGINT) AS n,
+  (CASE WHEN abs((count(*) * 32 + sum(strlen(o_orderstatus)) + sum(strlen(o_orderpriority))) / 1048576.0) * 1e3 < 4.5e15
+        THEN floor(CAST((count(*) * 32 + sum(strlen(o_orderstatus)) + sum(strlen(o_orderpriority))) / 1048576.0 AS DOUBLE) * 1e3 + 0.5) / 1e3 END) AS memory_mb
+FROM orders
+""")
+def c_memory(spark, sf_dir):
+    """Logical table size: fixed widths plus string bytes (C12, re-aimed)."""
+    return P.memory_bytes(table(spark, sf_dir, "orders"))
+
+
+_DETAIL_TARGETS = [("orders", "o_orderstatus", "o_orderkey", "object"),
+                   ("orders", "o_totalprice", "o_orderkey", "float64"),
+                   ("labels", "quality", "doc_id", "int32")]
+
+
+def _details_sql():
+    parts = []
+    for tbl, col, key, pdt in _DETAIL_TARGETS:
+        votes = _votes_sql_one(tbl, col, pdt, pdt != "object")
+        conf = R('''coalesce(CASE WHEN coalesce(sum(CASE WHEN task = 'classification' THEN confidence END), 0)
+             >= coalesce(sum(CASE WHEN task = 'regression' THEN confidence END), 0)
+           THEN avg(CASE WHEN task = 'classification' THEN confidence END)
+           ELSE avg(CASE WHEN task = 'regression' THEN confidence END) END, 0.5)''')
+        parts.append(f"""SELECT '{tbl}.{col}' AS target, d.task_type, d.dconf AS confidence, f.n_samples, f.n_unique,
+  coalesce({R('f.n_unique / f.nn')}, 0.0) AS unique_ratio, '{pdt}' AS dtype, f.n_samples - f.nn AS null_count,
+  coalesce({R('(f.n_samples - f.nn) / f.n_samples')}, 0.0) AS null_rate, s.sample_values
+FROM (SELECT CAST(count(*) AS BIGINT) AS n_samples, count({col}) AS nn, CAST(count(DISTINCT {col}) AS BIGINT) AS n_unique FROM {tbl}) f,
+  (SELECT CASE WHEN coalesce(sum(CASE WHEN task = 'classification' THEN confidence END), 0)
+         >= coalesce(sum(CASE WHEN task = 'regression' THEN confidence END), 0)
+       THEN 'classification' ELSE 'regression' END AS task_type, {conf} AS dconf FROM ({votes})) d,
+  (SELECT list(CAST({col} AS VARCHAR) ORDER BY {key}) AS sample_values FROM
+     (SELECT {col}, {key} FROM {tbl} WHERE {col} IS NOT NULL ORDER BY {key} LIMIT 10)) s""")
+    return " UNION ALL ".join(f"SELECT target, task_type, confidence, n_samples, n_unique, unique_ratio, dtype, "
+                              f"CAST(null_count AS BIGINT) AS null_count, null_rate, sample_values FROM ({p})"
+                              for p in parts)
+
+
+@register("c_detection_details", _details_sql())
+def c_detection_details(spark, sf_dir):
+    """Detection facts with the first ten values by key."""
+    out = [P.detection_details_table(table(spark, sf_dir, t), c, [k]).select(F.lit(f"{t}.{c}").alias("target"), "*")
+           for t, c, k, _ in _DETAIL_TARGETS]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@register("c_simple_detect", """
+SELECT 'o_orderstatus' AS target, 'classification' AS task_type
+UNION ALL SELECT 'o_totalprice', CASE WHEN (SELECT count(DISTINCT o_totalprice) FROM orders) <= 15 THEN 'classification' ELSE 'regression' END
+UNION ALL SELECT 'o_orderpriority', 'classification'
+UNION ALL SELECT 'o_custkey', CASE WHEN (SELECT count(DISTINCT o_custkey) FROM orders) <= 15 THEN 'classification' ELSE 'regression' END
+""")
+def c_simple_detect(spark, sf_dir):
+    """Fallback task detector over four candidate targets in one aggregate."""
+    return P.simple_task_types(table(spark, sf_dir, "orders"),
+                               ["o_orderstatus", "o_totalprice", "o_orderpriority", "o_custkey"])

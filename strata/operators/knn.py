@@ -41,28 +41,31 @@ def _blocks(n: int, block_rows: int) -> int:
 def _cell_topk(k: int):
     def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
-            return pd.DataFrame({"qkey": [], "tkey": [], "label": [], "d": []})
+            return pd.DataFrame({"qkey": pd.Series([], dtype=object), "tkey": pd.Series([], dtype=object),
+                                 "label": pd.Series([], dtype="float64"), "d": pd.Series([], dtype="float64")})
         tx = np.stack(t["x"].to_numpy()).astype(np.float64)
-        tn = (tx * tx).sum(axis=1)
-        tkeys = t["key"].to_numpy()
-        order_keys = np.argsort(tkeys, kind="stable")
-        tx, tn, tkeys = tx[order_keys], tn[order_keys], tkeys[order_keys]
-        tlab = t["label"].to_numpy()[order_keys]
+        tkeys = np.asarray(t["key"].astype(object).to_numpy(), dtype=object)
+        order_keys = np.argsort(tkeys.astype(str), kind="stable")
+        tx, tkeys = tx[order_keys], tkeys[order_keys]
+        tlab = t["label"].to_numpy(dtype=np.float64)[order_keys]
+        qkeys_all = np.asarray(q["key"].astype(object).to_numpy(), dtype=object)
+        qx_all = np.stack(q["x"].to_numpy()).astype(np.float64)
         kk = min(k, len(t))
-        out = []
+        qk, tk, lab, dist = [], [], [], []
         for start in range(0, len(q), QUERY_CHUNK):
-            part = q.iloc[start:start + QUERY_CHUNK]
-            qx = np.stack(part["x"].to_numpy()).astype(np.float64)
+            qx = qx_all[start:start + QUERY_CHUNK]
             diff = qx[:, None, :] - tx[None, :, :]
             d = np.sqrt((diff * diff).sum(axis=2))
             # stable sort keeps the training-key order among equal distances
             idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
-            rows = np.arange(len(part))[:, None]
-            out.append(pd.DataFrame({
-                "qkey": np.repeat(part["key"].to_numpy(), kk),
-                "tkey": tkeys[idx].ravel(), "label": tlab[idx].ravel().astype(np.float64),
-                "d": d[rows, idx].ravel()}))
-        return pd.concat(out, ignore_index=True)
+            rows = np.arange(len(qx))[:, None]
+            qk.append(np.repeat(qkeys_all[start:start + QUERY_CHUNK], kk))
+            tk.append(tkeys[idx].ravel())
+            lab.append(tlab[idx].ravel())
+            dist.append(d[rows, idx].ravel())
+        return pd.DataFrame({"qkey": pd.Series(np.concatenate(qk), dtype=object),
+                             "tkey": pd.Series(np.concatenate(tk), dtype=object),
+                             "label": np.concatenate(lab), "d": np.concatenate(dist)})
     return fn
 
 
@@ -86,9 +89,10 @@ def knn_predict(train: DataFrame, query: DataFrame, k: int = 5, features_col: st
                      F.lit(0.0).alias("label"))
     t = train.select(*[F.col(c) for c in g], F.col(key_col).cast("string").alias("key"), arr(train).alias("x"),
                      F.col(label_col).cast("double").alias("label"))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("key"), F.lit(qb))).withColumn(
+    # both sides must carry the cell ids with the same type, or the cogroup keys never meet
+    q = q.withColumn("qb", F.pmod(F.xxhash64("key"), F.lit(qb)).cast("int")).withColumn(
         "tb", F.explode(F.sequence(F.lit(0), F.lit(tb - 1))))
-    t = t.withColumn("tb", F.pmod(F.xxhash64("key"), F.lit(tb))).withColumn(
+    t = t.withColumn("tb", F.pmod(F.xxhash64("key"), F.lit(tb)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
     keys = g + ["qb", "tb"]
     cands = (q.groupBy(*keys).cogroup(t.groupBy(*keys))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,10 @@ from strata.operators.mlparams import float_list_param, list_param, str_param
 # exact medians / quantiles merge a value -> count map in one task: sketch above this
 EXACT_ROW_LIMIT = 10_000_000
 MISSING_TOKEN = "missing"
+# Vocabulary bound per categorical column: the most frequent values are kept;
+# rarer values encode like unseen ones (all-zero vector).  Columns with fewer
+# distinct values are unaffected.
+MAX_CATEGORIES = 1000
 
 
 class _ColsParams(DefaultParamsReadable, DefaultParamsWritable):
@@ -153,8 +158,40 @@ class CategoricalFill(Transformer, _ColsParams):
                            else F.col(c) for c in df.columns])
 
 
+class CategoryIndexer(Estimator, _ColsParams):
+    """Alphabetical category codes with a bounded vocabulary.
+
+    The vocabulary of each column is its ``maxCategories`` most frequent
+    values (ties by value), found by a distributed top-k; only that bounded
+    list reaches the driver.  Values outside it get the extra "unseen" code,
+    which the one-hot stage maps to the all-zero vector.
+    """
+
+    outputCols = list_param("outputCols", "index columns")
+    maxCategories = Param(Params._dummy(), "maxCategories", "vocabulary size per column",
+                          typeConverter=TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None, maxCategories=MAX_CATEGORIES):
+        super().__init__()
+        self._setDefault(inputCols=[], outputCols=[], maxCategories=MAX_CATEGORIES)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, df: DataFrame) -> StringIndexerModel:
+        from strata.operators.profile import top_values
+        cols = self.getOrDefault("inputCols")
+        top = top_values(df, cols, self.getOrDefault("maxCategories")).select("col", "value").collect()
+        vocab = {c: [] for c in cols}
+        for r in top:
+            vocab[r["col"]].append(r["value"])
+        return StringIndexerModel.from_arrays_of_labels(
+            [sorted(vocab[c]) for c in cols], inputCols=cols, outputCols=self.getOrDefault("outputCols"),
+            handleInvalid="keep")
+
+
 def preprocessing_stages(num_cols: list[str], cat_cols: list[str], scaler: str = "standard",
-                         features_col: str = "features", mode: str = "auto") -> list:
+                         features_col: str = "features", mode: str = "auto",
+                         max_categories: int = MAX_CATEGORIES) -> list:
     """Stages of the typed column transformer (F6): numeric and categorical routes."""
     stages: list = []
     if num_cols:
@@ -165,8 +202,7 @@ def preprocessing_stages(num_cols: list[str], cat_cols: list[str], scaler: str =
         idx = [f"{c}__idx" for c in cat_cols]
         ohe_cols = [f"{c}__ohe" for c in cat_cols]
         stages.append(CategoricalFill(inputCols=cat_cols))
-        stages.append(StringIndexer(inputCols=cat_cols, outputCols=idx, stringOrderType="alphabetAsc",
-                                    handleInvalid="keep"))
+        stages.append(CategoryIndexer(inputCols=cat_cols, outputCols=idx, maxCategories=max_categories))
         stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe_cols, dropLast=True))
     stages.append(VectorAssembler(inputCols=list(num_cols) + ohe_cols, outputCol=features_col,
                                   handleInvalid="keep"))

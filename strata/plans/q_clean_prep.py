@@ -141,8 +141,7 @@ def f_onehot(spark, sf_dir):
     df = customer_nulls(spark, sf_dir)
     fit_rows = df.where(F.col("c_nationkey") >= 10)
     stages = [PR.CategoricalFill(inputCols=["c_segment"]),
-              PR.StringIndexer(inputCols=["c_segment"], outputCols=["seg_idx"], stringOrderType="alphabetAsc",
-                               handleInvalid="keep"),
+              PR.CategoryIndexer(inputCols=["c_segment"], outputCols=["seg_idx"]),
               PR.OneHotEncoder(inputCols=["seg_idx"], outputCols=["seg_ohe"], dropLast=True)]
     model = Pipeline(stages=stages).fit(fit_rows)
     out = model.transform(df)

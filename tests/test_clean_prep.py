@@ -66,3 +66,13 @@ def test_onehot_unseen_is_zero_vector_and_names(spark):
     assert list(vec[1:]) == [0.0, 0.0, 0.0]
     assert PR.feature_names(model) == ["num__x", "cat__color_blue", "cat__color_missing", "cat__color_red"]
     assert math.isclose(sum(abs(v) for v in vec[:1]), 1.224744871391589)
+
+
+def test_vocabulary_bound_keeps_most_frequent(spark):
+    from pyspark.ml import Pipeline
+    rows = [("a",)] * 5 + [("b",)] * 3 + [("c",)] * 1
+    df = spark.createDataFrame(rows, "c string")
+    model = Pipeline(stages=PR.preprocessing_stages([], ["c"], max_categories=2)).fit(df)
+    assert PR.feature_names(model) == ["cat__c_a", "cat__c_b"]
+    vecs = {r["c"]: r["features"].toArray().tolist() for r in model.transform(df).collect()}
+    assert vecs["c"] == [0.0, 0.0] and vecs["a"] == [1.0, 0.0]

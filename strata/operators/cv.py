@@ -65,15 +65,27 @@ def regression_strata(df: DataFrame, target: str, k: int = 5, out_col: str = "st
     q = max(2, min(10, n // k)) quantile bins with duplicate edges dropped,
     right-closed with the lowest value included (``pandas.qcut``).  Fewer
     than two strata -> two equal-width bins; still fewer -> hash parity.
+    Edges are exact: in one aggregate up to ``EXACT_ROW_LIMIT`` rows, by
+    bracketing above (``exact=False`` asks for sketch edges instead).
     """
     y = F.col(target).cast("double")
     n = df.count()
-    use_exact = exact is True or (exact == "auto" and n <= EXACT_ROW_LIMIT)
     q = max(2, min(MAX_REG_STRATA, n // k))
     probs = [i / q for i in range(q + 1)]
-    row = df.agg(S.quantiles(y, probs, exact=use_exact).alias("e"),
-                 F.min(y).alias("mn"), F.max(y).alias("mx")).first()
-    edges = sorted(set(row["e"] or []))
+    if exact is True or (exact == "auto" and n <= EXACT_ROW_LIMIT):
+        row = df.agg(S.quantiles(y, probs, exact=True).alias("e"), F.min(y).alias("mn"),
+                     F.max(y).alias("mx")).first()
+        qs = row["e"]
+    elif exact == "auto":
+        # large table: exact edges by bracketing (bounded memory)
+        from strata.functions.quantiles import exact_quantiles
+        qs = exact_quantiles(df.select(y.alias("__y")), ["__y"], probs)["__y"]
+        row = {"mn": qs[0], "mx": qs[-1]}
+    else:
+        row = df.agg(S.quantiles(y, probs, exact=False).alias("e"), F.min(y).alias("mn"),
+                     F.max(y).alias("mx")).first()
+        qs = row["e"]
+    edges = sorted(set(v for v in (qs or []) if v is not None))
     if len(edges) >= 3:
         inner = edges[1:-1]
         stratum = sum((F.when(y > F.lit(e), 1).otherwise(0) for e in inner), F.lit(0))

@@ -33,18 +33,32 @@ class _ColsParams(DefaultParamsReadable, DefaultParamsWritable):
     inputCols = list_param("inputCols", "columns to transform in place")
 
 
-def _exact(df: DataFrame, mode: str) -> bool:
-    return mode == "exact" or (mode == "auto" and df.count() <= EXACT_ROW_LIMIT)
+def _quantile_mode(df: DataFrame, mode: str) -> str:
+    """exact (in-aggregate map) | bracket (exact, bounded memory) | approx (sketch)."""
+    if mode == "auto":
+        return "exact" if df.count() <= EXACT_ROW_LIMIT else "bracket"
+    return mode
+
+
+def _quantiles(df: DataFrame, cols: list[str], probs: list[float], mode: str) -> dict[str, list]:
+    """Quantiles of several columns in the requested mode (small result on the driver)."""
+    m = _quantile_mode(df, mode)
+    if m == "bracket":
+        from strata.functions.quantiles import exact_quantiles
+        return exact_quantiles(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols, probs)
+    row = df.agg(*[S.quantiles(F.col(c).cast("double"), probs, exact=(m == "exact")).alias(c)
+                   for c in cols]).first()
+    return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
 
 
 class MedianImputer(Estimator, _ColsParams):
     """Median imputation with the exact (linear interpolation) median (F1).
 
-    ``mode="auto"`` switches to a bounded-memory quantile sketch above
-    ``EXACT_ROW_LIMIT`` training rows.
+    ``mode``: exact (in one aggregate), bracket (exact, bounded memory),
+    approx (sketch) or auto (exact up to ``EXACT_ROW_LIMIT`` rows, bracket above).
     """
 
-    mode = str_param("mode", "exact | approx | auto")
+    mode = str_param("mode", "exact | bracket | approx | auto")
 
     @keyword_only
     def __init__(self, *, inputCols=None, mode="auto"):
@@ -54,11 +68,10 @@ class MedianImputer(Estimator, _ColsParams):
 
     def _fit(self, df: DataFrame) -> "FillModel":
         cols = self.getOrDefault("inputCols")
-        exact = _exact(df, self.getOrDefault("mode"))
         if not cols:
             return FillModel(inputCols=[], values=[])
-        row = df.agg(*[S.median(F.col(c).cast("double"), exact=exact).alias(c) for c in cols]).first()
-        return FillModel(inputCols=cols, values=[float(row[c]) if row[c] is not None else 0.0 for c in cols])
+        q = _quantiles(df, cols, [0.5], self.getOrDefault("mode"))
+        return FillModel(inputCols=cols, values=[float(q[c][0]) if q[c][0] is not None else 0.0 for c in cols])
 
 
 class FillModel(Model, _ColsParams):
@@ -87,7 +100,7 @@ class Scaler(Estimator, _ColsParams):
     """
 
     method = str_param("method", "standard | robust")
-    mode = str_param("mode", "exact | approx | auto (robust quantiles)")
+    mode = str_param("mode", "exact | bracket | approx | auto (robust quantiles)")
 
     @keyword_only
     def __init__(self, *, inputCols=None, method="standard", mode="auto"):
@@ -108,10 +121,8 @@ class Scaler(Estimator, _ColsParams):
             centers = [row[f"c{i}"] for i in range(len(cols))]
             scales = [row[f"s{i}"] for i in range(len(cols))]
         elif method == "robust":
-            exact = _exact(df, self.getOrDefault("mode"))
-            row = df.agg(*[S.quantiles(F.col(c).cast("double"), [0.25, 0.5, 0.75], exact=exact).alias(f"q{i}")
-                           for i, c in enumerate(cols)]).first()
-            qs = [row[f"q{i}"] or [None, None, None] for i in range(len(cols))]
+            q = _quantiles(df, cols, [0.25, 0.5, 0.75], self.getOrDefault("mode"))
+            qs = [q[c] for c in cols]
             centers = [q[1] for q in qs]
             scales = [(q[2] - q[0]) if q[0] is not None else None for q in qs]
         else:

@@ -76,8 +76,9 @@ def column_profile(df: DataFrame, target: str | None = None, columns: list[str]
     cardinality_rate, mean, std, min, max, median, skew.  Statistics of
     non-numeric columns are NULL.  ``exact=False`` uses HyperLogLog distinct
     counts and a bounded-memory median sketch; ``"auto"`` keeps exact
-    distinct counts up to ``EXACT_ROW_LIMIT`` rows and exact medians up to
-    ``EXACT_MEDIAN_ROWS`` rows.
+    distinct counts up to ``EXACT_ROW_LIMIT`` rows (HyperLogLog above) and
+    computes exact medians in the aggregate up to ``EXACT_MEDIAN_ROWS`` rows,
+    by bracketing (still exact, bounded memory) above.
     """
     cols = columns if columns is not None else [c for c in df.columns if c != target]
     spark = df.sparkSession
@@ -94,9 +95,19 @@ def column_profile(df: DataFrame, target: str | None = None, columns: list[str]
             x = _num(c, dt)
             aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                      F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                     S.median(x, exact=exact_median).alias(f"med{i}"),
+                     *([S.median(x, exact=True).alias(f"med{i}")] if exact_median else []),
                      S.sample_skew(x).alias(f"skew{i}")]
     wide = df.agg(*aggs)
+    large_medians = {}
+    if not exact_median and exact is not False:
+        # large table: exact medians by bracketing (three bounded jobs for all columns)
+        from strata.functions.quantiles import exact_quantiles
+        nums = [c for c in cols if TY.is_numeric(fields[c])]
+        casted = df.select(*[_num(c, fields[c]).alias(c) for c in nums])
+        large_medians = {c: v[0] for c, v in exact_quantiles(casted, nums, [0.5]).items()}
+    elif not exact_median:
+        wide = df.agg(*aggs, *[S.median(_num(c, fields[c]), exact=False).alias(f"med{i}")
+                               for i, c in enumerate(cols) if TY.is_numeric(fields[c])])
 
     def rnd(c: Column) -> Column:
         return S.rnd(c, round_digits) if round_digits is not None else c
@@ -107,7 +118,11 @@ def column_profile(df: DataFrame, target: str | None = None, columns: list[str]
     for i, c in enumerate(cols):
         dt = fields[c]
         numeric = TY.is_numeric(dt)
-        stat = (lambda p: rnd(F.col(f"{p}{i}"))) if numeric else (lambda p: nulld)
+        if numeric and c in large_medians:
+            med = F.lit(large_medians[c]).cast("double")
+            stat = (lambda p, i=i, med=med: rnd(med if p == "med" else F.col(f"{p}{i}")))
+        else:
+            stat = (lambda p, i=i: rnd(F.col(f"{p}{i}"))) if numeric else (lambda p: nulld)
         rows.append(F.struct(
             F.lit(c).alias("col"),
             F.lit(dt.simpleString()).alias("dtype"),

@@ -60,7 +60,7 @@ def _label(df: DataFrame, target: str, task: str):
 def _prepare_fold(train: DataFrame, val: DataFrame, target: str, passthrough: list[str],
                   fe_step: FeatureStep | None, scaler: str, cleaning: dict | None, mode: str = "auto"):
     """Fit cleaning -> features -> preprocessing on ``train``; vectors for both sides."""
-    opts = {"distinctMode": mode, **(cleaning or {})}
+    opts = {"distinctMode": "exact" if mode == "exact" else "auto", **(cleaning or {})}
     cleaner = ColumnCleaner(excludeCols=passthrough, **opts).fit(train)
     stages = [cleaner]
     tr, va = cleaner.transform(train), cleaner.transform(val)
@@ -128,7 +128,7 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
     own = prepared is None
     prep_rows = prepare(df, target, task, key_cols, k, seed) if own else prepared
     data, labels, n_rows, k = prep_rows.data, prep_rows.labels, prep_rows.n_rows, prep_rows.k
-    mode = "exact" if n_rows <= PR.EXACT_ROW_LIMIT else "approx"   # quantiles and distinct counts
+    mode = "exact" if n_rows <= PR.EXACT_ROW_LIMIT else "bracket"   # exact quantiles either way
     passthrough = [target, "label", "fold", "__key"] + list(key_cols or [])
 
     def run_fold(f: int):

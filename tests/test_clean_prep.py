@@ -76,3 +76,26 @@ def test_vocabulary_bound_keeps_most_frequent(spark):
     assert PR.feature_names(model) == ["cat__c_a", "cat__c_b"]
     vecs = {r["c"]: r["features"].toArray().tolist() for r in model.transform(df).collect()}
     assert vecs["c"] == [0.0, 0.0] and vecs["a"] == [1.0, 0.0]
+
+
+def test_bracketed_quantiles_equal_exact(spark):
+    from pyspark.sql import functions as F
+    from strata.functions.quantiles import exact_quantiles
+    df = spark.range(5003).select((F.col("id") * 7 % 1009).cast("double").alias("a"),
+                                  (F.sin(F.col("id")) * 100).alias("b"))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = exact_quantiles(df, ["a", "b"], probs, bracket_rows=200)
+    ref = df.agg(*[F.percentile(c, probs).alias(c) for c in ["a", "b"]]).first()
+    for c in ["a", "b"]:
+        assert all(abs(x - y) < 1e-9 for x, y in zip(got[c], ref[c]))
+
+
+def test_large_table_paths_stay_exact(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from strata.operators import profile as P
+    df = spark.range(3001).select((F.col("id") % 97).cast("double").alias("x"), F.lit(1).alias("t"))
+    exact = P.column_profile(df, target="t", exact=True).first()["median"]
+    monkeypatch.setattr(P, "EXACT_MEDIAN_ROWS", 10)
+    assert P.column_profile(df, target="t", exact="auto").first()["median"] == exact
+    imp = PR.MedianImputer(inputCols=["x"], mode="bracket").fit(df)
+    assert imp.getOrDefault("values")[0] == exact

@@ -188,16 +188,17 @@ class CategoryIndexer(Estimator, _ColsParams):
         self._setDefault(inputCols=[], outputCols=[], maxCategories=MAX_CATEGORIES)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
-    def _fit(self, df: DataFrame) -> StringIndexerModel:
+    def _fit(self, df: DataFrame) -> PipelineModel:
         from strata.operators.profile import top_values
         cols = self.getOrDefault("inputCols")
         top = top_values(df, cols, self.getOrDefault("maxCategories")).select("col", "value").collect()
         vocab = {c: [] for c in cols}
         for r in top:
             vocab[r["col"]].append(r["value"])
-        return StringIndexerModel.from_arrays_of_labels(
-            [sorted(vocab[c]) for c in cols], inputCols=cols, outputCols=self.getOrDefault("outputCols"),
-            handleInvalid="keep")
+        # one single-column model per input: their output metadata is what the one-hot stage reads
+        return PipelineModel(stages=[
+            StringIndexerModel.from_labels(sorted(vocab[c]), inputCol=c, outputCol=o, handleInvalid="keep")
+            for c, o in zip(cols, self.getOrDefault("outputCols"))])
 
 
 def preprocessing_stages(num_cols: list[str], cat_cols: list[str], scaler: str = "standard",
@@ -220,9 +221,16 @@ def preprocessing_stages(num_cols: list[str], cat_cols: list[str], scaler: str =
     return stages
 
 
+def _flat(stages) -> list:
+    out = []
+    for st in stages:
+        out += _flat(st.stages) if isinstance(st, PipelineModel) else [st]
+    return out
+
+
 def feature_names(model: PipelineModel | list) -> list[str]:
     """Names of the assembled vector slots: ``num__x`` and ``cat__x_value``."""
-    stages = model.stages if isinstance(model, PipelineModel) else model
+    stages = _flat(model.stages if isinstance(model, PipelineModel) else model)
     names: list[str] = []
     num: list[str] = []
     for st in stages:
@@ -231,7 +239,11 @@ def feature_names(model: PipelineModel | list) -> list[str]:
     names += [f"num__{c}" for c in num]
     for st in stages:
         if isinstance(st, StringIndexerModel):
-            for c, labels in zip(st.getInputCols(), st.labelsArray):
+            if st.isSet("inputCol"):
+                pairs = [(st.getInputCol(), st.labels)]
+            else:
+                pairs = list(zip(st.getInputCols(), st.labelsArray))
+            for c, labels in pairs:
                 names += [f"cat__{c}_{v}" for v in labels]
     return names
 

@@ -354,12 +354,12 @@ def _nb_sql():
     stats = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in _NB_FEATS)
     terms = " + ".join(f"ln(2 * pi() * (v_{c} + e)) + (li.{c} - m_{c}) * (li.{c} - m_{c}) / (v_{c} + e)"
                        for c in _NB_FEATS)
-    keys = ", ".join(f"li.{k}" for k in KEY)
+    keys = ", ".join(f"li.{k}" for k in KEY + _NB_FEATS)
     return f"""
 WITH st AS (SELECT l_returnflag AS c, count(*) AS nc, {stats} FROM lineitem GROUP BY l_returnflag),
 g AS (SELECT 1e-9 * greatest({', '.join(f'var_pop({c})' for c in _NB_FEATS)}) AS e, count(*) AS n FROM lineitem),
 ll AS (SELECT {keys}, st.c, ln(st.nc / g.n) - 0.5 * ({terms}) AS s FROM lineitem li, st, g),
-r AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(KEY)} ORDER BY s DESC) AS rn FROM ll)
+r AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(KEY + _NB_FEATS)} ORDER BY s DESC) AS rn FROM ll)
 SELECT {', '.join(KEY)}, c AS predicted_flag FROM r WHERE rn = 1
 """
 

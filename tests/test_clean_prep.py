@@ -99,3 +99,11 @@ def test_large_table_paths_stay_exact(spark, monkeypatch):
     assert P.column_profile(df, target="t", exact="auto").first()["median"] == exact
     imp = PR.MedianImputer(inputCols=["x"], mode="bracket").fit(df)
     assert imp.getOrDefault("values")[0] == exact
+
+
+def test_two_categorical_columns_pipeline(spark):
+    from pyspark.ml import Pipeline
+    df = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 2.0), ("a", "y", 3.0)], "c1 string, c2 string, v double")
+    model = Pipeline(stages=PR.preprocessing_stages(["v"], ["c1", "c2"])).fit(df)
+    assert PR.feature_names(model) == ["num__v", "cat__c1_a", "cat__c1_b", "cat__c2_x", "cat__c2_y"]
+    assert len(model.transform(df).first()["features"]) == 5

@@ -106,3 +106,37 @@ def distinct_counts(df, columns: list[str], exact: bool = True, rsd: float = 0.0
     # names has one row per column: a bounded broadcast
     return names.join(F.broadcast(counts), "k", "left").select(
         "col", F.coalesce(F.col("n_unique"), F.lit(0)).cast("bigint").alias("n_unique"))
+
+
+def pairwise_corrs(df, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    """Pearson r of many column pairs, pairwise complete, NULL for a constant side.
+
+    Fast path: Spark's one-state ``corr`` aggregate (it already skips rows
+    where either side is NULL) for all pairs in one job, after a min/max pass
+    sets aside columns that are constant overall.  ``corr`` raises under ANSI
+    when a side is constant only within a pair's complete rows; then the
+    guarded covariance form is used instead.  Returns a small dict (one
+    number per pair) for the caller to lay out.
+    """
+    if not pairs:
+        return {}
+    cols = sorted({c for p in pairs for c in p})
+    mm = df.agg(*[e for i, c in enumerate(cols) for e in (F.min(F.col(c).cast("double")).alias(f"a{i}"),
+                                                           F.max(F.col(c).cast("double")).alias(f"b{i}"))]).first()
+    varying = {c for i, c in enumerate(cols)
+               if mm[f"a{i}"] is not None and mm[f"a{i}"] != mm[f"b{i}"]}
+    live = [p for p in pairs if p[0] in varying and p[1] in varying]
+    out: dict[tuple[str, str], float | None] = {p: None for p in pairs}
+    if not live:
+        return out
+    try:
+        row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{k}")
+                       for k, (a, b) in enumerate(live)]).first()
+    except Exception as e:  # constant inside a pair's complete rows: guarded form
+        if "DIVIDE_BY_ZERO" not in str(e):
+            raise
+        row = df.agg(*[pairwise_corr(F.col(a), F.col(b)).alias(f"r{k}") for k, (a, b) in enumerate(live)]).first()
+    for k, p in enumerate(live):
+        v = row[f"r{k}"]
+        out[p] = None if v is None or v != v else float(v)
+    return out

@@ -146,35 +146,37 @@ def target_bars(df: DataFrame, target: str, task_type: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, digits: int = 2) -> DataFrame:
-    """Pairwise-complete Pearson matrix of numeric columns in one aggregate.
+    """Pairwise-complete Pearson matrix of numeric columns.
 
     Output long: col_a, col_b, r (rounded; NULL for a constant column).
-    Empty when fewer than two numeric columns exist.
+    Empty when fewer than two numeric columns exist.  All pairs are scored
+    in one aggregate (see :func:`strata.functions.stats.pairwise_corrs`);
+    only one number per pair reaches the driver.
     """
     cols = cols if cols is not None else TY.numeric_columns(df)
     spark = df.sparkSession
+    schema = "col_a string, col_b string, r double"
     if len(cols) < 2:
-        return spark.createDataFrame([], "col_a string, col_b string, r double")
+        return spark.createDataFrame([], schema)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[S.pairwise_corr(F.col(a), F.col(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    rs = S.pairwise_corrs(df, pairs)
     rows = []
-    for k, (a, b) in enumerate(pairs):
-        r = S.rnd(F.col(f"r{k}"), digits)
-        rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")))
+    for a, b in pairs:
+        rows.append((a, b, rs[(a, b)]))
         if a != b:
-            rows.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), r.alias("r")))
-    return wide.select(F.inline(F.array(*rows)))
+            rows.append((b, a, rs[(a, b)]))
+    return spark.createDataFrame(rows, schema).select("col_a", "col_b", S.rnd(F.col("r"), digits).alias("r"))
 
 
 def target_correlation(df: DataFrame, target: str, digits: int = 4) -> DataFrame:
     """Feature -> target correlation ranked by |r| (D8). Output: feature, r, rank."""
     cols = [c for c in TY.numeric_columns(df) if c != target]
+    spark = df.sparkSession
     if not cols:
-        return df.sparkSession.createDataFrame([], "feature string, r double, rank int")
-    wide = df.agg(*[S.pairwise_corr(F.col(c), F.col(target)).alias(f"r{i}") for i, c in enumerate(cols)])
-    long = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), S.rnd(F.col(f"r{i}"), digits).alias("r"))
-        for i, c in enumerate(cols)]))).where(F.col("r").isNotNull())
+        return spark.createDataFrame([], "feature string, r double, rank int")
+    rs = S.pairwise_corrs(df, [(c, target) for c in cols])
+    long = spark.createDataFrame([(c, rs[(c, target)]) for c in cols], "feature string, r double").select(
+        "feature", S.rnd(F.col("r"), digits).alias("r")).where(F.col("r").isNotNull())
     w = Window.orderBy(F.abs("r").desc(), F.col("feature"))
     return long.withColumn("rank", F.row_number().over(w).cast("int"))
 

@@ -331,10 +331,11 @@ class PctRank(Feature):
     row_local = False
 
     def apply(self, df, stats):
-        vc = value_counts_with_prefix(df, self.col)
+        vc, n_distinct = value_counts_with_prefix(df, self.col)
         ranks = vc.select(F.col("value").alias("__v"),
                           ((F.col("below") + (F.col("cnt") + 1) / 2.0) / F.col("total")).alias("__pct"))
-        joined = join_small(df.withColumn("__v", F.col(self.col).cast("double")), ranks, "__v", "left")
+        joined = join_small(df.withColumn("__v", F.col(self.col).cast("double")), ranks, "__v", "left",
+                            rows=n_distinct)
         return joined.withColumn(self.name, F.col("__pct")).drop("__v", "__pct")
 
 

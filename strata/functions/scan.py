@@ -17,16 +17,20 @@ from pyspark.sql import functions as F
 BUCKETS = 512
 
 
-def value_counts_with_prefix(df: DataFrame, value_col: str, buckets: int = BUCKETS) -> DataFrame:
+def value_counts_with_prefix(df: DataFrame, value_col: str, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
     """Distinct non-null values with their count and the count of smaller values.
 
-    Output: value (double), cnt, below, total.
+    Returns (table of value (double), cnt, below, total; number of distinct
+    values).  The statistics job that finds the bucket bounds also counts the
+    distinct values, so callers can size a join without another pass.
     """
     vc = (df.where(F.col(value_col).isNotNull())
           .groupBy(F.col(value_col).cast("double").alias("value"))
           .agg(F.count(F.lit(1)).alias("cnt")))
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = vc.agg(F.percentile_approx("value", probs, 10000).alias("b")).first()["b"] or []
+    stats = vc.agg(F.percentile_approx("value", probs, 10000).alias("b"),
+                   F.count(F.lit(1)).alias("distinct")).first()
+    bounds = stats["b"] or []
     splits = [float("-inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="value", outputCol="bucket").transform(vc)
     totals = bucketed.groupBy("bucket").agg(F.sum("cnt").alias("btot"))
@@ -37,6 +41,7 @@ def value_counts_with_prefix(df: DataFrame, value_col: str, buckets: int = BUCKE
     # offsets has at most len(splits) - 1 rows: a proven bound, safe to broadcast
     joined = bucketed.join(F.broadcast(offsets), "bucket")
     wb = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return joined.select(
+    out = joined.select(
         "value", "cnt", (F.col("offset") + F.coalesce(F.sum("cnt").over(wb), F.lit(0))).alias("below"),
         "total")
+    return out, stats["distinct"]

@@ -47,10 +47,12 @@ def assign_folds(df: DataFrame, k: int = 5, strata_col: str | None = None,
     counts = keyed.groupBy("__st", "__b").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.partitionBy("__st").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__st", "__b", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
-    largest = counts.groupBy("__st").agg(F.sum("__cnt").alias("n")).agg(F.max("n")).first()[0]
-    if largest is not None and largest < k:
+    # one statistics job: largest stratum (validity) and the offsets table size (broadcast bound)
+    facts = (counts.groupBy("__st").agg(F.sum("__cnt").alias("n"), F.count(F.lit(1)).alias("nb"))
+             .agg(F.max("n").alias("largest"), F.sum("nb").alias("rows")).first())
+    if facts["largest"] is not None and facts["largest"] < k:
         raise ValueError(f"n_splits={k} cannot be greater than the number of members in each class")
-    joined = join_small(keyed, offsets, ["__st", "__b"], "inner")
+    joined = join_small(keyed, offsets, ["__st", "__b"], "inner", rows=facts["rows"] or 0)
     wb = Window.partitionBy("__st", "__b").orderBy("__h", "__key")
     rn = F.col("__off") + F.row_number().over(wb)
     return (joined.withColumn(fold_col, ((rn - 1) % k).cast("int"))

@@ -13,6 +13,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.ml import Estimator as _Estimator
+from pyspark.ml import Model as _Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -417,9 +419,6 @@ def apply_features(features: list[Feature], df: DataFrame) -> DataFrame:
 # The feature step as a pipeline stage (fit on training rows, K3 fallback)
 # ---------------------------------------------------------------------------
 
-from pyspark.ml import Estimator as _Estimator  # noqa: E402
-from pyspark.ml import Model as _Model  # noqa: E402
-
 
 class FeatureStep(_Estimator):
     """Pipeline stage wrapping a feature list (J27 surface).

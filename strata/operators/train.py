@@ -48,6 +48,13 @@ class TrainResult:
     errors: dict = field(default_factory=dict)
     fe_error: str | None = None
     labels: list[str] | None = None
+    cached: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop the cached out-of-fold predictions (the leaderboard then recomputes)."""
+        for df in self.cached:
+            df.unpersist()
+        self.cached = []
 
 
 def _label(df: DataFrame, target: str, task: str):
@@ -175,6 +182,9 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
 
     ok_models = [m for m in models if m not in errors]
     if not ok_models:
+        for fr in fold_results:
+            for _, p in fr[0]:
+                p.unpersist()
         if own:
             data.unpersist()
         return TrainResult("failed", task, "", float("inf"), float("inf"), errors=errors, fe_error=fe_error,
@@ -188,7 +198,7 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
     primary = "accuracy" if task == "classification" else "rmse"
     result = TrainResult("complete", task, best["model"], float(best[primary]), float(best["cv_loss_mean"]),
                          leaderboard=board, oof=oof, fold_losses=CV.fold_losses(oof, task, by=["model"]),
-                         errors=errors, fe_error=fe_error, labels=labels)
+                         errors=errors, fe_error=fe_error, labels=labels, cached=parts)
     if refit:
         result.pipeline, result.feature_names = refit_best(data, target, task, best["model"], passthrough,
                                                             fe_step, scaler, cleaning, model_params.get(best["model"]),

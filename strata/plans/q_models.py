@@ -59,9 +59,12 @@ def _train_reg(spark, sf_dir, models, params=None):
                    k=FOLDS, refit=False)
 
 
-def _board(res):
+def _board(res, spark=None):
+    """Leaderboard without the wall-time column; a failed run gives an empty table."""
     if res.leaderboard is None:
-        return res.oof.sparkSession.createDataFrame([], "model string") if res.oof is not None else None
+        from pyspark.sql import SparkSession
+        s = spark or SparkSession.getActiveSession()
+        return s.createDataFrame([], "model string, cv_loss_mean double, cv_loss_std double")
     return res.leaderboard.drop("time_s")
 
 

@@ -116,3 +116,19 @@ def test_knn_matches_bruteforce(spark):
         order = sorted(range(60), key=lambda j: (d[j], tkeys[j]))[:5]
         counts = np.bincount(lab[order], minlength=3)
         assert got[f"q{i}"] == float(np.argmax(counts))
+
+
+def test_search_loop_stops_on_stall_and_logs_rounds(spark):
+    from strata.functions import features as FE
+    from strata.operators import search as K
+    df = _clf(spark, 90)
+    useless = [K.Candidate("noise1", [FE.Expr("z1", "id * 0")]), K.Candidate("noise2", [FE.Expr("z2", "id * 0")]),
+               K.Candidate("noise3", [FE.Expr("z3", "id * 0")])]
+    events = []
+    res = K.search_features(df, "target", useless, key_cols=["id"], patience=1, models=["Decision Tree"], k=3,
+                            on_round=events.append)
+    rows = res.log.orderBy("round_num").collect()
+    assert [r["round_num"] for r in rows] == [0, 1]          # one stall then stop
+    assert rows[0]["delta"] is None and rows[0]["improved"] is False
+    assert rows[1]["improved"] is False and res.best_round == 0
+    assert [e["round_num"] for e in events] == [0, 1]

@@ -98,6 +98,24 @@ def cleaning_report(stats: DataFrame, cardinality_threshold: float = CARDINALITY
         reason.alias("reason"), (~(card | var | nulls)).alias("kept"))
 
 
+def cleaning_report_rows(rows: list[tuple], cardinalityThreshold: float = CARDINALITY_THRESHOLD,
+                         varianceThreshold: float = VARIANCE_THRESHOLD, numericNullLimit: float = NULL_LIMIT,
+                         categoricalNullLimit: float = NULL_LIMIT, distinctMode: str | None = None) -> list[str]:
+    """The same decision as :func:`cleaning_report` on statistics already at hand.
+
+    rows: (col, n_rows, n_unique, null_share, variance, is_float, is_numeric,
+    is_real_numeric).  Returns the kept columns in input order.
+    """
+    kept = []
+    for col, n, u, null_share, var, is_float, is_num, is_real in rows:
+        card = (not is_float) and n > 0 and (u / n) >= cardinalityThreshold
+        low_var = (is_num and var is not None and var <= varianceThreshold) or u <= 1
+        limit = numericNullLimit if is_real else categoricalNullLimit
+        if not (card or low_var or null_share > limit):
+            kept.append(col)
+    return kept
+
+
 class _CleanerParams(DefaultParamsReadable, DefaultParamsWritable):
     excludeCols = list_param("excludeCols", "columns passed through untouched (target, keys)")
     cardinalityThreshold = float_param("cardinalityThreshold", "unique share at which a non-float column is dropped")

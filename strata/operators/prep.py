@@ -77,6 +77,9 @@ class MedianImputer(Estimator, _ColsParams):
 class FillModel(Model, _ColsParams):
     """coalesce(column, fitted value) per column."""
 
+    def _values(self) -> dict:
+        return dict(zip(self.getOrDefault("inputCols"), self.getOrDefault("values")))
+
     values = float_list_param("values", "fill value per input column")
 
     @keyword_only

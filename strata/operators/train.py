@@ -27,7 +27,7 @@ from strata.functions.features import FeatureStep
 from strata.operators import cv as CV
 from strata.operators import models as M
 from strata.operators import prep as PR
-from strata.operators.clean import ColumnCleaner
+from strata.operators.clean import ColumnCleaner, ColumnCleanerModel
 from strata.operators.profile import detect_task
 from strata.sources.readers import require_column
 
@@ -117,6 +117,58 @@ def prepare(df: DataFrame, target: str, task: str, key_cols: list[str] | None =
     return Prepared(data, task, labels, data.count(), k)
 
 
+def _prepare_fold_shared(train_rows: DataFrame, val_rows: DataFrame, passthrough: list[str], fs, f: int,
+                         scaler: str, cleaning: dict | None, mode: str, feature_cols: list[str]):
+    """Fold stages built from the shared fold statistics (no feature step)."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+    from strata.operators.clean import cleaning_report_rows
+
+    fields = {x.name: x.dataType for x in train_rows.schema.fields}
+    n = fs.n_rows[f]
+    opts = dict(cleaning or {})
+    kept = cleaning_report_rows(
+        [(c, n, fs.n_unique[f].get(c, 0), (fs.nulls[f][c] / n) if n else 0.0,
+          fs.moments[f][c].var_samp() if c in fs.moments[f] else None,
+          TY.is_float(fields[c]), TY.is_numeric(fields[c]), TY.is_real_numeric(fields[c]))
+         for c in feature_cols], **opts)
+    cleaner = ColumnCleanerModel(keptCols=kept, droppedCols=[c for c in feature_cols if c not in kept],
+                                 excludeCols=passthrough)
+    num = [c for c in kept if TY.is_real_numeric(fields[c])]
+    cat = [c for c in kept if c not in num]
+    stages: list = [cleaner]
+    if num:
+        need = [c for c in num if fs.nulls[f][c] > 0]
+        fills = {c: 0.0 for c in num}
+        if need:
+            fills.update(PR.MedianImputer(inputCols=need, mode=mode).fit(cleaner.transform(train_rows))
+                         ._values())
+        stages.append(PR.FillModel(inputCols=num, values=[fills[c] for c in num]))
+        if scaler == "standard":
+            from strata.operators.foldstats import Moments
+            # the scaler sees imputed values: add the NULLs back as copies of the fill value
+            mom = {c: fs.moments[f][c].merge(Moments(float(fs.nulls[f][c]), fills[c], 0.0)) for c in num}
+            centers = [mom[c].mean if mom[c].n else 0.0 for c in num]
+            scales = [mom[c].std_pop() or 1.0 for c in num]
+            stages.append(PR.AffineModel(inputCols=num, centers=centers, scales=scales))
+        else:
+            stages.append(PR.Scaler(inputCols=num, method=scaler, mode=mode).fit(
+                PipelineModel(stages=list(stages)).transform(train_rows)))
+    ohe = []
+    if cat:
+        stages.append(PR.CategoricalFill(inputCols=cat))
+        for c in cat:
+            stages.append(StringIndexerModel.from_labels(sorted(fs.vocab[f][c]), inputCol=c,
+                                                         outputCol=f"{c}__idx", handleInvalid="keep"))
+        ohe = [f"{c}__ohe" for c in cat]
+        enc = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=ohe, dropLast=True)
+        stages.append(enc.fit(PipelineModel(stages=list(stages)).transform(train_rows.limit(0))))
+    stages.append(VectorAssembler(inputCols=num + ohe, outputCol="features", handleInvalid="keep"))
+    model = PipelineModel(stages=stages)
+    keep = [c for c in passthrough if c in train_rows.columns] + ["features"]
+    return (model.transform(train_rows).select(*keep), model.transform(val_rows).select(*keep), [model],
+            PR.feature_names(model), None)
+
+
 def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: list[str] | None = None,
           models: list[str] | None = None, model_params: dict | None = None, k: int = 5, seed: int = 42,
           fe_step: FeatureStep | None = None, scaler: str = "standard", cleaning: dict | None = None,
@@ -138,15 +190,31 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
     mode = "exact" if n_rows <= PR.EXACT_ROW_LIMIT else "bracket"   # exact quantiles either way
     passthrough = [target, "label", "fold", "__key"] + list(key_cols or [])
 
+    feature_cols = [c for c in data.columns if c not in passthrough]
+    shared = None
+    if fe_step is None:
+        # every fold's training statistics from two jobs (see operators/foldstats.py)
+        from strata.operators.foldstats import fold_statistics
+        shared = fold_statistics(data, feature_cols, "label", k, PR.MAX_CATEGORIES)
+
     def run_fold(f: int):
         """Fit the fold's stages once, then every model on the cached vectors."""
         parts, timings, errors = [], {m: 0.0 for m in models}, {}
         train_rows, val_rows = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-        tr, va, _, _, fe_err = _prepare_fold(train_rows, val_rows, target, passthrough, fe_step, scaler,
-                                              cleaning, mode)
+        if shared is not None:
+            tr, va, _, _, fe_err = _prepare_fold_shared(train_rows, val_rows, passthrough, shared, f, scaler,
+                                                        cleaning, mode, feature_cols)
+            lm = shared.moments[f]["label"]
+            ctx = M.FitContext(int(shared.n_rows[f]), (lm.std_pop() or 1.0) if lm.n else 1.0,
+                               len(labels or []) if task == "classification" else 0)
+        else:
+            tr, va, _, _, fe_err = _prepare_fold(train_rows, val_rows, target, passthrough, fe_step, scaler,
+                                                  cleaning, mode)
+            ctx = None
         tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
         va = va.persist(StorageLevel.MEMORY_AND_DISK)
-        ctx = M.fit_context(tr, task)
+        if ctx is None:
+            ctx = M.fit_context(tr, task)
         if task == "classification":
             ctx.n_classes = max(ctx.n_classes, len(labels or []))
         for name in models:

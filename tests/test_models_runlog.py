@@ -132,3 +132,25 @@ def test_search_loop_stops_on_stall_and_logs_rounds(spark):
     assert rows[0]["delta"] is None and rows[0]["improved"] is False
     assert rows[1]["improved"] is False and res.best_round == 0
     assert [e["round_num"] for e in events] == [0, 1]
+
+
+def test_shared_fold_statistics_equal_per_fold_fits(spark):
+    from pyspark.sql import functions as F
+    from strata.operators import train as TT
+    from strata.operators.foldstats import fold_statistics
+    df = _clf(spark, 120).withColumn("salary", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("salary")))
+    prep = TT.prepare(df, "target", "classification", ["id"], 3, 42)
+    data = prep.data
+    pt = ["target", "label", "fold", "__key", "id"]
+    feats = [c for c in data.columns if c not in pt]
+    fs = fold_statistics(data, feats, "label", 3, 1000)
+    for f in range(3):
+        tr, va = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
+        a = TT._prepare_fold_shared(tr, va, pt, fs, f, "standard", None, "exact", feats)
+        b = TT._prepare_fold(tr, va, "target", pt, None, "standard", None, "exact")
+        assert a[3] == b[3]                                   # same feature names / vocabularies
+        va_a = {r["__key"]: r["features"].toArray() for r in a[1].collect()}
+        va_b = {r["__key"]: r["features"].toArray() for r in b[1].collect()}
+        assert va_a.keys() == va_b.keys()
+        assert all(np.allclose(va_a[k], va_b[k], atol=1e-9) for k in va_a)
+    prep.release()

@@ -324,7 +324,7 @@ class GroupAgg(Feature):
 class PctRank(Feature):
     """Percentile rank with average ties, as pandas ``rank(pct=True)``.
 
-    Computed on the frame being transformed (the reference semantics):
+    Computed on the frame being transformed (frame-scope semantics):
     value counts, an exact prefix count over the global value order without
     a single-partition window, then a join back on the value.
     """

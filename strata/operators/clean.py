@@ -1,6 +1,6 @@
 """Column cleaning: ID-like, constant and mostly-null columns (survey 2.E).
 
-The three reference droppers (cardinality -> variance -> null share) each
+The three column droppers (cardinality -> variance -> null share) each
 test one column at a time, so applying them in sequence equals applying
 them side by side: :class:`ColumnCleaner` computes every statistic in **one**
 aggregate pass and keeps the per-column reasons as a report table.

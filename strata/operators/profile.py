@@ -372,7 +372,7 @@ def fmt1(c: Column) -> Column:
 def build_warnings(col_profile: DataFrame, target: str, tstats: DataFrame | None = None) -> DataFrame:
     """Human-readable warnings (C17-C19). Output: kind, col, message.
 
-    Fixed message formats (reference wording).
+    Fixed values: the three message formats below.
     """
     nulls = col_profile.where(F.col("null_rate") > NULL_WARN_RATE).select(
         F.lit("missing").alias("kind"), "col",

@@ -1,4 +1,4 @@
-"""Folds, strata and metrics: invariants and the reference's known answers."""
+"""Folds, strata and metrics: invariants and known answers."""
 
 import math
 

@@ -1,4 +1,4 @@
-"""Task detection, profile statistics and warnings on the reference's small fixtures."""
+"""Task detection, profile statistics and warnings on small known-answer fixtures."""
 
 import numpy as np
 import pandas as pd

@@ -17,6 +17,9 @@ from strata.functions import stats as S
 from strata.functions.joins import join_small
 
 PREFIX_HEX = 3          # 16^3 = 4096 ordered buckets per stratum
+HOT_BUCKET_ROWS = 2_000_000   # a bucket above this holds many copies of one key: use the tie path
+TIE_SALTS = 256
+TIE_ROWS = 1_000_000          # rows per salted sub-partition of a hot group
 MAX_REG_STRATA = 10
 EXACT_ROW_LIMIT = 10_000_000   # exact quantiles for regression strata up to this many rows
 
@@ -33,12 +36,15 @@ def fold_hash(df: DataFrame, key_cols: list[str] | None, seed: int) -> Column:
 
 
 def assign_folds(df: DataFrame, k: int = 5, strata_col: str | None = None,
-                 key_cols: list[str] | None = None, seed: int = 42, fold_col: str = "fold") -> DataFrame:
+                 key_cols: list[str] | None = None, seed: int = 42, fold_col: str = "fold",
+                 hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
     """Stratified, shuffled, seeded k-fold assignment (H1).
 
     Per stratum, rows ordered by md5(seed|key) are dealt round-robin into k
     folds, so per-stratum fold sizes differ by at most one.  Raises when k
-    exceeds the size of every stratum (as scikit-learn does).
+    exceeds the size of every stratum (as scikit-learn does).  When a hash
+    bucket is hot (many rows share one key, e.g. copies of one row), the
+    copies are numbered through salted sub-partitions instead of one task.
     """
     st = F.col(strata_col) if strata_col else F.lit(0)
     keyed = (df.withColumn("__st", st).withColumn("__key", key_string(df, key_cols))
@@ -47,11 +53,16 @@ def assign_folds(df: DataFrame, k: int = 5, strata_col: str | None = None,
     counts = keyed.groupBy("__st", "__b").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.partitionBy("__st").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__st", "__b", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
-    # one statistics job: largest stratum (validity) and the offsets table size (broadcast bound)
-    facts = (counts.groupBy("__st").agg(F.sum("__cnt").alias("n"), F.count(F.lit(1)).alias("nb"))
-             .agg(F.max("n").alias("largest"), F.sum("nb").alias("rows")).first())
+    # one statistics job: largest stratum (validity), offsets table size (broadcast bound), largest bucket
+    facts = (counts.groupBy("__st").agg(F.sum("__cnt").alias("n"), F.count(F.lit(1)).alias("nb"),
+                                        F.max("__cnt").alias("mb"))
+             .agg(F.max("n").alias("largest"), F.sum("nb").alias("rows"), F.max("mb").alias("hot")).first())
     if facts["largest"] is not None and facts["largest"] < k:
         raise ValueError(f"n_splits={k} cannot be greater than the number of members in each class")
+    if (facts["hot"] or 0) > hot_bucket_rows:
+        rn = _row_numbers_with_ties(keyed, offsets, facts["rows"] or 0, facts["hot"])
+        return (rn.withColumn(fold_col, ((F.col("__rn") - 1) % k).cast("int"))
+                .drop("__st", "__key", "__h", "__b", "__rn"))
     joined = join_small(keyed, offsets, ["__st", "__b"], "inner", rows=facts["rows"] or 0)
     wb = Window.partitionBy("__st", "__b").orderBy("__h", "__key")
     rn = F.col("__off") + F.row_number().over(wb)
@@ -59,6 +70,39 @@ def assign_folds(df: DataFrame, k: int = 5, strata_col: str | None = None,
             .drop("__st", "__key", "__h", "__b", "__off"))
 
 
+def _row_numbers_with_ties(keyed: DataFrame, offsets: DataFrame, offset_rows: int, hot: int) -> DataFrame:
+    """Global row numbers when one key (or one repeated row) fills a bucket.
+
+    Distinct (key, row content) groups are ranked with the bucketed window —
+    copies collapse map-side, so a hot group is one row there; the copies of
+    a group are interchangeable and take consecutive numbers dealt over
+    salted sub-partitions of about ``TIE_ROWS`` rows (a prefix table of at
+    most groups x salts rows gives each sub-partition its start).  The salted
+    rows are written to the shared checkpoint folder first, so every branch
+    (and any recomputation after an executor loss) sees the same salts.
+    """
+    from strata.session import cut_lineage
+    salts_n = max(TIE_SALTS, -(-hot // TIE_ROWS))
+    row_hash = F.md5(F.to_json(F.struct(*[F.col(c) for c in keyed.columns
+                                           if c not in ("__st", "__key", "__h", "__b")])))
+    rows = cut_lineage(keyed.withColumn("__rh", row_hash)
+                       .withColumn("__mono", F.monotonically_increasing_id())
+                       .withColumn("__salt", F.pmod(F.xxhash64("__mono"), F.lit(salts_n)).cast("int")))
+    gkeys = ["__st", "__b", "__h", "__key", "__rh"]
+    groups = rows.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("__g"))
+    wg = Window.partitionBy("__st", "__b").orderBy("__h", "__key", "__rh").rowsBetween(Window.unboundedPreceding, -1)
+    base = (join_small(groups, offsets, ["__st", "__b"], "inner", rows=offset_rows)
+            .withColumn("__base", F.col("__off") + F.coalesce(F.sum("__g").over(wg), F.lit(0)))
+            .select(*gkeys, "__base"))
+    salts = rows.groupBy(*gkeys, "__salt").agg(F.count(F.lit(1)).alias("__sc"))
+    ws = Window.partitionBy(*gkeys).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    salt_off = salts.withColumn("__so", F.coalesce(F.sum("__sc").over(ws), F.lit(0))).drop("__sc")
+    wr = Window.partitionBy(*gkeys, "__salt").orderBy("__mono")
+    out = (rows.join(base, gkeys).join(salt_off, gkeys + ["__salt"])
+           .withColumn("__rn", F.col("__base") + F.col("__so") + F.row_number().over(wr)))
+    return out.drop("__rh", "__salt", "__mono", "__base", "__so")
+
+
 def regression_strata(df: DataFrame, target: str, k: int = 5, out_col: str = "stratum",
                       key_cols: list[str] | None = None, seed: int = 42,
                       exact: bool | str = "auto") -> DataFrame:

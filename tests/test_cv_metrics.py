@@ -68,3 +68,22 @@ def test_leaderboard_groups_models(spark):
     board = {r["model"]: r for r in CV.leaderboard(oof, "classification").collect()}
     assert board["m2"]["cv_loss_mean"] == 0.0 and board["m1"]["cv_loss_mean"] == 0.5
     assert CV.best_model(CV.leaderboard(oof, "classification")).first()["model"] == "m2"
+
+
+def test_hot_copies_path_balanced_and_equal_for_unique_keys(spark):
+    # a third of the rows are copies of one row, no key given
+    rows = [(1, "x", 0.5)] * 400 + [(i, "x" if i % 3 else "y", float(i)) for i in range(800)]
+    df = spark.createDataFrame(rows, "a long, c string, v double")
+    f = CV.assign_folds(df, 5, "c", None, 42, hot_bucket_rows=50)
+    assert f.count() == 1200
+    sizes = f.groupBy("c", "fold").count().collect()
+    for cls in ("x", "y"):
+        ns = [r["count"] for r in sizes if r["c"] == cls]
+        assert max(ns) - min(ns) <= 1
+    copies = f.where("a = 1 AND v = 0.5").groupBy("fold").count().collect()
+    assert max(r["count"] for r in copies) - min(r["count"] for r in copies) <= 1
+    # with unique keys the tie path numbers rows exactly like the plain path
+    u = spark.range(500).withColumn("c", (F.col("id") % 4).cast("string"))
+    plain = {r["id"]: r["fold"] for r in CV.assign_folds(u, 5, "c", ["id"], 7).collect()}
+    tie = {r["id"]: r["fold"] for r in CV.assign_folds(u, 5, "c", ["id"], 7, hot_bucket_rows=0).collect()}
+    assert plain == tie

@@ -74,12 +74,13 @@ def rnd(c: Column, digits: int = 4) -> Column:
 def distinct_counts(df, columns: list[str], exact: bool = True, rsd: float = 0.01):
     """Distinct non-null values per column as a long table (col, n_unique).
 
-    Exact: the columns are unpivoted to (col, value-as-text) and counted by
-    two ``groupBy`` passes with map-side combine — cheaper than many
+    Exact: the columns are unpivoted to (col, value) and counted by two
+    ``groupBy`` passes with map-side combine — cheaper than many
     ``count_distinct`` in one aggregate (which expands every row once per
-    column) and never mixed with other aggregates.  ``-0.0`` is folded into
-    ``0.0`` before the text cast, as grouping does.  Approximate: one
-    HyperLogLog aggregate.
+    column) and never mixed with other aggregates.  The unpivoted value is a
+    typed triple (double, long, text) with one field set, so numbers are
+    grouped without a text cast; ``-0.0`` is folded into ``0.0`` as grouping
+    does.  Approximate: one HyperLogLog aggregate.
     """
     from pyspark.sql import types as T
     spark = df.sparkSession
@@ -92,51 +93,19 @@ def distinct_counts(df, columns: list[str], exact: bool = True, rsd: float = 0.0
             F.struct(F.lit(c).alias("col"), F.col(f"u{i}").cast("bigint").alias("n_unique"))
             for i, c in enumerate(columns)])))
 
-    def text(c):
-        col = F.col(c)
-        if isinstance(fields[c], (T.FloatType, T.DoubleType)):
-            col = col + F.lit(0.0)
-        return col.cast("string")
-
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("k"), text(c).alias("v")) for i, c in enumerate(columns)])).alias("kv"))
-    pairs = long.select("kv.k", "kv.v").where(F.col("v").isNotNull()).distinct()
+    def typed(i: int, c: str):
+        dt = fields[c]
+        is_f = isinstance(dt, (T.FloatType, T.DoubleType))
+        is_i = isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        d = (F.col(c).cast("double") + F.lit(0.0)) if is_f else F.lit(None).cast("double")
+        n = F.col(c).cast("long") if is_i else F.lit(None).cast("long")
+        t = F.lit(None).cast("string") if (is_f or is_i) else F.col(c).cast("string")
+        return F.struct(F.lit(i).alias("k"), d.alias("d"), n.alias("n"), t.alias("t"))
+
+    long = df.select(F.explode(F.array(*[typed(i, c) for i, c in enumerate(columns)])).alias("kv")).select("kv.*")
+    pairs = long.where(F.col("d").isNotNull() | F.col("n").isNotNull() | F.col("t").isNotNull()).distinct()
     counts = pairs.groupBy("k").agg(F.count(F.lit(1)).alias("n_unique"))
     names = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "k int, col string")
     # names has one row per column: a bounded broadcast
     return names.join(F.broadcast(counts), "k", "left").select(
         "col", F.coalesce(F.col("n_unique"), F.lit(0)).cast("bigint").alias("n_unique"))
-
-
-def pairwise_corrs(df, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
-    """Pearson r of many column pairs, pairwise complete, NULL for a constant side.
-
-    Fast path: Spark's one-state ``corr`` aggregate (it already skips rows
-    where either side is NULL) for all pairs in one job, after a min/max pass
-    sets aside columns that are constant overall.  ``corr`` raises under ANSI
-    when a side is constant only within a pair's complete rows; then the
-    guarded covariance form is used instead.  Returns a small dict (one
-    number per pair) for the caller to lay out.
-    """
-    if not pairs:
-        return {}
-    cols = sorted({c for p in pairs for c in p})
-    mm = df.agg(*[e for i, c in enumerate(cols) for e in (F.min(F.col(c).cast("double")).alias(f"a{i}"),
-                                                           F.max(F.col(c).cast("double")).alias(f"b{i}"))]).first()
-    varying = {c for i, c in enumerate(cols)
-               if mm[f"a{i}"] is not None and mm[f"a{i}"] != mm[f"b{i}"]}
-    live = [p for p in pairs if p[0] in varying and p[1] in varying]
-    out: dict[tuple[str, str], float | None] = {p: None for p in pairs}
-    if not live:
-        return out
-    try:
-        row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{k}")
-                       for k, (a, b) in enumerate(live)]).first()
-    except Exception as e:  # constant inside a pair's complete rows: guarded form
-        if "DIVIDE_BY_ZERO" not in str(e):
-            raise
-        row = df.agg(*[pairwise_corr(F.col(a), F.col(b)).alias(f"r{k}") for k, (a, b) in enumerate(live)]).first()
-    for k, p in enumerate(live):
-        v = row[f"r{k}"]
-        out[p] = None if v is None or v != v else float(v)
-    return out

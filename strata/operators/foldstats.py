@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.functions import types as TY
 
@@ -92,19 +93,23 @@ def fold_statistics(data: DataFrame, columns: list[str], label: str, k: int, max
         st.moments[f] = mom
 
     # job 2: per (column, value) fold mask and per-fold counts
-    def text(c):
-        # exact text of the value; floats fold -0.0 into 0.0 as grouping does
-        if TY.is_float(fields[c]):
-            return (F.col(c).cast("double") + F.lit(0.0)).cast("string")
-        return F.col(c).cast("string")
-
-    long = data.select("fold", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("col"), text(c).alias("value")) for c in columns])).alias("kv")) \
-        .select("fold", "kv.col", "kv.value")
-    by_value = long.groupBy("col", "value").agg(
+    def typed(c):
+        # numbers group as numbers (no text cast); floats fold -0.0 into 0.0 as grouping does
+        dt = fields[c]
+        is_f = isinstance(dt, (T.FloatType, T.DoubleType))
+        is_i = isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        d = (F.col(c).cast("double") + F.lit(0.0)) if is_f else F.lit(None).cast("double")
+        n = F.col(c).cast("long") if is_i else F.lit(None).cast("long")
+        t = F.lit(None).cast("string") if (is_f or is_i) else F.col(c).cast("string")
+        return F.struct(F.lit(c).alias("col"), d.alias("d"), n.alias("n"), t.alias("value"))
+
+    long = data.select("fold", F.explode(F.array(*[typed(c) for c in columns])).alias("kv")) \
+        .select("fold", "kv.col", "kv.d", "kv.n", "kv.value")
+    by_value = long.groupBy("col", "d", "n", "value").agg(
         F.bit_or(F.expr("shiftleft(1L, fold)")).alias("mask"),
         *[F.count_if(F.col("fold") == g).alias(f"n{g}") for g in range(k)])
-    uniq = by_value.where(F.col("value").isNotNull()).groupBy("col").agg(*[
+    present = F.col("d").isNotNull() | F.col("n").isNotNull() | F.col("value").isNotNull()
+    uniq = by_value.where(present).groupBy("col").agg(*[
         F.count_if(F.col("mask").bitwiseAND(F.lit(~(1 << f))) != 0).alias(f"u{f}") for f in range(k)]).collect()
     for f in range(k):
         st.n_unique[f] = {r["col"]: r[f"u{f}"] for r in uniq}

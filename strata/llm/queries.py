@@ -29,6 +29,36 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *BASE, "base_failed", "kept")
 
 
+@query
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the fixed patterns and of the randomness battery in every document."""
+    from strata.llm.secrets import joined, spans
+
+    found = spans(table(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+                        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        joined(F.col("found")).alias("spans"))
+
+
+@query
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in an equal-weight mixture of its sources."""
+    from strata.llm.mixing import places
+
+    return places(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document among 8 shards; row counts differ by one at most."""
+    from strata.llm.sharding import shard_rows
+
+    return shard_rows(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "row_number", "position")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

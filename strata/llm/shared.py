@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strata.functions.joins import join_small
 from strata.session import checkpoint_dir
 
 #: Rows that one bucket of an ordered numbering holds, about.
@@ -42,12 +43,12 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
 def numbered(df: DataFrame, order: list[str], out: str, by: str | None = None, hint: int | None = None) -> DataFrame:
     """Add ``out``: the 0-based row number in the order of ``order``, over all rows or within ``by``.
 
-    No window runs over all rows: rows are hashed by nothing but their order.
-    Quantiles of the first order column cut them into buckets of about
-    BUCKET_ROWS; a bucket's rows are numbered by one window task and the
-    counts of the buckets (one row each) give the offsets.  Rows that share
-    a first order value stay in one bucket unless the further order columns
-    tell them apart: the bucket of a hot value is split by their hash.
+    No window runs over all rows: approximate quantiles of the first order
+    column (a number) cut them into buckets of about BUCKET_ROWS, a window
+    numbers each bucket, and the buckets' counts (one row each, broadcast
+    only when few) give the offsets.  The numbers are exact whatever the
+    cuts.  Rows equal in the first order column share a bucket, so give an
+    almost unique one first.
     """
     bkt, sub, off = fresh(df, "bkt", "sub", "off")
     n = df.count() if hint is None else hint
@@ -71,9 +72,9 @@ def numbered(df: DataFrame, order: list[str], out: str, by: str | None = None, h
         cut = df.withColumn(bkt, F.when(first.isNull(), F.lit(-1)).otherwise(lo))
     counts = cut.groupBy(*keys, bkt).agg(F.count(F.lit(1)).alias(sub))
     w = Window.partitionBy(*keys).orderBy(bkt).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, bkt, F.coalesce(F.sum(sub).over(w), F.lit(0)).alias(off))
-    joined = cut.join(offsets.withColumnsRenamed({c: f"{off}_{c}" for c in [*keys, bkt]}),
-                      [F.col(c).eqNullSafe(F.col(f"{off}_{c}")) for c in [*keys, bkt]])
+    offsets = counts.select(*[F.col(c).alias(f"{off}_{c}") for c in [*keys, bkt]], F.coalesce(F.sum(sub).over(w), F.lit(0)).alias(off))
+    joined = join_small(cut, offsets, [F.col(c).eqNullSafe(F.col(f"{off}_{c}")) for c in [*keys, bkt]],
+                        rows=None if by else pieces + 1)
     rank = F.row_number().over(Window.partitionBy(*keys, bkt).orderBy(*order)) - 1
     return joined.withColumn(out, (rank + F.col(off)).cast("long")).select(*df.columns, out)
 

@@ -59,6 +59,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "row_number", "position")
 
 
+#: Vocabulary files of the public tokenizers; a parameter, never copied.
+RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and the bytes they decode to, as digests."""
+    import public_tokenizers
+
+    from strata.llm import bpe
+
+    ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
+    ids = bpe.encode_packed(table(spark, sf_dir, "documents"), bpe.TiktokenWords(ranks, public_tokenizers.PATTERN), public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode_packed(ids, ranks))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 from strata.llm import textcols as X
 from strata.llm.packing import pack, pack_words, unpack, unpack_words
 
-BLOCK_BYTES = 16 << 20
-BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+BUCKET_BYTES = 6 << 20
 #: Unicode White_Space, which the pattern's \s stands for.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: A blank inside or at the end of longer white space: there, words can't be cut at blanks.

@@ -63,6 +63,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
+@query
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle-set size and near-duplicate component of every document."""
+    from strata.llm.jaccard import links
+
+    return links(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the bytes they decode to, as digests."""

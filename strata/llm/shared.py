@@ -101,5 +101,5 @@ def components(edges: DataFrame, a: str, b: str, name: str = "cc") -> DataFrame:
         now = written(small, name)
         same = now.join(e, ["u", "v"], "left_semi").count()
         if same == now.count() == e.count():
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         e = now

@@ -29,6 +29,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *BASE, "base_failed", "kept")
 
 
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text under the bigram model of the training documents."""
+    from strata.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the fixed patterns and of the randomness battery in every document."""

@@ -54,22 +54,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def cut(piece: str, blank: bool, pattern) -> list[str]:
-    """Words of a piece without blanks, after a blank if ``blank``; the pattern itself for all but plain cases."""
-    if not piece:
-        return [" "] if blank else []
-    lead = " " if blank else ""
-    if piece.isalpha():
-        return [lead + piece]
-    core = piece.rstrip(_MARKS)
+def cut(piece: str, pattern) -> list[str]:
+    """Words of a piece with at most a leading blank; the pattern itself for all but plain cases."""
+    word = piece[1:] if piece[:1] == " " else piece
+    if word.isalpha() or piece == " ":
+        return [piece]
+    core = word.rstrip(_MARKS)
     if core.isalpha():
-        return [lead + core, piece[len(core):]]
-    return pattern.findall(lead + piece)
+        return [piece[:len(piece) - len(word) + len(core)], word[len(core):]]
+    return pattern.findall(piece)
 
 
-def block_words(col: pa.Array, pattern) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct words by falling frequency, word number of each position, positions of each text)."""
-    col = col.fill_null("") if col.null_count else col
+def blank_pieces(col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct pieces, each with the blank before it if any; piece number of each place; offsets of the texts; odd texts).
+
+    No word crosses a cut.  Texts with longer white space (``odd``) have no
+    pieces and are left to the caller.
+    """
     n = len(col)
     odd = np.flatnonzero(pc.match_substring_regex(col, _ODD).to_numpy(zero_copy_only=False))
     parts = pc.split_pattern(pc.replace_with_mask(col, pa.array(np.isin(np.arange(n), odd)), pa.array([""] * len(odd), col.type))
@@ -79,14 +80,22 @@ def block_words(col: pa.Array, pattern) -> tuple[list[str], np.ndarray, np.ndarr
     off = off - off[0]
     key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + 1
     key[off[:-1]] -= 1  # a text's first piece follows no blank
-    used = np.flatnonzero(np.bincount(key, minlength=2 * len(coded.dictionary)))
+    held = np.bincount(key, minlength=2 * len(coded.dictionary)) > 0
+    names = coded.dictionary.to_pylist()
+    pieces = [(" " if k & 1 else "") + names[k >> 1] for k in np.flatnonzero(held).tolist()]
+    return pieces, (np.cumsum(held) - 1)[key], off, odd
+
+
+def block_words(col: pa.Array, pattern) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words by falling frequency, word number of each position, positions of each text)."""
+    col = col.fill_null("") if col.null_count else col
+    pieces, key, off, odd = blank_pieces(col)
     numbers: dict[str, int] = {}
     flat: list[int] = []
-    size = np.zeros(2 * len(coded.dictionary), np.int64)
+    size = np.zeros(len(pieces), np.int64)
     at = np.zeros_like(size)
-    pieces = coded.dictionary.to_pylist()
-    for k in used.tolist():
-        ws = cut(pieces[k >> 1], bool(k & 1), pattern)
+    for k, piece in enumerate(pieces):
+        ws = cut(piece, pattern)
         at[k], size[k] = len(flat), len(ws)
         flat += [numbers.setdefault(w, len(numbers)) for w in ws]
     seq = np.asarray(flat, np.int64)[X.ragged(at[key], size[key])]

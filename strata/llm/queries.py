@@ -37,6 +37,23 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to rANS files in ascending doc_id order and read back."""
+    import json
+
+    import public_tokenizers
+
+    from strata.llm import rans
+
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+        text = f.read()
+    spec = json.loads(text)
+    vocabulary = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    _, back = rans.round_trip(table(spark, sf_dir, "documents"), text, vocabulary)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").cast("long").alias("ids_crc32"))
+
+
 @query
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the fixed patterns and of the randomness battery in every document."""

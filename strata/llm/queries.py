@@ -104,6 +104,15 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 50, whole texts as queries."""
+    from strata.llm.search import search
+
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 50 = 0"))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the bytes they decode to, as digests."""
@@ -116,6 +125,36 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode_packed(ids, ranks))
 
 
+_WORDS = ("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x20\\x09-\\x0D]+')")
+
+ORACLE["op1_ngram_jaccard"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+near AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, near.v FROM reach JOIN near ON near.u = reach.r)
+SELECT reach.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id"""
+
+ORACLE["op2_bm25_topk"] = f"""
+WITH t AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents),
+tf AS (SELECT doc_id, word, count(*) AS tf FROM t GROUP BY ALL),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY ALL),
+c AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM tf) / (SELECT count(*) FROM documents) AS mean),
+df AS (SELECT word, ln(1 + (c.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, c GROUP BY word, c.n),
+hit AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.tf * idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM tf q JOIN df USING (word) JOIN tf d ON d.word = q.word JOIN dl ON dl.doc_id = d.doc_id, c
+  WHERE q.doc_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hit) WHERE rank <= 10"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

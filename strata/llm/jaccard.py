@@ -416,10 +416,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     first = nodes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), "tag", "uid"))["uid"].alias("uid"))
     kept = nodes.join(first.withColumn("stays", F.lit(1)), "uid", "left")
     rows = kept.groupBy("doc_id", "tag").agg(F.count("stays").alias("stay"), F.count(F.lit(1)).alias("of")).where("stay < of")
-    rows = written(rows.select(F.col("doc_id").alias("k"), F.col("tag").alias("t"), "stay"), "dropped")
-    mine, = fresh(docs, "tag")
-    same = F.col(key).cast("long").eqNullSafe(F.col("k")) & (F.col(mine) == F.col("t"))
+    mine, k, t, stay = fresh(docs, "tag", "k", "t", "stay")
+    rows = written(rows.select(F.col("doc_id").alias(k), F.col("tag").alias(t), F.col("stay").alias(stay)), "dropped")
+    same = F.col(key).cast("long").eqNullSafe(F.col(k)) & (F.col(mine) == F.col(t))
     tagged = docs.withColumn(mine, tag)
     out = join_small(tagged, rows, same, "left_anti")
-    again = join_small(tagged, rows.where("stay > 0"), same, "left_semi").dropDuplicates([key, mine])
+    again = join_small(tagged, rows.where(F.col(stay) > 0), same, "left_semi").dropDuplicates([key, mine])
     return out.unionByName(again).select(*docs.columns)

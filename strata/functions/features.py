@@ -22,8 +22,21 @@ from pyspark.sql import types as T
 from strata.functions import stats as S
 from strata.functions.joins import join_small
 from strata.functions.scan import value_counts_with_prefix
+from strata.operators.persist import Saved
+from strata.session import cut_lineage
 
 EPS = 1e-9
+# Rows above which quantiles take the bracketing plan (same values, bounded memory).
+EXACT_ROWS = 10_000_000
+
+
+def _column_quantiles(df: DataFrame, col: str, probs: list[float], exact: bool = True) -> list:
+    x = F.col(col).cast("double")
+    if exact and df.count() > EXACT_ROWS:
+        from strata.functions.quantiles import exact_quantiles
+        return exact_quantiles(df.select(x.alias("x")), ["x"], probs)["x"]
+    got = df.agg(S.quantiles(x, probs, exact=exact)).first()[0]
+    return list(got) if got is not None else [None] * len(probs)
 
 
 class Feature:
@@ -171,7 +184,7 @@ class IQRClip(Feature):
     exact: bool = True
 
     def fit(self, df):
-        q = df.agg(S.quantiles(F.col(self.col).cast("double"), [0.25, 0.75], exact=self.exact)).first()[0]
+        q = _column_quantiles(df, self.col, [0.25, 0.75], self.exact)
         if not q or q[0] is None:
             return (None, None)
         iqr = q[1] - q[0]
@@ -270,7 +283,7 @@ class Fill(Feature):
     def fit(self, df):
         x = F.col(self.col).cast("double")
         if self.strategy == "median":
-            return df.agg(F.percentile(x, 0.5)).first()[0]
+            return _column_quantiles(df, self.col, [0.5])[0]
         if self.strategy == "mean":
             return df.agg(F.avg(x)).first()[0]
         return self.value
@@ -420,42 +433,116 @@ def apply_features(features: list[Feature], df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
+_ROW = "__row"
+
+
+def _run_hidden(run: Callable[[DataFrame], DataFrame], features: list[Feature], df: DataFrame,
+                hidden: list[str], key: str | None) -> DataFrame:
+    """``run`` on the feature columns of ``df``; the hidden columns come along unseen.
+
+    Declarative features are resolved against the feature columns alone first,
+    so an expression that names a hidden column fails.  A frame function gets
+    the feature columns and an opaque row key, and the hidden columns are
+    joined back on it.
+    """
+    hidden = [c for c in hidden if c in df.columns]
+    visible = [c for c in df.columns if c not in hidden]
+    taken = sorted({f.name for f in features} & set(hidden))
+    if taken:
+        raise ValueError(f"feature names already taken by other columns: {', '.join(taken)}")
+    if not hidden:
+        return run(df)
+    if not any(isinstance(f, FrameFunction) for f in features):
+        run(df.select(*visible)).schema
+        return run(df)
+    if key not in df.columns:
+        # rows to score carry no key: number them once, written down so that both sides of the join agree
+        numbered = cut_lineage(df.withColumn("__number", F.monotonically_increasing_id()))
+        return _run_hidden(run, features, numbered, [*hidden, "__number"], "__number").drop("__number")
+    out = run(df.select(*visible, F.col(key).alias(_ROW)))
+    if _ROW not in out.columns:
+        raise ValueError("the feature step lost the row key")
+    if set(out.columns) & set(hidden):
+        raise ValueError("the feature step made columns of hidden names")
+    rest = df.select(F.col(key).alias("__rest"), *hidden)
+    return rest.join(out, rest["__rest"] == out[_ROW]).select(*[c for c in out.columns if c != _ROW], *hidden)
+
+
 class FeatureStep(_Estimator):
     """Pipeline stage wrapping a feature list (J27 surface).
 
     ``stat_scope="train"`` fits statistics on the training rows and reuses
     them on any frame; ``"frame"`` recomputes them on each transformed frame.
-    A step that fails leaves the frame unchanged and records the error.
+    ``hidden`` columns (target, label, fold, keys) pass through unseen;
+    ``key`` is unique per row.  A step that fails, or whose output on the
+    training rows is invalid, becomes the identity and records the error (K3).
     """
 
-    def __init__(self, features: list[Feature], stat_scope: str = "train"):
+    def __init__(self, features: list[Feature], stat_scope: str = "train", hidden: list[str] | tuple = (), key: str | None = None):
         super().__init__()
         self.features, self.stat_scope = list(features), stat_scope
+        self.hidden, self.key = list(hidden), key
+
+    def over(self, hidden: list[str], key: str | None) -> "FeatureStep":
+        """The same step for frames with these hidden columns."""
+        return FeatureStep(self.features, self.stat_scope, hidden, key)
 
     def _fit(self, df: DataFrame) -> "FeatureStepModel":
-        if self.stat_scope == "frame":
-            return FeatureStepModel(self.features, None, None)
+        visible = df.select(*[c for c in df.columns if c not in self.hidden])
         try:
-            fitted = fit_features(self.features, df)
-            return FeatureStepModel(self.features, fitted, None)
+            fitted = None if self.stat_scope == "frame" else fit_features(self.features, visible)
         except Exception as e:  # recorded, the step becomes the identity
-            return FeatureStepModel(self.features, None, f"{type(e).__name__}: {e}")
+            return FeatureStepModel(self.features, None, f"{type(e).__name__}: {e}", self.hidden, self.key)
+        model = FeatureStepModel(self.features, fitted, None, self.hidden, self.key)
+        model.error = model.problem(df)
+        return model
 
     def describe(self) -> str:
         return "; ".join(f.describe() for f in self.features)
 
 
-class FeatureStepModel(_Model):
-    def __init__(self, features, fitted, error):
+class FeatureStepModel(_Model, Saved):
+    """A fitted step; group tables are kept as tables when it is saved."""
+
+    def parts(self):
+        stats = list(self.fitted.stats) if self.fitted is not None else None
+        tables = {f"stats{i}": s for i, s in enumerate(stats or []) if isinstance(s, DataFrame)}
+        plain = [None if isinstance(s, DataFrame) else s for s in stats] if stats is not None else None
+        return (self.features, plain, self.error, self.hidden, self.key), tables, []
+
+    @classmethod
+    def from_parts(cls, state, tables, models):
+        features, stats, error, hidden, key = state
+        fitted = None
+        if stats is not None:
+            fitted = FittedFeatures(features, [tables.get(f"stats{i}", s) for i, s in enumerate(stats)])
+        return cls(features, fitted, error, hidden, key)
+
+    def __init__(self, features, fitted, error, hidden=(), key=None):
         super().__init__()
         self.features, self.fitted, self.error = features, fitted, error
+        self.hidden, self.key = list(hidden), key
+
+    def _run(self, df: DataFrame) -> DataFrame:
+        run = self.fitted.transform if self.fitted is not None else lambda d: apply_features(self.features, d)
+        return _run_hidden(run, self.features, df, self.hidden, self.key)
+
+    def problem(self, df: DataFrame) -> str | None:
+        """Why the step can't be used on ``df``: its error or the failed validation; None if it can."""
+        from strata.operators.validate import error_text, inspect
+        key = self.key if self.key in df.columns else None
+        try:
+            out = self._run(df)
+            made = out.select(*[c for c in out.columns if c not in self.hidden], *([key] if key in self.hidden else []))
+            return inspect(made, df.count(), key)[1]
+        except Exception as e:
+            return error_text(e)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         if self.error is not None:
             return df
         try:
-            out = (self.fitted.transform(df) if self.fitted is not None
-                   else apply_features(self.features, df))
+            out = self._run(df)
             out.schema  # analysis errors surface here
             return out
         except Exception as e:

@@ -9,8 +9,10 @@
 2. one aggregate counts, per bracket, the rows below L and inside [L, H] and
    checks that the two order statistics around p * (n - 1) fall inside
    (otherwise the margin widens and step 2 repeats);
-3. one aggregate sorts only the bracket values (a bounded list) and reads the
-   two order statistics, interpolated linearly as Spark's ``percentile``.
+3. the values inside each bracket are counted (``groupBy`` value, so one that
+   repeats is a single row) and a window over these counts reads the two order
+   statistics, interpolated linearly as Spark's ``percentile``; nothing is
+   gathered into a list.
 
 All columns and probabilities share the same three jobs; only two numbers
 per (column, p) reach the driver.
@@ -20,10 +22,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BRACKET_ROWS = 1_000_000
+BRACKET_ROWS = 200_000
 MIN_ACCURACY = 10_000
 
 
@@ -81,26 +83,25 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         result[c][i] = df.agg(F.percentile(x[c], probs[i])).first()[0]
     if not brackets:
         return result
-    # step 3: sort only the bracket values and read the order statistics
+    # step 3: count the values inside each bracket (a repeated value is one row) and read the order statistics
     items = sorted(brackets)
-    aggs = []
+    inside = F.filter(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.when((x[c] >= F.lit(brackets[c, i][0])) & (x[c] <= F.lit(brackets[c, i][1])), x[c]).alias("v"))
+        for k, (c, i) in enumerate(items)]), lambda s: s["v"].isNotNull())
+    held = df.select(F.explode(inside).alias("s")).groupBy("s.k", "s.v").agg(F.count(F.lit(1)).alias("n"))
+    # distinct values of one bracket per window task: at most its rows but for repeated ones
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = df.sparkSession.createDataFrame(
+        [(k, int(math.floor(probs[i] * (counts[c] - 1)) - brackets[c, i][2]), int(math.ceil(probs[i] * (counts[c] - 1)) - brackets[c, i][2]))
+         for k, (c, i) in enumerate(items)], "k int, lo long, hi long")
+    placed = held.select("k", "v", "n", upto.alias("upto")).join(F.broadcast(ranks), "k")  # one row per column and probability
+    at = lambda r: (F.col(r) < F.col("upto")) & (F.col(r) >= F.col("upto") - F.col("n"))
+    found = placed.where(at("lo") | at("hi")).groupBy("k").agg(F.max(F.when(at("lo"), F.col("v"))).alias("l"),
+                                                               F.max(F.when(at("hi"), F.col("v"))).alias("h"))
+    rows = {r["k"]: r for r in found.collect()}
     for k, (c, i) in enumerate(items):
-        lo, hi, _ = brackets[(c, i)]
-        inside = F.when((x[c] >= F.lit(lo)) & (x[c] <= F.lit(hi)), x[c])
-        aggs.append(F.sort_array(F.collect_list(inside)).alias(f"v{k}"))
-    sel = df.agg(*aggs)
-    picks = []
-    for k, (c, i) in enumerate(items):
-        n = counts[c]
-        pos = probs[i] * (n - 1)
-        below = brackets[(c, i)][2]
-        lo_i, hi_i = math.floor(pos) - below, math.ceil(pos) - below
-        picks += [F.element_at(f"v{k}", lo_i + 1).alias(f"l{k}"), F.element_at(f"v{k}", hi_i + 1).alias(f"h{k}")]
-    row = sel.select(*picks).first()
-    for k, (c, i) in enumerate(items):
-        n = counts[c]
-        pos = probs[i] * (n - 1)
+        pos = probs[i] * (counts[c] - 1)
         lower, higher = math.floor(pos), math.ceil(pos)
-        lv, hv = row[f"l{k}"], row[f"h{k}"]
+        lv, hv = rows[k]["l"], rows[k]["h"]
         result[c][i] = lv if higher == lower else (higher - pos) * lv + (pos - lower) * hv
     return result

@@ -22,20 +22,18 @@ from strata.operators.mlparams import float_param, list_param, str_param
 CARDINALITY_THRESHOLD = 0.9
 VARIANCE_THRESHOLD = 0.0
 NULL_LIMIT = 0.5
-# Above this many rows, distinct counts use HyperLogLog (relative error RSD)
-# and only columns within 3 RSD of the cardinality threshold are recounted exactly.
-APPROX_ROW_LIMIT = 50_000_000
-RSD = 0.01
+RSD = 0.01   # of the sketches that distinctMode="approx" asks for
 
 
-def cleaning_stats(df: DataFrame, columns: list[str], distinct: str = "auto") -> DataFrame:
+def cleaning_stats(df: DataFrame, columns: list[str], distinct: str = "exact",
+                   threshold: float = CARDINALITY_THRESHOLD) -> DataFrame:
     """Per-column statistics the cleaning rules need, one aggregate pass.
 
     Output: col, n_rows, n_unique, null_share, variance, is_float, is_numeric,
     is_real_numeric.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
-    approx = distinct == "approx" or (distinct == "auto" and df.count() > APPROX_ROW_LIMIT)
+    approx = distinct == "approx"   # only when asked for by name; the same at every size
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(columns):
         col, dt = F.col(c), fields[c]
@@ -57,14 +55,14 @@ def cleaning_stats(df: DataFrame, columns: list[str], distinct: str = "auto") ->
     stats = wide.select(F.inline(F.array(*rows)))
     card = S.distinct_counts(df, columns, exact=not approx, rsd=RSD)
     if approx:
-        card = _recount_near_threshold(df, stats, card)
+        card = _recount_near_threshold(df, stats, card, threshold)
     # one row per column on both sides: bounded broadcast
     out = stats.join(F.broadcast(card), "col")
     return out.select("col", "n_rows", "n_unique", "null_share", "variance", "is_float", "is_numeric",
                       "is_real_numeric")
 
 
-def _recount_near_threshold(df: DataFrame, stats: DataFrame, card: DataFrame) -> DataFrame:
+def _recount_near_threshold(df: DataFrame, stats: DataFrame, card: DataFrame, threshold: float) -> DataFrame:
     """Exact distinct counts for the columns whose sketch is near the ID threshold.
 
     Only those columns (usually none) are recounted exactly; the small
@@ -72,7 +70,7 @@ def _recount_near_threshold(df: DataFrame, stats: DataFrame, card: DataFrame) ->
     """
     n = stats.select("n_rows").first()[0] or 0
     approx = {r["col"]: r["n_unique"] for r in card.collect()}
-    near = [c for c, u in approx.items() if n and abs(u / n - CARDINALITY_THRESHOLD) <= 3 * RSD]
+    near = [c for c, u in approx.items() if n and abs(u / n - threshold) <= 3 * RSD]
     if near:
         exact = {r["col"]: r["n_unique"] for r in S.distinct_counts(df, near, exact=True).collect()}
         approx.update(exact)
@@ -122,7 +120,7 @@ class _CleanerParams(DefaultParamsReadable, DefaultParamsWritable):
     varianceThreshold = float_param("varianceThreshold", "numeric columns with variance <= this are dropped")
     numericNullLimit = float_param("numericNullLimit", "null share above which a numeric column is dropped")
     categoricalNullLimit = float_param("categoricalNullLimit", "null share above which other columns are dropped")
-    distinctMode = str_param("distinctMode", "exact | approx | auto")
+    distinctMode = str_param("distinctMode", "exact | approx (sketches, recounted near the threshold)")
 
 
 class ColumnCleaner(Estimator, _CleanerParams):
@@ -131,18 +129,18 @@ class ColumnCleaner(Estimator, _CleanerParams):
     @keyword_only
     def __init__(self, *, excludeCols=None, cardinalityThreshold=CARDINALITY_THRESHOLD,
                  varianceThreshold=VARIANCE_THRESHOLD, numericNullLimit=NULL_LIMIT,
-                 categoricalNullLimit=NULL_LIMIT, distinctMode="auto"):
+                 categoricalNullLimit=NULL_LIMIT, distinctMode="exact"):
         super().__init__()
         self._setDefault(excludeCols=[], cardinalityThreshold=CARDINALITY_THRESHOLD,
                          varianceThreshold=VARIANCE_THRESHOLD, numericNullLimit=NULL_LIMIT,
-                         categoricalNullLimit=NULL_LIMIT, distinctMode="auto")
+                         categoricalNullLimit=NULL_LIMIT, distinctMode="exact")
         kwargs = {k: v for k, v in self._input_kwargs.items() if v is not None}
         self._set(**kwargs)
 
     def report(self, df: DataFrame) -> DataFrame:
         excl = set(self.getOrDefault("excludeCols"))
         cols = [c for c in df.columns if c not in excl]
-        stats = cleaning_stats(df, cols, self.getOrDefault("distinctMode"))
+        stats = cleaning_stats(df, cols, self.getOrDefault("distinctMode"), self.getOrDefault("cardinalityThreshold"))
         return cleaning_report(stats, self.getOrDefault("cardinalityThreshold"),
                                self.getOrDefault("varianceThreshold"),
                                self.getOrDefault("numericNullLimit"),

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from strata.functions import stats as S
 from strata.functions.joins import join_small
 
-PREFIX_HEX = 3          # 16^3 = 4096 ordered buckets per stratum
+PREFIX_HEX = 3          # 16^3 = 4096 ordered buckets per stratum to begin with
+MAX_HEX = 7             # more digits are taken while buckets are large, up to 16^7
 HOT_BUCKET_ROWS = 2_000_000   # a bucket above this holds many copies of one key: use the tie path
 TIE_SALTS = 256
 TIE_ROWS = 1_000_000          # rows per salted sub-partition of a hot group
@@ -46,28 +47,38 @@ def assign_folds(df: DataFrame, k: int = 5, strata_col: str | None = None,
     bucket is hot (many rows share one key, e.g. copies of one row), the
     copies are numbered through salted sub-partitions instead of one task.
     """
-    st = F.col(strata_col) if strata_col else F.lit(0)
-    keyed = (df.withColumn("__st", st).withColumn("__key", key_string(df, key_cols))
+    # NULL is a stratum like any other
+    st = F.coalesce(F.concat(F.lit("v"), F.col(strata_col).cast("string")), F.lit("n")) if strata_col else F.lit("v")
+    hashable = [F.col(c) for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+    plain = (df.withColumn("__st", st).withColumn("__key", key_string(df, key_cols))
              .withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__key"))))
-             .withColumn("__b", F.conv(F.substring("__h", 1, PREFIX_HEX), 16, 10).cast("int")))
-    counts = keyed.groupBy("__st", "__b").agg(F.count(F.lit(1)).alias("__cnt"))
+             .withColumn("__row", F.xxhash64(*hashable)))
+    digits, before = PREFIX_HEX, None
+    while True:
+        keyed = plain.withColumn("__b", F.conv(F.substring("__h", 1, digits), 16, 10).cast("long"))
+        counts = keyed.groupBy("__st", "__b").agg(F.count(F.lit(1)).alias("__cnt"))
+        # one statistics job: largest stratum (validity), offsets table size (broadcast bound), largest bucket
+        facts = (counts.groupBy("__st").agg(F.sum("__cnt").alias("n"), F.count(F.lit(1)).alias("nb"),
+                                            F.max("__cnt").alias("mb"))
+                 .agg(F.max("n").alias("largest"), F.sum("nb").alias("rows"), F.max("mb").alias("hot")).first())
+        hot = facts["hot"] or 0
+        # more digits while that makes buckets smaller; a bucket that stays large holds copies of one key
+        if hot <= hot_bucket_rows or digits >= MAX_HEX or (before is not None and hot > before / 2):
+            break
+        digits, before = digits + 1, hot
     w = Window.partitionBy("__st").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__st", "__b", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
-    # one statistics job: largest stratum (validity), offsets table size (broadcast bound), largest bucket
-    facts = (counts.groupBy("__st").agg(F.sum("__cnt").alias("n"), F.count(F.lit(1)).alias("nb"),
-                                        F.max("__cnt").alias("mb"))
-             .agg(F.max("n").alias("largest"), F.sum("nb").alias("rows"), F.max("mb").alias("hot")).first())
     if facts["largest"] is not None and facts["largest"] < k:
         raise ValueError(f"n_splits={k} cannot be greater than the number of members in each class")
-    if (facts["hot"] or 0) > hot_bucket_rows:
+    if hot > hot_bucket_rows:
         rn = _row_numbers_with_ties(keyed, offsets, facts["rows"] or 0, facts["hot"])
         return (rn.withColumn(fold_col, ((F.col("__rn") - 1) % k).cast("int"))
-                .drop("__st", "__key", "__h", "__b", "__rn"))
+                .drop("__st", "__key", "__h", "__b", "__rn", "__row"))
     joined = join_small(keyed, offsets, ["__st", "__b"], "inner", rows=facts["rows"] or 0)
-    wb = Window.partitionBy("__st", "__b").orderBy("__h", "__key")
+    wb = Window.partitionBy("__st", "__b").orderBy("__h", "__key", "__row")
     rn = F.col("__off") + F.row_number().over(wb)
     return (joined.withColumn(fold_col, ((rn - 1) % k).cast("int"))
-            .drop("__st", "__key", "__h", "__b", "__off"))
+            .drop("__st", "__key", "__h", "__b", "__off", "__row"))
 
 
 def _row_numbers_with_ties(keyed: DataFrame, offsets: DataFrame, offset_rows: int, hot: int) -> DataFrame:
@@ -84,7 +95,7 @@ def _row_numbers_with_ties(keyed: DataFrame, offsets: DataFrame, offset_rows: in
     from strata.session import cut_lineage
     salts_n = max(TIE_SALTS, -(-hot // TIE_ROWS))
     row_hash = F.md5(F.to_json(F.struct(*[F.col(c) for c in keyed.columns
-                                           if c not in ("__st", "__key", "__h", "__b")])))
+                                           if c not in ("__st", "__key", "__h", "__b", "__row")])))
     rows = cut_lineage(keyed.withColumn("__rh", row_hash)
                        .withColumn("__mono", F.monotonically_increasing_id())
                        .withColumn("__salt", F.pmod(F.xxhash64("__mono"), F.lit(salts_n)).cast("int")))
@@ -98,7 +109,9 @@ def _row_numbers_with_ties(keyed: DataFrame, offsets: DataFrame, offset_rows: in
     ws = Window.partitionBy(*gkeys).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     salt_off = salts.withColumn("__so", F.coalesce(F.sum("__sc").over(ws), F.lit(0))).drop("__sc")
     wr = Window.partitionBy(*gkeys, "__salt").orderBy("__mono")
-    out = (rows.join(base, gkeys).join(salt_off, gkeys + ["__salt"])
+    # the group's start goes to each of its salts first, so the rows of a hot group meet it in as many tasks
+    starts = salt_off.join(base, gkeys)
+    out = (rows.join(starts, gkeys + ["__salt"])
            .withColumn("__rn", F.col("__base") + F.col("__so") + F.row_number().over(wr)))
     return out.drop("__rh", "__salt", "__mono", "__base", "__so")
 

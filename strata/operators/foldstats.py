@@ -60,7 +60,7 @@ class FoldStats:
     vocab: dict = field(default_factory=dict)         # fold -> col -> [top values]
 
 
-def fold_statistics(data: DataFrame, columns: list[str], label: str, k: int, max_categories: int,
+def fold_statistics(data: DataFrame, columns: list[str], label: str, k: int, max_categories: int | None,
                     missing_token: str = "missing") -> FoldStats:
     fields = {f.name: f.dataType for f in data.schema.fields}
     numeric = [c for c in columns if TY.is_numeric(fields[c])] + [label]
@@ -125,9 +125,10 @@ def fold_statistics(data: DataFrame, columns: list[str], label: str, k: int, max
         per_f = filled.select("col", "value", F.explode(F.array(*[
             F.struct(F.lit(f).alias("f"), (F.col("tot") - F.col(f"n{f}")).alias("cnt")) for f in range(k)]))
             .alias("t")).select("col", "value", "t.f", "t.cnt").where(F.col("cnt") > 0)
-        w = Window.partitionBy("col", "f").orderBy(F.col("cnt").desc(), F.col("value"))
-        top = per_f.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_categories) \
-            .select("col", "f", "value").collect()
+        if max_categories:
+            w = Window.partitionBy("col", "f").orderBy(F.col("cnt").desc(), F.col("value"))
+            per_f = per_f.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_categories)
+        top = per_f.select("col", "f", "value").collect()
         for r in top:
             st.vocab[r["f"]][r["col"]].append(r["value"])
     return st

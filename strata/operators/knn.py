@@ -28,8 +28,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.persist import Saved
+from strata.session import cut_lineage
+
 BLOCK_ROWS = 20_000
 QUERY_CHUNK = 256
+PAIR_CHUNK = 65_536
 
 _CAND_SCHEMA = "qkey string, tkey string, label double, d double"
 
@@ -51,11 +55,20 @@ def _cell_topk(k: int):
         qkeys_all = np.asarray(q["key"].astype(object).to_numpy(), dtype=object)
         qx_all = np.stack(q["x"].to_numpy()).astype(np.float64)
         kk = min(k, len(t))
+        norms = (tx * tx).sum(axis=1)
         qk, tk, lab, dist = [], [], [], []
         for start in range(0, len(q), QUERY_CHUNK):
             qx = qx_all[start:start + QUERY_CHUNK]
-            diff = qx[:, None, :] - tx[None, :, :]
-            d = np.sqrt((diff * diff).sum(axis=2))
+            # norms and one matrix product find the candidates; the k best and all within
+            # rounding of them get their exact distance, so ties order by training key
+            near = np.maximum((qx * qx).sum(axis=1)[:, None] + norms[None, :] - 2.0 * (qx @ tx.T), 0.0)
+            slack = 1e-9 * (1.0 + (qx * qx).sum(axis=1) + norms.max())
+            kth = np.partition(near, kk - 1, axis=1)[:, kk - 1]
+            d = np.full(near.shape, np.inf)
+            r, c = np.nonzero(near <= (kth + slack)[:, None])
+            for a in range(0, len(r), PAIR_CHUNK):
+                diff = qx[r[a:a + PAIR_CHUNK]] - tx[c[a:a + PAIR_CHUNK]]
+                d[r[a:a + PAIR_CHUNK], c[a:a + PAIR_CHUNK]] = np.sqrt((diff * diff).sum(axis=1))
             # stable sort keeps the training-key order among equal distances
             idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
             rows = np.arange(len(qx))[:, None]
@@ -116,12 +129,23 @@ class KNNClassifier(Estimator):
         return KNNModel(df.select(self.key_col, "features", "label"), self.k, self.key_col)
 
 
-class KNNModel(Model):
+class KNNModel(Model, Saved):
     def __init__(self, train: DataFrame, k: int, key_col: str):
         super().__init__()
         self.train, self.k, self.key_col = train, k, key_col
 
+    def parts(self):
+        return (self.k, self.key_col), {"train": self.train}, []
+
+    @classmethod
+    def from_parts(cls, state, tables, models):
+        return cls(tables["train"], *state)
+
     def _transform(self, df: DataFrame) -> DataFrame:
+        if self.key_col not in df.columns:
+            # new rows carry no key: number them once, written down so that both reads agree
+            keyed = cut_lineage(df.withColumn(self.key_col, F.monotonically_increasing_id().cast("string")))
+            return self._transform(keyed).drop(self.key_col)
         pred = knn_predict(self.train, df, self.k, key_col=self.key_col)
         return df.join(pred.withColumnRenamed("key", "__knn_key"),
                        F.col(self.key_col).cast("string") == F.col("__knn_key"), "left").drop("__knn_key")

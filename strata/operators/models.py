@@ -22,6 +22,7 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.persist import Saved
 from strata.session import cut_lineage
 
 SEED = 42
@@ -104,14 +105,22 @@ class AdaBoostClassifier(Estimator):
             nxt = scored.select("features", "label",
                                 (F.col("__w") * F.exp(F.lit(alpha) * miss) * F.lit(tot / new_tot)).alias("__w"))
             data = _next_round(data, nxt, m)
+        data.unpersist()
         return AdaBoostClassificationModel(stumps, alphas, k)
 
 
-class AdaBoostClassificationModel(Model):
+class AdaBoostClassificationModel(Model, Saved):
     def __init__(self, stumps, alphas, n_classes):
         super().__init__()
         self.stumps, self.alphas, self.n_classes = stumps, alphas, n_classes
 
+    def parts(self):
+        return (self.alphas, self.n_classes), {}, self.stumps
+
+    @classmethod
+    def from_parts(cls, state, tables, models):
+        return cls(models, *state)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         out = df
         names = []
@@ -172,16 +181,24 @@ class AdaBoostRegressor(Estimator):
             nxt = scored.select("features", "label",
                                 (F.col("__w") * F.pow(F.lit(beta), (1.0 - loss) * self.learning_rate)).alias("__w"))
             data = _next_round(data, nxt, m)
+        data.unpersist()
         return AdaBoostRegressionModel(trees, alphas)
 
 
-class AdaBoostRegressionModel(Model):
+class AdaBoostRegressionModel(Model, Saved):
     """Prediction = weighted median of the trees' predictions."""
 
     def __init__(self, trees, alphas):
         super().__init__()
         self.trees, self.alphas = trees, alphas
 
+    def parts(self):
+        return self.alphas, {}, self.trees
+
+    @classmethod
+    def from_parts(cls, state, tables, models):
+        return cls(models, state)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         out = df
         names = []

@@ -23,10 +23,9 @@ from strata.operators.mlparams import float_list_param, list_param, str_param
 # exact medians / quantiles merge a value -> count map in one task: sketch above this
 EXACT_ROW_LIMIT = 10_000_000
 MISSING_TOKEN = "missing"
-# Vocabulary bound per categorical column: the most frequent values are kept;
-# rarer values encode like unseen ones (all-zero vector).  Columns with fewer
-# distinct values are unaffected.
-MAX_CATEGORIES = 1000
+# Categories per column: None keeps them all.  A number, only if a caller asks
+# for it, keeps the most frequent ones; the rest encode like unseen values.
+MAX_CATEGORIES = None
 
 
 class _ColsParams(DefaultParamsReadable, DefaultParamsWritable):
@@ -173,28 +172,33 @@ class CategoricalFill(Transformer, _ColsParams):
 
 
 class CategoryIndexer(Estimator, _ColsParams):
-    """Alphabetical category codes with a bounded vocabulary.
+    """Alphabetical category codes.
 
-    The vocabulary of each column is its ``maxCategories`` most frequent
-    values (ties by value), found by a distributed top-k; only that bounded
-    list reaches the driver.  Values outside it get the extra "unseen" code,
-    which the one-hot stage maps to the all-zero vector.
+    Every value of the training rows gets a code (``maxCategories`` 0); with a
+    positive ``maxCategories`` only the most frequent ones do (ties by value,
+    found by a distributed top-k).  Values outside get the extra "unseen"
+    code, which the one-hot stage maps to the all-zero vector.  As in MLlib's
+    own indexer, a fitted column's values are part of the model.
     """
 
     outputCols = list_param("outputCols", "index columns")
-    maxCategories = Param(Params._dummy(), "maxCategories", "vocabulary size per column",
+    maxCategories = Param(Params._dummy(), "maxCategories", "vocabulary size per column, 0 for all values",
                           typeConverter=TypeConverters.toInt)
 
     @keyword_only
     def __init__(self, *, inputCols=None, outputCols=None, maxCategories=MAX_CATEGORIES):
         super().__init__()
-        self._setDefault(inputCols=[], outputCols=[], maxCategories=MAX_CATEGORIES)
+        self._setDefault(inputCols=[], outputCols=[], maxCategories=MAX_CATEGORIES or 0)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         from strata.operators.profile import top_values
-        cols = self.getOrDefault("inputCols")
-        top = top_values(df, cols, self.getOrDefault("maxCategories")).select("col", "value").collect()
+        cols, most = self.getOrDefault("inputCols"), self.getOrDefault("maxCategories")
+        if most:
+            top = top_values(df, cols, most).select("col", "value").collect()
+        else:
+            every = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols]))
+            top = df.select(every.alias("t")).select("t.*").where(F.col("value").isNotNull()).distinct().collect() if cols else []
         vocab = {c: [] for c in cols}
         for r in top:
             vocab[r["col"]].append(r["value"])
@@ -206,7 +210,7 @@ class CategoryIndexer(Estimator, _ColsParams):
 
 def preprocessing_stages(num_cols: list[str], cat_cols: list[str], scaler: str = "standard",
                          features_col: str = "features", mode: str = "auto",
-                         max_categories: int = MAX_CATEGORIES) -> list:
+                         max_categories: int | None = MAX_CATEGORIES) -> list:
     """Stages of the typed column transformer (F6): numeric and categorical routes."""
     stages: list = []
     if num_cols:

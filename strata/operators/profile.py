@@ -21,10 +21,7 @@ from strata.functions import stats as S
 from strata.functions import types as TY
 from strata.sources.readers import require_column
 
-# Rows above which exact distinct counts switch to HyperLogLog (the exact path
-# is a shuffle and scales, but multiplies rows by the column count).
-EXACT_ROW_LIMIT = 50_000_000
-# Rows above which exact medians switch to a quantile sketch: the exact
+# Rows above which medians take the bracketing plan (same values): the plain
 # percentile merges a value -> count map of the whole column in one task.
 EXACT_MEDIAN_ROWS = 10_000_000
 
@@ -57,8 +54,7 @@ def _pandas_like_dtype(dt: T.DataType) -> str:
 def _use_exact(df: DataFrame, exact: bool | str) -> tuple[bool, bool]:
     """(exact distinct counts, exact medians) for this table."""
     if exact == "auto":
-        n = df.count()
-        return n <= EXACT_ROW_LIMIT, n <= EXACT_MEDIAN_ROWS
+        return True, df.count() <= EXACT_MEDIAN_ROWS
     return bool(exact), bool(exact)
 
 
@@ -75,10 +71,9 @@ def column_profile(df: DataFrame, target: str | None = None, columns: list[str]
     Columns: col, dtype, is_numeric, null_count, null_rate, cardinality,
     cardinality_rate, mean, std, min, max, median, skew.  Statistics of
     non-numeric columns are NULL.  ``exact=False`` uses HyperLogLog distinct
-    counts and a bounded-memory median sketch; ``"auto"`` keeps exact
-    distinct counts up to ``EXACT_ROW_LIMIT`` rows (HyperLogLog above) and
-    computes exact medians in the aggregate up to ``EXACT_MEDIAN_ROWS`` rows,
-    by bracketing (still exact, bounded memory) above.
+    counts and a bounded-memory median sketch; ``"auto"`` is exact at every
+    size: distinct counts by shuffle, medians in the aggregate up to
+    ``EXACT_MEDIAN_ROWS`` rows and by bracketing (bounded memory) above.
     """
     cols = columns if columns is not None else [c for c in df.columns if c != target]
     spark = df.sparkSession

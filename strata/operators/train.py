@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import types as TY
@@ -65,20 +65,21 @@ def _label(df: DataFrame, target: str, task: str):
 
 
 def _prepare_fold(train: DataFrame, val: DataFrame, target: str, passthrough: list[str],
-                  fe_step: FeatureStep | None, scaler: str, cleaning: dict | None, mode: str = "auto"):
+                  fe_step: FeatureStep | None, scaler: str, cleaning: dict | None, mode: str = "auto",
+                  val_rows: bool = True):
     """Fit cleaning -> features -> preprocessing on ``train``; vectors for both sides."""
-    opts = {"distinctMode": "exact" if mode == "exact" else "auto", **(cleaning or {})}
+    opts = {"distinctMode": "exact", **(cleaning or {})}
     cleaner = ColumnCleaner(excludeCols=passthrough, **opts).fit(train)
     stages = [cleaner]
     tr, va = cleaner.transform(train), cleaner.transform(val)
     fe_error = None
     if fe_step is not None:
-        fem = fe_step.fit(tr)
-        tr2 = fem.transform(tr)
-        if fem.error is None:
-            tr, va = tr2, fem.transform(va)
+        # the step sees feature columns only; valid on both sides, or the identity on both (K1, K3)
+        fem = fe_step.over([c for c in passthrough if c in tr.columns], "__key").fit(tr)
+        fe_error = fem.error or (fem.problem(va) if val_rows else None)
+        if fe_error is None:
+            tr, va = fem.transform(tr), fem.transform(va)
             stages.append(fem)
-        fe_error = fem.error
     feats = [c for c in tr.columns if c not in passthrough]
     num = [c for c in feats if TY.is_real_numeric(tr.schema[c].dataType)]
     cat = [c for c in feats if c not in num]
@@ -113,6 +114,9 @@ def prepare(df: DataFrame, target: str, task: str, key_cols: list[str] | None =
         data = CV.regression_strata(data, target, k, out_col="__stratum", key_cols=key_cols, seed=seed)
         data = CV.assign_folds(data, k, strata_col="__stratum", key_cols=key_cols, seed=seed).drop("__stratum")
     data = data.withColumn("__key", CV.key_string(df, key_cols))
+    if not key_cols:  # equal rows get a number each, so that keys are unique
+        copy = F.row_number().over(Window.partitionBy("__key").orderBy("fold"))
+        data = data.withColumn("__key", F.concat_ws("#", "__key", copy.cast("string")))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     return Prepared(data, task, labels, data.count(), k)
 
@@ -198,6 +202,13 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
         shared = fold_statistics(data, feature_cols, "label", k, PR.MAX_CATEGORIES)
 
     def run_fold(f: int):
+        """A fold whose preparation fails counts against every model, not against the run."""
+        try:
+            return fit_fold(f)
+        except Exception as e:
+            return [], {m: 0.0 for m in models}, {m: f"fold {f}: {type(e).__name__}: {e}" for m in models}, None
+
+    def fit_fold(f: int):
         """Fit the fold's stages once, then every model on the cached vectors."""
         parts, timings, errors = [], {m: 0.0 for m in models}, {}
         train_rows, val_rows = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
@@ -226,7 +237,7 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
                     F.col("label").alias("y"), F.col("prediction").cast("double").alias("prediction"))
                 parts.append((name, _materialize(pred)))
             except Exception as e:  # a failing model is skipped (H19)
-                errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
+                errors[name] = f"{type(e).__name__}: {e}"
             timings[name] += time.time() - t0
         tr.unpersist()
         va.unpersist()
@@ -262,7 +273,11 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
     times = spark.createDataFrame([(m, round(timings[m], 3)) for m in ok_models], "model string, time_s double")
     board = CV.rank_board(CV.leaderboard(oof, task).join(times, "model"))
     rows = board.collect()   # one row per model
-    best = min(rows, key=lambda r: (r["cv_loss_mean"], r["model"]))
+    # the board shows rounded losses; the winner is decided on the full ones (one row per model and fold)
+    exact: dict[str, list[float]] = {m: [] for m in ok_models}
+    for r in CV.fold_losses(oof, task, by=["model"]).collect():
+        exact[r["model"]].append(r["loss"])
+    best = min(rows, key=lambda r: (math.fsum(exact[r["model"]]) / max(1, len(exact[r["model"]])), r["model"]))
     primary = "accuracy" if task == "classification" else "rmse"
     result = TrainResult("complete", task, best["model"], float(best[primary]), float(best["cv_loss_mean"]),
                          leaderboard=board, oof=oof, fold_losses=CV.fold_losses(oof, task, by=["model"]),
@@ -291,7 +306,7 @@ def refit_best(data: DataFrame, target: str, task: str, name: str, passthrough:
                fe_step, scaler, cleaning, params, labels, mode="auto"):
     """Refit cleaning, features, preprocessing and the model on every row."""
     _, _, stages, names, _ = _prepare_fold(data, data.limit(0), target, passthrough, fe_step, scaler,
-                                           cleaning, mode)
+                                           cleaning, mode, val_rows=False)
     prepared = data
     for st in stages:
         prepared = st.transform(prepared)

@@ -19,10 +19,18 @@ PANDAS_NA_TOKENS = [
     "nan", "null",
 ]
 
-# Order in which a string column is tried: the first type that accepts every
-# non-null value wins.
-_CANDIDATE_TYPES = [("bigint", T.LongType()), ("double", T.DoubleType()),
-                    ("boolean", T.BooleanType())]
+# Order in which a string column is tried: the first type whose pattern every
+# non-null value matches (and which can hold them all) wins.
+_CANDIDATE_TYPES = [
+    ("bigint", T.LongType(), r"^\s*[+-]?[0-9]+\s*$"),
+    ("double", T.DoubleType(), r"^\s*[+-]?([0-9]+[.]?[0-9]*([eE][+-]?[0-9]+)?|[.][0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"),
+    ("boolean", T.BooleanType(), r"^(true|True|TRUE|false|False|FALSE)$"),
+]
+
+
+def quoted(c: str) -> str:
+    """A column name as an identifier, also when it has dots or blanks."""
+    return "`" + c.replace("`", "``") + "`"
 
 
 def require_column(df: DataFrame, column: str) -> None:
@@ -33,44 +41,47 @@ def require_column(df: DataFrame, column: str) -> None:
 
 
 def _null_tokens(c: str, tokens: list[str]) -> Column:
-    col = F.col(c)
-    return F.when(col.isin(tokens) | F.trim(col).eqNullSafe(F.lit("")), F.lit(None)).otherwise(col)
+    col = F.col(quoted(c))
+    return F.when(col.isin(tokens), F.lit(None)).otherwise(col)
 
 
 def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Cast string columns to bigint / double / boolean when every value allows it.
 
-    One aggregate pass over the data decides all columns together.
+    One aggregate pass over the data decides all columns together.  Only the
+    spellings true and false are booleans; a number must look like one.
     """
     cols = columns if columns is not None else [
         f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not cols:
         return df
     checks = []
-    for c in cols:
-        for tname, _ in _CANDIDATE_TYPES:
-            ok = F.col(c).isNull() | F.expr(f"try_cast(`{c}` AS {tname})").isNotNull()
-            checks.append(F.bool_and(ok).alias(f"{c}\u0001{tname}"))
-        checks.append(F.count(F.col(c)).alias(f"{c}\u0001nonnull"))
-    row = df.agg(*checks).first().asDict()
+    for i, c in enumerate(cols):
+        col = F.col(quoted(c))
+        for j, (_, ttype, pattern) in enumerate(_CANDIDATE_TYPES):
+            ok = col.isNull() | (col.rlike(pattern) & F.trim(col).try_cast(ttype).isNotNull())
+            checks.append(F.bool_and(ok).alias(f"t{i}_{j}"))
+        checks.append(F.count(col).alias(f"n{i}"))
+    row = df.agg(*checks).first()
     casts = {}
-    for c in cols:
-        if row[f"{c}\u0001nonnull"] == 0:
-            continue
-        for tname, ttype in _CANDIDATE_TYPES:
-            if row[f"{c}\u0001{tname}"]:
-                casts[c] = ttype
-                break
-    return df.select(*[
-        F.expr(f"try_cast(`{f.name}` AS {casts[f.name].simpleString()})").alias(f.name)
-        if f.name in casts else F.col(f.name) for f in df.schema.fields])
+    for i, c in enumerate(cols):
+        if row[f"n{i}"]:
+            casts.update({c: t for j, (_, t, _) in reversed(list(enumerate(_CANDIDATE_TYPES))) if row[f"t{i}_{j}"]})
+    return df.select(*[F.trim(F.col(quoted(f.name))).try_cast(casts[f.name]).alias(f.name) if f.name in casts
+                       else F.col(quoted(f.name)) for f in df.schema.fields])
 
 
 def read_csv(spark: SparkSession, path: str, na_values: list[str] | None = None,
-             infer: bool = True) -> DataFrame:
-    """CSV scan with a header, NA tokens to NULL, then type inference (A1)."""
+             infer: bool = True, multiline: bool = True) -> DataFrame:
+    """CSV scan with a header, NA tokens to NULL, then type inference (A1).
+
+    Quotes inside quotes are doubled and a quoted line break stays in its
+    field.  For the latter a file is read by one task; ``multiline=False``
+    splits large files that are known to have no such breaks.
+    """
     tokens = PANDAS_NA_TOKENS if na_values is None else na_values
-    raw = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
+    raw = (spark.read.option("header", "true").option("inferSchema", "false").option("quote", '"').option("escape", '"')
+           .option("multiLine", str(multiline).lower()).csv(path))
     cleaned = raw.select(*[_null_tokens(c, tokens).alias(c) for c in raw.columns])
     return infer_types(cleaned) if infer else cleaned
 
@@ -105,8 +116,8 @@ def canonical_nulls(df: DataFrame) -> DataFrame:
     if not floats:
         return df
     return df.select(*[
-        F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)).alias(c)
-        if c in floats else F.col(c) for c in df.columns])
+        F.nanvl(F.col(quoted(c)), F.lit(None).cast(df.schema[c].dataType)).alias(c)
+        if c in floats else F.col(quoted(c)) for c in df.columns])
 
 
 def inf_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -118,8 +129,8 @@ def inf_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         return df
 
     def clean(c: str) -> Column:
-        col = F.col(c)
+        col = F.col(quoted(c))
         bad = F.isnan(col) | (F.abs(col) == F.lit(float("inf")))
         return F.when(bad, F.lit(None).cast(df.schema[c].dataType)).otherwise(col).alias(c)
 
-    return df.select(*[clean(c) if c in floats else F.col(c) for c in df.columns])
+    return df.select(*[clean(c) if c in floats else F.col(quoted(c)) for c in df.columns])

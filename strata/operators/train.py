@@ -174,19 +174,20 @@ def _prepare_fold_shared(train_rows: DataFrame, val_rows: DataFrame, passthrough
 
 
 def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: list[str] | None = None,
-          models: list[str] | None = None, model_params: dict | None = None, k: int = 5, seed: int = 42,
+          models: list[str] | str | None = None, model_params: dict | None = None, k: int = 5, seed: int = 42,
           fe_step: FeatureStep | None = None, scaler: str = "standard", cleaning: dict | None = None,
           refit: bool = True, explain: bool = True, explain_rows: int = 300,
           parallelism: int = 4, prepared: Prepared | None = None) -> TrainResult:
     """Cross-validate the models, rank them, refit the best on all rows.
 
+    ``models="configured"`` takes the task's configured list (G20).
     ``prepared`` (from :func:`prepare`) reuses an already folded and cached
     table; otherwise one is built and released at the end.
     """
     require_column(df, target)
     task = (prepared.task if prepared is not None else None) or task_type or \
         detect_task(df, target).first()["task_type"]
-    models = models or M.DEFAULT_MODELS[task]
+    models = M.CONFIGURED_MODELS[task] if models == "configured" else models or M.DEFAULT_MODELS[task]
     model_params = model_params or {}
     own = prepared is None
     prep_rows = prepare(df, target, task, key_cols, k, seed) if own else prepared

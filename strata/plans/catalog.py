@@ -35,7 +35,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all():
     # importing the modules fills QUERIES / ORACLE
-    from strata.plans import q_profile, q_eda, q_clean_prep, q_cv, q_features, q_runlog, q_models  # noqa: F401
+    from strata.plans import q_profile, q_eda, q_clean_prep, q_cv, q_features, q_runlog, q_models, q_rules  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,7 +21,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """Write a DataFrame (A4, A9, A10); ``partition_by=['run_id']`` isolates runs."""
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", "true")
+        writer = writer.option("header", "true").option("escape", '"')
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

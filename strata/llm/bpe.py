@@ -39,8 +39,9 @@ from pyspark.sql import types as T
 from strata.llm import textcols as X
 from strata.llm.packing import pack, pack_words, unpack, unpack_words
 
-BLOCK_BYTES = 6 << 20
-BUCKET_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
+_DECODE_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
 #: Unicode White_Space, which the pattern's \s stands for.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: A blank inside or at the end of longer white space: there, words can't be cut at blanks.
@@ -146,8 +147,13 @@ class TiktokenWords:
         return [enc.encode_ordinary(w) for w in words]
 
 
-def encode_packed(docs: DataFrame, encoder, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids as little-endian unsigned 32-bit integers), one row per row of ``docs``."""
+def encode_packed(docs: DataFrame, encoder, pattern: str, key: str = "doc_id", text: str = "text", also: dict | None = None) -> DataFrame:
+    """(doc_id, ids as little-endian unsigned 32-bit integers), one row per row of ``docs``.
+
+    ``also``: further columns made from the ids where they are put together,
+    name -> (Spark type, function of the Arrow column of ids).
+    """
+    more = also or {}
     df = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, size // BUCKET_BYTES)
@@ -208,51 +214,59 @@ def encode_packed(docs: DataFrame, encoder, pattern: str, key: str = "doc_id", t
         bounds = total[np.concatenate(([0], ends))] * 4
         flat = ids[X.ragged(at, n)].tobytes()
         blobs = [flat[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        col = pa.array(blobs, pa.binary())
         return pa.table({"doc_id": pa.array(row["keys"], arrow_key) if arrow_key else left["keys"].combine_chunks().flatten(),
-                         "ids": pa.array(blobs, pa.binary())})
+                         "ids": col, **{name: f(col) for name, (_, f) in more.items()}})
 
     words = df.mapInArrow(send_words, "bucket long, block long, digest string, words binary")
     back = words.groupBy("bucket").applyInArrow(encode_bucket, "block long, bucket long, digest string, sizes binary, ids binary")
     blocks = df.mapInArrow(send_positions, T.StructType([
         T.StructField("block", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("keys", T.ArrayType(key_type)),
         *(T.StructField(c, T.BinaryType()) for c in ("counts", "seq", "place"))]))
-    schema = T.StructType([T.StructField("doc_id", key_type), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", key_type), T.StructField("ids", T.BinaryType()),
+                           *(T.StructField(name, kind) for name, (kind, _) in more.items())])
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, schema)
 
 
-def decode_packed(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the bytes of its packed ``ids``: a join with the token-byte table held by every task."""
+def decoder(ranks: dict[bytes, int]):
+    """Function of an Arrow column of packed ids that gives their bytes: a join with the token-byte table."""
     size = max(ranks.values(), default=-1) + 1
     tokens = [b""] * size
     for token, rank in ranks.items():
         tokens[rank] = token
-    table = np.frombuffer(b"".join(tokens), np.uint8)
+    joined = b"".join(tokens)
     lens = np.fromiter(map(len, tokens), np.int64, size)
-    starts = np.cumsum(lens) - lens
 
-    def run(batches):
-        for whole in batches:
-            for b in X.batches_of([whole], ids, BLOCK_BYTES):
-                raw, off = X.text_buffer(b.column(ids).cast(pa.binary()).fill_null(b""))
-                x = raw.view("<u4") if len(raw) else np.zeros(0, np.uint32)
-                n = lens[x]
-                data = table[X.ragged(starts[x], n)].tobytes()
-                bounds = np.concatenate(([0], np.cumsum(n)))[off // 4].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array([data[a:z] for a, z in zip(bounds[:-1], bounds[1:])], pa.binary())], [*b.schema.names, out])
+    def decode(col: pa.Array) -> pa.Array:
+        table, starts = np.frombuffer(joined, np.uint8), np.cumsum(lens) - lens
+        out = []
+        for b in X.batches_of([pa.RecordBatch.from_arrays([col.fill_null(b"")], ["ids"])], "ids", _DECODE_BYTES):
+            raw, off = X.text_buffer(b.column("ids"))
+            x = np.frombuffer(raw.tobytes(), "<u4")
+            n = lens[x]
+            data = table[X.ragged(starts[x], n)].tobytes()
+            bounds = np.concatenate(([0], np.cumsum(n)))[off // 4].tolist()
+            out += [data[a:z] for a, z in zip(bounds[:-1], bounds[1:])]
+        return pa.array(out, pa.binary())
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+    return decode
 
 
-def unpacked(df: DataFrame, ids: str = "ids") -> DataFrame:
-    """``df`` with its packed ``ids`` as an array of integers."""
+def integers(col: pa.Array) -> pa.Array:
+    """Packed ids as lists of integers."""
+    raw, off = X.text_buffer(col.fill_null(b""))
+    return pa.ListArray.from_arrays(pa.array(off // 4, pa.int32()), pa.array(np.frombuffer(raw.tobytes(), "<i4"), pa.int32()))
+
+
+def decode_packed(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``df`` with the bytes of its packed ``ids``: a join with the token-byte table held by every task."""
+    decode = decoder(ranks)
+
     def run(batches):
         for b in batches:
-            raw, off = X.text_buffer(b.column(ids).fill_null(b""))
-            col = pa.ListArray.from_arrays(pa.array(off // 4, pa.int32()), pa.array(raw.view("<i4") if len(raw) else np.zeros(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([col if c == ids else b.column(c) for c in b.schema.names], b.schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, decode(b.column(ids).cast(pa.binary()))], [*b.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([T.StructField(f.name, T.ArrayType(T.IntegerType())) if f.name == ids else f for f in df.schema]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def digests(df: DataFrame) -> DataFrame:

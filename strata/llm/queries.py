@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,8 +122,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm import bpe
 
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
-    ids = bpe.encode_packed(table(spark, sf_dir, "documents"), bpe.TiktokenWords(ranks, public_tokenizers.PATTERN), public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode_packed(ids, ranks))
+    return bpe.digests(bpe.encode_packed(table(spark, sf_dir, "documents"), bpe.TiktokenWords(ranks, public_tokenizers.PATTERN),
+                                         public_tokenizers.PATTERN, also={"decoded": (T.BinaryType(), bpe.decoder(ranks))}))
 
 
 _WORDS = ("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "

@@ -171,9 +171,10 @@ def test_bpe_edge(spark, edge, empty, monkeypatch):
         out = bpe.decode_packed(bpe.encode_packed(df, bpe.TiktokenWords(ranks, P.PATTERN), P.PATTERN), ranks)
         same([(r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in out.collect()],
              [(i, brute.packed(enc.encode_ordinary(t or "")), (t or "").encode()) for i, t in pairs(df)])
-    arrays = bpe.unpacked(bpe.encode_packed(hard, bpe.TiktokenWords(ranks, P.PATTERN), P.PATTERN)).collect()
+    also = {"decoded": (T.BinaryType(), bpe.decoder(ranks)), "list": (T.ArrayType(T.IntegerType()), bpe.integers)}
     texts = dict(pairs(hard))
-    assert all(list(r.ids) == enc.encode_ordinary(texts[r.doc_id]) for r in arrays)
+    for r in bpe.encode_packed(hard, bpe.TiktokenWords(ranks, P.PATTERN), P.PATTERN, also=also).collect():
+        assert list(r.list) == enc.encode_ordinary(texts[r.doc_id]) and bytes(r.decoded).decode() == texts[r.doc_id]
     assert bpe.encode_packed(empty, bpe.TiktokenWords(ranks, P.PATTERN), P.PATTERN).count() == 0
 
 

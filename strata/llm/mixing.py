@@ -31,6 +31,8 @@ from strata.llm.shared import fresh, numbered
 
 BLOCK_ROWS = 32
 PERIOD = 4096
+#: Rows in a bucket of whole texts, at least, and such buckets at most.
+WIDE_ROWS, WIDE_BUCKETS = 5_000, 4_096
 
 
 def edf(shares: dict) -> dict:
@@ -105,9 +107,12 @@ _PHASES = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("fi
 
 
 def places(df: DataFrame, weights: dict | None = None, source: str = "source", key: str = "doc_id",
-           block_rows: int = BLOCK_ROWS, period: int = PERIOD, default_weight: float = 1.0,
+           block_rows: int = BLOCK_ROWS, period: int = PERIOD, default_weight: float = 1.0, wide: bool = False,
            names: tuple[str, str, str] = ("block", "slot", "position")) -> DataFrame:
-    """``df`` with each row's block (within its source), slot and position in the mixture."""
+    """``df`` with each row's block (within its source), slot and position in the mixture.
+
+    ``wide`` rows (whole texts) are numbered in smaller buckets.
+    """
     block, slot, position = names
     num, src, table, late, ph = fresh(df, "num", "src", "table", "late", "ph")
     counts = {r[0]: r[1] for r in df.groupBy(source).count().collect()}
@@ -125,7 +130,8 @@ def places(df: DataFrame, weights: dict | None = None, source: str = "source", k
     lacks = T.ArrayType(T.StructType([T.StructField("slot", T.LongType()), T.StructField("n", T.LongType())]))
     sched = df.sparkSession.createDataFrame(rows, T.StructType([
         T.StructField(src, df.schema[source].dataType), T.StructField(table, _PHASES), T.StructField(late, lacks)]))
-    out = numbered(df, [key], num, by=source, hint=sum(counts.values()))
+    n = sum(counts.values())
+    out = numbered(df, [key], num, by=source, hint=n, bucket_rows=max(WIDE_ROWS, n // WIDE_BUCKETS) if wide else None)
     # one row per source and at most ``period`` slots a phase: a bound that rows do not move
     out = out.join(F.broadcast(sched), F.col(source).eqNullSafe(F.col(src)))
     out = out.withColumn(block, F.floor(F.col(num) / block_rows).cast("long"))
@@ -141,5 +147,5 @@ def places(df: DataFrame, weights: dict | None = None, source: str = "source", k
 def mix(docs: DataFrame, weights: dict | None = None, **options) -> DataFrame:
     """All rows and columns of ``docs`` in mixture order: range-partitioned and sorted by position."""
     names = tuple(fresh(docs, "block", "slot", "position"))
-    out = places(docs, weights, names=names, **options)
+    out = places(docs, weights, names=names, wide=True, **options)
     return out.repartitionByRange(names[2]).sortWithinPartitions(names[2]).select(*docs.columns)

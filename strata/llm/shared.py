@@ -40,11 +40,13 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
-def numbered(df: DataFrame, order: list[str], out: str, by: str | None = None, hint: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], out: str, by: str | None = None, hint: int | None = None,
+             bucket_rows: int | None = None) -> DataFrame:
     """Add ``out``: the 0-based row number in the order of ``order``, over all rows or within ``by``.
 
     No window runs over all rows: approximate quantiles of the first order
-    column (a number) cut them into buckets of about BUCKET_ROWS, a window
+    column (a number) cut them into buckets of about BUCKET_ROWS (fewer rows
+    for wide ones, ``bucket_rows``), a window
     numbers each bucket, and the buckets' counts (one row each, broadcast
     only when few) give the offsets.  The numbers are exact whatever the
     cuts.  Rows equal in the first order column share a bucket, so give an
@@ -52,7 +54,7 @@ def numbered(df: DataFrame, order: list[str], out: str, by: str | None = None, h
     """
     bkt, sub, off = fresh(df, "bkt", "sub", "off")
     n = df.count() if hint is None else hint
-    pieces = max(1, math.ceil(n / BUCKET_ROWS))
+    pieces = max(1, math.ceil(n / (bucket_rows or BUCKET_ROWS)))
     keys = [by] if by else []
     first = F.col(order[0])
     if pieces == 1:

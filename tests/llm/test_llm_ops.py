@@ -269,6 +269,7 @@ def test_edf_meets_every_window():
 @pytest.mark.parametrize("bucket", [200_000, 5])
 def test_mixing(edge, empty, monkeypatch, bucket):
     monkeypatch.setattr(shared, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(mixing, "WIDE_ROWS", bucket)
     weights = {"s0": 3.0, "s1": 1.0}
     out = mixing.places(edge.drop("block", "slot", "position"), weights, block_rows=2, period=16).collect()
     assert sorted(r.position for r in out) == list(range(edge.count()))

@@ -8,8 +8,10 @@ around anchors that occur twice or more are sorted:
 
 1. ``anchors``: position, gram and context (368 bytes before, 400 after) of
    the anchors of every whole text, as hashes.  Grams seen once leave.
-2. Contexts seen twice are covered whole.  Of the others that share a gram,
-   the bytes are fetched, one copy of each.
+2. Contexts seen twice are covered whole.  A repeated string reaches half of
+   its other bytes to one side of its gram, so of the other contexts only
+   those stay open whose hash of that side occurs twice with the gram; their
+   bytes are fetched, one copy of each.
 3. Per gram, right contexts and reversed left contexts are suffix-sorted
    deep-shallow: multikey quicksort (8 bytes a step) to SHALLOW bytes, then a
    blind trie orders what is still tied.  The longest common prefixes of
@@ -41,11 +43,15 @@ from strata.llm.shared import written
 LENGTH = 400
 GRAM = 32
 BEFORE = LENGTH - GRAM
+HALF = BEFORE // 2
 SHALLOW = 64
-GROUP_LIMIT = 4096
-_SEGMENT = 4 << 20
-_BATCH = 4 << 20
-_TASK_CONTEXTS = 20_000
+GROUP_LIMIT = 32_768
+_OFFSETS = 32
+_SEGMENT = 1 << 20
+_BATCH = 1 << 20
+#: Rows of a side that may be broadcast here; anchors come by the million.
+_SMALL = 100_000
+_TASK_CONTEXTS = 10_000
 _POS = np.uint64((1 << 23) - 1)
 
 
@@ -89,7 +95,7 @@ def anchors_of(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(tkey, doc_id, pos, gram, ctx) of rows (doc_id, text, tkey)."""
+    """(tkey, doc_id, pos, gram, ctx, hashes of the near bytes before and after) of rows (doc_id, text, tkey)."""
     def run(batches):
         for b in X.batches_of(batches, "text", _BATCH):
             buf, off = X.text_buffer(b.column("text"))
@@ -99,12 +105,17 @@ def anchors(docs: DataFrame) -> DataFrame:
             raw = buf.tobytes()
             ctx = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:z], seed=p - a) for a, z, p in zip(lo.tolist(), hi.tolist(), at.tolist())),
                               np.uint64, len(at))
+            # any string of LENGTH bytes around the anchor reaches HALF bytes before it or as far beyond the gram
+            left = [xxhash.xxh32_intdigest(raw[p - HALF:p]) if p - a >= HALF else None for a, p in zip(lo.tolist(), at.tolist())]
+            right = [xxhash.xxh32_intdigest(raw[p:p + GRAM + HALF]) if z - p >= GRAM + HALF else None for z, p in zip(hi.tolist(), at.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("tkey").take(pa.array(row)), b.column("doc_id").take(pa.array(row)), pa.array(at - off[row]),
-                 pa.array(X.fingerprints(buf, at, at + GRAM).view(np.int64)), pa.array(ctx.view(np.int64))],
-                ["tkey", "doc_id", "pos", "gram", "ctx"])
+                 pa.array(X.fingerprints(buf, at, at + GRAM).view(np.int64)), pa.array(ctx.view(np.int64)),
+                 pa.array(left, pa.int64()), pa.array(right, pa.int64())],
+                ["tkey", "doc_id", "pos", "gram", "ctx", "before_h", "after_h"])
 
-    return docs.select("tkey", "doc_id", "text").mapInArrow(run, "tkey binary, doc_id long, pos long, gram long, ctx long")
+    return docs.select("tkey", "doc_id", "text").mapInArrow(
+        run, "tkey binary, doc_id long, pos long, gram long, ctx long, before_h long, after_h long")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -204,24 +215,29 @@ def repeated_offsets(left: list[bytes], right: list[bytes]) -> np.ndarray:
     ``left`` holds the bytes before each anchor reversed, ``right`` those from the anchor on.
     """
     m = len(left)
-    d = np.arange(BEFORE + 1)
-    run = []
-    for strings, depth, need in ((right, GRAM, LENGTH - d), (left, 0, d)):
+    sides = []
+    for strings, depth in ((right, GRAM), (left, 0)):
         order, lcp = deep_shallow(strings, depth)
-        ids = np.empty((m, BEFORE + 1), np.int64)
-        ids[order] = np.cumsum(np.asarray(lcp)[:, None] < need[None, :], axis=0)
-        run.append(ids)
-        size = np.fromiter(map(len, strings), np.int64, m)
-        run.append(size[:, None] >= need[None, :])
-    key = np.where(run[1] & run[3], run[0] * (m + 1) + run[2], -1 - np.arange(m)[:, None])
-    by = np.argsort(key, axis=0, kind="stable")
-    ordered = np.take_along_axis(key, by, axis=0)
-    equal = ordered[1:] == ordered[:-1]
-    hit = np.zeros((m, BEFORE + 1), dtype=bool)
-    hit[1:] |= equal
-    hit[:-1] |= equal
-    out = np.zeros_like(hit)
-    np.put_along_axis(out, by, hit, axis=0)
+        sides.append((np.asarray(order), np.asarray(lcp), np.fromiter(map(len, strings), np.int64, m)))
+    out = np.zeros((m, BEFORE + 1), dtype=bool)
+    for first in range(0, BEFORE + 1, _OFFSETS):  # some offsets at a time: memory stays a small multiple of the contexts
+        d = np.arange(first, min(first + _OFFSETS, BEFORE + 1))
+        key, valid = np.zeros((m, len(d)), np.int64), np.ones((m, len(d)), dtype=bool)
+        for (order, lcp, size), need in zip(sides, (LENGTH - d, d)):
+            ids = np.empty_like(key)
+            ids[order] = np.cumsum(lcp[:, None] < need[None, :], axis=0)
+            key = key * (m + 1) + ids
+            valid &= size[:, None] >= need[None, :]
+        key = np.where(valid, key, -1 - np.arange(m)[:, None])
+        by = np.argsort(key, axis=0, kind="stable")
+        ordered = np.take_along_axis(key, by, axis=0)
+        equal = ordered[1:] == ordered[:-1]
+        hit = np.zeros(key.shape, dtype=bool)
+        hit[1:] |= equal
+        hit[:-1] |= equal
+        part = np.zeros_like(hit)
+        np.put_along_axis(part, by, hit, axis=0)
+        out[:, first:first + len(d)] = part
     return out
 
 
@@ -258,10 +274,12 @@ _CONTEXT = "gram long, ctx long, copies long, contexts long, before int, bytes b
 
 def _fetch(docs: DataFrame, need: DataFrame) -> DataFrame:
     """The context bytes of the anchors in ``need`` (gram, ctx, copies, contexts, tkey, doc_id, pos)."""
+    need = written(need, "needed")
+    n = need.count()
     per = need.groupBy(F.col("tkey").alias("k"), F.col("doc_id").alias("d")).agg(
         F.collect_list(F.struct("pos", "gram", "ctx", "copies", "contexts")).alias("want"))
     per = written(per, "wanted")
-    found = join_small(docs.select("tkey", "doc_id", "text"), per, (F.col("tkey") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    found = join_small(docs.select("tkey", "doc_id", "text"), per, (F.col("tkey") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), limit=_SMALL, rows=n)
 
     def run(batches):
         for b in X.batches_of(batches, "text", _BATCH):
@@ -282,15 +300,20 @@ def _fetch(docs: DataFrame, need: DataFrame) -> DataFrame:
 
 def _by_hash(large: DataFrame) -> DataFrame:
     """``_sort_groups`` for grams of very many contexts: each string's hash is counted, no group meets in one task."""
+    names = ["gram", "ctx", "copies", "d", "h"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
     def run(batches):
         for b in batches:
             out = []
             for g, c, n, before, raw in zip(*(b.column(k).to_pylist() for k in ("gram", "ctx", "copies", "before", "bytes"))):
                 out += [(g, c, n, d, xxhash.xxh3_128_digest(raw[before - d:before - d + LENGTH]))
                         for d in range(before + 1) if before - d + LENGTH <= len(raw)]
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*out), kinds)], names)
+                    out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(
-                    zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["gram", "ctx", "copies", "d", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*out), kinds)], names)
 
     rows = large.dropDuplicates(["gram", "ctx"]).select("gram", "ctx", "copies", "before", "bytes").mapInArrow(
         run, "gram long, ctx long, copies long, d int, h binary")
@@ -303,11 +326,20 @@ def covered(docs: DataFrame) -> DataFrame:
     """(k: text key, spans: array of (start, end)) of every text that loses bytes; ``docs`` has doc_id, text, tkey."""
     found = written(anchors(docs), "anchors")
     often = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
-    hits = written(join_small(found, often, "gram", "left_semi"), "hits")
-    ctx = hits.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("tkey", "doc_id", "pos")).alias("at"))
+    hits = written(join_small(found, often, "gram", "left_semi", _SMALL), "hits")
+    ctx = hits.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("tkey", "doc_id", "pos")).alias("at"),
+                                          F.first("before_h").alias("before_h"), F.first("after_h").alias("after_h"))
     ctx = written(ctx, "contexts")
-    several = ctx.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min("copies").alias("least")).where("contexts > 1 and least = 1")
-    need = ctx.join(several.drop("least"), "gram").select("gram", "ctx", "copies", "contexts", "at.tkey", "at.doc_id", "at.pos")
+    # contexts that agree with another one as far as a repeated string must on one side; a class of copies alone is settled
+    sides = F.filter(F.array(F.struct(F.lit(0).alias("side"), F.col("before_h").alias("h")), F.struct(F.lit(1).alias("side"), F.col("after_h").alias("h"))),
+                     lambda x: x["h"].isNotNull())
+    each = ctx.select("gram", "ctx", "copies", "at", F.explode(sides).alias("x")).select("gram", "ctx", "copies", "at", "x.side", "x.h")
+    open_ = each.groupBy("gram", "side", "h").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least")).where("n > 1 and least = 1")
+    rows = each.join(open_.select("gram", "side", "h"), ["gram", "side", "h"]).groupBy("gram", "ctx").agg(
+        F.first("copies").alias("copies"), F.first("at").alias("at"))
+    rows = written(rows, "open-contexts")
+    several = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"))
+    need = rows.join(several, "gram").select("gram", "ctx", "copies", "contexts", "at.tkey", "at.doc_id", "at.pos")
     fetched = written(_fetch(docs, need), "fetched")
     tasks = 4 + fetched.count() // _TASK_CONTEXTS
     small = (fetched.where(F.col("contexts") <= GROUP_LIMIT).withColumn("task", F.pmod(F.col("gram"), F.lit(tasks)))
@@ -324,7 +356,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     df = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     df = df.withColumn("tkey", F.unhex(F.md5(F.col("text").cast("binary"))))
     cover = written(covered(df), "covered")
-    both = join_small(df, cover, F.col("tkey") == F.col("k"), "left").select("doc_id", "text", "spans")
+    both = join_small(df, cover, F.col("tkey") == F.col("k"), "left", _SMALL).select("doc_id", "text", "spans")
 
     def run(batches):
         for b in X.batches_of(batches, "text", _BATCH):

@@ -13,9 +13,9 @@ rows (part, seq, ..., payload) of a Parquet table, the form in which Spark
 writes to any store and a lost task leaves nothing behind; (part, seq) is
 their order.
 
-Encoding: a batch's distinct pieces between blanks go through the tokenizers
-library once (blanks end words for its byte-level splitter), texts with longer
-white space whole.  The id END follows each document.
+Encoding: a batch's distinct words go through the tokenizers library once
+(blanks end words for its byte-level splitter), texts with longer white space
+whole.  The id END follows each document.
 
 Defined results: NULL and empty texts hold END only; NULL doc_ids come first;
 rows of equal doc_id follow each other in the order of their ids; an empty
@@ -48,8 +48,10 @@ BLOCK_TOKENS = 1 << 15
 FILE_TOKENS = 1 << 20
 MAGIC = b"SRANS1\0\0"
 _BATCH = 4 << 20
-#: Pieces a Python worker remembers; then it starts anew.
-CACHE_PIECES = 400_000
+#: Words a Python worker remembers; then it starts anew.
+CACHE_WORDS = 500_000
+LINE_WORDS = 512
+_TAIL = ".,;:!?#*$%&|<>"
 
 _U32, _MASK32 = np.uint64(32), np.uint64(0xFFFFFFFF)
 
@@ -201,7 +203,13 @@ _TOKENIZERS: dict = {}
 
 
 class Pieces:
-    """Encodes pieces by a tokenizer of the tokenizers library, each new one once while the worker remembers it."""
+    """Encodes pieces by a tokenizer of the tokenizers library, each new word once while the worker remembers it.
+
+    A piece of letters and trailing marks is two words for the byte-level
+    splitter, any other piece is taken whole.  New words go to the library in
+    lines of LINE_WORDS: a line break is a word of its own with one id, at
+    which the ids are cut again.
+    """
 
     def __init__(self, json: str):
         self.json, self.name = json, xxhash.xxh3_64_hexdigest(json)
@@ -213,20 +221,49 @@ class Pieces:
 
             t = Tokenizer.from_str(self.json)
             t.encode_special_tokens = True
-            _TOKENIZERS[self.name] = (t, {})
+            _TOKENIZERS[self.name] = (t, {}, t.encode("\n", add_special_tokens=False).ids)
         return _TOKENIZERS[self.name]
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer()[0].encode_batch_fast(texts, add_special_tokens=False)]
+        t = self.tokenizer()[0]
+        return [e.ids for a in range(0, len(texts), 64) for e in t.encode_batch_fast(texts[a:a + 64], add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word on its own."""
+        brk = self.tokenizer()[2]
+        plain = [k for k, w in enumerate(words) if len(brk) == 1 and w.removeprefix(" ").split() == [w.removeprefix(" ")]]
+        out: list = [None] * len(words)
+        lines = [plain[a:a + LINE_WORDS] for a in range(0, len(plain), LINE_WORDS)]
+        for line, ids in zip(lines, self.whole(["\n".join([words[k] for k in line]) for line in lines])):
+            ids.append(brk[0])
+            ends = [i for i, x in enumerate(ids) if x == brk[0]]
+            if len(ends) == len(line):
+                at = 0
+                for k, end in zip(line, ends):
+                    out[k], at = ids[at:end], end + 1
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(rest, self.whole([words[k] for k in rest])):
+            out[k] = ids
+        return out
 
     def __call__(self, pieces: list[str]) -> list[list[int]]:
-        _, known = self.tokenizer()
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > CACHE_PIECES:
+        known = self.tokenizer()[1]
+        if len(known) > CACHE_WORDS:
             known.clear()
-            new = pieces
-        known.update(zip(new, self.whole(new)))
-        return [known[p] for p in pieces]
+        parts = [_letters_and_marks(p) for p in pieces]
+        new = list({w for x in parts for w in x if w not in known})
+        known.update(zip(new, self.words(new)))
+        return [known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]] for x in parts]
+
+
+def _letters_and_marks(piece: str) -> tuple[str, ...]:
+    """(letters with their blank, marks) of a plain piece, else the piece; letters up to U+024F are old enough for every splitter."""
+    word = piece[1:] if piece[:1] == " " else piece
+    core = word.rstrip(_TAIL)
+    if len(core) < len(word) and core.isalpha() and max(core) < "\u0250":
+        n = len(piece) - len(word) + len(core)
+        return piece[:n], piece[n:]
+    return (piece,)
 
 
 def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,6 +25,7 @@ table gives no files and no rows; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -49,7 +50,7 @@ FILE_TOKENS = 1 << 20
 MAGIC = b"SRANS1\0\0"
 _BATCH = 4 << 20
 #: Words a Python worker remembers; then it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 LINE_WORDS = 512
 _TAIL = ".,;:!?#*$%&|<>"
 
@@ -228,8 +229,8 @@ class Pieces:
         t = self.tokenizer()[0]
         return [e.ids for a in range(0, len(texts), 64) for e in t.encode_batch_fast(texts[a:a + 64], add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word on its own."""
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word on its own, as little-endian unsigned 32-bit integers."""
         brk = self.tokenizer()[2]
         plain = [k for k, w in enumerate(words) if len(brk) == 1 and w.removeprefix(" ").split() == [w.removeprefix(" ")]]
         out: list = [None] * len(words)
@@ -240,13 +241,13 @@ class Pieces:
             if len(ends) == len(line):
                 at = 0
                 for k, end in zip(line, ends):
-                    out[k], at = ids[at:end], end + 1
+                    out[k], at = struct.pack(f"<{end - at}I", *ids[at:end]), end + 1
         rest = [k for k, x in enumerate(out) if x is None]
         for k, ids in zip(rest, self.whole([words[k] for k in rest])):
-            out[k] = ids
+            out[k] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
-    def __call__(self, pieces: list[str]) -> list[list[int]]:
+    def __call__(self, pieces: list[str]) -> list[bytes]:
         known = self.tokenizer()[1]
         if len(known) > CACHE_WORDS:
             known.clear()
@@ -275,8 +276,8 @@ def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "te
             col = b.column("text").fill_null("")
             names, number, off, odd = blank_pieces(col)
             ids = pieces(names)
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for y in ids for x in y), np.int64, int(size.sum()))
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
             start = np.cumsum(size) - size
             seq = flat[X.ragged(start[number], size[number])]
             ends = np.concatenate(([0], np.cumsum(size[number])))[off].tolist()

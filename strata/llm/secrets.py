@@ -4,13 +4,15 @@ Base spans follow three fixed patterns.  Every other long run of token
 characters is tested for randomness: its encoding (the smallest alphabet that
 holds it) is inferred, then chi-squared uniformity over that alphabet, a runs
 test around the alphabet's middle and a lag-1 serial correlation give p-values
-of "uniformly random", combined by Fisher's method.  Runs of letters alone are
-never credentials here; they are the controls.  A candidate (letters and
-digits) is compared with the controls of its own length class: its empirical
-p-value is the share of controls that look at least as random.  Benjamini and
-Hochberg's rule over all candidates of the corpus then picks the discoveries
-at rate ``q`` (length-aware: one null per length class).  Counts over all
-documents; only one row per (length class, score bin) reaches the driver.
+of "uniformly random", combined by Fisher's method.  Runs of letters alone or
+digits alone are never credentials here.  A candidate's p-value (letters and
+digits) is the chance that a word-like run of its alphabet and length looks at
+least as random.  That null is computed, never taken from the corpus: words of
+letters by their frequency in prose, cased, joined and numbered as identifiers
+are, drawn with a fixed seed; below the most random draws a gamma tail goes
+on, so the p-value has no floor.  Benjamini and Hochberg's rule over all
+candidates of the corpus then picks the discoveries at rate ``q``.  Counts
+over all documents; only one row per p-value bin reaches the driver.
 
 Defined results: NULL or empty text has no spans (hash of the empty string);
 repeated rows are scanned alike; an empty table gives no rows; extra columns
@@ -20,6 +22,7 @@ exclusive.  A span found by the battery never overlaps a base span.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -39,10 +42,14 @@ KINDS = ["assign", "access", "hex", "random"]
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_HEX, MIN_ACCESS, MIN_VALUE = 32, 16, 8
 
-#: Shortest run the battery tests; lower ends of the length classes; bins of the score.
+#: Shortest run the battery tests; bins of the p-value, BIN_STEPS to a power of ten.
 MIN_RUN = 20
-LENGTH_CLASSES = [20, 24, 32, 48, 96]
-BINS = 200
+BINS, BIN_STEPS = 400, 10
+#: Lengths of the nulls (a run takes the next one below), word-like runs drawn for each, draws that fix the tail.
+NULL_LENGTHS = [20, 22, 24, 26, 28, 32, 36, 40, 48, 56, 64, 80, 96, 128, 192, 256]
+NULL_RUNS, NULL_TAIL = 2_000, 20
+#: Letters per thousand letters of prose.
+_PROSE = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8, 2, 2, 1, 1)))
 _BATCH = 4 << 20
 
 
@@ -64,6 +71,7 @@ for _name, _chars in ENCODINGS:
     _t = np.full(256, -1, dtype=np.int64)
     _t[[ord(c) for c in _chars]] = np.arange(len(_chars))
     _CODES.append((_name, len(_chars), _t))
+_BY_NAME = {_name: (_k, _t) for _name, _k, _t in _CODES}
 
 
 def _normal_tail(z: float) -> float:
@@ -73,13 +81,18 @@ def _normal_tail(z: float) -> float:
 def battery(run: bytes) -> tuple[str, float, float, float] | None:
     """(encoding, p of uniformity, p of the runs test, p of serial correlation), or None if no alphabet holds it."""
     raw = np.frombuffer(run.rstrip(b"="), np.uint8)
+    for name, _, table in _CODES:
+        if len(raw) >= 8 and (table[raw] >= 0).all():
+            return name, *tested_as(run, name)
+    return None
+
+
+def tested_as(run: bytes, name: str) -> tuple[float, float, float]:
+    """p of uniformity, of the runs test and of serial correlation of a run that alphabet ``name`` holds."""
+    raw = np.frombuffer(run.rstrip(b"="), np.uint8)
     n = len(raw)
-    for name, k, table in _CODES:
-        x = table[raw]
-        if n >= 8 and (x >= 0).all():
-            break
-    else:
-        return None
+    k, table = _BY_NAME[name]
+    x = table[raw]
     counts = np.bincount(x, minlength=k)
     chi = float((counts.astype(float) ** 2).sum()) * k / n - n
     # chi-squared with the multinomial's own variance, by Wilson and Hilferty's cube root
@@ -100,24 +113,80 @@ def battery(run: bytes) -> tuple[str, float, float, float] | None:
     s = float((d * d).sum())
     r = float((d[1:] * d[:-1]).sum()) / s if s > 0 else 1.0
     p_serial = min(1.0, 2 * _normal_tail(abs(r + 1 / n) * math.sqrt(n)))
-    return name, p_chi, p_runs, p_serial
-
-
-def combined(ps) -> float:
-    """Fisher's method over the three p-values (closed form for six degrees of freedom)."""
-    h = -sum(math.log(max(p, 1e-300)) for p in ps)
-    return min(1.0, math.exp(-h) * (1 + h + h * h / 2))
-
-
-def score_bin(p: float) -> int:
-    """Bin of a combined p-value: bin 0 is least random; logarithmic below 1e-2, linear above."""
-    if p >= 0.01:
-        return BINS // 2 + min(BINS // 2 - 1, int(p * BINS / 2))
-    return max(0, BINS // 2 - 1 + int((math.log10(max(p, 1e-30)) + 2) * (BINS / 2) / 28))
-
-
-def length_class(n: int) -> int:
-    return max(i for i, low in enumerate(LENGTH_CLASSES) if n >= low)
+    return p_chi, p_runs, p_serial
+
+
+def fisher(ps) -> float:
+    """Fisher's statistic over p-values: the smaller, the more random the run looks."""
+    return -sum(math.log(max(p, 1e-300)) for p in ps)
+
+
+def _word_like(chars: str, n: int, rng: np.random.Generator) -> list[bytes]:
+    """NULL_RUNS word-like runs of ``n`` characters of an alphabet, each with a digit."""
+    low, up = [c for c in _LOW if c in chars], [c for c in _LOW if c.upper() in chars]
+    letters = low or up
+    share = np.array([_PROSE[c] for c in letters], float)
+    digits, marks = [c for c in _DIGIT if c in chars], [c for c in "-_/+" if c in chars]
+    out: list[str] = []
+    while sum(map(len, out)) < NULL_RUNS * n:
+        words = 1 + NULL_RUNS * n // 5
+        text = "".join(rng.choice(letters, 9 * words, p=share / share.sum()).tolist())
+        size, style = rng.integers(2, 10, words).tolist(), rng.random(words).tolist()
+        numbered, joined = rng.random(words).tolist(), rng.random(words).tolist()
+        number = rng.integers(0, len(digits), (words, 4))
+        tail = rng.integers(1, 5, words).tolist()
+        for k in range(words):
+            w = text[9 * k:9 * k + size[k]]
+            if not low or (up and style[k] < 0.1):
+                w = w.upper()
+            elif up and style[k] < 0.5:
+                w = w.capitalize()
+            if numbered[k] < 0.25:
+                w += "".join([digits[d] for d in number[k, :tail[k]].tolist()])
+            if marks and joined[k] < 0.5:
+                w += marks[k // 16 % len(marks)]  # names keep to one mark
+            out.append(w)
+    stream = "".join(out)
+    runs = [stream[n * k:n * k + n] for k in range(NULL_RUNS)]
+    last = rng.integers(0, len(digits), NULL_RUNS).tolist()
+    return [(r if any(d in r for d in digits) else r[:-1] + digits[d]).encode() for r, d in zip(runs, last)]
+
+
+def _log_gamma_cdf(a: float, x: float) -> float:
+    """Log of the regularized lower incomplete gamma function, by its series."""
+    if x <= 0:
+        return -math.inf
+    total = term = 1.0
+    k = a
+    while term > total * 1e-12:
+        k += 1
+        term *= x / k
+        total += term
+    return a * math.log(x) - x - math.lgamma(a + 1) + math.log(total)
+
+
+@functools.lru_cache(maxsize=None)
+def _null(name: str, n: int) -> tuple[np.ndarray, float, float, float]:
+    """(sorted statistics of word-like runs, gamma shape, gamma scale, its log cdf where the tail begins)."""
+    rng = np.random.default_rng([n, *name.encode()])
+    chars = dict(ENCODINGS)[name]
+    h = np.sort([fisher(tested_as(r, name)) for r in _word_like(chars, n, rng)])
+    scale = float(h.var() / h.mean())
+    shape = float(h.mean() / scale)
+    return h, shape, scale, _log_gamma_cdf(shape, float(h[NULL_TAIL - 1]) / scale)
+
+
+def p_value(name: str, n: int, h: float) -> float:
+    """Chance that a word-like run of this alphabet and length looks as random as statistic ``h`` says."""
+    draws, shape, scale, start = _null(name, max(x for x in NULL_LENGTHS if x <= max(n, NULL_LENGTHS[0])))
+    if h >= draws[NULL_TAIL - 1]:
+        return (1 + int(np.searchsorted(draws, h, side="right"))) / (1 + len(draws))
+    return (1 + NULL_TAIL) / (1 + len(draws)) * math.exp(_log_gamma_cdf(shape, h / scale) - start)
+
+
+def p_bin(p: float) -> int:
+    """Bin of a p-value: bin b holds those of 10 ** (-b / BIN_STEPS) at most."""
+    return min(BINS - 1, int(-BIN_STEPS * math.log10(max(p, 1e-300))))
 
 
 def _runs(mask: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +204,7 @@ def _runs(mask: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np
 
 
 def find(buf: np.ndarray, off: np.ndarray) -> tuple[list[list[tuple]], list[list[tuple]]]:
-    """Per row: base spans (kind index, start, end), and tested runs (start, end, class, bin, control), in code points."""
+    """Per row: base spans (kind index, start, end), and tested runs (start, end, bin), in code points."""
     n = len(off) - 1
     raw = buf.tobytes()
     points = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
@@ -167,24 +236,23 @@ def find(buf: np.ndarray, off: np.ndarray) -> tuple[list[list[tuple]], list[list
         if any(s < y and x < e for x, y in taken[i]):
             continue
         run = raw[s:e]
+        if not (re.search(rb"[0-9]", run) and re.search(rb"[A-Za-z]", run)):
+            continue  # letters or digits alone
         got = battery(run)
         if got is None:
             continue
-        control = not (re.search(rb"[0-9]", run) and re.search(rb"[A-Za-z]", run))
-        if control and re.search(rb"[0-9]", run):
-            continue  # digits alone: neither a credential nor a word
         z = int(points[off[i]])
-        tested[i].append((int(points[s]) - z, int(points[e]) - z, length_class(e - s), score_bin(combined(got[1:])), control))
+        p = p_value(got[0], len(run.rstrip(b"=")), fisher(got[1:]))
+        tested[i].append((int(points[s]) - z, int(points[e]) - z, p_bin(p)))
     for x in base:
         x.sort(key=lambda t: (t[1], t[0]))
     return base, tested
 
 
 _SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-_RUN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
-                     T.StructField("cls", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("control", T.BooleanType())])
+_RUN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("bin", T.IntegerType())])
 _PA_SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-_PA_RUN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("cls", pa.int32()), ("bin", pa.int32()), ("control", pa.bool_())]))
+_PA_RUN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("bin", pa.int32())]))
 
 
 def _dicts(rows, keys):
@@ -192,7 +260,7 @@ def _dicts(rows, keys):
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, base: spans of the fixed patterns, tested: runs with their score)."""
+    """(doc_id, base: spans of the fixed patterns, tested: runs with the bin of their p-value)."""
     df = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
@@ -200,56 +268,39 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             base, tested = find(*X.text_buffer(b.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(_dicts(base, ("kind", "start", "end")), _PA_SPAN),
-                 pa.array(_dicts(tested, ("start", "end", "cls", "bin", "control")), _PA_RUN)], ["doc_id", "base", "tested"])
+                 pa.array(_dicts(tested, ("start", "end", "bin")), _PA_RUN)], ["doc_id", "base", "tested"])
 
     schema = T.StructType([df.schema["doc_id"], T.StructField("base", T.ArrayType(_SPAN)), T.StructField("tested", T.ArrayType(_RUN))])
     return df.mapInArrow(run, schema)
 
 
-def discoveries(hist: list[tuple[int, int, bool, int]], q: float) -> dict[int, int]:
-    """Benjamini-Hochberg over (class, bin, control, count): the lowest discovered bin of each class.
-
-    A candidate's p-value is (1 + controls of its class in its bin or above) /
-    (1 + controls of its class); candidates of one bin share it.
-    """
-    controls = np.zeros((len(LENGTH_CLASSES), BINS + 1))
-    candidates = np.zeros((len(LENGTH_CLASSES), BINS))
-    for cls, b, control, n in hist:
-        (controls if control else candidates)[cls, b] += n
-    above = np.cumsum(controls[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-    p = (1 + above) / (1 + controls.sum(axis=1, keepdims=True))
-    total = candidates.sum()
-    if not total:
-        return {}
-    best = 0.0
-    rank = 0.0
-    for at in sorted({float(v) for v in p[candidates > 0]}):
-        rank = candidates[p <= at].sum()
-        if at <= q * rank / total:
-            best = at
-    return {c: int(np.flatnonzero(p[c] <= best)[0]) for c in range(len(LENGTH_CLASSES)) if best and (p[c] <= best).any()}
-
-
-def thresholds(scanned: DataFrame, q: float = 0.05) -> dict[int, int]:
-    """Thresholds from the whole corpus; one row per (class, bin, control) is collected."""
-    h = (scanned.select(F.explode("tested").alias("t")).groupBy("t.cls", "t.bin", "t.control").agg(F.count(F.lit(1)).alias("n")))
-    return discoveries([(r["cls"], r["bin"], r["control"], r["n"]) for r in h.collect()], q)
-
-
-def _random(tested: Column, limit: dict[int, int]) -> Column:
-    def found(t):
-        ok = F.lit(False)
-        for cls, b in limit.items():
-            ok = ok | ((t["cls"] == cls) & (t["bin"] >= b))
-        return ok & ~t["control"]
-    return F.transform(F.filter(tested, found), lambda t: F.struct(
+def discoveries(hist: list[tuple[int, int]], q: float) -> int | None:
+    """Benjamini-Hochberg over (bin, count): the lowest discovered bin; candidates of one bin share its largest p-value."""
+    candidates = np.zeros(BINS)
+    for b, n in hist:
+        candidates[b] += n
+    rank = np.cumsum(candidates[::-1])[::-1]
+    p = 10.0 ** (-np.arange(BINS) / BIN_STEPS)
+    found = np.flatnonzero((rank > 0) & (p * candidates.sum() <= q * rank))
+    return int(found[0]) if len(found) else None
+
+
+def threshold(scanned: DataFrame, q: float = 0.05) -> int | None:
+    """Lowest discovered bin of the whole corpus; one row per bin is collected."""
+    h = scanned.select(F.explode("tested").alias("t")).groupBy("t.bin").agg(F.count(F.lit(1)).alias("n"))
+    return discoveries([(r["bin"], r["n"]) for r in h.collect()], q)
+
+
+def _random(tested: Column, limit: int | None) -> Column:
+    found = F.filter(tested, lambda t: t["bin"] >= (BINS if limit is None else limit))
+    return F.transform(found, lambda t: F.struct(
         F.lit(KINDS.index("random")).cast("int").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
 
 
 def spans(docs: DataFrame, q: float = 0.05, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base, found): spans of the patterns, and all spans, as arrays of (kind, start, end) by start."""
     scanned = written(scan(docs, key, text), "secrets")
-    limit = thresholds(scanned, q)
+    limit = threshold(scanned, q)
     every = F.concat(F.col("base"), _random(F.col("tested"), limit))
     by_start = F.transform(F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))),
                            lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -264,7 +315,7 @@ def joined(col: Column) -> Column:
 
 def redact(docs: DataFrame, q: float = 0.05, text: str = "text", length: str = "n_chars", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; ``length`` follows the text where it changes."""
-    limit = thresholds(scan(docs, docs.columns[0], text), q)
+    limit = threshold(scan(docs, docs.columns[0], text), q)
     flag, = fresh(docs, "redacted")
 
     def run(batches):
@@ -273,7 +324,7 @@ def redact(docs: DataFrame, q: float = 0.05, text: str = "text", length: str = "
             base, tested = find(*X.text_buffer(col))
             texts, changed = None, [False] * b.num_rows
             for i, (x, t) in enumerate(zip(base, tested)):
-                cuts = sorted([(s, e) for _, s, e in x] + [(s, e) for s, e, c, k, control in t if not control and c in limit and k >= limit[c]])
+                cuts = sorted([(s, e) for _, s, e in x] + [(s, e) for s, e, k in t if limit is not None and k >= limit])
                 if cuts:
                     texts = texts or col.to_pylist()
                     out, at = [], 0

@@ -486,3 +486,23 @@ def test_components(spark):
     for x, r in zip(nodes, root):
         low.setdefault(r, x)
     assert all(got.get(x, x) == low[r] for x, r in zip(nodes, root))
+
+
+def test_secrets_battery_needs_no_long_words(spark):
+    rnd = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows, planted = [], {}
+    for k in range(40):
+        text = "some plain words of prose"
+        if k % 4 == 0:
+            n = (40, 64)[k % 8 // 4]
+            planted[k] = (len(text) + 1, len(text) + 1 + n)
+            text += " " + "".join(rnd.choice(letters) for _ in range(n)) + " end"
+        elif k % 4 == 1:
+            text += " the-2nd-part-of-the-story-of-1987 and Version11ofTheReportOn2Rivers"
+        rows.append((k, text))
+    df = written(spark.createDataFrame(rows, "doc_id long, text string"), "few")
+    found = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == 3] for r in secrets.spans(df).collect()}
+    assert {k: v for k, v in found.items() if v} == {k: [v] for k, v in planted.items()}
+    red = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert all(red[k] == "some plain words of prose [secret] end" for k in planted)

@@ -10,7 +10,12 @@ digits) is the chance that a word-like run of its alphabet and length looks at
 least as random.  That null is computed, never taken from the corpus: words of
 letters by their frequency in prose, cased, joined and numbered as identifiers
 are, drawn with a fixed seed; below the most random draws a gamma tail goes
-on, so the p-value has no floor.  Benjamini and Hochberg's rule over all
+on, so the p-value has no floor.  A run is cut at inner '=', and what no
+alphabet holds is read in three ways: cut at ``-_``, at ``+/`` and at all four;
+the parts of the reading with the smallest p-value are the candidates.  What
+an alphabet holds is one candidate, by the smaller p-value of the whole and of
+its parts between marks.  A p-value picked from several is multiplied by their
+number.  Benjamini and Hochberg's rule over all
 candidates of the corpus then picks the discoveries at rate ``q``.  Counts
 over all documents; only one row per p-value bin reaches the driver.
 
@@ -184,6 +189,37 @@ def p_value(name: str, n: int, h: float) -> float:
     return (1 + NULL_TAIL) / (1 + len(draws)) * math.exp(_log_gamma_cdf(shape, h / scale) - start)
 
 
+#: Parts of a run of token characters between '='; '=' at its end pads the last one.
+_PART = re.compile(rb"[A-Za-z0-9+/_-]+(?:=+$)?")
+_READINGS = [re.compile(rb"[A-Za-z0-9+/]+=*"), re.compile(rb"[A-Za-z0-9_-]+=*"), re.compile(rb"[A-Za-z0-9]+=*")]
+
+
+def _whole_p(part: bytes) -> float | None:
+    """P-value of a candidate; None for short ones, for letters or digits alone, and where no alphabet holds it."""
+    if len(part) < MIN_RUN or not (re.search(rb"[0-9]", part) and re.search(rb"[A-Za-z]", part)):
+        return None
+    got = battery(part)
+    return None if got is None else p_value(got[0], len(part.rstrip(b"=")), fisher(got[1:]))
+
+
+def candidates(run: bytes) -> list[tuple[int, int, float]]:
+    """(start, end, p-value) of the candidates of a run of token characters."""
+    out = []
+    for m in _PART.finditer(run):
+        part = m.group()
+        readings = [[(m.start() + x.start(), m.start() + x.end(), p) for x in cut.finditer(part)
+                     if x.group() != part and (p := _whole_p(x.group())) is not None] for cut in _READINGS]
+        readings = [r for k, r in enumerate(readings) if r and r not in readings[:k]]
+        whole = _whole_p(part)
+        if whole is not None:
+            ps = [whole, *{(a, z): p for r in readings for a, z, p in r}.values()]
+            out.append((m.start(), m.end(), min(1.0, min(ps) * len(ps))))
+        elif readings:
+            best = min(readings, key=lambda r: min(p for _, _, p in r))
+            out += [(a, z, min(1.0, p * len(readings))) for a, z, p in best]
+    return out
+
+
 def p_bin(p: float) -> int:
     """Bin of a p-value: bin b holds those of 10 ** (-b / BIN_STEPS) at most."""
     return min(BINS - 1, int(-BIN_STEPS * math.log10(max(p, 1e-300))))
@@ -233,17 +269,10 @@ def find(buf: np.ndarray, off: np.ndarray) -> tuple[list[list[tuple]], list[list
     for s, e, i in zip(start.tolist(), end.tolist(), rows.tolist()):
         if (s > off[i] and raw[s - 1] >= 0x80) or (e < off[i + 1] and raw[e] >= 0x80):
             continue  # part of a word with letters beyond ASCII
-        if any(s < y and x < e for x, y in taken[i]):
-            continue
-        run = raw[s:e]
-        if not (re.search(rb"[0-9]", run) and re.search(rb"[A-Za-z]", run)):
-            continue  # letters or digits alone
-        got = battery(run)
-        if got is None:
-            continue
         z = int(points[off[i]])
-        p = p_value(got[0], len(run.rstrip(b"=")), fisher(got[1:]))
-        tested[i].append((int(points[s]) - z, int(points[e]) - z, p_bin(p)))
+        for a, b, p in candidates(raw[s:e]):
+            if not any(s + a < y and x < s + b for x, y in taken[i]):
+                tested[i].append((int(points[s + a]) - z, int(points[s + b]) - z, p_bin(p)))
     for x in base:
         x.sort(key=lambda t: (t[1], t[0]))
     return base, tested

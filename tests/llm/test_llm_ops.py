@@ -6,11 +6,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm import bpe, jaccard, lm, mixing, quality, queries, rans, search, secrets, sharding, shared, suffixes
+from strata.llm import bpe, jaccard, lm, mixing, quality, queries, rans, search, secrets, sharding, shared, suffixes, textcols
 from strata.llm.eliasfano import EliasFano, Trie
 from strata.llm.shared import written
 from tests.llm import brute
@@ -506,3 +507,29 @@ def test_secrets_battery_needs_no_long_words(spark):
     assert {k: v for k, v in found.items() if v} == {k: [v] for k, v in planted.items()}
     red = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert all(red[k] == "some plain words of prose [secret] end" for k in planted)
+
+
+def test_secrets_battery_cuts_runs(spark):
+    rnd = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    word = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    heads = ["GITHUB_PAT=ghp_", "AWS_KEY=", "?sig=", "/srv/my-files/old_ones/", "a/b-c=d_e/f-", "X=1=Y="]
+    rows, planted = [], {}
+    for k in range(60):
+        head = heads[k % len(heads)]
+        start, secret = head.rindex("=") + 1 if "=" in head else len(head), word(44)
+        if head.startswith("a/"):
+            start = head.rindex("/") + 1
+        tail = "==" if k % 12 == 0 else ""
+        planted[k] = (4 + start, 4 + len(head) + len(secret) + len(tail), secret)
+        rows.append((k, f"see {head}{secret}{tail} end"))
+    df = written(spark.createDataFrame(rows, "doc_id long, text string"), "cut")
+    red = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    found = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == 3] for r in secrets.spans(df).collect()}
+    hits = [k for k, v in planted.items() if len(found[k]) == 1 and found[k][0][0] <= v[1] - 44 and found[k][0][1] >= v[1]]
+    assert len(hits) >= 57 and all(sum(k % 6 == j for k in hits) >= 8 for j in range(6))
+    assert all(planted[k][2] not in red[k] and red[k].startswith("see " + heads[k % 6][:2]) for k in hits)
+    assert sum(found[k][0] == planted[k][:2] for k in hits) >= 45
+    text = "password=hunter2hunter2 see " + heads[0] + word(44)
+    _, tested = secrets.find(*textcols.text_buffer(pa.array([text])))
+    assert [(a, b) for a, b, _ in tested[0]] == [(39, len(text))]

@@ -30,6 +30,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ BINS, BIN_STEPS = 400, 10
 #: Lengths of the nulls (a run takes the next one below), word-like runs drawn for each, draws that fix the tail.
 NULL_LENGTHS = [20, 22, 24, 26, 28, 32, 36, 40, 48, 56, 64, 80, 96, 128, 192, 256]
 NULL_RUNS, NULL_TAIL = 2_000, 20
+#: Scripts whose letters stand in one word with Latin ones, and accents; not kana, ideographs, Hangul or Thai, which touch Latin words without a blank.
+_JOINING = ("LATIN ", "GREEK ", "CYRILLIC ", "COMBINING ")
 #: Letters per thousand letters of prose.
 _PROSE = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8, 2, 2, 1, 1)))
 _BATCH = 4 << 20
@@ -239,6 +242,18 @@ def _runs(mask: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np
     return start[keep], end[keep]
 
 
+def _joins(near: bytes, at: int) -> bool:
+    """Whether the code point beside a run (the last or first of ``near``) is a letter or accent that Latin words are joined with."""
+    if not near or near[at] < 0x80:
+        return False
+    if at:
+        first = max((k for k, c in enumerate(near) if c & 0xC0 != 0x80), default=0)
+        char = near[first:].decode("utf-8", "replace")[-1]
+    else:
+        char = near.decode("utf-8", "replace")[0]
+    return unicodedata.category(char)[0] in "LM" and unicodedata.name(char, "").startswith(_JOINING)
+
+
 def find(buf: np.ndarray, off: np.ndarray) -> tuple[list[list[tuple]], list[list[tuple]]]:
     """Per row: base spans (kind index, start, end), and tested runs (start, end, bin), in code points."""
     n = len(off) - 1
@@ -267,7 +282,8 @@ def find(buf: np.ndarray, off: np.ndarray) -> tuple[list[list[tuple]], list[list
     start, end = _runs(_TOKEN[buf], off, MIN_RUN)
     rows = np.searchsorted(off, start, side="right") - 1
     for s, e, i in zip(start.tolist(), end.tolist(), rows.tolist()):
-        if (s > off[i] and raw[s - 1] >= 0x80) or (e < off[i + 1] and raw[e] >= 0x80):
+        before, after = raw[max(int(off[i]), s - 4):s], raw[e:min(int(off[i + 1]), e + 4)]
+        if _joins(before, -1) or _joins(after, 0):
             continue  # part of a word with letters beyond ASCII
         z = int(points[off[i]])
         for a, b, p in candidates(raw[s:e]):

@@ -533,3 +533,14 @@ def test_secrets_battery_cuts_runs(spark):
     text = "password=hunter2hunter2 see " + heads[0] + word(44)
     _, tested = secrets.find(*textcols.text_buffer(pa.array([text])))
     assert [(a, b) for a, b, _ in tested[0]] == [(39, len(text))]
+
+
+def test_secrets_battery_beside_other_scripts():
+    token = "aB3dE9xQ7kLm2PzR8tUv4WyC6nHj1GsF5oIb0DqK"
+    word = ["é", "ß", "a\u0301", "я", "λ"]
+    other = ["“", "”", "«", "»", "\u00a0", "—", "：", "（", "密钥", "キー", "키", "😀", "，", "。"]
+    texts = [f"x {c}{token} y" for c in other] + [f"x {token}{c} y" for c in other]
+    joined = [f"x {c}{token} y" for c in word] + [f"x {token}{c} y" for c in word if c[0] != "a"] + [f"x {token}\u0301 y"]
+    _, tested = secrets.find(*textcols.text_buffer(pa.array(texts + joined)))
+    assert [[t[a:b] for a, b, _ in x] for t, x in zip(texts, tested)] == [[token]] * len(texts)
+    assert tested[len(texts):] == [[]] * len(joined)

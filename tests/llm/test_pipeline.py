@@ -1,11 +1,13 @@
 """The corpus pipeline: every stage on its own input, and the whole."""
 
+import collections
 import hashlib
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from strata.llm import mixing
 from strata.llm.shared import written
 from tests.llm import brute
 from tests.llm.test_llm_ops import P, edge_rows, DOC, tiktoken_encoding  # noqa: F401
@@ -85,3 +87,29 @@ def test_run(spark):
     df = corpus_pipeline.run(spark, SF)
     assert df.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and df.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and len(corpus_pipeline.STAGES) == 5
+
+
+def test_run_keeps_the_mixture(spark, monkeypatch):
+    monkeypatch.setattr(mixing.places, "__defaults__", tuple(1 if d == mixing.BLOCK_ROWS else d for d in mixing.places.__defaults__))
+    small = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "64k"}
+    old = {k: spark.conf.get(k) for k in small}
+    try:  # many files and blocks, as a large corpus has
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        rows = [r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").collect()}
+    left = collections.Counter(source[i] for i in rows)
+    assert len(left) > 1 and len(set(rows)) == len(rows)
+    here = collections.Counter()
+    for n, i in enumerate(rows, 1):
+        here[source[i]] += 1
+        # equal weights: less than one block (here a row) from the share
+        assert all(abs(here[s] - n / len(left)) < 1 for s in left), n
+        if any(here[s] == left[s] for s in left):
+            break
+    assert n > len(left) * 4
+    for s in left:  # a source's documents come in key order
+        assert [i for i in rows if source[i] == s] == sorted(i for i in rows if source[i] == s)

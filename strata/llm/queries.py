@@ -51,7 +51,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = f.read()
     spec = json.loads(text)
     vocabulary = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
-    _, back = rans.round_trip(table(spark, sf_dir, "documents"), text, vocabulary)
+    _, back = rans.round_trip(table(spark, sf_dir, "documents"), text, vocabulary, added=True)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").cast("long").alias("ids_crc32"))
 
 

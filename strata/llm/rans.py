@@ -30,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -212,8 +213,9 @@ class Pieces:
     which the ids are cut again.
     """
 
-    def __init__(self, json: str):
-        self.json, self.name = json, xxhash.xxh3_64_hexdigest(json)
+    def __init__(self, json: str, added: bool = False):
+        self.json, self.added = json, added
+        self.name = f"{xxhash.xxh3_64_hexdigest(json)}-{added}"
 
     def tokenizer(self):
         if self.name not in _TOKENIZERS:
@@ -221,10 +223,17 @@ class Pieces:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_str(self.json)
-            t.encode_special_tokens = True
+            t.encode_special_tokens = not self.added
             _TOKENIZERS[self.name] = (t, {}, t.encode("\n", add_special_tokens=False).ids)
         return _TOKENIZERS[self.name]
 
+    def marked(self, col: pa.Array) -> np.ndarray:
+        """Which texts hold an added token's content and must go to the library whole."""
+        out = np.zeros(len(col), dtype=bool)
+        for t in self.tokenizer()[0].get_added_tokens_decoder().values() if self.added else ():
+            out |= pc.match_substring(col, t.content).to_numpy(zero_copy_only=False)
+        return out
+
     def whole(self, texts: list[str]) -> list[list[int]]:
         t = self.tokenizer()[0]
         return [e.ids for a in range(0, len(texts), 64) for e in t.encode_batch_fast(texts[a:a + 64], add_special_tokens=False)]
@@ -274,7 +283,9 @@ def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "te
     def run(batches):
         for b in X.batches_of(batches, "text", _BATCH):
             col = b.column("text").fill_null("")
-            names, number, off, odd = blank_pieces(col)
+            marked = pieces.marked(col)
+            names, number, off, odd = blank_pieces(pc.if_else(pa.array(marked), pa.scalar("", col.type), col) if marked.any() else col)
+            odd = np.union1d(odd, np.flatnonzero(marked))
             ids = pieces(names)
             size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
@@ -363,9 +374,14 @@ def read(files: DataFrame, freq: np.ndarray) -> DataFrame:
     return located.select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def round_trip(docs: DataFrame, json: str, vocabulary: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(the files, what they hold when read back)."""
-    encoded = written(encode(docs, Pieces(json), key, text), "ids")
+def round_trip(docs: DataFrame, json: str, vocabulary: int, key: str = "doc_id", text: str = "text",
+               added: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the files, what they hold when read back).
+
+    ``added``: an added token's content inside a text is that token, as the
+    library does by default; else it is cut into ordinary pieces.
+    """
+    encoded = written(encode(docs, Pieces(json, added), key, text), "ids")
     freq = frequencies(encoded, vocabulary)
     files = write(encoded, freq)
     return files, read(files, freq)

@@ -544,3 +544,18 @@ def test_secrets_battery_beside_other_scripts():
     _, tested = secrets.find(*textcols.text_buffer(pa.array(texts + joined)))
     assert [[t[a:b] for a, b, _ in x] for t, x in zip(texts, tested)] == [[token]] * len(texts)
     assert tested[len(texts):] == [[]] * len(joined)
+
+
+def test_token_files_query_takes_added_tokens(spark, tmp_path):
+    import tokenizers
+
+    tok = tokenizers.Tokenizer.from_file(P.path(queries.TOKENIZER))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain words", "x<|endoftext|><|endoftext|>  y\n\n z", None, "<|endoftext", *hard_texts(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    at, want = 0, []
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        want.append((i, at, len(ids), zlib.crc32(brute.packed(ids))))
+        at += len(ids)
+    assert 50256 in tok.encode(texts[0], add_special_tokens=False).ids
+    same([tuple(r) for r in queries.op8_token_files(spark, str(tmp_path)).collect()], want)

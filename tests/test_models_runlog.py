@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.ml.feature import VectorAssembler
 
 from strata.operators import models as M
@@ -154,3 +155,25 @@ def test_shared_fold_statistics_equal_per_fold_fits(spark):
         assert va_a.keys() == va_b.keys()
         assert all(np.allclose(va_a[k], va_b[k], atol=1e-9) for k in va_a)
     prep.release()
+
+
+def test_model_queries_are_registered_whole(spark, monkeypatch):
+    from strata.plans import q_models as Q
+
+    class Stop(Exception):
+        pass
+
+    calls = []
+
+    def stop(*args, **kw):
+        calls.append(kw)
+        raise Stop
+
+    monkeypatch.setattr(Q.T, "train", stop)
+    monkeypatch.setattr(Q.K, "search_features", stop)
+    names = ["g_forest", "g_gbt", "g_adaboost", "g_trees_reg", "g_adaboost_reg", "i_tree_importance", "i_shapley_mc", "k_search_log"]
+    for name in names:
+        with pytest.raises(Stop):
+            getattr(Q, name)(spark, "/root/testdata/sf0.001")
+    assert [c["k"] for c in calls] == [5] * len(names) and not any(c.get("model_params") for c in calls)
+    assert "models" not in calls[-1] and "max_rounds" not in calls[-1]

@@ -126,6 +126,30 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          public_tokenizers.PATTERN, also={"decoded": (T.BinaryType(), bpe.decoder(ranks))}))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents, their near words, forms and roots."""
+    from strata.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold-scaled sketches of every text and of its edited text, compared."""
+    from strata.llm.sketch import compare_neighbours
+
+    return compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof and folded root of every document."""
+    from strata.llm.merkle import prove
+
+    return prove(table(spark, sf_dir, "documents"))
+
+
 _WORDS = ("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           "'[^\\x20\\x09-\\x0D]+')")
 
@@ -156,6 +180,48 @@ SELECT query_id, rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hit) WHERE rank <= 10"""
 
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+#: crc32 of a key's decimal digits, eight steps a byte, as there is no such function.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda a, b:
+  list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))"""
+
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, lang, sha256({_LEAF} || {_FIELD.format('text')}) AS leaf,
+    CASE WHEN xor({_CRC}, 4294967295) % 3 = 0 THEN sha256({_LEAF} || {_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS changed
+  FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM doc),
+low AS (
+  SELECT lang, 0 AS l, i, leaf AS d, n FROM leaves
+  UNION ALL
+  SELECT lang, l + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 7) // 8) FROM low WHERE n > 1 GROUP BY lang, l, i // 8),
+subroots AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+top AS (
+  SELECT 0 AS l, i, subroot AS d, n FROM subroots
+  UNION ALL
+  SELECT l + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 7) // 8) FROM top WHERE n > 1 GROUP BY l, i // 8),
+nodes AS (SELECT *, false AS up FROM low WHERE n > 1 UNION ALL SELECT NULL, l, i, d, n, true FROM top WHERE n > 1),
+near AS (
+  SELECT up, CASE WHEN up THEN NULL ELSE lang END AS lang, l, i,
+    coalesce(string_agg(d, '') OVER (PARTITION BY up, lang, l, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre,
+    coalesce(string_agg(d, '') OVER (PARTITION BY up, lang, l, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post
+  FROM nodes),
+height AS (SELECT lang, max(l) AS h FROM low GROUP BY lang),
+fold AS (
+  SELECT leaves.doc_id, leaves.lang, leaves.i AS leaf_i, 0 AS step, coalesce(changed, leaf) AS d, leaves.i AS pos, '' AS proof, h, subroots.i AS top_i
+  FROM leaves JOIN height ON height.lang IS NOT DISTINCT FROM leaves.lang JOIN subroots ON subroots.lang IS NOT DISTINCT FROM leaves.lang
+  UNION ALL
+  SELECT f.doc_id, f.lang, leaf_i, step + 1, sha256(pre || d || post), CASE WHEN step + 1 = h THEN top_i ELSE pos // 8 END, proof || pre || post, h, top_i
+  FROM fold f JOIN near ON near.up = (step >= h) AND near.l = CASE WHEN step >= h THEN step - h ELSE step END AND near.i = CASE WHEN step = 0 AND h = 0 THEN top_i ELSE pos END
+    AND (near.up OR near.lang IS NOT DISTINCT FROM f.lang)),
+last AS (SELECT lang, leaf_i, max_by(d, step) AS folded_root, sha256(max_by(proof, step)) AS proof_sha256 FROM fold GROUP BY ALL),
+root AS (SELECT d AS root FROM top WHERE n = 1)
+SELECT leaves.doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN last ON last.lang IS NOT DISTINCT FROM leaves.lang AND leaf_i = leaves.i JOIN subroots ON subroots.lang IS NOT DISTINCT FROM leaves.lang, root"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

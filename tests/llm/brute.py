@@ -7,6 +7,8 @@ import re
 import struct
 import zlib
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -135,3 +137,125 @@ def bm25(docs, queries, k, k1=1.2, b=0.75):
 
 def packed(ids):
     return struct.pack(f"<{len(ids)}I", *ids)
+
+
+# 11 -----------------------------------------------------------------------------------------------
+
+def words(rows):
+    """Counts of the words of operator 11."""
+    n = collections.Counter()
+    for key, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % 199 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            n[run] += 1
+    return {w: k for w, k in n.items() if len(w) >= 6 and k >= 5}
+
+
+def variants(n):
+    """Rows of operator 11 for word counts, by trying every edit over the letters that occur."""
+    letters, out, form = sorted({c for w in n for c in w}), [], {}
+    near = {w: set() for w in n}
+    for w in n:
+        for i in range(len(w)):
+            for x in [w[:i] + w[i + 1:], *[w[:i] + c + w[i + 1:] for c in letters if c != w[i]]]:
+                if x in n:
+                    near[w].add(x)
+                    near[x].add(w)
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 5 * n[w] else None
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return out
+
+
+# 12 -----------------------------------------------------------------------------------------------
+
+def _xx(values, seed=42):
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else (v % 2 ** 64).to_bytes(8, "little"), seed)
+    return seed
+
+
+def sketch(text, fraction=8, floor=48):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    w = [_xx([x.encode()]) for x in re.findall("[^ \t-\r]+", low)]
+    if len(w) >= 5:
+        hs = [_xx(w[i:i + 5]) for i in range(len(w) - 4)]
+    else:
+        h = 5
+        for x in w:
+            h = _xx([h, x])
+        hs = [h] if w else []
+    hs = sorted({h >> 2 for h in hs})
+    limit = 2 ** 62 // fraction
+    below = [h for h in hs if h < limit]
+    if len(hs) <= floor:
+        return 2 ** 62 - 1, hs
+    return (limit, below) if len(below) >= floor else (hs[floor - 1] + 1, hs[:floor])
+
+
+def likeness(a, b):
+    bound = min(a[0], b[0])
+    x, y = ({h for h in s[1] if h < bound} for s in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def neighbours(rows):
+    """Rows of operator 12."""
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), _xx([r[1].encode()]) - (2 ** 64 if _xx([r[1].encode()]) >= 2 ** 63 else 0)))
+    out, digits = [], lambda s: "".join(f"{h:016x}" for h in [s[0], *s[1]])
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        e = t[:len(t) - len(t) // 3] + after[:len(t) // 3]
+        a, b, c = sketch(t), sketch(e), sketch(after)
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), digits(a), digits(b), likeness(a, b), likeness(a, c)))
+    return out
+
+
+# 13 -----------------------------------------------------------------------------------------------
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle(rows):
+    """Rows of operator 13 for (doc_id, source, lang, n_chars, text)."""
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    low = lambda t: None if t is None else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    trees = collections.defaultdict(list)
+    for i, s, lang, n, t in rows:
+        leaf = H(*map(field, (i, s, lang, n, t)))
+        hit = i is not None and zlib.crc32(str(i).encode()) % 3 == 0
+        trees[lang].append((i is not None, i or 0, leaf, H(*map(field, (i, s, lang, n, low(t)))) if hit else leaf, i))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([H(*out[-1][k:k + 8]) for k in range(0, len(out[-1]), 8)])
+        return out
+
+    def way(tree, i):
+        for nodes in tree[:-1]:
+            a = i - i % 8
+            yield i % 8, nodes[a:i] + nodes[i + 1:a + 8]
+            i //= 8
+
+    order = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    own = {x: levels([r[2] for r in sorted(trees[x], key=lambda r: r[:3])]) for x in order}
+    top = levels([own[x][-1][0] for x in order])
+    out = []
+    for k, x in enumerate(order):
+        for j, (_, _, leaf, changed, i) in enumerate(sorted(trees[x], key=lambda r: r[:3])):
+            steps = [*way(own[x], j), *way(top, k)]
+            d = changed
+            for slot, others in steps:
+                d = H(*others[:slot], d, *others[slot:])
+            out.append((i, leaf, own[x][-1][0], top[-1][0], H(*[o for _, others in steps for o in others]), d, d == top[-1][0]))
+    return out

@@ -15,13 +15,13 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       NaiveBayes, OneVsRest, RandomForestClassifier)
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, NaiveBayes,
+                                       RandomForestClassifier)
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators import boost
 from strata.operators.persist import Saved
 from strata.session import cut_lineage
 
@@ -246,12 +246,19 @@ def _knn(p):
     return KNNClassifier(k=p["n_neighbors"])
 
 
-def _gbt_clf(p, ctx):
-    gbt = GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"],
-                        seed=SEED)
-    if ctx.n_classes > 2:
-        return OneVsRest(classifier=gbt)
-    return gbt
+#: Boosters: trained for all folds at once by ``boost.fit_views``.
+_BOOSTERS = {"Gradient Boosting": boost.first_order, "XGBoost": boost.depth_wise, "LightGBM": boost.leaf_wise}
+
+
+def boost_params(name: str, task: str, params: dict | None = None) -> boost.BoostParams | None:
+    """Parameters of a booster by name; None for other models."""
+    if name not in _BOOSTERS:
+        return None
+    return _BOOSTERS[name]({**REGISTRY[task, name].defaults, **(params or {})})
+
+
+def _booster(name):
+    return lambda p, c: boost.HistBooster(_BOOSTERS[name](p), "classification" if c.n_classes else "regression", c.n_classes)
 
 
 _BUILDERS = {
@@ -261,14 +268,11 @@ _BUILDERS = {
     ("classification", "Random Forest"): lambda p, c: RandomForestClassifier(
         numTrees=p["n_estimators"], maxDepth=p["max_depth"], minInstancesPerNode=p["min_samples_leaf"],
         featureSubsetStrategy="sqrt", seed=SEED),
-    ("classification", "Gradient Boosting"): _gbt_clf,
     ("classification", "Decision Tree"): lambda p, c: DecisionTreeClassifier(maxDepth=p["max_depth"], seed=SEED),
     ("classification", "Naive Bayes"): lambda p, c: NaiveBayes(modelType="gaussian"),
     ("classification", "K-Nearest Neighbors"): lambda p, c: _knn(p),
     ("classification", "AdaBoost"): lambda p, c: AdaBoostClassifier(
         n_estimators=p["n_estimators"], learning_rate=p["learning_rate"], n_classes=c.n_classes),
-    ("classification", "XGBoost"): _gbt_clf,
-    ("classification", "LightGBM"): _gbt_clf,
     ("regression", "Linear Regression"): lambda p, c: LinearRegression(regParam=0.0, solver="normal"),
     ("regression", "Ridge"): lambda p, c: LinearRegression(
         elasticNetParam=0.0, standardization=False, solver="normal",
@@ -277,15 +281,10 @@ _BUILDERS = {
         elasticNetParam=1.0, standardization=False, regParam=p["alpha"], maxIter=p["max_iter"]),
     ("regression", "Random Forest"): lambda p, c: RandomForestRegressor(
         numTrees=p["n_estimators"], maxDepth=p["max_depth"], featureSubsetStrategy="all", seed=SEED),
-    ("regression", "Gradient Boosting"): lambda p, c: GBTRegressor(
-        maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], seed=SEED),
     ("regression", "Decision Tree"): lambda p, c: DecisionTreeRegressor(maxDepth=p["max_depth"], seed=SEED),
     ("regression", "AdaBoost"): lambda p, c: AdaBoostRegressor(
         n_estimators=p["n_estimators"], learning_rate=p["learning_rate"]),
-    ("regression", "XGBoost"): lambda p, c: GBTRegressor(
-        maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], seed=SEED),
-    ("regression", "LightGBM"): lambda p, c: GBTRegressor(
-        maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], seed=SEED),
+    **{(task, name): _booster(name) for task in ("classification", "regression") for name in _BOOSTERS},
 }
 
 
@@ -321,7 +320,8 @@ _CATALOGUE = [
     ModelSpec("XGBoost", "classification", {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6},
               _info(["Competition winner", "Handles missing values"], ["Many hyperparams"],
                     "medium", False, True, False, False)),
-    ModelSpec("LightGBM", "classification", {"n_estimators": 100, "learning_rate": 0.05, "max_depth": 5},
+    ModelSpec("LightGBM", "classification",
+              {"n_estimators": 100, "learning_rate": 0.05, "num_leaves": 31, "max_depth": 7},
               _info(["Extremely fast", "Low memory", "Handles categoricals"], ["Can overfit on small data"],
                     "fast", False, True, True, False)),
     ModelSpec("Linear Regression", "regression", {},
@@ -345,7 +345,8 @@ _CATALOGUE = [
     ModelSpec("XGBoost", "regression", {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6},
               _info(["Excellent accuracy", "Handles missing values"], ["Many hyperparams"],
                     "medium", False, True, False, False)),
-    ModelSpec("LightGBM", "regression", {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5},
+    ModelSpec("LightGBM", "regression",
+              {"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31, "max_depth": -1},
               _info(["Very fast", "Low memory"], ["Can overfit on small data"], "fast", False, True, True, False)),
 ]
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import types as TY
 from strata.functions.features import FeatureStep
+from strata.operators import boost
 from strata.operators import cv as CV
 from strata.operators import models as M
 from strata.operators import prep as PR
@@ -202,6 +203,10 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
         from strata.operators.foldstats import fold_statistics
         shared = fold_statistics(data, feature_cols, "label", k, PR.MAX_CATEGORIES)
 
+    # models that train all folds in the same passes, after the folds are prepared
+    joint = {m: p for m in models if (p := M.boost_params(m, task, model_params.get(m))) is not None}
+    views: dict[int, tuple[DataFrame, DataFrame]] = {}
+
     def run_fold(f: int):
         """A fold whose preparation fails counts against every model, not against the run."""
         try:
@@ -230,6 +235,8 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
         if task == "classification":
             ctx.n_classes = max(ctx.n_classes, len(labels or []))
         for name in models:
+            if name in joint:
+                continue
             t0 = time.time()
             try:
                 est = M.get_model(name, task, ctx, model_params.get(name))
@@ -240,8 +247,11 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
             except Exception as e:  # a failing model is skipped (H19)
                 errors[name] = f"{type(e).__name__}: {e}"
             timings[name] += time.time() - t0
-        tr.unpersist()
-        va.unpersist()
+        if joint:
+            views[f] = (tr, va)
+        else:
+            tr.unpersist()
+            va.unpersist()
         return parts, timings, errors, fe_err
 
     # folds are independent Spark jobs: a few run concurrently from driver threads
@@ -259,6 +269,18 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
         fe_error = fe_error or fe_err
     # a model that failed in any fold has an incomplete OOF table: drop it everywhere
     parts = [p for fr in fold_results for name, p in fr[0] if name not in errors]
+    for name, params in joint.items():
+        t0 = time.time()
+        try:
+            if name not in errors:
+                _, held, _ = boost.fit_views([(f, *views[f]) for f in sorted(views)], task, len(labels or []), params)
+                parts.append(_materialize(held.select(F.lit(name).alias("model"), "key", F.col("model").alias("fold"), "y", "prediction")))
+        except Exception as e:  # a failing model is skipped (H19)
+            errors[name] = f"{type(e).__name__}: {e}"
+        timings[name] += time.time() - t0
+    for tr, va in views.values():
+        tr.unpersist()
+        va.unpersist()
 
     ok_models = [m for m in models if m not in errors]
     if not ok_models:

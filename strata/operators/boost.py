@@ -240,16 +240,22 @@ class Growing:
 
 def _route(bins: np.ndarray, feature, cut, missing, left, right, last: np.ndarray) -> np.ndarray:
     """Leaf of every row; ``last`` is each feature's bin of missing values."""
-    node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    node = np.zeros(len(bins), np.int64)
     if feature[0] < 0:
         return node
-    while len(rows):
-        at = node[rows]
-        f = feature[at]
-        v = bins[rows, f]
-        go = np.where(v == last[f], missing[at], v <= cut[at])
-        node[rows] = np.where(go, left[at], right[at])
-        rows = rows[feature[node[rows]] >= 0]
+    # a leaf leads to itself, so every row takes as many steps as the tree is deep
+    own = np.arange(len(feature))
+    inner = feature >= 0
+    f, child = np.where(inner, feature, 0), np.stack([np.where(inner, right, own), np.where(inner, left, own)], 1).ravel()
+    flat, row, level = bins.ravel(), np.arange(len(bins)) * bins.shape[1], np.array([0])
+    none = (bins == last).any()
+    while len(level := np.concatenate([left[level[inner[level]]], right[level[inner[level]]]])):
+        at = f[node]
+        v = flat[row + at]
+        go = v <= cut[node]
+        if none:
+            go = np.where(v == last[at], missing[node], go)
+        node = child[2 * node + go]
     return node
 
 
@@ -334,11 +340,12 @@ _PART = "model int, output int, node int, first long, sums binary"
 _SPLIT = "model int, output int, node int, total array<double>, gain double, feature int, bin int, missing_left boolean, left array<double>"
 
 
-def _added(offsets: dict[int, np.ndarray], rule: SplitRule) -> Callable:
+def _added(offsets: dict[int, np.ndarray], rule: SplitRule, may: dict) -> Callable:
     def added(key: tuple, t: pa.Table) -> pa.Table:
         m = key[0].as_py()
         hist = sum(np.frombuffer(s).reshape(1, int(offsets[m][-1]), -1) for s in t.sort_by("first")["sums"].to_pylist())
-        s = best_splits(hist, offsets[m], rule)[0]
+        allowed = may.get((m, key[1].as_py(), key[2].as_py()))
+        s = best_splits(hist, offsets[m], rule, None if allowed is None else allowed[None])[0]
         total = hist[0, offsets[m][0]:offsets[m][1]].sum(axis=0)
         return pa.table({"model": [m], "output": [key[1].as_py()], "node": [key[2].as_py()], "total": [total.tolist()], "gain": [s and s.gain],
                          "feature": [s and s.feature], "bin": [s and s.bin], "missing_left": [s and s.missing_left], "left": [s and s.left.tolist()]},
@@ -399,13 +406,14 @@ class Booster:
                 got[large] = hist[k, parent] - got[small]
             for large, small, parent in derived[k]:
                 hist.pop((k, parent), None)
-            for i, s in zip(nodes, best_splits(np.stack([got[i] for i in nodes]), self.offsets[m], rule)):
+            for i, s in zip(nodes, best_splits(np.stack([got[i] for i in nodes]), self.offsets[m], rule, self._allowed(k, t, nodes))):
                 hist[k, i] = got[i]
                 self._learn(t, i, got[i][self.offsets[m][0]:self.offsets[m][1]].sum(axis=0), s)
 
     def _measure_spread(self, recent, trees, wanted) -> None:
         part = self.blocks.mapInArrow(_counted(self._state(recent, trees, wanted), True), _PART)
-        for r in part.groupBy("model", "output", "node").applyInArrow(_added(self.offsets, self.params.rule), _SPLIT).collect():
+        may = {(*k, int(i)): a for k, nodes in wanted.items() if (each := self._allowed(k, trees[k], nodes.tolist())) is not None for i, a in zip(nodes, each)}
+        for r in part.groupBy("model", "output", "node").applyInArrow(_added(self.offsets, self.params.rule, may), _SPLIT).collect():
             total = np.array(r["total"])
             left = None if r["gain"] is None else np.array(r["left"])
             s = None if left is None else Split(r["gain"], r["feature"], r["bin"], r["missing_left"], left, total - left)
@@ -416,6 +424,10 @@ class Booster:
         if t.sums[i] is None:
             t.sums[i] = total
 
+    def _allowed(self, k: tuple[int, int], t: Growing, nodes: list[int]) -> np.ndarray | None:
+        """Features that each node may split by; None for all."""
+        return None
+
     def _open(self, t: Growing, i: int) -> bool:
         return not self.params.depth or t.depth[i] < self.params.depth
 

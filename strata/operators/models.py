@@ -1,4 +1,4 @@
-"""Model registry (survey 2.G): every model is a distributed MLlib estimator.
+"""Model registry (survey 2.G): MLlib estimators, and boosters and forests of our own.
 
 Models read a ``features`` vector and a numeric ``label`` and write
 ``prediction`` (label index for classification).  Parameters that depend on
@@ -15,13 +15,12 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, NaiveBayes,
-                                       RandomForestClassifier)
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, NaiveBayes)
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators import boost
+from strata.operators import boost, forest
 from strata.operators.persist import Saved
 from strata.session import cut_lineage
 
@@ -246,15 +245,22 @@ def _knn(p):
     return KNNClassifier(k=p["n_neighbors"])
 
 
-#: Boosters: trained for all folds at once by ``boost.fit_views``.
+#: Boosters by name.
 _BOOSTERS = {"Gradient Boosting": boost.first_order, "XGBoost": boost.depth_wise, "LightGBM": boost.leaf_wise}
 
 
-def boost_params(name: str, task: str, params: dict | None = None) -> boost.BoostParams | None:
-    """Parameters of a booster by name; None for other models."""
-    if name not in _BOOSTERS:
+def _forest(p: dict, features: str) -> forest.ForestParams:
+    return forest.ForestParams(p["n_estimators"], p["max_depth"] or 0, p["min_samples_split"], p["min_samples_leaf"], features, SEED)
+
+
+def joint_fit(name: str, task: str, params: dict | None = None):
+    """For models that train all folds at once: a function of (views, number of classes) that gives the held-out predictions; None for others."""
+    if name != "Random Forest" and name not in _BOOSTERS:
         return None
-    return _BOOSTERS[name]({**REGISTRY[task, name].defaults, **(params or {})})
+    p = {**REGISTRY[task, name].defaults, **(params or {})}
+    if name in _BOOSTERS:
+        return lambda views, k: boost.fit_views(views, task, k, _BOOSTERS[name](p))[1]
+    return lambda views, k: forest.fit_views(views, task, k, _forest(p, "sqrt" if task == "classification" else "all"), keep=False)[1]
 
 
 def _booster(name):
@@ -265,9 +271,7 @@ _BUILDERS = {
     ("classification", "Logistic Regression"): lambda p, c: LogisticRegression(
         maxIter=p["max_iter"], regParam=1.0 / (p["C"] * max(c.n_train, 1)), elasticNetParam=0.0,
         standardization=False, tol=p["tol"]),
-    ("classification", "Random Forest"): lambda p, c: RandomForestClassifier(
-        numTrees=p["n_estimators"], maxDepth=p["max_depth"], minInstancesPerNode=p["min_samples_leaf"],
-        featureSubsetStrategy="sqrt", seed=SEED),
+    ("classification", "Random Forest"): lambda p, c: forest.Forest(_forest(p, "sqrt"), "classification", c.n_classes),
     ("classification", "Decision Tree"): lambda p, c: DecisionTreeClassifier(maxDepth=p["max_depth"], seed=SEED),
     ("classification", "Naive Bayes"): lambda p, c: NaiveBayes(modelType="gaussian"),
     ("classification", "K-Nearest Neighbors"): lambda p, c: _knn(p),
@@ -279,8 +283,7 @@ _BUILDERS = {
         regParam=p["alpha"] * c.label_std / max(c.n_train, 1)),
     ("regression", "Lasso"): lambda p, c: LinearRegression(
         elasticNetParam=1.0, standardization=False, regParam=p["alpha"], maxIter=p["max_iter"]),
-    ("regression", "Random Forest"): lambda p, c: RandomForestRegressor(
-        numTrees=p["n_estimators"], maxDepth=p["max_depth"], featureSubsetStrategy="all", seed=SEED),
+    ("regression", "Random Forest"): lambda p, c: forest.Forest(_forest(p, "all"), "regression"),
     ("regression", "Decision Tree"): lambda p, c: DecisionTreeRegressor(maxDepth=p["max_depth"], seed=SEED),
     ("regression", "AdaBoost"): lambda p, c: AdaBoostRegressor(
         n_estimators=p["n_estimators"], learning_rate=p["learning_rate"]),
@@ -300,7 +303,7 @@ _CATALOGUE = [
               _info(["Fast", "Interpretable", "Probabilistic"], ["Linear boundary only", "Requires scaling"],
                     "fast", True, False, False, True)),
     ModelSpec("Random Forest", "classification",
-              {"n_estimators": 100, "max_depth": 10, "min_samples_leaf": 4},
+              {"n_estimators": 100, "max_depth": 10, "min_samples_split": 10, "min_samples_leaf": 4},
               _info(["Excellent OOB performance", "Feature importance", "No scaling"],
                     ["Slow on large data", "High memory"], "medium", False, False, False, False)),
     ModelSpec("Gradient Boosting", "classification", {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3},
@@ -333,7 +336,8 @@ _CATALOGUE = [
     ModelSpec("Lasso", "regression", {"alpha": 1.0, "max_iter": 1000},
               _info(["Feature selection via L1"], ["Unstable with correlated features"],
                     "fast", True, False, False, True)),
-    ModelSpec("Random Forest", "regression", {"n_estimators": 100, "max_depth": 12},
+    ModelSpec("Random Forest", "regression",
+              {"n_estimators": 100, "max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1},
               _info(["Excellent OOB performance", "Feature importance"], ["Slow on large data", "High memory"],
                     "medium", False, False, False, False)),
     ModelSpec("Gradient Boosting", "regression", {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3},

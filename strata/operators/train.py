@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from strata.functions import types as TY
 from strata.functions.features import FeatureStep
-from strata.operators import boost
 from strata.operators import cv as CV
 from strata.operators import models as M
 from strata.operators import prep as PR
@@ -204,7 +203,7 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
         shared = fold_statistics(data, feature_cols, "label", k, PR.MAX_CATEGORIES)
 
     # models that train all folds in the same passes, after the folds are prepared
-    joint = {m: p for m in models if (p := M.boost_params(m, task, model_params.get(m))) is not None}
+    joint = {m: fit for m in models if (task, m) in M.REGISTRY and (fit := M.joint_fit(m, task, model_params.get(m))) is not None}
     views: dict[int, tuple[DataFrame, DataFrame]] = {}
 
     def run_fold(f: int):
@@ -269,11 +268,11 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
         fe_error = fe_error or fe_err
     # a model that failed in any fold has an incomplete OOF table: drop it everywhere
     parts = [p for fr in fold_results for name, p in fr[0] if name not in errors]
-    for name, params in joint.items():
+    for name, fit in joint.items():
         t0 = time.time()
         try:
             if name not in errors:
-                _, held, _ = boost.fit_views([(f, *views[f]) for f in sorted(views)], task, len(labels or []), params)
+                held = fit([(f, *views[f]) for f in sorted(views)], len(labels or []))
                 parts.append(_materialize(held.select(F.lit(name).alias("model"), "key", F.col("model").alias("fold"), "y", "prediction")))
         except Exception as e:  # a failing model is skipped (H19)
             errors[name] = f"{type(e).__name__}: {e}"

@@ -92,8 +92,9 @@ CASES = {"depth": lambda: boost.depth_wise({"n_estimators": 5, "learning_rate":
 
 
 def frame(spark, x, y, parts=3):
-    return spark.createDataFrame([(str(i), Vectors.dense(a), float(b)) for i, (a, b) in enumerate(zip(x, y))],
-                                 ["__key", "features", "label"]).repartition(parts)
+    df = spark.createDataFrame([(str(i), Vectors.dense(a), float(b)) for i, (a, b) in enumerate(zip(x, y))],
+                                 ["__key", "features", "label"])
+    return df.repartition(parts) if parts else df
 
 
 @pytest.mark.parametrize("kind,classes,driver_bytes", [("depth", 0, 1 << 26), ("depth", 2, 0), ("depth", 3, 1 << 26), ("leaf", 0, 1 << 26), ("leaf", 2, 0),

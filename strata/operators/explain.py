@@ -4,7 +4,8 @@
   ``TakeOrdered``; deterministic and reproducible outside Spark);
 * linear models: exact linear SHAP against the sample mean, mean |value|
   per feature = mean_k |coef_kj| * mean |x_j - mean_j| (averaged over classes);
-* tree models: the model's impurity importances (the cheap path);
+* trees, forests and boosters: exact path-dependent Shapley values (``treeshap``);
+  the model's impurity importances are the cheap path;
 * other models: empty importance table (I7).
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.cv import fold_hash
+from strata.operators.linear import LinearModel, LogisticModel
 from strata.operators.models import importance_vector
 
 SAMPLE_ROWS = 300
@@ -121,9 +123,10 @@ def explain_model(pipeline: PipelineModel, data: DataFrame, names: list[str],
                   method: str = "auto", permutations: int = 8) -> DataFrame:
     """Importance table of the pipeline's final model.
 
-    ``auto``: linear models -> exact linear SHAP; tree ensembles -> Monte-Carlo
-    Shapley; other models -> empty table.  ``native`` uses the model's own
-    impurity importances (the cheap path).
+    ``auto``: linear models -> exact linear SHAP; trees, forests and boosters ->
+    exact tree SHAP; other ensembles -> Monte-Carlo Shapley, as with ``sampled``;
+    other models -> empty table.  ``native`` uses the model's own impurity
+    importances (the cheap path).
     """
     spark = data.sparkSession
     model = pipeline.stages[-1]
@@ -132,12 +135,18 @@ def explain_model(pipeline: PipelineModel, data: DataFrame, names: list[str],
             return native_importance(spark, importance_vector(model), names)
         sample = explain_sample(data, key_cols, seed, n)
         vectors = PipelineModel(stages=pipeline.stages[:-1]).transform(sample)
-        if isinstance(model, (LogisticRegressionModel, LinearRegressionModel)):
-            if isinstance(model, LogisticRegressionModel):
+        if isinstance(model, (LogisticRegressionModel, LinearRegressionModel, LogisticModel, LinearModel)):
+            if isinstance(model, (LogisticRegressionModel, LogisticModel)):
                 coefs = model.coefficientMatrix.toArray().tolist()
             else:
                 coefs = [model.coefficients.toArray().tolist()]
             return linear_shap(vectors, coefs, names)
+        if method == "auto" and names:
+            from strata.operators.treeshap import shap_importance
+
+            exact = shap_importance(model, vectors, names)
+            if exact is not None:
+                return exact
         if importance_vector(model) is not None:
             return shapley_mc(model, vectors, names, permutations, seed)
         return spark.createDataFrame([], _SCHEMA)

@@ -15,12 +15,12 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, NaiveBayes)
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators import boost, forest
+from strata.operators import boost, forest, linear
 from strata.operators.persist import Saved
 from strata.session import cut_lineage
 
@@ -254,13 +254,27 @@ def _forest(p: dict, features: str) -> forest.ForestParams:
 
 
 def joint_fit(name: str, task: str, params: dict | None = None):
-    """For models that train all folds at once: a function of (views, number of classes) that gives the held-out predictions; None for others."""
-    if name != "Random Forest" and name not in _BOOSTERS:
-        return None
+    """For models that train all folds at once: a function of (views, number of classes, memo) that gives the held-out
+    predictions, ``memo`` holding what several models of the same views share; None for other models."""
     p = {**REGISTRY[task, name].defaults, **(params or {})}
     if name in _BOOSTERS:
-        return lambda views, k: boost.fit_views(views, task, k, _BOOSTERS[name](p))[1]
-    return lambda views, k: forest.fit_views(views, task, k, _forest(p, "sqrt" if task == "classification" else "all"), keep=False)[1]
+        return lambda views, k, memo: boost.fit_views(views, task, k, _BOOSTERS[name](p))[1]
+    if name == "Random Forest":
+        features = "sqrt" if task == "classification" else "all"
+        return lambda views, k, memo: forest.fit_views(views, task, k, _forest(p, features), keep=False)[1]
+    if name == "Logistic Regression":
+        return lambda views, k, memo: linear.Logistic(k, p["C"], p["max_iter"]).fit_views(views, memo)
+    if name in _LEAST_SQUARES:
+        return lambda views, k, memo: _least_squares(name, p).fit_views(views, memo)
+    return None
+
+
+#: Least-squares models by name.
+_LEAST_SQUARES = {"Linear Regression": "ols", "Ridge": "ridge", "Lasso": "lasso"}
+
+
+def _least_squares(name: str, p: dict) -> linear.LeastSquares:
+    return linear.LeastSquares(_LEAST_SQUARES[name], p.get("alpha", 0.0), p.get("max_iter", 1000))
 
 
 def _booster(name):
@@ -268,21 +282,16 @@ def _booster(name):
 
 
 _BUILDERS = {
-    ("classification", "Logistic Regression"): lambda p, c: LogisticRegression(
-        maxIter=p["max_iter"], regParam=1.0 / (p["C"] * max(c.n_train, 1)), elasticNetParam=0.0,
-        standardization=False, tol=p["tol"]),
+    ("classification", "Logistic Regression"): lambda p, c: linear.Logistic(c.n_classes, p["C"], p["max_iter"]),
     ("classification", "Random Forest"): lambda p, c: forest.Forest(_forest(p, "sqrt"), "classification", c.n_classes),
     ("classification", "Decision Tree"): lambda p, c: DecisionTreeClassifier(maxDepth=p["max_depth"], seed=SEED),
     ("classification", "Naive Bayes"): lambda p, c: NaiveBayes(modelType="gaussian"),
     ("classification", "K-Nearest Neighbors"): lambda p, c: _knn(p),
     ("classification", "AdaBoost"): lambda p, c: AdaBoostClassifier(
         n_estimators=p["n_estimators"], learning_rate=p["learning_rate"], n_classes=c.n_classes),
-    ("regression", "Linear Regression"): lambda p, c: LinearRegression(regParam=0.0, solver="normal"),
-    ("regression", "Ridge"): lambda p, c: LinearRegression(
-        elasticNetParam=0.0, standardization=False, solver="normal",
-        regParam=p["alpha"] * c.label_std / max(c.n_train, 1)),
-    ("regression", "Lasso"): lambda p, c: LinearRegression(
-        elasticNetParam=1.0, standardization=False, regParam=p["alpha"], maxIter=p["max_iter"]),
+    ("regression", "Linear Regression"): lambda p, c: _least_squares("Linear Regression", p),
+    ("regression", "Ridge"): lambda p, c: _least_squares("Ridge", p),
+    ("regression", "Lasso"): lambda p, c: _least_squares("Lasso", p),
     ("regression", "Random Forest"): lambda p, c: forest.Forest(_forest(p, "all"), "regression"),
     ("regression", "Decision Tree"): lambda p, c: DecisionTreeRegressor(maxDepth=p["max_depth"], seed=SEED),
     ("regression", "AdaBoost"): lambda p, c: AdaBoostRegressor(

@@ -268,11 +268,12 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
         fe_error = fe_error or fe_err
     # a model that failed in any fold has an incomplete OOF table: drop it everywhere
     parts = [p for fr in fold_results for name, p in fr[0] if name not in errors]
+    memo: dict = {}
     for name, fit in joint.items():
         t0 = time.time()
         try:
             if name not in errors:
-                held = fit([(f, *views[f]) for f in sorted(views)], len(labels or []))
+                held = fit([(f, *views[f]) for f in sorted(views)], len(labels or []), memo)
                 parts.append(_materialize(held.select(F.lit(name).alias("model"), "key", F.col("model").alias("fold"), "y", "prediction")))
         except Exception as e:  # a failing model is skipped (H19)
             errors[name] = f"{type(e).__name__}: {e}"

@@ -410,8 +410,8 @@ def g_nb_predict(spark, sf_dir):
 _SPLIT_FEATS = ["l_quantity", "l_discount", "l_tax"]
 
 
-def _first_tree_sql(depth: int, l2: float, min_hessian: float, rate: float) -> str:
-    """Depth-wise tree on squared loss (gradient mean - y, Hessian 1), grown level by level by trying every threshold."""
+def _tree_ctes(depth: int, l2: float, min_hessian: float, rate: float) -> str:
+    """Depth-wise tree on squared loss (gradient mean - y, Hessian 1), grown level by level by trying every threshold: (node, f, t, cover, value)."""
     ctes = ["d AS (SELECT l_quantity, l_discount, l_tax, avg(l_extendedprice) OVER () - l_extendedprice AS g FROM lineitem)",
             "n0 AS (SELECT *, 1 AS node FROM d)",
             "m AS (" + " UNION ALL ".join(
@@ -428,25 +428,33 @@ def _first_tree_sql(depth: int, l2: float, min_hessian: float, rate: float) -> s
   FROM n{k} JOIN s{k} s ON s.node = n{k}.node)""")
     parts = []
     for k in range(depth + 1):
-        leaf = f"{R(f'-{rate} * sum(g) / (count(*) + {l2})', 4)}"
+        leaf = f"-{rate} * sum(g) / (count(*) + {l2})"
         if k < depth:
             parts.append(f"SELECT n{k}.node, any_value(s.f) AS f, any_value(s.t) AS t, count(*) AS cover, CASE WHEN any_value(s.f) IS NULL THEN {leaf} END AS value "
                          f"FROM n{k} LEFT JOIN s{k} s ON s.node = n{k}.node GROUP BY n{k}.node")
         else:
             parts.append(f"SELECT node, NULL, NULL, count(*), {leaf} FROM n{k} GROUP BY node")
-    names = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_SPLIT_FEATS))
-    return f"WITH {', '.join(ctes)} SELECT CAST(node AS BIGINT) AS node, CASE f {names} END AS feature, {R('t', 4)} AS threshold, cover, value FROM ({' UNION ALL '.join(parts)})"
+    return f"{', '.join(ctes)}, tree AS ({' UNION ALL '.join(parts)})"
 
 
-@register("g_xgboost_tree", _first_tree_sql(4, 1.0, 1, 0.1))
-def g_xgboost_tree(spark, sf_dir):
-    """First tree of second-order boosting on all of lineitem: splits, covers and leaf values."""
+_NAME = "CASE f " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_SPLIT_FEATS)) + " END"
+_FIRST_TREE = f"WITH {_tree_ctes(4, 1.0, 1, 0.1)} SELECT CAST(node AS BIGINT) AS node, {_NAME} AS feature, {R('t', 4)} AS threshold, cover, {R('value', 4)} AS value FROM tree"
+
+
+def _one_tree(spark, sf_dir, depth):
+    """A booster of one round on lineitem, and its rows."""
     from strata.operators import boost
     li = table(spark, sf_dir, "lineitem")
     va = VectorAssembler(inputCols=_SPLIT_FEATS, outputCol="features").transform(
-        li.select(*_SPLIT_FEATS, F.col("l_extendedprice").alias("label")))
-    params = boost.depth_wise({"n_estimators": 1, "learning_rate": 0.1, "max_depth": 4})
-    tree = boost.HistBooster(params, "regression").fit(va).rounds[0][0]
+        li.select(*dict.fromkeys([*_SPLIT_FEATS, *KEY6]), F.col("l_extendedprice").alias("label")))
+    params = boost.depth_wise({"n_estimators": 1, "learning_rate": 0.1, "max_depth": depth})
+    return boost.HistBooster(params, "regression").fit(va), va
+
+
+@register("g_xgboost_tree", _FIRST_TREE)
+def g_xgboost_tree(spark, sf_dir):
+    """First tree of second-order boosting on all of lineitem: splits, covers and leaf values."""
+    tree = _one_tree(spark, sf_dir, 4)[0].rounds[0][0]
     place, rows = {0: 1}, []
     for i, f, t, _, left, right, cover, value in tree.rows():
         if f is not None:
@@ -454,3 +462,67 @@ def g_xgboost_tree(spark, sf_dir):
         rows.append((place[i], None if f is None else _SPLIT_FEATS[f], t, int(cover), None if f is not None else value[0]))
     out = spark.createDataFrame(rows, "node bigint, feature string, threshold double, cover bigint, value double")
     return out.select("node", "feature", S.rnd(F.col("threshold"), 4).alias("threshold"), "cover", S.rnd(F.col("value"), 4).alias("value"))
+
+
+@register("i_tree_shap", f"""
+WITH {_tree_ctes(3, 1.0, 1, 0.1)},
+smp AS (SELECT row_number() OVER () AS rid, l_quantity, l_discount, l_tax FROM (
+  SELECT * FROM lineitem ORDER BY md5(concat_ws('|', '42', {_KEY6_SQL})), {_KEY6_SQL} LIMIT 300)),
+edge AS (SELECT l.node AS leaf, l.value, a.f, a.t, c.node % 2 = 0 AS goes_left, c.cover / a.cover AS share
+         FROM tree l, range(1, 5) r(k), tree a, tree c WHERE l.f IS NULL AND a.node = l.node >> k AND c.node = l.node >> (k - 1)),
+part AS (SELECT rid, s, leaf, any_value(value) * product(CASE WHEN (s >> f) & 1 = 0 THEN share
+           WHEN (CASE f WHEN 0 THEN l_quantity WHEN 1 THEN l_discount ELSE l_tax END <= t) = goes_left THEN 1 ELSE 0 END) AS v
+         FROM smp, range(8) u(s), edge GROUP BY rid, s, leaf),
+v AS (SELECT rid, s, sum(v) AS v FROM part GROUP BY rid, s),
+phi AS (SELECT a.rid, g.f, sum((b.v - a.v) * CASE bit_count(a.s) WHEN 1 THEN 1.0 / 6 ELSE 1.0 / 3 END) AS phi
+        FROM v a, range(3) g(f), v b WHERE (a.s >> g.f) & 1 = 0 AND b.rid = a.rid AND b.s = a.s + (1 << g.f) GROUP BY a.rid, g.f)
+SELECT {_NAME} AS feature, {R('avg(abs(phi))', 3)} AS importance FROM phi GROUP BY f""")
+def i_tree_shap(spark, sf_dir):
+    """Mean |exact tree Shapley value| on the 300-row sample of a boosted tree of lineitem."""
+    from strata.operators.treeshap import shap_importance
+    model, va = _one_tree(spark, sf_dir, 3)
+    imp = shap_importance(model, X.explain_sample(va, KEY6, 42, 300), _SPLIT_FEATS)
+    return imp.select("feature", S.rnd(F.col("importance"), 3).alias("importance"))
+
+
+_LASSO = """
+WITH s AS (SELECT covar_pop(l_quantity, l_quantity) AS a, covar_pop(l_quantity, l_discount) AS b, covar_pop(l_discount, l_discount) AS d,
+             covar_pop(l_quantity, l_extendedprice) AS p, covar_pop(l_discount, l_extendedprice) AS q,
+             avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my FROM lineitem),
+sign AS (SELECT i - 1 AS s1, j - 1 AS s2 FROM range(3) x(i), range(3) y(j)),
+w AS (SELECT *, CASE WHEN s1 <> 0 AND s2 <> 0 THEN (d * (p - s1) - b * (q - s2)) / (a * d - b * b) WHEN s1 <> 0 THEN (p - s1) / a ELSE 0 END AS w1,
+             CASE WHEN s1 <> 0 AND s2 <> 0 THEN (a * (q - s2) - b * (p - s1)) / (a * d - b * b) WHEN s2 <> 0 THEN (q - s2) / d ELSE 0 END AS w2 FROM s, sign),
+best AS (SELECT * FROM w WHERE sign(w1) = s1 AND sign(w2) = s2 AND abs(p - a * w1 - b * w2) <= 1 + 1e-6 AND abs(q - b * w1 - d * w2) <= 1 + 1e-6)
+"""
+
+
+@register("g_lasso_coef", f"""{_LASSO} SELECT 'l_quantity' AS term, {R('w1', 3)} AS value FROM best
+UNION ALL SELECT 'l_discount', {R('w2', 3)} FROM best UNION ALL SELECT 'intercept', {R('my - w1 * m1 - w2 * m2', 3)} FROM best""")
+def g_lasso_coef(spark, sf_dir):
+    """Lasso (alpha 1) coefficients on all of lineitem meet the optimality conditions."""
+    return _fit_linear(spark, sf_dir, "Lasso")
+
+
+def _fold_sql(alpha: str) -> str:
+    w1 = f"((n * d + {alpha}) * n * p - n * b * n * q) / ((n * a + {alpha}) * (n * d + {alpha}) - n * b * n * b)"
+    w2 = f"((n * a + {alpha}) * n * q - n * b * n * p) / ((n * a + {alpha}) * (n * d + {alpha}) - n * b * n * b)"
+    return f"""SELECT f, {w1} AS w1, {w2} AS w2, m1, m2, my FROM s"""
+
+
+@register("g_linear_folds", f"""
+WITH s AS (SELECT f, count(*) AS n, covar_pop(l_quantity, l_quantity) AS a, covar_pop(l_quantity, l_discount) AS b, covar_pop(l_discount, l_discount) AS d,
+             covar_pop(l_quantity, l_extendedprice) AS p, covar_pop(l_discount, l_extendedprice) AS q,
+             avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my FROM lineitem, range(5) r(f) WHERE l_orderkey % 5 <> f GROUP BY f),
+w AS (SELECT 'Linear Regression' AS model, * FROM ({_fold_sql('0')}) UNION ALL SELECT 'Ridge', * FROM ({_fold_sql('1.0')}))
+SELECT model, CAST(f AS INTEGER) AS fold, {R('w1', 3)} AS l_quantity, {R('w2', 3)} AS l_discount, {R('my - w1 * m1 - w2 * m2', 3)} AS intercept FROM w""")
+def g_linear_folds(spark, sf_dir):
+    """Least squares and ridge of every fold's training rows, from one pass over all rows."""
+    from strata.operators import linear
+    li = table(spark, sf_dir, "lineitem").withColumn("fold", F.col("l_orderkey") % 5)
+    rows = []
+    for f, p in linear.by_fold(li, ["l_quantity", "l_discount"], "l_extendedprice", "fold").items():
+        for name, alpha in (("Linear Regression", 0.0), ("Ridge", 1.0)):
+            w, b = linear.ridge(p, alpha)
+            rows.append((name, f, float(w[0]), float(w[1]), b))
+    out = spark.createDataFrame(rows, "model string, fold int, l_quantity double, l_discount double, intercept double")
+    return out.select("model", "fold", *[S.rnd(F.col(c), 3).alias(c) for c in ("l_quantity", "l_discount", "intercept")])

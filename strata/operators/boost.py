@@ -17,6 +17,9 @@ the children of as many leaves as can still be split, in order of their gain,
 before it is known which will be, so a tree takes about as many passes as it
 is deep and is the same as one grown leaf by leaf.
 
+A view whose blocks fit one task (TASK_BYTES, checked) needs no passes over the
+cluster: the same rounds run inside a task, the folds side by side.
+
 A block's margins are written again every REFRESH rounds; between, they follow
 from the blocks and the trees in the closure, so a lost executor costs its
 tasks only.
@@ -24,6 +27,7 @@ tasks only.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -357,7 +361,9 @@ def _added(offsets: dict[int, np.ndarray], rule: SplitRule, may: dict) -> Callab
 class Booster:
     """The rounds of all models; ``fit`` returns {model: (base margins, rounds of trees)}."""
 
-    def __init__(self, blocks: DataFrame, cut: dict[int, list[np.ndarray]], task: str, outputs: int, params: BoostParams,
+    refresh = REFRESH
+
+    def __init__(self, blocks, cut: dict[int, list[np.ndarray]], task: str, outputs: int, params: BoostParams,
                  base: dict[int, np.ndarray], tasks: int, driver_bytes: int = DRIVER_BYTES):
         self.blocks, self.cut, self.task, self.outputs, self.params, self.base = blocks, cut, task, outputs, params, base
         self.tasks, self.driver_bytes = tasks, driver_bytes
@@ -391,7 +397,7 @@ class Booster:
         if cells * 8 * self.sums * self.tasks > self.driver_bytes:
             self._measure_spread(recent, trees, {k: np.array(v) for k, v in wave.items()})
             return
-        parts = self.blocks.mapInArrow(_counted(self._state(recent, trees, counted), False), _PART).collect()
+        parts = self._partials(_counted(self._state(recent, trees, counted), False))
         total = {}
         for r in sorted(parts, key=lambda r: r["first"]):
             k = (r["model"], r["output"])
@@ -410,6 +416,10 @@ class Booster:
                 hist[k, i] = got[i]
                 self._learn(t, i, got[i][self.offsets[m][0]:self.offsets[m][1]].sum(axis=0), s)
 
+    def _partials(self, counted: Callable) -> list:
+        """What the tasks of one pass have added up."""
+        return self.blocks.mapInArrow(counted, _PART).collect()
+
     def _measure_spread(self, recent, trees, wanted) -> None:
         part = self.blocks.mapInArrow(_counted(self._state(recent, trees, wanted), True), _PART)
         may = {(*k, int(i)): a for k, nodes in wanted.items() if (each := self._allowed(k, trees[k], nodes.tolist())) is not None for i, a in zip(nodes, each)}
@@ -466,7 +476,7 @@ class Booster:
             wave = {k: nodes for k, t in trees.items() if k in wave and (nodes := self._leaf_step(t) if self.params.leaves else self._depth_step(t, wave[k]))}
         return trees
 
-    def fit(self, refreshed: Callable[[DataFrame], DataFrame]) -> dict[int, tuple[np.ndarray, list[list[Tree]]]]:
+    def fit(self, refreshed: Callable[[_Pass], object]) -> dict[int, tuple[np.ndarray, list[list[Tree]]]]:
         recent: dict[int, list[list[tuple]]] = {m: [] for m in self.cut}
         out: dict[int, list[list[Tree]]] = {m: [] for m in self.cut}
         for r in range(self.params.rounds):
@@ -475,12 +485,29 @@ class Booster:
                 made = [trees[m, c].finished(self.cut[m], self.params.rule, self.params.rate) for c in range(self.outputs)]
                 out[m].append([t for t, _ in made])
                 recent[m].append([b for _, b in made])
-            if (r + 1) % REFRESH == 0 and r + 1 < self.params.rounds:
-                self.blocks = refreshed(self.blocks.mapInArrow(_replayed(self._state(recent)), _BLOCK))
+            if (r + 1) % self.refresh == 0 and r + 1 < self.params.rounds:
+                self.blocks = refreshed(self._state(recent))
                 recent = {m: [] for m in self.cut}
         return {m: (self.base[m], out[m]) for m in self.cut}
 
 
+class _Inside(Booster):
+    """The same rounds over Arrow batches held by one task; margins are kept up with every round."""
+    refresh = 1
+
+    def _partials(self, counted: Callable) -> list:
+        return [r for b in counted(iter(self.blocks)) for r in b.to_pylist()]
+
+
+def _fitted(cut, task: str, outputs: int, params: BoostParams, base) -> Callable:
+    def fitted(key: tuple, t: pa.Table) -> pa.Table:
+        m = key[0].as_py()
+        b = _Inside(t.sort_by("block").to_batches(max_chunksize=1), {m: cut[m]}, task, outputs, params, {m: base[m]}, 1, 1 << 62)
+        _, rounds = b.fit(lambda state: list(_replayed(state)(iter(b.blocks))))[m]
+        return pa.table({"model": pa.array([m], pa.int32()), "rounds": [pickle.dumps(rounds)]})
+    return fitted
+
+
 def _replayed(p: _Pass) -> Callable:
     def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -507,10 +534,11 @@ def base_margin(counts: dict[float, int], mean: float, task: str, outputs: int)
 
 
 def fit_views(views: list[tuple[int, DataFrame, DataFrame | None]], task: str, n_classes: int, params: BoostParams,
-              driver_bytes: int = DRIVER_BYTES) -> tuple[dict[int, "HistBoostModel"], DataFrame | None, Booster]:
+              driver_bytes: int = DRIVER_BYTES, task_bytes: int = TASK_BYTES) -> tuple[dict[int, "HistBoostModel"], DataFrame | None, Booster | None]:
     """One model for every (model, training rows, held-out rows); rows have ``features``, ``label`` and, if held out, ``__key``.
 
-    Returns the models, the held-out predictions (model, key, y, prediction, scores) and the booster.
+    Returns the models, the held-out predictions (model, key, y, prediction) and the booster
+    of the views that take passes over the cluster, those above ``task_bytes``.
     """
     outputs = 1 if task == "regression" or n_classes <= 2 else n_classes
     spark = views[0][1].sparkSession
@@ -530,7 +558,6 @@ def fit_views(views: list[tuple[int, DataFrame, DataFrame | None]], task: str, n
         for r in train.groupBy("model", "y").count().collect():
             counts[r["model"]][r["y"]] = r["count"]
     base = {r["model"]: base_margin(counts[r["model"]], r["mean"], task, outputs) for r in facts}
-    everything = _union([train, *[rows(m, h, True) for m, _, h in views if h is not None]])
     width = max(len(c) for c in cut.values())
     tasks = max(spark.sparkContext.defaultParallelism, -(-sum(r["n"] for r in facts) * (width + 17) // TASK_BYTES))
     folder = f"{checkpoint_dir(spark).rstrip('/')}/strata-boost-{uuid.uuid4().hex}"
@@ -545,10 +572,21 @@ def fit_views(views: list[tuple[int, DataFrame, DataFrame | None]], task: str, n
         kept.append(now)
         return now
 
-    packed = everything.mapInArrow(_packed(cut, outputs), _BLOCK).mapInArrow(_started(base), _BLOCK)
-    booster = Booster(stored(packed), cut, task, outputs, params, base, tasks, driver_bytes)
-    models = {m: HistBoostModel(task, max(n_classes, 2), b, trees, len(cut[m])) for m, (b, trees) in booster.fit(stored).items()}
-    booster.blocks.unpersist()
+    packed = train.mapInArrow(_packed(cut, outputs), _BLOCK).mapInArrow(_started(base), _BLOCK)
+    size = {r["model"]: r["n"] * (len(cut[r["model"]]) + 8 + 8 * outputs) for r in facts}
+    inside, spread = [m for m in cut if size[m] <= task_bytes], [m for m in cut if size[m] > task_bytes]
+    rounds: dict[int, list[list[Tree]]] = {}
+    booster = None
+    if inside:
+        mine = packed.where(F.col("model").isin(inside)).groupBy("model")
+        for r in mine.applyInArrow(_fitted(cut, task, outputs, params, base), "model int, rounds binary").collect():
+            rounds[r["model"]] = pickle.loads(r["rounds"])
+    if spread:
+        booster = Booster(stored(packed.where(F.col("model").isin(spread))), {m: cut[m] for m in spread}, task, outputs, params, base, tasks, driver_bytes)
+        rounds |= {m: v for m, (_, v) in booster.fit(lambda state: stored(booster.blocks.mapInArrow(_replayed(state), _BLOCK))).items()}
+    for old in kept:
+        old.unpersist()
+    models = {m: HistBoostModel(task, max(n_classes, 2), base[m], rounds[m], len(cut[m])) for m in cut}
     held = None
     if any(h is not None for _, _, h in views):
         held = _union([models[m].transform(h).select(F.lit(m).alias("model"), F.col("__key").alias("key"), F.col("label").cast("double").alias("y"), "prediction")

@@ -97,12 +97,12 @@ def frame(spark, x, y, parts=3):
     return df.repartition(parts) if parts else df
 
 
-@pytest.mark.parametrize("kind,classes,driver_bytes", [("depth", 0, 1 << 26), ("depth", 2, 0), ("depth", 3, 1 << 26), ("leaf", 0, 1 << 26), ("leaf", 2, 0),
-                                                       ("first", 2, 1 << 26)])
-def test_equals_plain_learner(spark, kind, classes, driver_bytes):
+@pytest.mark.parametrize("kind,classes,driver_bytes,task_bytes", [
+    ("depth", 0, 1 << 26, 0), ("depth", 2, 0, 0), ("depth", 3, 1 << 26, 1 << 26), ("leaf", 0, 1 << 26, 1 << 26), ("leaf", 2, 1 << 26, 0), ("first", 2, 1 << 26, 1 << 26)])
+def test_equals_plain_learner(spark, kind, classes, driver_bytes, task_bytes):
     x, y = table(classes=classes)
     p, task, outputs = CASES[kind](), "classification" if classes else "regression", classes if classes > 2 else 1
-    models, _, _ = boost.fit_views([(0, frame(spark, x, y), None)], task, classes or 2, p, driver_bytes)
+    models, _, _ = boost.fit_views([(0, frame(spark, x, y), None)], task, classes or 2, p, driver_bytes, task_bytes)
     leaves, margin = plain(x, y, task, outputs, p)
     got = models[0]
     assert [[int((t.feature < 0).sum()) for t in ts] for ts in got.rounds] == leaves
@@ -116,7 +116,7 @@ def test_folds_equal_single_fits(spark):
     fold = np.arange(len(y)) % 3
     p = CASES["depth"]()
     views = [(f, frame(spark, x[fold != f], y[fold != f]), frame(spark, x[fold == f], y[fold == f])) for f in range(3)]
-    models, held, b = boost.fit_views(views, "classification", 2, p)
+    models, held, b = boost.fit_views(views, "classification", 2, p, task_bytes=0)
     assert b.passes <= 5 * 4
     assert held.count() == len(y)
     for f in range(3):

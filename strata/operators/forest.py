@@ -125,25 +125,33 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, p: ForestParams, model: in
             use = use[may[of[use], f]]
             if not len(use):
                 continue
-            use = use[np.argsort(of[use], kind="stable")]
-            at, v = of[use], x[use, f]
-            run = np.cumsum(wy[use], axis=0)
+            at = of[use]
+            order = np.argsort(at.astype(np.uint16) if k < 1 << 16 else at, kind="stable")
+            use, at = use[order], at[order]
+            v, mine = x[use, f], wy[use]
+            run = np.cumsum(mine, axis=0)
             start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            first = np.repeat(start, np.diff(np.append(start, len(at))))
-            below = run - (run[first] - wy[use[first]])
-            seen = np.arange(len(at)) - first + 1
-            rest = total[at] - below
-            ok = np.append((at[1:] == at[:-1]) & (v[1:] > v[:-1]), False) & (seen >= p.min_leaf) & (size[at] - seen >= p.min_leaf)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where(ok, (below[:, :-1] ** 2).sum(axis=1) / below[:, -1] + (rest[:, :-1] ** 2).sum(axis=1) / rest[:, -1] - score[at], -np.inf)
-            top = np.maximum.reduceat(gain, start)
-            where = np.flatnonzero(gain == top[np.searchsorted(start, first)])
-            lead = where[np.append(True, at[where][1:] != at[where][:-1])]
-            win = lead[gain[lead] > np.maximum(best[at[lead]] * (1 + 1e-9), 1e-12)]
-            g = at[win]
+            # only where the value changes inside a node is there a cut
+            cuts = np.flatnonzero((at[1:] == at[:-1]) & (v[1:] > v[:-1]))
+            if not len(cuts):
+                continue
+            first = start[np.searchsorted(start, cuts, "right") - 1]
+            seen, of_cut = cuts - first + 1, at[cuts]
+            cuts, first, of_cut = (a[(seen >= p.min_leaf) & (size[of_cut] - seen >= p.min_leaf)] for a in (cuts, first, of_cut))
+            if not len(cuts):
+                continue
+            below = run[cuts] - (run[first] - mine[first])
+            rest = total[of_cut] - below
+            gain = (below[:, :-1] ** 2).sum(axis=1) / below[:, -1] + (rest[:, :-1] ** 2).sum(axis=1) / rest[:, -1] - score[of_cut]
+            head = np.flatnonzero(np.append(True, of_cut[1:] != of_cut[:-1]))
+            top = np.maximum.reduceat(gain, head)
+            where = np.flatnonzero(gain == np.repeat(top, np.diff(np.append(head, len(of_cut)))))
+            lead = where[np.append(True, of_cut[where][1:] != of_cut[where][:-1])]
+            win = lead[gain[lead] > np.maximum(best[of_cut[lead]] * (1 + 1e-9), 1e-12)]
+            g, at_cut = of_cut[win], cuts[win]
             best[g], pick[g] = gain[win], f
-            mid = v[win].astype(np.float64) / 2 + v[win + 1].astype(np.float64) / 2
-            cut[g] = np.where(mid < v[win + 1], mid, v[win])
+            mid = v[at_cut].astype(np.float64) / 2 + v[at_cut + 1].astype(np.float64) / 2
+            cut[g] = np.where(mid < v[at_cut + 1], mid, v[at_cut])
         split = np.flatnonzero(pick >= 0)
         if not len(split):
             break
@@ -168,6 +176,12 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, p: ForestParams, model: in
         level = np.arange(born[0], born[0] + 2 * len(split))
         paths = child_path(np.repeat(paths[split], 2), np.tile([0, 1], len(split)))
         depth += 1
+        if len(rows) < 0.75 * len(x):  # rows in finished leaves are done with
+            stays = np.zeros(len(x), bool)
+            stays[rows] = True
+            new_number = np.cumsum(stays) - 1
+            rank = [new_number[r[stays[r]]] for r in rank]
+            x, wy, ww, node = x[rows], wy[rows], ww[rows], node[rows]
     total = np.array(sums)
     value = total[:, :-1] / np.maximum(total[:, -1:], 1e-300)
     return Tree(np.array(feature), np.array(threshold), np.zeros(len(feature), bool), np.array(left), np.array(right), value, total[:, -1], np.array(gains))

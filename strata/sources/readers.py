@@ -72,16 +72,23 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, na_values: list[str] | None = None,
-             infer: bool = True, multiline: bool = True) -> DataFrame:
+             infer: bool = True, multiline: bool | str = True) -> DataFrame:
     """CSV scan with a header, NA tokens to NULL, then type inference (A1).
 
     Quotes inside quotes are doubled and a quoted line break stays in its
-    field.  For the latter a file is read by one task; ``multiline=False``
-    splits large files that are known to have no such breaks.
+    field; files are read by byte ranges either way (``quoted_csv``).
+    ``multiline=False`` is for files known to have no such breaks;
+    ``multiline="whole"`` has each file read by one task, for files with quotes
+    inside unquoted fields.
     """
     tokens = PANDAS_NA_TOKENS if na_values is None else na_values
-    raw = (spark.read.option("header", "true").option("inferSchema", "false").option("quote", '"').option("escape", '"')
-           .option("multiLine", str(multiline).lower()).csv(path))
+    if multiline is True:
+        from strata.sources.quoted_csv import read_quoted_csv
+
+        raw = read_quoted_csv(spark, path)
+    else:
+        raw = (spark.read.option("header", "true").option("inferSchema", "false").option("quote", '"').option("escape", '"')
+               .option("multiLine", str(bool(multiline)).lower()).csv(path))
     cleaned = raw.select(*[_null_tokens(c, tokens).alias(c) for c in raw.columns])
     return infer_types(cleaned) if infer else cleaned
 

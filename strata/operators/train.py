@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -341,11 +342,12 @@ def refit_best(data: DataFrame, target: str, task: str, name: str, passthrough:
 
 
 def predict(pipeline: PipelineModel, df: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """Batch scoring with a fitted pipeline; class indices decoded to labels."""
+    """Batch scoring with a fitted pipeline; class indices decoded to labels (F10), and where the
+    model gives them, the probability of every label as a map (F8)."""
     out = pipeline.transform(df)
     if labels:
-        out = out.withColumn("predicted_label",
-                             F.element_at(F.array(*[F.lit(v) for v in labels]),
-                                          F.col("prediction").cast("int") + 1))
+        names = F.array(*[F.lit(v) for v in labels])
+        out = out.withColumn("predicted_label", F.element_at(names, F.col("prediction").cast("int") + 1))
+        if "probability" in out.columns:
+            out = out.withColumn("label_probability", F.map_from_arrays(names, F.slice(vector_to_array("probability"), 1, len(labels))))
     return out
-

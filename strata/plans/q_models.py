@@ -407,6 +407,30 @@ def g_nb_predict(spark, sf_dir):
     return out.select(*KEY, "predicted_flag")
 
 
+def _nb_probability_sql():
+    inner = _nb_sql()
+    ll = inner[:inner.index("r AS (SELECT")]
+    return f"""{ll}
+p AS (SELECT *, exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w) AS p FROM ll WINDOW w AS (PARTITION BY {', '.join(KEY + _NB_FEATS)}))
+SELECT {', '.join(KEY)}, c AS flag, {R('p', 6)} AS probability FROM p"""
+
+
+@register("f_probabilities", _nb_probability_sql())
+def f_probabilities(spark, sf_dir):
+    """Probability of every class for every row, by a pipeline scored with ``predict``."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import StringIndexer
+    from strata.operators import models as M
+    li = table(spark, sf_dir, "lineitem")
+    idx = StringIndexer(inputCol="l_returnflag", outputCol="label", stringOrderType="alphabetAsc").fit(li)
+    va = VectorAssembler(inputCols=_NB_FEATS, outputCol="features")
+    rows = va.transform(idx.transform(li))
+    model = M.get_model("Naive Bayes", "classification", M.fit_context(rows, "classification")).fit(rows)
+    out = T.predict(PipelineModel(stages=[va, model]), li, list(idx.labels))
+    return out.select(*KEY, F.explode("label_probability").alias("flag", "probability")).select(
+        *KEY, "flag", S.rnd(F.col("probability"), 6).alias("probability"))
+
+
 _SPLIT_FEATS = ["l_quantity", "l_discount", "l_tax"]
 
 

@@ -166,3 +166,24 @@ def l_result_facts(spark, sf_dir):
 def a_result_contract(spark, sf_dir):
     """JSON result document per run from the experiment log."""
     return result_contract(stand_in_log(spark, sf_dir))
+
+
+@register("a_result_facts", f"""
+WITH base AS (SELECT run_id, cv_score, cv_loss FROM {LOG_SQL} WHERE round_num = 0),
+best AS (SELECT run_id, round_num, cv_score, cv_loss FROM {BEST_SQL}),
+n AS (SELECT run_id, count(*) FILTER (round_num > 0) AS n_rounds, count(*) FILTER (round_num > 0 AND improved) AS n_improved FROM {LOG_SQL} GROUP BY run_id)
+SELECT n.run_id, CASE WHEN coalesce(best.round_num, 0) > 0 OR coalesce(base.cv_score, 0) > 0 THEN 'complete' ELSE 'failed' END AS status,
+  coalesce(best.round_num, 0) AS best_round, round(coalesce(best.cv_score, base.cv_score, 0), 4) AS cv_score, round(coalesce(base.cv_score, 0), 4) AS baseline_score,
+  round(coalesce(best.cv_score, base.cv_score, 0) - coalesce(base.cv_score, 0), 4) AS delta, round(base.cv_loss, 4) AS baseline_loss, round(best.cv_loss, 4) AS best_loss,
+  n_rounds, n_improved, CASE WHEN best.round_num IS NOT NULL THEN 'out/' || n.run_id || '/model' END AS model_path,
+  'out/' || n.run_id || '/report.md' AS report_path, 'out/' || n.run_id AS output_dir
+FROM n LEFT JOIN base USING (run_id) LEFT JOIN best USING (run_id)""")
+def a_result_facts(spark, sf_dir):
+    """The result document of every run, parsed again into columns."""
+    docs = result_contract(stand_in_log(spark, sf_dir), "out", "report.md", "model")
+    shape = ("status string, best_round int, cv_score double, baseline_score double, delta double, baseline_loss double, best_loss double, "
+             "model_path string, rounds array<struct<round:int,improved:boolean>>, report_path string, output_dir string")
+    d = docs.select("run_id", F.from_json("result_json", shape).alias("d"))
+    fields = ["status", "best_round", "cv_score", "baseline_score", "delta", "baseline_loss", "best_loss", "model_path", "report_path", "output_dir"]
+    return d.select("run_id", *[F.col(f"d.{c}").alias(c) for c in fields], F.size("d.rounds").cast("long").alias("n_rounds"),
+                    F.size(F.filter("d.rounds", lambda r: r["improved"])).cast("long").alias("n_improved"))

@@ -60,11 +60,15 @@ def sanitize_doubles(df: DataFrame) -> DataFrame:
         for f in df.schema.fields])
 
 
-def result_contract(log: DataFrame) -> DataFrame:
+def result_contract(log: DataFrame, output_dir: str | None = None, report_name: str | None = None,
+                    model_name: str | None = None) -> DataFrame:
     """One JSON document per run from an experiment log.
 
     Best round is the lowest ``cv_loss`` among completed rounds (ties go to
-    the earlier round); delta is the loss improvement over round 0.
+    the earlier round); delta is the best score less that of round 0 (0 for a
+    run without one), and both losses are given.  ``output_dir`` holds a folder
+    per run; the report and the model are named below it, the model only for a
+    run with a best round.
     """
     from strata.operators.runlog import best_rounds
 
@@ -72,8 +76,10 @@ def result_contract(log: DataFrame) -> DataFrame:
         "run_id", F.col("round_num").alias("best_round"), F.col("cv_score").alias("best_score"),
         F.col("cv_loss").alias("best_loss"), F.col("shap_top").alias("best_top"),
         F.col("shap_dead").alias("best_dead"))
-    base = log.where("round_num = 0").select(
-        "run_id", F.col("cv_score").alias("baseline_score"), F.col("cv_loss").alias("baseline_loss"))
+    first = log.where("round_num = 0").select("run_id", F.col("cv_score").alias("baseline_score"), F.col("cv_loss").alias("baseline_loss"))
+    base = log.select("run_id").distinct().join(first, "run_id", "left").withColumn("baseline_score", F.coalesce("baseline_score", F.lit(0.0)))
+    folder = F.concat_ws("/", F.lit((output_dir or "").rstrip("/")), "run_id") if output_dir else F.lit(None).cast("string")
+    below = lambda name: F.concat_ws("/", folder, F.lit(name)) if output_dir and name else F.lit(None).cast("string")
     rounds = (
         log.where("round_num > 0")
         .groupBy("run_id")
@@ -96,10 +102,14 @@ def result_contract(log: DataFrame) -> DataFrame:
             F.coalesce("best_round", F.lit(0)).alias("best_round"),
             _clean_double(F.round(F.coalesce("best_score", "baseline_score"), 4)).alias("cv_score"),
             _clean_double(F.round("baseline_score", 4)).alias("baseline_score"),
-            _clean_double(F.round(F.col("baseline_loss") - F.col("best_loss"), 4)).alias("delta"),
+            _clean_double(F.round(F.coalesce("best_score", "baseline_score") - F.col("baseline_score"), 4)).alias("delta"),
+            _clean_double(F.round("baseline_loss", 4)).alias("baseline_loss"),
+            _clean_double(F.round("best_loss", 4)).alias("best_loss"),
+            F.when(F.col("best_round").isNotNull(), below(model_name)).alias("model_path"),
             F.slice(F.coalesce("best_top", F.array().cast("array<string>")), 1, 10).alias("top_features"),
             F.slice(F.coalesce("best_dead", F.array().cast("array<string>")), 1, 10).alias("dead_features"),
             F.coalesce("rounds", F.array()).alias("rounds"),
+            below(report_name).alias("report_path"), folder.alias("output_dir"),
         )
     )
     return doc.select("run_id", F.to_json(F.struct(*[c for c in doc.columns if c != "run_id"]))

@@ -34,59 +34,74 @@ from strata.operators.trees import Tree
 CARRIED_NODES = 1_000_000
 
 
-def paths(t: Tree) -> Iterator[tuple[np.ndarray, dict[int, list[tuple[float, bool, bool]]], dict[int, float]]]:
-    """For every leaf: its value, its conditions (threshold, goes left, missing goes left) by feature, and the share of the rows that meet them."""
-    todo = [(0, {}, {})]
+def paths(t: Tree) -> dict[tuple[int, ...], list[tuple[int, list[tuple[float, float, bool, float]]]]]:
+    """Leaves by the features on their paths: (leaf, for each feature the interval (low, high] that leads there, whether a missing value does, share of the rows)."""
+    out: dict[tuple[int, ...], list] = {}
+    todo = [(0, {})]
     while todo:
-        i, conditions, share = todo.pop()
+        i, at = todo.pop()
         f = int(t.feature[i])
         if f < 0:
-            yield t.value[i], conditions, share
+            feats = tuple(sorted(at))
+            out.setdefault(feats, []).append((i, [at[g] for g in feats]))
             continue
-        for child, left in ((t.left[i], True), (t.right[i], False)):
-            if t.cover[child] > 0 or t.cover[i] == 0:
-                part = t.cover[child] / t.cover[i] if t.cover[i] else 0.5
-                todo.append((child, {**conditions, f: [*conditions.get(f, []), (t.threshold[i], left, bool(t.missing_left[i]))]},
-                             {**share, f: share.get(f, 1.0) * part}))
+        low, high, missing, share = at.get(f, (-np.inf, np.inf, True, 1.0))
+        cut, goes_left = t.threshold[i], bool(t.missing_left[i])
+        for child, step in ((t.left[i], (low, min(high, cut), missing and goes_left)), (t.right[i], (max(low, cut), high, missing and not goes_left))):
+            if t.cover[child] > 0:
+                todo.append((child, {**at, f: (*step, share * t.cover[child] / t.cover[i])}))
+    return out
 
 
 def _weights(m: int) -> np.ndarray:
     return np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
 
 
+#: Numbers that one step over (leaves, rows) holds, about.
+STEP_CELLS = 1 << 18
+
+
 def tree_shap(t: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows, features, outputs) Shapley values and the expectation (outputs) of one tree."""
     n, width = x.shape
     out, mean = np.zeros((n, width, t.value.shape[1])), np.zeros(t.value.shape[1])
-    for value, conditions, share in paths(t):
-        feats, m = list(conditions), len(conditions)
-        zero = np.array([share[f] for f in feats])
-        mean += value * zero.prod()
-        if not m:
-            continue
-        one = np.ones((m, n))
-        for j, f in enumerate(feats):
-            for threshold, left, missing in conditions[f]:
+    for feats, leaves in paths(t).items():
+        m = len(feats)
+        step = max(1, STEP_CELLS // max(n * (m + 1), 1))
+        for first in range(0, len(leaves), step):
+            some = leaves[first:first + step]
+            value = t.value[[i for i, _ in some]]
+            if not m:
+                mean += value.sum(axis=0)
+                continue
+            at = np.array([c for _, c in some], np.float64)                   # (leaves, features, 4)
+            zero = at[:, :, 3]
+            mean += value.T @ zero.prod(axis=1)
+            one = np.empty((m, len(some), n))
+            for j, f in enumerate(feats):
                 with np.errstate(invalid="ignore"):
-                    go = np.where(np.isnan(x[:, f]), missing, x[:, f] <= threshold)
-                one[j] *= go if left else ~go
-        # coefficient k: products of `one` over k features and of `zero` over the others
-        poly = np.zeros((m + 1, n))
-        poly[0] = 1.0
-        for j in range(m):
-            poly[1:j + 2] = poly[1:j + 2] * zero[j] + poly[:j + 1] * one[j]
-            poly[0] *= zero[j]
-        w = _weights(m)
-        for j, f in enumerate(feats):
-            # divide by (zero + one * z): from the top where the row meets the conditions, from below where not
-            top, low = np.zeros(n), np.zeros(n)
-            carry = np.zeros(n)
-            for k in range(m - 1, -1, -1):
-                carry = poly[k + 1] - zero[j] * carry
-                top += w[k] * carry
-            for k in range(m):
-                low += w[k] * poly[k] / zero[j]
-            out[:, f] += (np.where(one[j] > 0, top, low) * (one[j] - zero[j]))[:, None] * value
+                    inside = (x[:, f] > at[:, j, :1]) & (x[:, f] <= at[:, j, 1:2])
+                # an infinite low end has no row below it, and minus infinity itself is inside
+                inside |= (x[:, f] == -np.inf) & np.isneginf(at[:, j, :1])
+                one[j] = np.where(np.isnan(x[:, f]), at[:, j, 2:3] > 0, inside)
+            # coefficient k: products of `one` over k features and of `zero` over the others
+            poly = np.zeros((m + 1, len(some), n))
+            poly[0] = 1.0
+            for j in range(m):
+                z = zero[:, j, None]
+                poly[1:j + 2] = poly[1:j + 2] * z + poly[:j + 1] * one[j]
+                poly[0] *= z
+            w = _weights(m)
+            low = np.tensordot(w, poly[:m], 1)
+            for j, f in enumerate(feats):
+                z = zero[:, j, None]
+                # divide by (zero + one * z): from the top where the row meets the conditions, from below where not
+                top, carry = np.zeros((len(some), n)), np.zeros((len(some), n))
+                for k in range(m - 1, -1, -1):
+                    carry = poly[k + 1] - z * carry
+                    top += w[k] * carry
+                part = np.where(one[j] > 0, top * (1 - z), -low)
+                out[:, f] += part.T @ value
     return out, mean
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strata.functions import stats as S
 from strata.functions import types as TY
 from strata.operators import profile as P
+from strata.operators import widecorr as WC
 
 # Chart parameters of the report.
 TARGET_BINS = 40
@@ -149,11 +150,13 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, digits: int
     """Pairwise-complete Pearson matrix of numeric columns.
 
     Output long: col_a, col_b, r (rounded; NULL for a constant column).
-    Empty when fewer than two numeric columns exist.  All pairs are scored
-    in one aggregate (see :func:`strata.functions.stats.pairwise_corrs`);
-    only one number per pair reaches the driver.
+    Empty when fewer than two numeric columns exist.  Up to ``widecorr.ABOVE``
+    columns all pairs are scored in one aggregate (see
+    :func:`strata.functions.stats.pairwise_corrs`), more by matrix products.
     """
     cols = cols if cols is not None else TY.numeric_columns(df)
+    if len(cols) > WC.ABOVE:
+        return WC.wide_correlation(df, cols).select("col_a", "col_b", S.rnd(F.col("r"), digits).alias("r"))
     spark = df.sparkSession
     schema = "col_a string, col_b string, r double"
     if len(cols) < 2:

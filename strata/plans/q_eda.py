@@ -247,3 +247,15 @@ def d_skewed(spark, sf_dir):
         cp = P.column_profile(df, target=target)
         out.append(E.most_skewed(cp).select(F.lit(f).alias("frame"), "*"))
     return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@register("d_corr_wide", f"""
+WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS x FROM embeddings),
+v AS (SELECT vec_id, 'e' || i AS col, CASE WHEN (vec_id + i) % 9 > 0 THEN CAST(x AS DOUBLE) END AS x FROM e)
+SELECT a.col AS col_a, b.col AS col_b, {R('corr(a.x, b.x)')} AS r FROM v a JOIN v b USING (vec_id)
+WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY a.col, b.col""")
+def d_corr_wide(spark, sf_dir):
+    """Pairwise-complete Pearson matrix of 64 columns with NULLs, by matrix products."""
+    e = table(spark, sf_dir, "embeddings")
+    df = e.select(*[F.when((F.col("vec_id") + i) % 9 > 0, F.col("embedding")[i].cast("double")).alias(f"e{i}") for i in range(64)])
+    return E.correlation_matrix(df, digits=4)

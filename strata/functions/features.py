@@ -85,6 +85,33 @@ class Ratio(Feature):
         return F.try_divide(F.expr(self.num).cast("double"), F.expr(self.den).cast("double") + F.lit(self.eps))
 
 
+def family_ratios(columns: list[str], num_suffix: str, den_suffix: str, out_suffix: str = "_ratio") -> list[Ratio]:
+    """One ratio for every measurement that has a column with either suffix, in column order."""
+    have = set(columns)
+    stems = [c[:-len(num_suffix)] for c in columns if c.endswith(num_suffix) and len(c) > len(num_suffix)]
+    return [Ratio(f"{x}{out_suffix}", f"`{x}{num_suffix}`", f"`{x}{den_suffix}`") for x in stems if f"{x}{den_suffix}" in have]
+
+
+@dataclass
+class Remap(Feature):
+    """Values of a column by a map; values outside it become NULL."""
+    name: str
+    col: str
+    mapping: dict
+
+    def column(self, stats) -> Column:
+        if not self.mapping:
+            return F.lit(None).cast("string")
+        pairs = [F.lit(v) for kv in self.mapping.items() for v in kv]
+        return F.try_element_at(F.create_map(*pairs), F.col(self.col))
+
+
+def added_columns(before: DataFrame, after: DataFrame) -> list[str]:
+    """Columns that a transform added, in their order."""
+    have = set(before.columns)
+    return [c for c in after.columns if c not in have]
+
+
 @dataclass
 class Log1p(Feature):
     """log(1 + x); NULL out of domain."""

@@ -17,7 +17,7 @@ the children of as many leaves as can still be split, in order of their gain,
 before it is known which will be, so a tree takes about as many passes as it
 is deep and is the same as one grown leaf by leaf.
 
-A view whose blocks fit one task (TASK_BYTES, checked) needs no passes over the
+A view of at most INSIDE_BYTES of blocks (checked) needs no passes over the
 cluster: the same rounds run inside a task, the folds side by side.
 
 A block's margins are written again every REFRESH rounds; between, they follow
@@ -51,8 +51,8 @@ BLOCK_ROWS, MAX_BINS, SUMMARY = 8_192, 255, 2_048
 REFRESH = 10
 #: Partial histograms that may meet in the driver at once.
 DRIVER_BYTES = 64 << 20
-#: Bytes of blocks in one task, about.
-TASK_BYTES = 64 << 20
+#: Bytes of blocks in one task, about, and of a view whose rounds run inside one.
+TASK_BYTES, INSIDE_BYTES = 64 << 20, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -534,7 +534,7 @@ def base_margin(counts: dict[float, int], mean: float, task: str, outputs: int)
 
 
 def fit_views(views: list[tuple[int, DataFrame, DataFrame | None]], task: str, n_classes: int, params: BoostParams,
-              driver_bytes: int = DRIVER_BYTES, task_bytes: int = TASK_BYTES) -> tuple[dict[int, "HistBoostModel"], DataFrame | None, Booster | None]:
+              driver_bytes: int = DRIVER_BYTES, task_bytes: int = INSIDE_BYTES) -> tuple[dict[int, "HistBoostModel"], DataFrame | None, Booster | None]:
     """One model for every (model, training rows, held-out rows); rows have ``features``, ``label`` and, if held out, ``__key``.
 
     Returns the models, the held-out predictions (model, key, y, prediction) and the booster

@@ -145,3 +145,23 @@ def h_leaderboard(spark, sf_dir):
     """Leaderboard of three scored prediction sets, all in one set of jobs."""
     board = CV.leaderboard(_oof(spark, sf_dir, _BOARD), "classification")
     return CV.rank_board(board)
+
+
+@register("h_strata_two_bins", """
+SELECT o_orderkey, CAST(CASE WHEN y IS NOT NULL THEN y > 3 END AS INTEGER) AS stratum
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 50 = 1 THEN 6 ELSE 0 END AS y FROM orders)""")
+def h_strata_two_bins(spark, sf_dir):
+    """Strata of a target whose quantiles nearly all coincide: two equal-width bins (H3)."""
+    k = F.col("o_orderkey")
+    y = F.when(k % 11 == 0, F.lit(None).cast("int")).when(k % 50 == 1, 6).otherwise(0)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", y.alias("y"))
+    return CV.regression_strata(o, "y", k=5, key_cols=["o_orderkey"], exact=True).select("o_orderkey", "stratum")
+
+
+@register("h_strata_parity", """
+SELECT o_orderkey, CAST((strpos('0123456789abcdef', substr(md5(concat_ws('|', '42', CAST(o_orderkey AS VARCHAR))), 32, 1)) - 1) % 2 AS INTEGER) AS stratum
+FROM orders""")
+def h_strata_parity(spark, sf_dir):
+    """Strata of a constant target: parity by the key's hash (H4)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(7.5).alias("y"))
+    return CV.regression_strata(o, "y", k=5, key_cols=["o_orderkey"], exact=True).select("o_orderkey", "stratum")

@@ -258,3 +258,32 @@ def k_candidate_context(spark, sf_dir):
     cp = P.column_profile(df, target="c_mktsegment")
     top = P.top_values(df, ["c_name", "c_segment"], 3)
     return K.candidate_context(cp, top)
+
+
+@register("b_remap_drop", """
+SELECT o_orderkey, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' END AS label,
+  'label' AS added FROM orders""")
+def b_remap_drop(spark, sf_dir):
+    """Label values by a map, leakage columns dropped whether present or not, the added columns named."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    out = FE.apply_features([FE.Remap("label", "o_orderstatus", {"F": "finished", "O": "open"})], o)
+    added = ",".join(FE.added_columns(o, out))
+    return out.drop("o_orderstatus", "o_orderpriority", "no_such_column").withColumn("added", F.lit(added))
+
+
+_FAMILY = """(SELECT l_partkey, CAST(max(l_quantity) AS DOUBLE) AS qty_worst, avg(CAST(l_quantity AS DOUBLE)) AS qty_mean, CAST(max(l_discount) AS DOUBLE) AS disc_worst,
+  avg(CAST(l_discount AS DOUBLE)) AS disc_mean, CAST(max(l_tax) AS DOUBLE) AS tax_worst FROM lineitem GROUP BY l_partkey)"""
+
+
+@register("j_family_ratios", f"""
+SELECT l_partkey, {R('qty_worst / (qty_mean + 1e-9)')} AS qty_ratio, CASE WHEN disc_mean + 1e-9 <> 0 THEN {R('disc_worst / (disc_mean + 1e-9)')} END AS disc_ratio,
+  {R('4.0 / 3 * pi() * pow(qty_mean / 50, 3)')} AS volume, {R('qty_worst * qty_worst / (qty_mean + 1) - 1')} AS compactness FROM {_FAMILY}""")
+def j_family_ratios(spark, sf_dir):
+    """Worst / mean of every measurement that has both, and closed formulas."""
+    li = table(spark, sf_dir, "lineitem")
+    d = li.groupBy("l_partkey").agg(F.max("l_quantity").cast("double").alias("qty_worst"), F.avg(F.col("l_quantity").cast("double")).alias("qty_mean"),
+                                    F.max("l_discount").cast("double").alias("disc_worst"), F.avg(F.col("l_discount").cast("double")).alias("disc_mean"),
+                                    F.max("l_tax").cast("double").alias("tax_worst"))
+    out = FE.apply_features([*FE.family_ratios(d.columns, "_worst", "_mean"), FE.Expr("volume", "4.0D / 3 * pi() * pow(qty_mean / 50, 3)"),
+                             FE.Expr("compactness", "qty_worst * qty_worst / (qty_mean + 1) - 1")], d)
+    return out.select("l_partkey", *[S.rnd(F.col(c), 4).alias(c) for c in ("qty_ratio", "disc_ratio", "volume", "compactness")])

@@ -550,3 +550,16 @@ def g_linear_folds(spark, sf_dir):
             rows.append((name, f, float(w[0]), float(w[1]), b))
     out = spark.createDataFrame(rows, "model string, fold int, l_quantity double, l_discount double, intercept double")
     return out.select("model", "fold", *[S.rnd(F.col(c), 3).alias(c) for c in ("l_quantity", "l_discount", "intercept")])
+
+
+_MODEL_KEY = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in KEY) + ")"
+
+
+@register("h_oof_keys", f"""
+WITH d AS (SELECT {_MODEL_KEY} AS key, CAST((l_quantity * 0.02 + l_discount * 10) > 1.0 AS INTEGER) AS y FROM lineitem)
+SELECT 'Naive Bayes' AS model, key, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('42|' || key), key) - 1) % {FOLDS} AS INTEGER) AS fold,
+  CAST(y AS DOUBLE) AS y FROM d""")
+def h_oof_keys(spark, sf_dir):
+    """Out-of-fold table of a training: one row a key, in the fold that held it out, with its label (H5, H6)."""
+    return _train_clf(spark, sf_dir, ["Naive Bayes"]).oof.select("model", "key", "fold", "y")
+

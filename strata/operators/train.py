@@ -3,7 +3,7 @@
 Per fold the cleaning, feature and preprocessing stages are fitted once on
 the training rows and the assembled vectors are cached; every model of the
 list then fits on those cached vectors (k preprocessing fits instead of
-k x m).  Held-out rows only pass through fitted stages, so no statistic
+k x m); boosters, forests and linear models fit all folds in the same jobs.  Held-out rows only pass through fitted stages, so no statistic
 sees them.  Out-of-fold predictions of all models form one table that is
 scored in one set of jobs.
 """

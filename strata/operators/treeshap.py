@@ -30,8 +30,8 @@ from strata.operators.forest import ForestModel
 from strata.operators.models import AdaBoostClassificationModel, AdaBoostRegressionModel
 from strata.operators.trees import Tree
 
-#: Nodes that one broadcast carries.
-CARRIED_NODES = 1_000_000
+#: Nodes that one broadcast carries, and rows that a task explains at once, about.
+CARRIED_NODES, CELL_ROWS = 4_000_000, 512
 
 
 def paths(t: Tree) -> dict[tuple[int, ...], list[tuple[int, list[tuple[float, float, bool, float]]]]]:
@@ -179,7 +179,8 @@ def shap_values(model, vectors: DataFrame, width: int, features_col: str = "feat
         return None
     spark, out = vectors.sparkSession, None
     rows = vectors.select(F.monotonically_increasing_id().alias("row"), vector_to_array(features_col).alias("x"))
-    spread = spark.sparkContext.defaultParallelism
+    spread = 2 * spark.sparkContext.defaultParallelism
+    cells = -(-max(rows.count(), 1) // CELL_ROWS)   # a tree's paths are found once for each cell of rows
     for trees in lists:
         held: list[list] = [[]]
         nodes = 0
@@ -192,8 +193,8 @@ def shap_values(model, vectors: DataFrame, width: int, features_col: str = "feat
         for group in held:
             outputs = max(f + t.value.shape[1] for t, f, _ in group)
             parts = [group[i::spread] for i in range(min(spread, len(group)))]
-            asked = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1)))).repartition(spread, "part").sortWithinPartitions("part")
-            one = asked.groupBy("part", F.pmod(F.xxhash64("row"), F.lit(64)).alias("cell")).applyInArrow(
+            asked = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1)))).withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(cells)))
+            one = asked.repartition(max(spread, len(parts)) * 2, "part", "cell").groupBy("part", "cell").applyInArrow(
                 _grouped(spark.sparkContext.broadcast(parts), outputs, width), "row long, feature int, output int, phi double")
             out = one if out is None else out.unionByName(one)
     return out.groupBy("row", "feature", "output").agg(F.sum("phi").alias("phi"))

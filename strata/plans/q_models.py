@@ -320,15 +320,39 @@ SELECT CAST(qid AS VARCHAR) AS key, CAST(label AS DOUBLE) AS prediction FROM w W
 """)
 def g_knn(spark, sf_dir):
     """Exact 5-NN out-of-fold predictions on the 64-d embeddings."""
-    from strata.operators import cv as CV
     from strata.operators.knn import knn_predict
+    return knn_predict(*_knn_sides(spark, sf_dir), k=5, features_col="x", label_col="label", key_col="vec_id", group_col="g")
+
+
+def _knn_sides(spark, sf_dir):
+    """Training rows repeated for each fold that they are not in, and the query rows of each fold."""
+    from strata.operators import cv as CV
     e = table(spark, sf_dir, "embeddings")
     f = CV.assign_folds(e, KNN_FOLDS, "label", ["vec_id"], 42)
     q = f.select("vec_id", F.col("embedding").alias("x"), "label", F.col("fold").alias("g"))
     folds = F.array(*[F.lit(i) for i in range(KNN_FOLDS)])
     t = f.select("vec_id", F.col("embedding").alias("x"), "label",
                  F.explode(F.filter(folds, lambda v: v != F.col("fold"))).alias("g"))
-    return knn_predict(t, q, k=5, features_col="x", label_col="label", key_col="vec_id", group_col="g")
+    return t, q
+
+
+@register("g_knn_neighbours", """
+WITH f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x,
+             (row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '42', CAST(vec_id AS VARCHAR))),
+                                 CAST(vec_id AS VARCHAR)) - 1) % 3 AS fold
+           FROM embeddings),
+d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, list_distance(q.x, t.x) AS dist
+      FROM f q JOIN f t ON q.fold <> t.fold),
+r AS (SELECT qid, tid, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, CAST(tid AS VARCHAR)) AS rn FROM d)
+SELECT CAST(qid AS VARCHAR) AS key, CAST(rn AS INTEGER) AS rank, CAST(tid AS VARCHAR) AS neighbour,
+       floor(dist * 10000.0 + 0.5) / 10000.0 AS distance
+FROM r WHERE rn <= 5
+""")
+def g_knn_neighbours(spark, sf_dir):
+    """The five nearest training rows of every row outside its fold, with rank and distance."""
+    from strata.operators.knn import neighbours
+    near = neighbours(*_knn_sides(spark, sf_dir), k=5, features_col="x", label_col="label", key_col="vec_id", group_col="g").rows
+    return near.select("key", "rank", "neighbour", S.rnd(F.col("d"), 4).alias("distance"))
 
 
 _OLS_S = """(SELECT covar_pop(l_quantity, l_quantity) AS s11, covar_pop(l_quantity, l_discount) AS s12,

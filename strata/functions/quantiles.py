@@ -105,3 +105,130 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         lv, hv = rows[k]["l"], rows[k]["h"]
         result[c][i] = lv if higher == lower else (higher - pos) * lv + (pos - lower) * hv
     return result
+
+
+def quantiles_outside_folds(data: DataFrame, columns: list[str], probs: list[float], fold_col: str, k: int,
+                            fills: dict | None = None, bracket_rows: int = BRACKET_ROWS) -> dict[int, dict[str, list]]:
+    """{fold: {column: [quantile per p]}} over the rows outside each fold, exact, all folds in the same jobs.
+
+    ``fills`` {fold: {column: (value, copies)}} adds copies of a value, as an
+    imputer that replaced NULLs by it would.  Folds are numbered 0 to k - 1;
+    a column without values there gives None.  The number of jobs depends
+    neither on k nor on the columns: counts, (with fills) ranks of the fills,
+    one sketch, one count of brackets, one selection.
+    """
+    if not columns:
+        return {f: {} for f in range(k)}
+    x = {c: F.col(c).cast("double") for c in columns}
+    own = {r[fold_col]: r for r in data.groupBy(fold_col).agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(columns)]).collect()}
+    n = {(c, f): sum(r[f"n{i}"] for g, r in own.items() if g != f) for i, c in enumerate(columns) for f in range(k)}
+    copies = {(c, f): (fills or {}).get(f, {}).get(c) for c in columns for f in range(k)}
+    filled = [key for key, v in copies.items() if v is not None and v[1]]
+    at_fill = {}
+    if filled:
+        outside = lambda f: F.col(fold_col) != f
+        row = data.agg(*[e for i, (c, f) in enumerate(filled) for e in (
+            F.count_if(outside(f) & (x[c] < F.lit(copies[c, f][0]))).alias(f"b{i}"),
+            F.count_if(outside(f) & (x[c] <= F.lit(copies[c, f][0]))).alias(f"u{i}"))]).first()
+        at_fill = {key: (row[f"b{i}"], row[f"u{i}"]) for i, key in enumerate(filled)}
+
+    def source(c: str, f: int, rank: int):
+        """Rank among values and copies -> (True, the fill) or (False, rank among the values)."""
+        if (c, f) not in at_fill:
+            return False, rank
+        below, upto = at_fill[c, f]
+        value, extra = copies[c, f]
+        if below <= rank < upto + extra:
+            return True, value
+        return False, rank if rank < below else rank - extra
+
+    places: dict = {}   # (column, p, fold) -> (position, lower, upper)
+    want: dict = {}     # (column, p) -> fold -> ranks among the values
+    for c in columns:
+        for j, p in enumerate(probs):
+            for f in range(k):
+                total = n[c, f] + (copies[c, f][1] if copies[c, f] is not None else 0)
+                if not total:
+                    continue
+                pos = p * (total - 1)
+                ends = [source(c, f, math.floor(pos)), source(c, f, math.ceil(pos))]
+                places[c, j, f] = (pos, *ends)
+                ranks = [r for known, r in ends if not known]
+                if ranks:
+                    want.setdefault((c, j), {})[f] = ranks
+    values = _ranked_outside_folds(data, x, want, n, fold_col, k, bracket_rows)
+    result: dict = {f: {c: [None] * len(probs) for c in columns} for f in range(k)}
+    for (c, j, f), (pos, lower, upper) in places.items():
+        lv, hv = (v if known else values[c, j, f, v] for known, v in (lower, upper))
+        lo, hi = math.floor(pos), math.ceil(pos)
+        result[f][c][j] = lv if lo == hi or lv == hv else (hi - pos) * lv + (pos - lo) * hv
+    return result
+
+
+def _ranked_outside_folds(data: DataFrame, x: dict, want: dict, n: dict, fold_col: str, k: int,
+                          bracket_rows: int) -> dict:
+    """{(column, p, fold, rank): value}: order statistics of the rows outside each fold.
+
+    A bracket per (column, p) from one sketch of all rows serves every fold:
+    folds are dealt at random, so a rank moves by about the root of the row
+    count between them.  A bracket that misses a fold's rank is widened, in
+    the end to the whole range.
+    """
+    bounds: dict = {}
+    todo, widen = set(want), 1.0
+    rows = {c: max(n[c, f] for f in range(k)) for c in {c for c, _ in want}}
+    while todo:
+        exprs, asked = [], sorted(todo)
+        for c in sorted({c for c, _ in asked}):
+            accuracy = max(MIN_ACCURACY, math.ceil(4 * rows[c] / bracket_rows))
+            margin = widen * (2.0 / accuracy + 2.0 / math.sqrt(rows[c]))
+            ps = []
+            for key in (key for key in asked if key[0] == c):
+                at = [r / max(1, n[c, f] - 1) for f, ranks in want[key].items() for r in ranks]
+                ps += [max(0.0, min(at) - margin), min(1.0, max(at) + margin)]
+            exprs.append(F.percentile_approx(x[c], ps, accuracy).alias(c))
+        sketch = data.agg(*exprs).first()
+        spans = {}
+        for c in {c for c, _ in asked}:
+            for i, key in enumerate(key for key in asked if key[0] == c):
+                spans[key] = (sketch[c][2 * i], sketch[c][2 * i + 1])
+        counted = {r[fold_col]: r for r in data.groupBy(fold_col).agg(*[e for i, key in enumerate(asked) for e in (
+            F.count_if(x[key[0]] < F.lit(spans[key][0])).alias(f"b{i}"),
+            F.count_if(x[key[0]].between(F.lit(spans[key][0]), F.lit(spans[key][1]))).alias(f"i{i}"))]).collect()}
+        for i, key in enumerate(asked):
+            below = {f: sum(r[f"b{i}"] for g, r in counted.items() if g != f) for f in want[key]}
+            inside = {f: sum(r[f"i{i}"] for g, r in counted.items() if g != f) for f in want[key]}
+            if all(below[f] <= min(ranks) and max(ranks) < below[f] + inside[f] for f, ranks in want[key].items()):
+                bounds[key] = (*spans[key], below)
+                todo.discard(key)
+        widen *= 8
+    if not bounds:
+        return {}
+    items = sorted(bounds)
+    inside = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.when(
+        x[c].between(F.lit(bounds[c, j][0]), F.lit(bounds[c, j][1])), x[c]).alias("v"))
+        for i, (c, j) in enumerate(items)]), lambda s: s["v"].isNotNull())
+    held = data.select(fold_col, F.explode(inside).alias("s")).groupBy("s.i", "s.v").agg(
+        *[F.count_if(F.col(fold_col) != f).alias(f"n{f}") for f in range(k)])
+    # distinct values of one bracket per window task
+    w = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = held.select("i", "v", *[F.col(f"n{f}") for f in range(k)], *[F.sum(f"n{f}").over(w).alias(f"u{f}") for f in range(k)])
+    slots = [(f, s) for f in range(k) for s in range(2)]
+
+    def rank_of(i, f, s):
+        ranks = want[items[i]].get(f)
+        return ranks[min(s, len(ranks) - 1)] - bounds[items[i]][2][f] if ranks else None
+    ranks = data.sparkSession.createDataFrame(
+        [(i, *[rank_of(i, f, s) for f, s in slots]) for i in range(len(items))],
+        "i int, " + ", ".join(f"r{f}_{s} long" for f, s in slots))
+    # ranks: one row a column and probability
+    found = upto.join(F.broadcast(ranks), "i").groupBy("i").agg(*[F.max(F.when(
+        (F.col(f"r{f}_{s}") < F.col(f"u{f}")) & (F.col(f"r{f}_{s}") >= F.col(f"u{f}") - F.col(f"n{f}")),
+        F.col("v"))).alias(f"v{f}_{s}") for f, s in slots]).collect()
+    out = {}
+    for r in found:
+        c, j = items[r["i"]]
+        for f, ranks_f in want[c, j].items():
+            for s, rank in enumerate(ranks_f):
+                out[c, j, f, rank] = r[f"v{f}_{s}"]
+    return out

@@ -12,9 +12,10 @@ that merges exactly can be computed once per fold and combined:
   and the category vocabulary of f is the top-N by count outside f.
 
 This replaces k cleaning fits (two jobs each), k scaler fits, k category
-fits and k context jobs with two jobs for all folds.  Medians do not merge,
-so the imputer is fitted per fold, and only for columns that have NULLs in
-that fold's training rows.
+fits and k context jobs with two jobs for all folds.  Medians and quartiles
+do not merge, but brackets around their ranks do: see
+``functions.quantiles.quantiles_outside_folds``, whose number of jobs does not
+depend on k either.  Medians are taken for columns with NULLs only.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions import types as TY
+from strata.functions.quantiles import quantiles_outside_folds
 
 
 @dataclass
@@ -58,10 +60,12 @@ class FoldStats:
     moments: dict = field(default_factory=dict)       # fold -> col -> Moments
     n_unique: dict = field(default_factory=dict)      # fold -> col -> distinct non-null values
     vocab: dict = field(default_factory=dict)         # fold -> col -> [top values]
+    fills: dict = field(default_factory=dict)         # fold -> col -> median of the training rows, 0 without values
+    quartiles: dict = field(default_factory=dict)     # fold -> col -> [q1, median, q3] of the imputed rows
 
 
 def fold_statistics(data: DataFrame, columns: list[str], label: str, k: int, max_categories: int | None,
-                    missing_token: str = "missing") -> FoldStats:
+                    missing_token: str = "missing", scaler: str = "standard") -> FoldStats:
     fields = {f.name: f.dataType for f in data.schema.fields}
     numeric = [c for c in columns if TY.is_numeric(fields[c])] + [label]
 
@@ -92,6 +96,15 @@ def fold_statistics(data: DataFrame, columns: list[str], label: str, k: int, max
             mom[c] = acc
         st.moments[f] = mom
 
+    # medians of the columns with NULLs, and for the robust scaler the quartiles after imputation
+    real = [c for c in columns if TY.is_real_numeric(fields[c])]
+    gaps = [c for c in real if any(st.nulls[f][c] for f in range(k))]
+    medians = quantiles_outside_folds(data, gaps, [0.5], "fold", k)
+    st.fills = {f: {c: medians[f][c][0] if medians[f][c][0] is not None else 0.0 for c in gaps} for f in range(k)}
+    if scaler == "robust":
+        copies = {f: {c: (st.fills[f][c], st.nulls[f][c]) for c in gaps} for f in range(k)}
+        st.quartiles = quantiles_outside_folds(data, real, [0.25, 0.5, 0.75], "fold", k, copies)
+
     # job 2: per (column, value) fold mask and per-fold counts
     def typed(c):
         # numbers group as numbers (no text cast); floats fold -0.0 into 0.0 as grouping does

@@ -142,11 +142,7 @@ def _prepare_fold_shared(train_rows: DataFrame, val_rows: DataFrame, passthrough
     cat = [c for c in kept if c not in num]
     stages: list = [cleaner]
     if num:
-        need = [c for c in num if fs.nulls[f][c] > 0]
-        fills = {c: 0.0 for c in num}
-        if need:
-            fills.update(PR.MedianImputer(inputCols=need, mode=mode).fit(cleaner.transform(train_rows))
-                         ._values())
+        fills = {c: fs.fills[f][c] if fs.nulls[f][c] else 0.0 for c in num}
         stages.append(PR.FillModel(inputCols=num, values=[fills[c] for c in num]))
         if scaler == "standard":
             from strata.operators.foldstats import Moments
@@ -155,9 +151,12 @@ def _prepare_fold_shared(train_rows: DataFrame, val_rows: DataFrame, passthrough
             centers = [mom[c].mean if mom[c].n else 0.0 for c in num]
             scales = [mom[c].std_pop() or 1.0 for c in num]
             stages.append(PR.AffineModel(inputCols=num, centers=centers, scales=scales))
+        elif scaler != "robust":
+            raise ValueError(f"unknown scaling method {scaler!r}")
         else:
-            stages.append(PR.Scaler(inputCols=num, method=scaler, mode=mode).fit(
-                PipelineModel(stages=list(stages)).transform(train_rows)))
+            quartiles = [fs.quartiles[f][c] for c in num]
+            stages.append(PR.AffineModel(inputCols=num, centers=[q[1] if q[1] is not None else 0.0 for q in quartiles],
+                                         scales=[(q[2] - q[0] if q[0] is not None else 0.0) or 1.0 for q in quartiles]))
     ohe = []
     if cat:
         stages.append(PR.CategoricalFill(inputCols=cat))
@@ -201,7 +200,7 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
     if fe_step is None:
         # every fold's training statistics from two jobs (see operators/foldstats.py)
         from strata.operators.foldstats import fold_statistics
-        shared = fold_statistics(data, feature_cols, "label", k, PR.MAX_CATEGORIES)
+        shared = fold_statistics(data, feature_cols, "label", k, PR.MAX_CATEGORIES, scaler=scaler)
 
     # models that train all folds in the same passes, after the folds are prepared
     joint = {m: fit for m in models if (task, m) in M.REGISTRY and (fit := M.joint_fit(m, task, model_params.get(m))) is not None}

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from strata.functions import stats as S
+from strata.functions.quantiles import quantiles_outside_folds
 from strata.operators import cv as CV
 from strata.plans.catalog import register, table
 from strata.plans.sqlgen import R
@@ -44,6 +45,30 @@ def h_regression_strata(spark, sf_dir):
     return CV.regression_strata(o, "o_totalprice", k=5, exact=True).select("o_orderkey", "stratum")
 
 
+@register("h_fold_quartiles", f"""
+WITH f AS (SELECT fold, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_totalprice AS DOUBLE) END AS price,
+                  CAST(o_custkey AS DOUBLE) AS customer FROM ({FOLDS_SQL})),
+k AS (SELECT DISTINCT fold AS held_out FROM f),
+m AS (SELECT held_out, quantile_cont(price, 0.5) AS fill FROM k JOIN f ON fold <> held_out GROUP BY held_out),
+v AS (SELECT held_out, 'price' AS col, coalesce(price, fill) AS x FROM m JOIN f ON fold <> held_out
+      UNION ALL SELECT held_out, 'customer', customer FROM k JOIN f ON fold <> held_out)
+SELECT held_out, col, {R('quantile_cont(x, 0.25)', 4)} AS q1, {R('quantile_cont(x, 0.5)', 4)} AS median,
+       {R('quantile_cont(x, 0.75)', 4)} AS q3
+FROM v GROUP BY held_out, col
+""")
+def h_fold_quartiles(spark, sf_dir):
+    """Quartiles of every fold's training rows after median imputation, all folds in the same jobs."""
+    price = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice").cast("double"))
+    rows = order_folds(spark, sf_dir).select("fold", price.alias("price"), F.col("o_custkey").cast("double").alias("customer"))
+    gaps = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count_if(F.col("price").isNull()).alias("n")).collect()}
+    fills = quantiles_outside_folds(rows, ["price"], [0.5], "fold", 5)
+    copies = {f: {"price": (fills[f]["price"][0], sum(n for g, n in gaps.items() if g != f))} for f in gaps}
+    found = quantiles_outside_folds(rows, ["price", "customer"], [0.25, 0.5, 0.75], "fold", 5, copies)
+    table_rows = [(f, c, *q) for f, cols in found.items() for c, q in cols.items()]   # one row a fold and column
+    return spark.createDataFrame(table_rows, "held_out int, col string, q1 double, median double, q3 double").select(
+        "held_out", "col", *[S.rnd(F.col(c), 4).alias(c) for c in ("q1", "median", "q3")])
+
+
 # stand-in predictions (fixed rules) for the metric operators
 _RULES = {
     "price_rule": ("CASE WHEN o_totalprice > 300000 THEN 'F' WHEN o_totalprice > 150000 THEN 'O' ELSE 'P' END",

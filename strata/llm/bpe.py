@@ -169,6 +169,7 @@ def encode_packed(docs: DataFrame, encoder, pattern: str, key: str = "doc_id", t
                  pa.array(blobs, pa.binary())], ["bucket", "block", "digest", "words"])
 
     def encode_bucket(t: pa.Table) -> pa.Table:
+        X.give_back()
         lists = [unpack_words(x) for x in t["words"].to_pylist()]
         coded = pa.chunked_array(lists, pa.string()).combine_chunks().dictionary_encode()
         ids = encoder(coded.dictionary.to_pylist())  # every word of the bucket once
@@ -197,6 +198,7 @@ def encode_packed(docs: DataFrame, encoder, pattern: str, key: str = "doc_id", t
     arrow_key = pa.int64() if isinstance(key_type, T.LongType) else None
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        X.give_back()
         if len(left) != 1 or any(d != left["digest"][0].as_py() for d in right["digest"].to_pylist()):
             raise ValueError("blocks were cut in another order the second time: write the input to files first")
         order = np.argsort(right["bucket"].to_numpy())
@@ -218,9 +220,9 @@ def encode_packed(docs: DataFrame, encoder, pattern: str, key: str = "doc_id", t
         return pa.table({"doc_id": pa.array(row["keys"], arrow_key) if arrow_key else left["keys"].combine_chunks().flatten(),
                          "ids": col, **{name: f(col) for name, (_, f) in more.items()}})
 
-    words = df.mapInArrow(send_words, "bucket long, block long, digest string, words binary")
+    words = df.mapInArrow(X.lean(send_words), "bucket long, block long, digest string, words binary")
     back = words.groupBy("bucket").applyInArrow(encode_bucket, "block long, bucket long, digest string, sizes binary, ids binary")
-    blocks = df.mapInArrow(send_positions, T.StructType([
+    blocks = df.mapInArrow(X.lean(send_positions), T.StructType([
         T.StructField("block", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("keys", T.ArrayType(key_type)),
         *(T.StructField(c, T.BinaryType()) for c in ("counts", "seq", "place"))]))
     schema = T.StructType([T.StructField("doc_id", key_type), T.StructField("ids", T.BinaryType()),

@@ -36,7 +36,7 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_chars", "n_lines", "n_distinct_words", "n_upper", "n_digits", "n_marks", "longest_word"]
 STATS = BASE + MORE
 MAX_LABELLED = 50_000
-_BATCH = 4 << 20
+_BATCH = 1 << 20
 
 
 def _table(chars: str) -> np.ndarray:
@@ -129,7 +129,7 @@ def text_stats(df: DataFrame, text: str = "text", names: list[str] | None = None
                                              [*b.schema.names, *names])
 
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in names)])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(X.lean(run), schema)
 
 
 def base_failed(names: dict[str, str] | None = None) -> Column:
@@ -299,10 +299,30 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     return judge(stats, rules), rules
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
+def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """Statistics of the labelled rows with the smallest key hashes, at least those ``learn`` would choose.
+
+    Labels are taken in the order of their hash, four times as many when too
+    few of their documents pass the base rule, in the end all of them.
+    """
+    from strata.functions.joins import join_small
+    from strata.llm.shared import written
+
+    key = F.col("doc_id").cast(docs.schema["doc_id"].dataType)
+    keys = labels.where("quality is not null and doc_id is not null").select(key.alias("doc_id")).distinct()
+    n, take = keys.count(), 4 * max_labelled
+    while True:
+        some = keys if take >= n else keys.orderBy(F.xxhash64("doc_id"), "doc_id").limit(take)
+        rows = join_small(docs.select("doc_id", "text"), some, "doc_id", "left_semi", rows=min(take, n))
+        stats = written(text_stats(rows).select("doc_id", *STATS), "labelled")
+        if take >= n or stats.where(~base_failed()).count() >= max_labelled:
+            return stats
+        take *= 4
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **limits) -> DataFrame:
     """The rows of ``docs`` (all columns unchanged) that base rule and list keep."""
-    stats = text_stats(docs.select("doc_id", "text")).select("doc_id", *STATS)
-    rules = learn(stats, labels, **limits)
+    rules = learn(_labelled(docs, labels, max_labelled), labels, max_labelled=max_labelled, **limits)
     names = dict(zip(STATS, fresh(docs, *STATS)))
     with_stats = text_stats(docs, "text", list(names.values()))
     return with_stats.where(~base_failed(names) & rules.keeps(names)).select(*docs.columns)

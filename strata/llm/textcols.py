@@ -7,7 +7,8 @@ i.e. ``[^\\x20\\x09-\\x0D]+``.  NULL counts as the empty text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,25 @@ _M1, _M2, _SEED = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` (a ``mapInArrow`` function) with the memory of earlier and of its own batches given back."""
+    def wrapped(batches):
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return wrapped
+
+
 def mix(h: np.ndarray, v: np.ndarray) -> np.ndarray:
     """One round of a 64-bit finaliser over ``h`` combined with ``v`` (bijective in each)."""
     x = (h * _SEED) ^ v

@@ -559,3 +559,20 @@ def test_token_files_query_takes_added_tokens(spark, tmp_path):
         at += len(ids)
     assert 50256 in tok.encode(texts[0], add_special_tokens=False).ids
     same([tuple(r) for r in queries.op8_token_files(spark, str(tmp_path)).collect()], want)
+
+
+def test_quality_learns_from_the_smallest_hashes_however_many_are_labelled(spark):
+    from strata.llm import quality as Q
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(
+        F.sequence(F.lit(1), F.when(F.col("id") % 3 == 0, 20).otherwise(F.lit(60) + F.col("id") % 40)),
+        lambda i: F.concat(F.lit("w"), (i * 7919 + F.col("id") * 31) % 1009))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")).where("doc_id % 5 > 0")
+    labels = labels.unionByName(spark.createDataFrame([(None, 1), (3, None), (9999, 1)], "doc_id long, quality long"))
+    every = Q.text_stats(docs).select("doc_id", *Q.STATS)
+    for most in (10, 1000):
+        some = Q._labelled(docs, labels, most)
+        h = lambda st: [tuple(r) for r in st.where(~Q.base_failed()).join(
+            labels.where("quality is not null").select("doc_id"), "doc_id").orderBy(F.xxhash64("doc_id")).limit(most).collect()]
+        assert h(some) == h(every) and len(h(some)) == min(most, 213)
+    assert Q._labelled(docs, labels, 10).count() < 100
+    assert Q._labelled(docs.limit(0), labels, 10).count() == 0 == Q._labelled(docs, labels.limit(0), 10).count()

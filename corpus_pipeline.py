@@ -42,7 +42,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def placed_tokens(docs: DataFrame) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the bytes that they decode to, and its position in the mixture."""
+    """Token ids of every document, with digests of the ids and of the bytes that they decode to, and its position in the mixture.
+
+    The ids stay packed (little-endian, 32 bits each): joins and sorts carry them once.
+    """
     import public_tokenizers
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
@@ -58,17 +61,29 @@ def placed_tokens(docs: DataFrame) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
     out = bpe.encode_packed(rows.select(F.struct("doc_id", "row").alias("doc_id"), "text"), bpe.TiktokenWords(ranks, public_tokenizers.PATTERN),
                             public_tokenizers.PATTERN,
-                            also={"decoded": (T.BinaryType(), bpe.decoder(ranks)), "list": (T.ArrayType(T.IntegerType()), bpe.integers)})
-    out = out.select("doc_id.*", F.size("list").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                     F.sha2("decoded", 256).alias("decoded_sha256"), F.col("list").alias("ids"))
+                            also={"decoded": (T.BinaryType(), bpe.decoder(ranks))})
+    out = out.select("doc_id.*", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                     F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
     lost = F.raise_error(F.lit("a row has no place: write the input to files first")).cast("long")
     return out.join(places, F.col("row") == F.col("at"), "left").select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", F.coalesce("position", lost).alias("position"))
 
 
 def in_order(placed: DataFrame) -> DataFrame:
-    """Rows sorted by their position in the mixture."""
-    return placed.orderBy("position").drop("position")
+    """Rows sorted by their position in the mixture; ids, packed until then, as lists."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from strata.llm import bpe
+
+    def unpacked(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([bpe.integers(b.column(i)) if c == "ids" else b.column(i)
+                                              for i, c in enumerate(b.schema.names)], b.schema.names)
+
+    rows = placed.orderBy("position").drop("position")
+    return rows.mapInArrow(unpacked, T.StructType([
+        T.StructField("ids", T.ArrayType(T.IntegerType())) if f.name == "ids" else f for f in rows.schema.fields]))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ the children of as many leaves as can still be split, in order of their gain,
 before it is known which will be, so a tree takes about as many passes as it
 is deep and is the same as one grown leaf by leaf.
 
+Rows of equal features (for classes: and label) are one weighted row when that
+leaves far fewer (``cells``): they fall into the same leaf of every tree.
+
 A view of at most INSIDE_BYTES of blocks (checked) needs no passes over the
 cluster: the same rounds run inside a task, the folds side by side.
 
@@ -41,6 +44,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.cells import merged
 from strata.operators.persist import Saved
 from strata.operators.trees import Split, SplitRule, Tree, best_splits
 from strata.session import checkpoint_dir
@@ -123,12 +127,13 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         model = b.column("model").to_numpy()
         x = _values(b.column("x"))
+        weight = b.column("w").to_numpy() if "w" in b.schema.names else np.ones(len(x))
         for m in np.unique(model):
             for f in range(x.shape[1]):
-                v = x[model == m, f]
-                v = v[~np.isnan(v)]
+                v, w = x[model == m, f], weight[model == m]
+                v, w = v[~np.isnan(v)], w[~np.isnan(v)]
                 old = held.get((int(m), f), (np.zeros(0), np.zeros(0)))
-                held[int(m), f] = _summary(np.concatenate([old[0], v]), np.concatenate([old[1], np.ones(len(v))]), SUMMARY)
+                held[int(m), f] = _summary(np.concatenate([old[0], v]), np.concatenate([old[1], w]), SUMMARY)
     if held:
         keys = list(held)
         yield pa.record_batch({"model": pa.array([k[0] for k in keys], pa.int32()), "feature": pa.array([k[1] for k in keys], pa.int32()),
@@ -147,7 +152,7 @@ def _merge(bins: int) -> Callable:
 
 def bin_cuts(train: DataFrame, bins: int) -> dict[int, list[np.ndarray]]:
     """Thresholds of every (model, feature): at most ``bins`` numbers each reach the driver."""
-    got = train.select("model", "x").mapInArrow(_summaries, _SUMMARY).groupBy("model", "feature").applyInArrow(
+    got = train.select("model", "x", *[c for c in train.columns if c == "w"]).mapInArrow(_summaries, _SUMMARY).groupBy("model", "feature").applyInArrow(
         _merge(bins), "model int, feature int, cuts array<double>").collect()
     out: dict[int, dict[int, np.ndarray]] = {}
     for r in got:
@@ -157,7 +162,7 @@ def bin_cuts(train: DataFrame, bins: int) -> dict[int, list[np.ndarray]]:
 
 # blocks -------------------------------------------------------------------------------------------
 
-_BLOCK = "model int, block long, n int, held boolean, keys array<string>, y binary, bins binary, margin binary"
+_BLOCK = "model int, block long, n int, held boolean, keys array<string>, y binary, w binary, bins binary, margin binary"
 
 
 def binned(x: np.ndarray, cut: list[np.ndarray]) -> np.ndarray:
@@ -173,7 +178,7 @@ def _packed(cut: dict[int, list[np.ndarray]], outputs: int) -> Callable:
         number = count(TaskContext.get().partitionId() << 32)
         for b in batches:
             model, held = b.column("model").to_numpy(), b.column("held").to_numpy(zero_copy_only=False)
-            x, y, key = _values(b.column("x")), b.column("y").to_numpy(), b.column("key")
+            x, y, w, key = _values(b.column("x")), b.column("y").to_numpy(), b.column("w").to_numpy(), b.column("key")
             for m in np.unique(model):
                 for side in (False, True):
                     rows = np.flatnonzero((model == m) & (held == side))
@@ -182,8 +187,9 @@ def _packed(cut: dict[int, list[np.ndarray]], outputs: int) -> Callable:
                         yield pa.record_batch([
                             pa.array([m], pa.int32()), pa.array([next(number)], pa.int64()), pa.array([len(at)], pa.int32()), pa.array([side]),
                             pa.array([key.take(pa.array(at)).to_pylist() if side else []], pa.list_(pa.string())),
-                            pa.array([y[at].astype(np.float64).tobytes()]), pa.array([binned(x[at], cut[int(m)]).tobytes()]),
-                            pa.array([np.zeros((len(at), outputs)).tobytes()])], names=["model", "block", "n", "held", "keys", "y", "bins", "margin"])
+                            pa.array([y[at].astype(np.float64).tobytes()]), pa.array([w[at].astype(np.float64).tobytes()]),
+                            pa.array([binned(x[at], cut[int(m)]).tobytes()]),
+                            pa.array([np.zeros((len(at), outputs)).tobytes()])], names=["model", "block", "n", "held", "keys", "y", "w", "bins", "margin"])
     return packed
 
 
@@ -191,6 +197,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for r in b.to_pylist():
             r["y"] = np.frombuffer(r["y"])
+            r["w"] = np.frombuffer(r["w"]) if "w" in r else np.ones(r["n"])
             r["bins"] = np.frombuffer(r["bins"], np.uint8).reshape(r["n"], -1)
             r["margin"] = np.frombuffer(r["margin"]).reshape(r["n"], -1)
             yield r
@@ -293,8 +300,8 @@ class _Pass:
     def columns(self, r: dict, outputs: list[int]) -> dict[int, list[np.ndarray]]:
         """What is added up for every output: gradient, Hessian, rows."""
         g, h = gradients(self.margins(r), r["y"], self.task, self.hessian)
-        one = np.ones(r["n"])
-        return {c: [g[:, c], h[:, c], one] for c in outputs}
+        w = r["w"]
+        return {c: [g[:, c] * w, h[:, c] * w, w] for c in outputs}
 
     def margins(self, r: dict) -> np.ndarray:
         m, out = r["model"], r["margin"].copy()
@@ -499,10 +506,18 @@ class _Inside(Booster):
         return [r for b in counted(iter(self.blocks)) for r in b.to_pylist()]
 
 
+def _joined(t: pa.Table) -> pa.RecordBatch:
+    """The blocks of one model as one."""
+    one = lambda c: pa.array([b"".join(t[c].to_pylist())], pa.binary())
+    facts = {"model": pa.array([t["model"][0].as_py()], pa.int32()), "block": pa.array([0], pa.int64()), "n": pa.array([sum(t["n"].to_pylist())], pa.int32()),
+             "held": pa.array([False]), "keys": pa.array([[]], pa.list_(pa.string()))}
+    return pa.record_batch({**facts, **{c: one(c) for c in ("y", "w", "bins", "margin")}})
+
+
 def _fitted(cut, task: str, outputs: int, params: BoostParams, base) -> Callable:
     def fitted(key: tuple, t: pa.Table) -> pa.Table:
         m = key[0].as_py()
-        b = _Inside(t.sort_by("block").to_batches(max_chunksize=1), {m: cut[m]}, task, outputs, params, {m: base[m]}, 1, 1 << 62)
+        b = _Inside([_joined(t.sort_by("block"))], {m: cut[m]}, task, outputs, params, {m: base[m]}, 1, 1 << 62)
         _, rounds = b.fit(lambda state: list(_replayed(state)(iter(b.blocks))))[m]
         return pa.table({"model": pa.array([m], pa.int32()), "rounds": [pickle.dumps(rounds)]})
     return fitted
@@ -549,19 +564,26 @@ def fit_views(views: list[tuple[int, DataFrame, DataFrame | None]], task: str, n
                          F.col("label").cast("double").alias("y"), vector_to_array("features").alias("x"))
 
     train = _union([rows(m, t, False) for m, t, _ in views])
+    kept: list[DataFrame] = []
+    # a loss's sums over rows of equal features (and class) follow from their number and mean label
+    if (few := merged(train, task == "classification")) is not None:
+        kept.append(few)
+        train = few.select("model", F.lit(False).alias("held"), F.lit(None).cast("string").alias("key"), "y", "x", "w")
+    else:
+        train = train.withColumn("w", F.lit(1.0))
     cut = bin_cuts(train, params.bins)
-    facts = train.groupBy("model").agg(F.avg("y").alias("mean"), F.count(F.lit(1)).alias("n")).collect()
+    facts = train.groupBy("model").agg((F.sum(F.col("y") * F.col("w")) / F.sum(F.when(F.col("y").isNotNull(), F.col("w")))).alias("mean"),
+                                       F.count(F.lit(1)).alias("n")).collect()
     if len(facts) < len(views) or len(cut) < len(views):
         raise ValueError("a model has no training rows or no features")
     counts: dict[int, dict[float, int]] = {r["model"]: {} for r in facts}
     if task == "classification":
-        for r in train.groupBy("model", "y").count().collect():
-            counts[r["model"]][r["y"]] = r["count"]
+        for r in train.groupBy("model", "y").agg(F.sum("w").alias("w")).collect():
+            counts[r["model"]][r["y"]] = r["w"]
     base = {r["model"]: base_margin(counts[r["model"]], r["mean"], task, outputs) for r in facts}
     width = max(len(c) for c in cut.values())
-    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(r["n"] for r in facts) * (width + 17) // TASK_BYTES))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(r["n"] for r in facts) * (width + 25) // TASK_BYTES))
     folder = f"{checkpoint_dir(spark).rstrip('/')}/strata-boost-{uuid.uuid4().hex}"
-    kept: list[DataFrame] = []
 
     def stored(df: DataFrame) -> DataFrame:
         df.write.parquet(path := f"{folder}/{len(kept)}")
@@ -573,12 +595,13 @@ def fit_views(views: list[tuple[int, DataFrame, DataFrame | None]], task: str, n
         return now
 
     packed = train.mapInArrow(_packed(cut, outputs), _BLOCK).mapInArrow(_started(base), _BLOCK)
-    size = {r["model"]: r["n"] * (len(cut[r["model"]]) + 8 + 8 * outputs) for r in facts}
+    size = {r["model"]: r["n"] * (len(cut[r["model"]]) + 16 + 8 * outputs) for r in facts}
     inside, spread = [m for m in cut if size[m] <= task_bytes], [m for m in cut if size[m] > task_bytes]
     rounds: dict[int, list[list[Tree]]] = {}
     booster = None
     if inside:
-        mine = packed.where(F.col("model").isin(inside)).groupBy("model")
+        # a partition for each model: small ones would be put together and fitted one after the other
+        mine = packed.where(F.col("model").isin(inside)).repartitionByRange(len(inside), "model").groupBy("model")
         for r in mine.applyInArrow(_fitted(cut, task, outputs, params, base), "model int, rounds binary").collect():
             rounds[r["model"]] = pickle.loads(r["rounds"])
     if spread:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 
-from strata.operators import boost
+from strata.operators import boost, cells
 
 
 def table(n=260, seed=1, missing=0.1, classes=0):
@@ -132,3 +132,28 @@ def test_bins_follow_quantiles(spark):
     cut = boost.bin_cuts(frame(spark, x, x[:, 0], 5).selectExpr("0 as model", "label", "features").select("model", boost.vector_to_array("features").alias("x")), 32)[0][0]
     share = np.diff(np.concatenate([[0], np.searchsorted(np.sort(x[:, 0]), cut), [len(x)]])) / len(x)
     assert len(cut) == 31 and share.max() < 1.3 / 32 and share.min() > 0.7 / 32
+
+
+@pytest.mark.parametrize("classes", [0, 2])
+@pytest.mark.parametrize("task_bytes", [0, 1 << 26])
+def test_equal_rows_are_one_weighted_row(spark, monkeypatch, classes, task_bytes):
+    monkeypatch.setattr(cells, "MERGE_FROM", 0)
+    x, y = table(n=60, classes=classes)
+    x = np.repeat(x, 7, axis=0)
+    y = np.repeat(y, 7) if classes else np.repeat(y, 7) + np.tile(np.arange(7.0), 60)
+    p, task = CASES["depth"](), "classification" if classes else "regression"
+    models, _, b = boost.fit_views([(0, frame(spark, x, y), None)], task, 2, p, task_bytes=task_bytes)
+    leaves, margin = plain(x, y, task, 1, p)
+    assert [[int((t.feature < 0).sum()) for t in ts] for ts in models[0].rounds] == leaves
+    assert np.allclose(models[0].margins(x), margin, atol=1e-6)
+    rows = cells.merged(frame(spark, x, y).select(boost.F.lit(0).alias("model"), boost.F.col("label").alias("y"), boost.vector_to_array("features").alias("x")), bool(classes))
+    distinct = len(np.unique(np.nan_to_num(x, nan=-99), axis=0))
+    assert rows.count() == distinct and rows.agg({"w": "sum"}).first()[0] == len(x)
+    if b is not None:
+        assert b.passes <= 5 * 4
+
+
+def test_distinct_rows_are_not_merged(spark, monkeypatch):
+    monkeypatch.setattr(cells, "MERGE_FROM", 0)
+    x = np.arange(400.0).reshape(-1, 1)
+    assert cells.merged(frame(spark, x, x[:, 0]).selectExpr("0 as model", "label as y", "features").select("model", "y", boost.vector_to_array("features").alias("x")), True) is None

@@ -1,6 +1,7 @@
 """Linear models of all folds against plain solvers on each fold's rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,19 @@ def test_logistic_reaches_the_optimum_for_all_folds(spark, classes):
         assert np.allclose(one.w, got[f].w, rtol=1e-5, atol=1e-7)
         out = got[f].transform(vs[f][2]).select("prediction", F.col("probability")).collect()
         assert all(r.prediction == np.argmax(r.probability.toArray()) and abs(sum(r.probability) - 1) < 1e-9 for r in out)
+
+
+def test_logistic_weights_stand_for_equal_rows():
+    rnd = np.random.default_rng(3)
+    x, w = rnd.normal(size=(40, 3)), rnd.integers(1, 5, 40)
+    for k in (1, 3):
+        y, point = rnd.integers(0, max(k, 2), 40).astype(float), rnd.normal(size=(k, 4))
+
+        def batch(x, y, **more):
+            return pa.record_batch({"model": pa.array([0] * len(x), pa.int32()), "x": pa.array(list(x), pa.list_(pa.float64())), "y": pa.array(y), **more})
+
+        shift = {0: (np.zeros(3), np.ones(3))}
+        a = next(linear._curves({0: point}, shift)(iter([batch(x, y, w=pa.array(w.astype(float)))]))).to_pylist()[0]
+        b = next(linear._curves({0: point}, shift)(iter([batch(np.repeat(x, w, axis=0), np.repeat(y, w))]))).to_pylist()[0]
+        assert abs(a["n"] - b["n"]) < 1e-9
+        assert all(np.allclose(np.frombuffer(a[c]), np.frombuffer(b[c])) for c in ("mean", "scatter"))

@@ -6,7 +6,9 @@ histograms, all trees of all folds in the same passes (the passes of
 to one task each, which ends the subtree exactly, over the values themselves.
 A view of at most SMALL_ROWS training rows needs no first phase; its rows go
 to one task for every group of trees, and the held-out rows go along and are
-scored there, so no tree leaves the task that grew it.
+scored there, so no tree leaves the task that grew it.  A larger view of classes
+whose rows of equal features and label make at most SMALL_ROWS sets needs none
+either: its trees are grown over the sets, and a set's draws are those of its rows.
 
 A row's weight in a tree is a Poisson(1) draw from a hash of the row's number
 and the tree, the features of a node are drawn from a hash of the tree and the
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators import boost
+from strata.operators.cells import merged
 from strata.operators.persist import Saved
 from strata.operators.trees import SplitRule, Tree
 from strata.session import checkpoint_dir
@@ -73,6 +76,13 @@ def weights(number: np.ndarray, model: int, tree: int, seed: int) -> np.ndarray:
     return np.searchsorted(_POISSON, u, "right").astype(np.float64)
 
 
+def drawn(n: np.ndarray, model: int, tree: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of ``n`` equal rows: the sum of their rows' draws, and how many rows are drawn at all."""
+    share = np.diff(np.concatenate([[0.0], _POISSON, [1.0]]))
+    times = np.random.default_rng([seed, model, tree]).multinomial(n.astype(np.int64), share)
+    return times @ np.arange(len(share), dtype=np.float64), n - times[:, 0]
+
+
 def allowed(path: np.ndarray, p: int, k: int, model: int, tree: int, seed: int) -> np.ndarray:
     """(nodes, features): the k features that each node may split by, drawn from its path."""
     if k >= p:
@@ -89,14 +99,17 @@ def child_path(path: np.ndarray, right) -> np.ndarray:
 
 # exact growth -------------------------------------------------------------------------------------
 
-def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, p: ForestParams, model: int, tree: int, path: int = 1, depth: int = 0) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, p: ForestParams, model: int, tree: int, path: int = 1, depth: int = 0,
+         rows_of: np.ndarray | None = None) -> Tree:
     """The whole tree over values: best split of every node of a level at once, until nodes are pure or too small.
 
     Sizes count distinct drawn rows, sums their weights.  Of equal gains the
-    first feature wins, then the lowest threshold.
+    first feature wins, then the lowest threshold.  ``rows_of``: drawn rows that
+    each row of ``x`` stands for, if they are sets of equal rows.
     """
     keep = np.flatnonzero(w > 0)
     x, y, w = x[keep], y[keep], w[keep]
+    rows_of = np.ones(len(w), np.int64) if rows_of is None else rows_of[keep]
     n, width = x.shape
     rank = [np.argsort(x[:, f], kind="stable") for f in range(width)]
     node = np.zeros(n, np.int64)                # node of every row
@@ -110,7 +123,7 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, p: ForestParams, model: in
         of = slot[node]
         k = len(level)
         total = np.stack([np.bincount(of[of >= 0], weights=wy[of >= 0, c], minlength=k) for c in range(wy.shape[1])], 1)
-        size = np.bincount(of[of >= 0], minlength=k)
+        size = np.bincount(of[of >= 0], weights=rows_of[of >= 0], minlength=k)
         square = np.bincount(of[of >= 0], weights=ww[of >= 0].sum(axis=1), minlength=k)
         score = (total[:, :-1] ** 2).sum(axis=1) / np.maximum(total[:, -1], 1e-300)
         impure = square - score > 1e-9 * np.maximum(square, 1e-300)
@@ -136,7 +149,9 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, p: ForestParams, model: in
             if not len(cuts):
                 continue
             first = start[np.searchsorted(start, cuts, "right") - 1]
-            seen, of_cut = cuts - first + 1, at[cuts]
+            each = rows_of[use]
+            so_far = np.cumsum(each)
+            seen, of_cut = so_far[cuts] - (so_far[first] - each[first]), at[cuts]
             cuts, first, of_cut = (a[(seen >= p.min_leaf) & (size[of_cut] - seen >= p.min_leaf)] for a in (cuts, first, of_cut))
             if not len(cuts):
                 continue
@@ -181,7 +196,7 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, p: ForestParams, model: in
             stays[rows] = True
             new_number = np.cumsum(stays) - 1
             rank = [new_number[r[stays[r]]] for r in rank]
-            x, wy, ww, node = x[rows], wy[rows], ww[rows], node[rows]
+            x, wy, ww, node, rows_of = x[rows], wy[rows], ww[rows], node[rows], rows_of[rows]
     total = np.array(sums)
     value = total[:, :-1] / np.maximum(total[:, -1:], 1e-300)
     return Tree(np.array(feature), np.array(threshold), np.zeros(len(feature), bool), np.array(left), np.array(right), value, total[:, -1], np.array(gains))
@@ -261,6 +276,48 @@ def _grown(p: ForestParams, classes: int, groups: list[list[int]], keep: bool) -
     return grown
 
 
+# large views of few different rows: groups of trees over sets of equal rows --------------------------
+
+_SETS = "model int, n int, y binary, x binary, w binary"
+_TREES = "model int, tree int, blob binary"
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        model, x = b.column("model").to_numpy(), boost._values(b.column("x")).astype(np.float32)
+        y, w = b.column("y").to_numpy(), b.column("w").to_numpy()
+        for m in np.unique(model):
+            at = np.flatnonzero(model == m)
+            yield pa.record_batch([pa.array([m], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([y[at].tobytes()]), pa.array([x[at].tobytes()]), pa.array([w[at].tobytes()])],
+                                  names=["model", "n", "y", "x", "w"])
+
+
+def _grown_of_sets(p: ForestParams, classes: int, groups: list[list[int]]) -> Callable:
+    def grown(key: tuple, t: pa.Table) -> pa.Table:
+        m, unit = key[0].as_py(), key[1].as_py()
+        blocks = t.to_pylist()
+        x = np.concatenate([np.frombuffer(b["x"], np.float32).reshape(b["n"], -1) for b in blocks])
+        y, n = (np.concatenate([np.frombuffer(b[c]) for b in blocks]) for c in ("y", "w"))
+        order = np.lexsort([n, y, *x.T])            # the draws go by a set's place
+        x, goal, n, blobs = x[order], _goal(y[order], classes), n[order], []
+        for tree in groups[unit]:
+            w, rows_of = drawn(n, m, tree, p.seed)
+            blobs.append(pickle.dumps(grow(x, goal, w, p, m, tree, rows_of=rows_of)))
+        return pa.table({"model": pa.array([m] * len(blobs), pa.int32()), "tree": pa.array(groups[unit], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    return grown
+
+
+def _of_sets(few: DataFrame, folder: str, p: ForestParams, classes: int, models: int, tasks: int) -> tuple[DataFrame, int]:
+    """(model, tree, blob) of the views in ``few``, whose sets of equal rows fit a task, and the number of features."""
+    few.mapInArrow(_sets, _SETS).write.parquet(f"{folder}/sets")
+    blocks = few.sparkSession.read.schema(_SETS).parquet(f"{folder}/sets")
+    each = max(1, -(-p.trees * models // (3 * tasks)))
+    groups = [list(range(k, min(k + each, p.trees))) for k in range(0, p.trees, each)]
+    units = blocks.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(groups) - 1).cast("long"))))
+    units = units.repartition(models * len(groups), "model", "unit").groupBy("model", "unit")
+    return units.applyInArrow(_grown_of_sets(p, classes, groups), _TREES), int(blocks.select((F.octet_length("x") / F.col("n") / 4).alias("p")).first()["p"])
+
+
 # large views: histograms first --------------------------------------------------------------------
 
 class _Weighted(boost._Pass):
@@ -401,41 +458,58 @@ def fit_views(views: list[tuple[int, DataFrame, DataFrame | None]], task: str, n
     if not all(sizes.values()):
         raise ValueError("a model has no training rows")
     large = [(m, t) for m, t, _ in views if sizes[m] > small_rows]
+    # classes: rows of equal features and label are drawn and split as sets; these fit a task if they are few
+    few, of_sets, width = None, [], None
+    if large and classes and (few := merged(boost._union([rows(m, t, False) for m, t in large]), True)) is not None:
+        of_sets = [r["model"] for r in few.groupBy("model").count().collect() if r["count"] <= small_rows]
+        large = [(m, t) for m, t in large if m not in of_sets]
     cut = boost.bin_cuts(boost._union([rows(m, t, False) for m, t in large]), boost.MAX_BINS) if large else {}
     folder = f"{checkpoint_dir(spark).rstrip('/')}/strata-forest-{uuid.uuid4().hex}"
-    parts = [rows(m, t, False) for m, t, _ in views] + [rows(m, h, True) for m, _, h in views if h is not None and sizes[m] <= small_rows]
-    boost._union(parts).mapInArrow(_packed(cut), _BLOCK).write.parquet(f"{folder}/blocks")
-    blocks = spark.read.parquet(f"{folder}/blocks")
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     grown = []
-    if len(large) < len(views):
-        each = max(1, -(-p.trees * (len(views) - len(large)) // (3 * tasks)))
+    if of_sets:
+        whole, width = _of_sets(few.where(F.col("model").isin(of_sets)), folder, p, classes, len(of_sets), tasks)
+        whole.write.parquet(f"{folder}/of_sets")
+        grown.append(_only_trees(spark.read.schema(_TREES).parquet(f"{folder}/of_sets")))
+    if few is not None:
+        few.unpersist()
+    small = [m for m, _, _ in views if sizes[m] <= small_rows]
+    parts = [rows(m, t, False) for m, t, _ in views if m not in of_sets] + [rows(m, h, True) for m, _, h in views if h is not None and sizes[m] <= small_rows]
+    if parts:
+        boost._union(parts).mapInArrow(_packed(cut), _BLOCK).write.parquet(f"{folder}/blocks")
+        blocks = spark.read.parquet(f"{folder}/blocks")
+        width = int(blocks.select((F.octet_length("x") / F.col("n") / 4).alias("p")).first()["p"])
+    if small:
+        each = max(1, -(-p.trees * len(small) // (3 * tasks)))
         groups = [list(range(k, min(k + each, p.trees))) for k in range(0, p.trees, each)]
         units = blocks.where(~F.col("model").isin(list(cut))) if cut else blocks
         units = units.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(groups) - 1).cast("long"))))
-        n = (len(views) - len(large)) * len(groups)
+        n = len(small) * len(groups)
         units = units.select("model", "unit", "number", "n", "held", "keys", "y", "x").repartition(n, "model", "unit")
         units.groupBy("model", "unit").applyInArrow(_grown(p, classes, groups, keep), _GROWN).write.parquet(f"{folder}/small")
         grown.append(spark.read.schema(_GROWN).parquet(f"{folder}/small"))
     if large:
         whole = _large(blocks, cut, p, classes, small_rows, tasks, driver_bytes)
-        whole.select("model", "tree", "blob", F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("y"),
-                     F.lit(None).cast("array<double>").alias("votes")).write.parquet(f"{folder}/large")
+        _only_trees(whole).write.parquet(f"{folder}/large")
         grown.append(spark.read.schema(_GROWN).parquet(f"{folder}/large"))
     found = boost._union(grown)
     trees = found.where("blob is not null").select("model", "tree", "blob")
-    width = int(blocks.select((F.octet_length("x") / F.col("n") / 4).alias("p")).first()["p"])
     models = {m: ForestModel(task, classes, p.trees, width, trees.where(F.col("model") == m)) for m, _, _ in views}
     if all(h is None for _, _, h in views):
         return models, None
     k = classes or 1
     votes = found.where("key is not null").groupBy("model", "key").agg(F.first("y").alias("y"), *[F.sum(F.col("votes")[c]).alias(f"v{c}") for c in range(k)])
-    held = [votes.select("model", "key", "y", _decided(F.array(*[F.col(f"v{c}") / p.trees for c in range(k)]), classes).alias("prediction"))] if len(large) < len(views) else []
+    held = [votes.select("model", "key", "y", _decided(F.array(*[F.col(f"v{c}") / p.trees for c in range(k)]), classes).alias("prediction"))] if small else []
     held += [models[m].transform(h).select(F.lit(m).alias("model"), F.col("__key").alias("key"), F.col("label").cast("double").alias("y"), "prediction")
              for m, _, h in views if h is not None and sizes[m] > small_rows]
     return models, boost._union(held)
 
 
+def _only_trees(trees: DataFrame) -> DataFrame:
+    return trees.select("model", "tree", "blob", F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("y"),
+                        F.lit(None).cast("array<double>").alias("votes"))
+
+
 def _decided(mean: F.Column, classes: int) -> F.Column:
     return (F.array_position(mean, F.array_max(mean)) - 1).cast("double") if classes else mean[0]
 

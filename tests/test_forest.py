@@ -88,3 +88,37 @@ def test_both_phases_equal_exact_growth(spark, classes):
         want = {r.key: r.prediction for r in held.collect()}
         assert len(want) == 600 and all(abs(r.prediction - want[r["__key"]]) < 1e-9 for r in m[0].transform(df).collect())
     assert abs(one[0].featureImportances.sum() - 1) < 1e-9 and len(one[0].featureImportances) == 4
+
+
+@pytest.mark.parametrize("p", [forest.ForestParams(3, 10, 10, 4, "sqrt"), forest.ForestParams(2)])
+def test_sets_of_equal_rows_grow_the_trees_of_their_rows(p):
+    x, y = table(n=90, missing=0, classes=2)
+    x, n = x.astype(np.float32), np.random.default_rng(5).integers(1, 9, 90)
+    of, goal = np.repeat(np.arange(90), n), forest._goal(y, 2)
+    for t in range(p.trees):
+        w = forest.weights(np.arange(len(of)), 0, t, p.seed)
+        rows = forest.grow(x[of], goal[of], w, p, 0, t)
+        sets = forest.grow(x, goal, np.bincount(of, w), p, 0, t, rows_of=np.bincount(of, w > 0))
+        assert np.array_equal(rows.feature, sets.feature) and np.allclose(rows.value, sets.value)
+        assert np.array_equal(rows.threshold, sets.threshold, equal_nan=True)
+
+
+def test_draws_of_sets_are_sums_of_poisson_draws():
+    n = np.full(4000, 50.0)
+    w, rows = forest.drawn(n, 1, 2, 42)
+    assert abs(w.mean() - 50) < 0.6 and abs(w.var() - 50) < 5
+    assert abs(rows.mean() - 50 * (1 - np.exp(-1))) < 0.4 and (rows <= w).all() and (rows <= n).all()
+    assert np.array_equal(w, forest.drawn(n, 1, 2, 42)[0])
+
+
+def test_large_view_of_few_different_rows(spark, monkeypatch):
+    from strata.operators import cells
+    monkeypatch.setattr(cells, "MERGE_FROM", 0)
+    x, y = table(n=60, missing=0, classes=2)
+    x, y = np.repeat(x, 9, axis=0), np.repeat(y, 9)
+    monkeypatch.setattr(forest, "_large", None)     # no passes over histograms
+    p = forest.ForestParams(8, 10, 10, 4, "sqrt")
+    models, held = forest.fit_views([(f, frame(spark, x, y), frame(spark, x, y)) for f in range(2)], "classification", 2, p, small_rows=100)
+    assert all(models[f].trees.count() == 8 for f in range(2))
+    got = held.collect()
+    assert len(got) == 2 * len(x) and np.mean([r.prediction == r.y for r in got]) > 0.8

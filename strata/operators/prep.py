@@ -14,7 +14,7 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions import stats as S
@@ -264,3 +264,15 @@ def label_indexer(target: str, label_col: str = "label") -> StringIndexer:
 def fit_preprocessor(df: DataFrame, num_cols: list[str], cat_cols: list[str],
                      scaler: str = "standard", mode: str = "auto") -> PipelineModel:
     return Pipeline(stages=preprocessing_stages(num_cols, cat_cols, scaler, mode=mode)).fit(df)
+
+
+def hot_slot(vector: str) -> tuple[Column, Column]:
+    """Position of the first 1.0 of a vector column (-1 without one) and the vector's width.
+
+    Read from the stored entries, so that a row costs as much as it has entries, not slots.
+    """
+    v = F.unwrap_udt(F.col(vector))
+    entry = F.array_position(v["values"], F.lit(1.0)).cast("int")
+    sparse = v["type"] == 0
+    at = F.when(sparse & (entry > 0), F.try_element_at(v["indices"], entry)).otherwise(F.when(sparse, -1).otherwise(entry - 1))
+    return at.cast("int"), F.when(sparse, v["size"]).otherwise(F.size(v["values"]))

@@ -107,3 +107,16 @@ def test_two_categorical_columns_pipeline(spark):
     model = Pipeline(stages=PR.preprocessing_stages(["v"], ["c1", "c2"])).fit(df)
     assert PR.feature_names(model) == ["num__v", "cat__c1_a", "cat__c1_b", "cat__c2_x", "cat__c2_y"]
     assert len(model.transform(df).first()["features"]) == 5
+
+
+def test_hot_slot_of_a_wide_vector_reads_its_entries_only(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql import types as ST
+
+    wide = 500_000_000   # 4 GB as a plain array
+    rows = [(1, Vectors.sparse(wide, [7], [1.0])), (2, Vectors.sparse(wide, [3, wide - 1], [0.5, 1.0])), (3, Vectors.sparse(wide, [], [])),
+            (4, Vectors.dense([0.0, 1.0])), (5, Vectors.dense([0.0, 0.0]))]
+    df = spark.createDataFrame(rows, ST.StructType([ST.StructField("id", ST.IntegerType()), ST.StructField("features", VectorUDT())]))
+    slot, width = PR.hot_slot("features")
+    got = {r[0]: (r[1], r[2]) for r in df.select("id", slot, width).collect()}
+    assert got == {1: (7, wide), 2: (wide - 1, wide), 3: (-1, wide), 4: (1, 2), 5: (-1, 2)}

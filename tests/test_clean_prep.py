@@ -101,6 +101,38 @@ def test_large_table_paths_stay_exact(spark, monkeypatch):
     assert imp.getOrDefault("values")[0] == exact
 
 
+def _aggregates(spark, monkeypatch, run):
+    """(rows, text of the expressions given to DataFrame.agg) of what ``run`` builds."""
+    cls = type(spark.range(1))
+    seen, agg = [], cls.agg
+
+    def noted(self, *exprs):
+        seen.extend(str(e) for e in exprs)
+        return agg(self, *exprs)
+    with monkeypatch.context() as m:
+        m.setattr(cls, "agg", noted)
+        out = run().collect()
+    return out, " ".join(seen)
+
+
+def test_strata_and_medians_of_a_large_table_take_no_value_map(spark, monkeypatch):
+    """Half a million rows are too many for one task's value -> count map, whatever ``exact`` says."""
+    from pyspark.sql import functions as F
+    from strata.operators import cv as CV
+    from strata.operators import profile as P
+    few = spark.range(499_000).select("id", (F.col("id") * 7919 % 100_003).cast("double").alias("y"))
+    many = few.union(few.limit(1500).select(F.col("id") + 1_000_000, "y"))
+    for run in (lambda d: CV.regression_strata(d, "y", exact=True).groupBy("stratum").count().orderBy("stratum"),
+                lambda d: P.column_profile(d, columns=["y"]).select("col", "median")):
+        _, small = _aggregates(spark, monkeypatch, lambda: run(few))
+        got, large = _aggregates(spark, monkeypatch, lambda: run(many))
+        assert "percentile(" in small and "percentile(" not in large
+        with monkeypatch.context() as m:
+            m.setattr(CV, "EXACT_ROW_LIMIT", 10**9)
+            m.setattr(P, "EXACT_MEDIAN_ROWS", 10**9)
+            assert run(many).collect() == got
+
+
 def test_two_categorical_columns_pipeline(spark):
     from pyspark.ml import Pipeline
     df = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 2.0), ("a", "y", 3.0)], "c1 string, c2 string, v double")

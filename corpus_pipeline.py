@@ -44,7 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def placed_tokens(docs: DataFrame) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the bytes that they decode to, and its position in the mixture.
 
-    The ids stay packed (little-endian, 32 bits each): joins and sorts carry them once.
+    The ids stay packed (``packing.pack``: used byte planes, zstd): the join, the written rows and the sort carry them so.
     """
     import public_tokenizers
     from pyspark.sql import functions as F
@@ -61,9 +61,9 @@ def placed_tokens(docs: DataFrame) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
     out = bpe.encode_packed(rows.select(F.struct("doc_id", "row").alias("doc_id"), "text"), bpe.TiktokenWords(ranks, public_tokenizers.PATTERN),
                             public_tokenizers.PATTERN,
-                            also={"decoded": (T.BinaryType(), bpe.decoder(ranks))})
+                            also={"decoded": (T.BinaryType(), bpe.decoder(ranks)), "packed": (T.BinaryType(), bpe.packed)})
     out = out.select("doc_id.*", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                     F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+                     F.sha2("decoded", 256).alias("decoded_sha256"), F.col("packed").alias("ids"))
     lost = F.raise_error(F.lit("a row has no place: write the input to files first")).cast("long")
     return out.join(places, F.col("row") == F.col("at"), "left").select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", F.coalesce("position", lost).alias("position"))
@@ -78,7 +78,7 @@ def in_order(placed: DataFrame) -> DataFrame:
 
     def unpacked(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([bpe.integers(b.column(i)) if c == "ids" else b.column(i)
+            yield pa.RecordBatch.from_arrays([bpe.unpacked(b.column(i)) if c == "ids" else b.column(i)
                                               for i, c in enumerate(b.schema.names)], b.schema.names)
 
     rows = placed.orderBy("position").drop("position")

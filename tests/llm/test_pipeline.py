@@ -113,3 +113,12 @@ def test_run_keeps_the_mixture(spark, monkeypatch):
     assert n > len(left) * 4
     for s in left:  # a source's documents come in key order
         assert [i for i in rows if source[i] == s] == sorted(i for i in rows if source[i] == s)
+
+
+def test_ids_travel_packed(steps, spark):
+    """Joins, written rows and the sort of the last stage carry at most 2.2 bytes a token (4 before)."""
+    placed = corpus_pipeline.placed_tokens(steps[-1][1])
+    row = placed.agg(F.sum(F.octet_length("ids")).alias("bytes"), F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).first()
+    assert row.bytes <= 2.2 * row.n + 64 * row.rows
+    for r in corpus_pipeline.in_order(placed).collect():
+        assert len(r.ids) == r.n_tokens and hashlib.sha256(brute.packed(r.ids)).hexdigest() == r.ids_sha256

@@ -87,3 +87,23 @@ def test_logistic_weights_stand_for_equal_rows():
         b = next(linear._curves({0: point}, shift)(iter([batch(np.repeat(x, w, axis=0), np.repeat(y, w))]))).to_pylist()[0]
         assert abs(a["n"] - b["n"]) < 1e-9
         assert all(np.allclose(np.frombuffer(a[c]), np.frombuffer(b[c])) for c in ("mean", "scatter"))
+
+
+def test_curvature_of_all_pairs_in_one_product(monkeypatch):
+    """The product over pieces of rows equals the sum of each pair of classes."""
+    rng = np.random.default_rng(7)
+    z, p, r = rng.normal(size=(37, 4)), rng.random((37, 3)), rng.integers(0, 4, 37).astype(float)
+    p /= p.sum(axis=1, keepdims=True)
+    monkeypatch.setattr(linear, "PIECE_ROWS", 10)
+    want = np.block([[(z * (r * p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ z for j in range(3)] for i in range(3)])
+    assert np.allclose(linear._curvature(z, p, r), want, rtol=1e-12, atol=1e-12)
+
+
+def test_board_is_scored_once(spark):
+    """Reading the leaderboard does not score the out-of-fold rows again."""
+    from strata.operators import train as T
+    df = spark.range(120).select("id", F.sin("id").alias("a"), F.cos(F.col("id") * 3).alias("b"), (F.col("id") % 3).cast("string").alias("c"))
+    res = T.train(df, "c", "classification", key_cols=["id"], models=["Logistic Regression", "Naive Bayes"], k=2, refit=False)
+    plan = res.leaderboard._jdf.queryExecution().toString()
+    assert "InMemory" not in plan and "Aggregate" not in plan
+    assert [r["rank"] for r in res.leaderboard.collect()] == [1, 2]

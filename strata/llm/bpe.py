@@ -46,6 +46,8 @@ BUCKET_BYTES = 4 << 20
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: A blank inside or at the end of longer white space: there, words can't be cut at blanks.
 _ODD = f"[{_SPACE}] (?:[{_SPACE}]|$)"
+#: White space beside a line break: there, the break is not a word of its own.
+_BESIDE = f"[{_SPACE}]\n|\n[{_SPACE}]"
 _MARKS = ".,;:!?#*$%&|<>()[]{}\"-_=+/@~^`\\"
 
 
@@ -66,25 +68,39 @@ def cut(piece: str, pattern) -> list[str]:
     return pattern.findall(piece)
 
 
-def blank_pieces(col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def blank_names(col: pa.Array, breaks: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct pieces, each with the blank before it if any; piece number of each place; offsets of the texts; odd texts).
 
     No word crosses a cut.  Texts with longer white space (``odd``) have no
-    pieces and are left to the caller.
+    pieces and are left to the caller.  ``breaks``: in texts whose line breaks
+    have no white space beside them, a break starts a piece too.
     """
     n = len(col)
     odd = np.flatnonzero(pc.match_substring_regex(col, _ODD).to_numpy(zero_copy_only=False))
-    parts = pc.split_pattern(pc.replace_with_mask(col, pa.array(np.isin(np.arange(n), odd)), pa.array([""] * len(odd), col.type))
-                             if len(odd) else col, " ")
+    if len(odd):
+        col = pc.replace_with_mask(col, pa.array(np.isin(np.arange(n), odd)), pa.array([""] * len(odd), col.type))
+    lines = pc.invert(pc.match_substring_regex(col, _BESIDE)) if breaks else pa.array(np.zeros(n, bool))
+    parts = pc.split_pattern(pc.if_else(lines, pc.replace_substring(col, "\n", " \n"), col) if breaks else col, " ")
     coded = parts.flatten().dictionary_encode()
+    names = coded.dictionary
     off = parts.offsets.to_numpy().astype(np.int64)
     off = off - off[0]
     key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + 1
     key[off[:-1]] -= 1  # a text's first piece follows no blank
-    held = np.bincount(key, minlength=2 * len(coded.dictionary)) > 0
-    names = coded.dictionary.to_pylist()
-    pieces = [(" " if k & 1 else "") + names[k >> 1] for k in np.flatnonzero(held).tolist()]
-    return pieces, (np.cumsum(held) - 1)[key], off, odd
+    if breaks:
+        first = pc.starts_with(names, "\n").to_numpy(zero_copy_only=False)
+        key[first[key >> 1] & np.repeat(lines.to_numpy(zero_copy_only=False), np.diff(off))] &= -2
+    held = np.bincount(key, minlength=2 * len(names)) > 0
+    at = np.flatnonzero(held)
+    blank = pc.if_else(pa.array((at & 1).astype(bool)), pa.scalar(" ", names.type), pa.scalar("", names.type))
+    names = pc.binary_join_element_wise(blank, names.take(pa.array(at >> 1)), pa.scalar("", names.type))
+    return names, (np.cumsum(held) - 1)[key], off, odd
+
+
+def blank_pieces(col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The same with the pieces as Python strings."""
+    names, *places = blank_names(col)
+    return names.to_pylist(), *places
 
 
 def block_words(col: pa.Array, pattern) -> tuple[list[str], np.ndarray, np.ndarray]:

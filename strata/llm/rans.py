@@ -14,8 +14,8 @@ writes to any store and a lost task leaves nothing behind; (part, seq) is
 their order.
 
 Encoding: a batch's distinct words go through the tokenizers library once
-(blanks end words for its byte-level splitter), texts with longer white space
-whole.  The id END follows each document.
+(blanks and single line breaks end words for its byte-level splitter), texts
+with longer white space whole.  The id END follows each document.
 
 Defined results: NULL and empty texts hold END only; NULL doc_ids come first;
 rows of equal doc_id follow each other in the order of their ids; an empty
@@ -27,6 +27,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from json import loads
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm import textcols as X
-from strata.llm.bpe import blank_pieces
+from strata.llm.bpe import blank_names
 from strata.llm.packing import pack, unpack
 from strata.llm.shared import written
 
@@ -49,13 +50,17 @@ CHECK_STEPS = 256
 BLOCK_TOKENS = 1 << 15
 FILE_TOKENS = 1 << 20
 MAGIC = b"SRANS1\0\0"
-_BATCH = 4 << 20
+_BATCH = 8 << 20
 #: Words a Python worker remembers; then it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 LINE_WORDS = 512
 _TAIL = ".,;:!?#*$%&|<>"
+#: Letters with their blank, if any; letters up to U+024F are old enough for every splitter.
+_LETTERS = "^ ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
 
 _U32, _MASK32 = np.uint64(32), np.uint64(0xFFFFFFFF)
+#: A state of at least this many times a symbol's frequency gives out a word first.
+_ROOM = (LOW >> np.uint64(SCALE)) << _U32
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -81,8 +86,7 @@ class Coder:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.limit = ((LOW >> np.uint64(SCALE)) << _U32) * self.freq
-        self.symbol = np.repeat(np.arange(len(freq)), freq)
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
 
     def encode(self, ids: np.ndarray) -> list[bytes]:
         """Blocks of BLOCK_TOKENS ids (the last may be short)."""
@@ -90,29 +94,28 @@ class Coder:
             return []
         steps = BLOCK_TOKENS // LANES
         blocks = -(-len(ids) // BLOCK_TOKENS)
-        valid = np.zeros(blocks * BLOCK_TOKENS, bool)
-        valid[:len(ids)] = True
-        # token i of a block: step i div LANES, lane i mod LANES; what lacks at the end is skipped
-        sym = np.zeros(blocks * BLOCK_TOKENS, np.int64)
-        sym[:len(ids)] = ids
-        sym, valid = sym.reshape(blocks, steps, LANES), valid.reshape(blocks, steps, LANES)
-        x = np.full((blocks, LANES), LOW, np.uint64)
+        # token i of a block: step i div LANES, lane i mod LANES.  What lacks at the end has all of the scale: it changes no state
+        freq, start = np.full((2, blocks * BLOCK_TOKENS), np.uint64(1 << SCALE))
+        start[:] = 0
+        freq[:len(ids)], start[:len(ids)] = self.freq[ids], self.start[ids]
+        freq, start = (np.ascontiguousarray(v.reshape(blocks, steps, LANES).swapaxes(0, 1)).reshape(steps, -1) for v in (freq, start))
+        x = np.full(blocks * LANES, LOW, np.uint64)
         words: list[tuple[np.ndarray, np.ndarray]] = []
         checks = []
         for t in range(steps - 1, -1, -1):
-            s, on = sym[:, t], valid[:, t]
-            f = np.where(on, self.freq[s], np.uint64(1))
-            out = on & (x >= self.limit[s])
-            words.append((np.nonzero(out)[0], (x[out] & _MASK32).astype("<u4")))
-            x = np.where(out, x >> _U32, x)
-            q = x // f
-            x = np.where(on, (q << np.uint64(SCALE)) + (x - q * f) + self.start[s], x)
+            f = freq[t]
+            out = np.flatnonzero(x >= f * _ROOM)
+            full = x[out]
+            words.append((out, full))
+            x[out] = full >> _U32
+            # the quotient moves up to the scale, the remainder stays: x + (x div f) (2^SCALE - f)
+            x += x // f * (np.uint64(1 << SCALE) - f) + start[t]
             if t % CHECK_STEPS == 0:
-                checks.append(x.copy())
+                checks.append(x.reshape(blocks, LANES).copy())
         checks.reverse()
         words.reverse()
-        owner = np.concatenate([o for o, _ in words])
-        data = np.concatenate([w for _, w in words])
+        owner = np.concatenate([o for o, _ in words]) // LANES
+        data = (np.concatenate([w for _, w in words]) & _MASK32).astype("<u4")
         step = np.repeat(np.arange(steps), [len(o) for o, _ in words])
         order = np.argsort(owner, kind="stable")
         owner, data, step = owner[order], data[order], step[order]
@@ -208,9 +211,10 @@ class Pieces:
     """Encodes pieces by a tokenizer of the tokenizers library, each new word once while the worker remembers it.
 
     A piece of letters and trailing marks is two words for the byte-level
-    splitter, any other piece is taken whole.  New words go to the library in
-    lines of LINE_WORDS: a line break is a word of its own with one id, at
-    which the ids are cut again.
+    splitter, a line break before the letters a third; any other piece is taken
+    whole.  New words of letters go to the
+    library as words already split, others in lines, LINE_WORDS at a time: a
+    line break is a word of its own with one id, at which the ids are cut again.
     """
 
     def __init__(self, json: str, added: bool = False):
@@ -218,13 +222,25 @@ class Pieces:
         self.name = f"{xxhash.xxh3_64_hexdigest(json)}-{added}"
 
     def tokenizer(self):
+        """(tokenizer, ids of known words, ids of a line break, tokenizer of single words or None, which tokens begin with a blank)."""
         if self.name not in _TOKENIZERS:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
+            from tokenizers.pre_tokenizers import ByteLevel
 
             t = Tokenizer.from_str(self.json)
             t.encode_special_tokens = not self.added
-            _TOKENIZERS[self.name] = (t, {}, t.encode("\n", add_special_tokens=False).ids)
+            spec, single = loads(self.json), None
+            splitter = spec.get("pre_tokenizer") or {}
+            if (splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space", True)
+                    and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+                    and all(x["special"] for x in spec.get("added_tokens") or [])):
+                single = Tokenizer(t.model)   # the same model; letters with their blank are one word for its splitter
+                single.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+            vocabulary = t.get_vocab()
+            blank = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+            blank[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True   # the byte 0x20 in byte-level tokens
+            _TOKENIZERS[self.name] = (t, {}, t.encode("\n", add_special_tokens=False).ids, single, blank)
         return _TOKENIZERS[self.name]
 
     def marked(self, col: pa.Array) -> np.ndarray:
@@ -245,76 +261,126 @@ class Pieces:
         out: list = [None] * len(words)
         lines = [plain[a:a + LINE_WORDS] for a in range(0, len(plain), LINE_WORDS)]
         for line, ids in zip(lines, self.whole(["\n".join([words[k] for k in line]) for line in lines])):
-            ids.append(brk[0])
-            ends = [i for i, x in enumerate(ids) if x == brk[0]]
+            ids = np.append(np.asarray(ids, "<u4"), np.uint32(brk[0]))
+            ends = np.flatnonzero(ids == brk[0])
             if len(ends) == len(line):
-                at = 0
-                for k, end in zip(line, ends):
-                    out[k], at = struct.pack(f"<{end - at}I", *ids[at:end]), end + 1
+                raw, at = ids.tobytes(), 0
+                for k, end in zip(line, (4 * ends).tolist()):
+                    out[k], at = raw[at:end], end + 4
         rest = [k for k, x in enumerate(out) if x is None]
         for k, ids in zip(rest, self.whole([words[k] for k in rest])):
             out[k] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
-    def __call__(self, pieces: list[str]) -> list[bytes]:
+    def letters(self, words: list[str]) -> list[bytes]:
+        """The same for words of letters, each with a blank before it or not."""
+        _, _, brk, single, blank = self.tokenizer()
+        if single is None or len(brk) != 1:
+            return self.words(words)
+        out: list = [None] * len(words)
+        # a word with its blank begins with the one token that has a blank; the others are kept apart by line breaks
+        after = [k for k, w in enumerate(words) if w[:1] == " "]
+        other = [k for k, w in enumerate(words) if w[:1] != " "]
+        for some, apart in ((after, False), (other, True)):
+            for a in range(0, len(some), 64 * LINE_WORDS):
+                lines = [some[b:b + LINE_WORDS] for b in range(a, min(a + 64 * LINE_WORDS, len(some)), LINE_WORDS)]
+                sent = [[w for k in line for w in ("\n", words[k])] if apart else [words[k] for k in line] for line in lines]
+                for line, e in zip(lines, single.encode_batch_fast(sent, is_pretokenized=True, add_special_tokens=False)):
+                    ids = np.asarray(e.ids, "<u4")
+                    raw, starts = ids.tobytes(), np.flatnonzero(ids == brk[0] if apart else blank[ids])
+                    for k, x, y in zip(line, (4 * (starts + apart)).tolist(), [*(4 * starts[1:]).tolist(), len(raw)]):
+                        out[k] = raw[x:y]
+        return out
+
+    def coded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): the ids of piece i are the ``size[i]`` ones from ``start[i]``."""
+        n = len(pieces)
+        first = pc.starts_with(pieces, "\n")
+        body = pc.if_else(first, pc.utf8_slice_codeunits(pieces, 1), pieces)
+        core = pc.utf8_rtrim(body, characters=_TAIL)
+        plain = pc.and_(pc.match_substring_regex(core, _LETTERS), pc.invert(pc.and_(first, pc.starts_with(core, " "))))
+        first, plain = (x.to_numpy(zero_copy_only=False) for x in (first, plain))
+        first = first & plain
+        buf, off = X.text_buffer(body)
+        size = pc.binary_length(core).to_numpy(zero_copy_only=False).astype(np.int64)
+        cut = plain & (size < np.diff(off))
+        at = np.flatnonzero(cut)
+        ends = np.concatenate(([0], np.cumsum(off[at + 1] - off[at] - size[at])))
+        marks = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends.astype(np.int32).tobytes()),
+                                            pa.py_buffer(buf[X.ragged(off[at] + size[at], np.diff(ends))].tobytes()))
+        words = pa.concat_arrays([pc.if_else(pa.array(plain), core, pieces), marks.cast(pieces.type), pa.array(["\n"], pieces.type)]).dictionary_encode()
+        number = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        single = np.zeros(len(words.dictionary), bool)
+        single[number[:n][plain]] = True
+        ids = self._remembered(words.dictionary.to_pylist(), single)
+        flat, long = np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        # words of every piece: a line break, the word, its marks
+        count = 1 + first + cut
+        place = np.cumsum(count) - count
+        order = np.empty(int(count.sum()), np.int64)
+        order[place[first]] = number[-1]
+        order[place + first] = number[:n]
+        order[(place + first)[at] + 1] = number[n:-1]
+        total = np.concatenate(([0], np.cumsum(long[order])))
+        start = total[place]
+        return flat[X.ragged((np.cumsum(long) - long)[order], long[order])], start, np.append(start[1:], total[-1])[:n] - start
+
+    def _remembered(self, words: list[str], single: np.ndarray) -> list[bytes]:
         known = self.tokenizer()[1]
         if len(known) > CACHE_WORDS:
             known.clear()
-        parts = [_letters_and_marks(p) for p in pieces]
-        new = list({w for x in parts for w in x if w not in known})
-        known.update(zip(new, self.words(new)))
-        return [known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]] for x in parts]
-
+        ids = list(map(known.get, words))
+        new = [i for i, x in enumerate(ids) if x is None]
+        for encoded, some in ((self.letters, [i for i in new if single[i]]), (self.words, [i for i in new if not single[i]])):
+            names = [words[i] for i in some]
+            for i, w, x in zip(some, names, encoded(names)):
+                ids[i] = known[w] = x
+        return ids
 
-def _letters_and_marks(piece: str) -> tuple[str, ...]:
-    """(letters with their blank, marks) of a plain piece, else the piece; letters up to U+024F are old enough for every splitter."""
-    word = piece[1:] if piece[:1] == " " else piece
-    core = word.rstrip(_TAIL)
-    if len(core) < len(word) and core.isalpha() and max(core) < "\u0250":
-        n = len(piece) - len(word) + len(core)
-        return piece[:n], piece[n:]
-    return (piece,)
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        flat, start, size = self.coded(pa.array(pieces, pa.string()))
+        raw = flat.astype("<u4").tobytes()
+        return [raw[4 * a:4 * (a + n)] for a, n in zip(start.tolist(), size.tolist())]
 
 
 def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids: packed ids with END) of every row."""
+    """(doc_id, ids: packed ids with END) of every row; a batch's first row has ``counts``, how often each token is in the batch."""
     df = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
         for b in X.batches_of(batches, "text", _BATCH):
             col = b.column("text").fill_null("")
             marked = pieces.marked(col)
-            names, number, off, odd = blank_pieces(pc.if_else(pa.array(marked), pa.scalar("", col.type), col) if marked.any() else col)
+            names, number, off, odd = blank_names(pc.if_else(pa.array(marked), pa.scalar("", col.type), col) if marked.any() else col, breaks=True)
             odd = np.union1d(odd, np.flatnonzero(marked))
-            ids = pieces(names)
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-            start = np.cumsum(size) - size
+            flat, start, size = pieces.coded(names)
             seq = flat[X.ragged(start[number], size[number])]
-            ends = np.concatenate(([0], np.cumsum(size[number])))[off].tolist()
+            ends = np.concatenate(([0], np.cumsum(size[number])))[off]
+            seq, ends = np.insert(seq, ends[1:], END), (ends + np.arange(len(ends))).tolist()
             direct = dict(zip(odd.tolist(), pieces.whole([col[int(i)].as_py() for i in odd])))
-            blobs = [pack(np.append(np.asarray(direct[i], np.int64) if i in direct else seq[a:z], END))
-                     for i, (a, z) in enumerate(zip(ends[:-1], ends[1:]))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "ids"])
+            direct = {i: np.asarray([*x, END], np.int64) for i, x in direct.items()}
+            blobs = [pack(direct[i] if i in direct else seq[a:z]) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:]))]
+            # an odd text's place in ``seq`` has its END already
+            times = np.bincount(np.concatenate([seq, *(x[:-1] for x in direct.values())]))
+            counts = pa.array([pack(times), *[None] * (len(blobs) - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(blobs, pa.binary()), counts], ["doc_id", "ids", "counts"])
 
-    return df.mapInArrow(run, "doc_id long, ids binary")
+    return df.mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def frequencies(encoded: DataFrame, vocabulary: int) -> np.ndarray:
-    """Scaled frequencies of all ids; one row per token of the vocabulary reaches the driver."""
+    """Scaled frequencies of all ids, added up from the batches' counts; one row per token of the vocabulary reaches the driver."""
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for x in b.column("ids").to_pylist():
-                total += np.bincount(unpack(x).astype(np.int64), minlength=vocabulary) if len(x) > 1 << 16 else 0
-            small = [unpack(x) for x in b.column("ids").to_pylist() if len(x) <= 1 << 16]
-            if small:
-                total += np.bincount(np.concatenate(small).astype(np.int64), minlength=vocabulary)
+            for x in b.column("counts").to_pylist():
+                times = unpack(x).astype(np.int64)
+                total[:len(times)] += times
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for r in encoded.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    for r in encoded.where(F.col("counts").isNotNull()).select("counts").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
         counts[r["token"]] = r["n"]
     return scaled(counts)
 
@@ -344,7 +410,7 @@ def write(encoded: DataFrame, freq: np.ndarray) -> DataFrame:
         if keys:
             yield out()
 
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = encoded.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     return written(ordered.mapInArrow(run, "part int, seq int, first long, documents long, tokens long, payload binary"), "token-files")
 
 

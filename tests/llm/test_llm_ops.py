@@ -379,6 +379,41 @@ def test_token_files(spark, edge, empty, monkeypatch):
     assert rans.round_trip(empty, json, 50257)[1].count() == 0
 
 
+def test_token_pieces(monkeypatch):
+    """Pieces of letters, marks and a line break are cut into words that the library gets once; ids are the library's own."""
+    import tokenizers
+
+    with open(P.path(queries.TOKENIZER), encoding="utf-8") as f:
+        json = f.read()
+    tok = tokenizers.Tokenizer.from_str(json)
+    core = ["wort", "Wort", "\u00e9t\u00e9", "W\u00f6rter", "\u4f60\u597d", "a1", "don't", "x\u02b0", "12"]
+    pieces = [a + w + z for a in ("", " ", "\n", " \n", "\n ", "\n\n") for w in core for z in ("", ".", ",;", ".\n", "\u00a0", "...!?" * 9)]
+    pieces += ["", " ", "\n", ".", " .", "\n.", "\u00a0", "<|endoftext|>"]
+    sent = []
+    rest = rans.Pieces.words
+    monkeypatch.setattr(rans.Pieces, "words", lambda self, words: sent.extend(words) or rest(self, words))
+    monkeypatch.setattr(rans, "_TOKENIZERS", {})
+    p = rans.Pieces(json, True)
+    same([np.frombuffer(x, "<u4").tolist() for x in p(pieces)], [tok.encode(x, add_special_tokens=False).ids for x in pieces])
+    assert not {" wort", "wort", " wort.", "\nwort", "\n\u00e9t\u00e9,;"} & set(sent) and len(sent) == len(set(sent))
+    flat, start, size = p.coded(pa.array([], "string"))
+    assert len(flat) == len(start) == len(size) == 0
+
+
+def test_token_lines(spark):
+    """Line breaks alone, with white space beside them, at the ends and in rows of several kinds."""
+    import tokenizers
+
+    with open(P.path(queries.TOKENIZER), encoding="utf-8") as f:
+        json = f.read()
+    tok = tokenizers.Tokenizer.from_str(json)
+    texts = ["a.\nB c", "a\n\nb", "a\n\n\nb", "a \nb", "a\n b", "\na", "a\n", "\n", "a\n\u00a0b", "a\u00a0\nb\nC", "a\r\nb", "a  b\nc", "a \n b", "x\n\u00e9,\ny", "\n\n", "a\n<|endoftext|>\nb", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    _, back = rans.round_trip(df, json, 50257, added=True)
+    same([(r.doc_id, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in back.collect()],
+         [(i, tok.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in enumerate(texts)])
+
+
 def test_token_files_query(spark, docs):
     import tokenizers
 

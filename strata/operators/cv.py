@@ -247,13 +247,14 @@ def evaluate(oof: DataFrame, task: str, metrics: list[str] | None = None,
 
 
 def leaderboard(oof: DataFrame, task: str, model_col: str = "model", y: str = "y",
-                pred: str = "prediction", digits: int = 4) -> DataFrame:
+                pred: str = "prediction", digits: int = 4, losses: DataFrame | None = None) -> DataFrame:
     """One row per model: mean / population-std fold loss and pooled metrics.
 
     ``oof`` holds the out-of-fold predictions of all models (model, key,
-    fold, y, prediction); every model is scored in the same jobs.
+    fold, y, prediction); every model is scored in the same jobs.  ``losses``:
+    its fold losses by model, if they are known.
     """
-    summ = cv_summary(fold_losses(oof, task, y, pred, by=[model_col]), by=[model_col])
+    summ = cv_summary(losses if losses is not None else fold_losses(oof, task, y, pred, by=[model_col]), by=[model_col])
     mets = evaluate(oof, task, y=y, pred=pred, by=[model_col])
     return (summ.join(mets, model_col)
             .select(model_col, S.rnd(F.col("cv_loss_mean"), digits).alias("cv_loss_mean"),

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -101,12 +102,12 @@ def products(rows: DataFrame) -> dict[int, Products]:
     return {r["model"]: _read(r) for r in got}
 
 
-def by_fold(df: DataFrame, features: list[str], label: str, fold: str) -> dict[int, Products]:
-    """Training products of every fold, from one pass over all rows."""
+def by_fold(df: DataFrame, features: list[str], label: str, fold: str, folds: list[int] | None = None) -> dict[int, Products]:
+    """Training products of every fold (or of ``folds``), from one pass over all rows."""
     own = products(df.select(F.col(fold).cast("int").alias("model"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
                              F.col(label).cast("double").alias("y")))
     out = {}
-    for f in own:
+    for f in own if folds is None else folds:
         rest = Products(0.0, np.zeros(len(features) + 1), np.zeros((len(features) + 1,) * 2))
         for g in sorted(own):
             rest = rest if g == f else rest.merge(own[g])
@@ -190,7 +191,7 @@ class LeastSquares(Estimator):
 
     def fit_views(self, views, memo: dict) -> DataFrame:
         """Held-out predictions of all views."""
-        if any(_width(t) > MAX_WIDTH for _, t, _ in views):
+        if "products" not in memo and any(_width(t) > MAX_WIDTH for _, t, _ in views):
             return _predicted({m: self._built_in(t) for m, t, _ in views}, views)
         return _predicted(fit_least_squares(views, self.kind, self.alpha, self.max_iter, memo), views)
 
@@ -211,9 +212,16 @@ class LinearModel(Model, Saved):
         return df.withColumn("prediction", _dot(self.coefficients.toArray()) + float(self.intercept))
 
 
+#: Up to this many features a product is written out, which is compiled.
+DOT_WIDTH = 64
+
+
 def _dot(w: np.ndarray) -> F.Column:
-    terms = F.zip_with(vector_to_array("features"), F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b)
-    return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) if len(w) else F.lit(0.0)
+    x = vector_to_array("features")
+    if len(w) <= DOT_WIDTH:
+        return reduce(lambda a, i: a + x[i] * F.lit(float(w[i])), range(len(w)), F.lit(0.0))
+    terms = F.zip_with(x, F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b)
+    return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
 
 
 # logistic -----------------------------------------------------------------------------------------

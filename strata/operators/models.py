@@ -82,17 +82,17 @@ def joint_fit(name: str, task: str, params: dict | None = None):
         return lambda views, k, memo: forest.fit_views(views, task, k, _forest(p, features), keep=False)[1]
     if name == "Logistic Regression":
         return lambda views, k, memo: linear.Logistic(k, p["C"], p["max_iter"]).fit_views(views, memo)
-    if name in _LEAST_SQUARES:
+    if name in LEAST_SQUARES:
         return lambda views, k, memo: _least_squares(name, p).fit_views(views, memo)
     return None
 
 
 #: Least-squares models by name.
-_LEAST_SQUARES = {"Linear Regression": "ols", "Ridge": "ridge", "Lasso": "lasso"}
+LEAST_SQUARES = {"Linear Regression": "ols", "Ridge": "ridge", "Lasso": "lasso"}
 
 
 def _least_squares(name: str, p: dict) -> linear.LeastSquares:
-    return linear.LeastSquares(_LEAST_SQUARES[name], p.get("alpha", 0.0), p.get("max_iter", 1000))
+    return linear.LeastSquares(LEAST_SQUARES[name], p.get("alpha", 0.0), p.get("max_iter", 1000))
 
 
 def _booster(name):

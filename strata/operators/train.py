@@ -16,6 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer
@@ -122,46 +123,60 @@ def prepare(df: DataFrame, target: str, task: str, key_cols: list[str] | None =
     return Prepared(data, task, labels, data.count(), k)
 
 
-def _prepare_fold_shared(train_rows: DataFrame, val_rows: DataFrame, passthrough: list[str], fs, f: int,
-                         scaler: str, cleaning: dict | None, mode: str, feature_cols: list[str]):
-    """Fold stages built from the shared fold statistics (no feature step)."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+@dataclass
+class Recipe:
+    """What a fold's stages do to the feature columns: fills, centres and scales of the numbers, values of the categories."""
+    kept: list[str]
+    fills: dict[str, float]
+    affine: dict[str, tuple[float, float]]
+    values: dict[str, list[str]]
+
+
+def _recipe(rows: DataFrame, fs, f: int, scaler: str, cleaning: dict | None, feature_cols: list[str]) -> Recipe:
+    """A fold's cleaning and preprocessing from the shared fold statistics."""
     from strata.operators.clean import cleaning_report_rows
 
-    fields = {x.name: x.dataType for x in train_rows.schema.fields}
+    fields = {x.name: x.dataType for x in rows.schema.fields}
     n = fs.n_rows[f]
-    opts = dict(cleaning or {})
     kept = cleaning_report_rows(
         [(c, n, fs.n_unique[f].get(c, 0), (fs.nulls[f][c] / n) if n else 0.0,
           fs.moments[f][c].var_samp() if c in fs.moments[f] else None,
           TY.is_float(fields[c]), TY.is_numeric(fields[c]), TY.is_real_numeric(fields[c]))
-         for c in feature_cols], **opts)
+         for c in feature_cols], **dict(cleaning or {}))
+    num = [c for c in kept if TY.is_real_numeric(fields[c])]
+    fills = {c: fs.fills[f][c] if fs.nulls[f][c] else 0.0 for c in num}
+    affine: dict[str, tuple[float, float]] = {}
+    if scaler == "standard":
+        from strata.operators.foldstats import Moments
+        # the scaler sees imputed values: add the NULLs back as copies of the fill value
+        mom = {c: fs.moments[f][c].merge(Moments(float(fs.nulls[f][c]), fills[c], 0.0)) for c in num}
+        affine = {c: (mom[c].mean if mom[c].n else 0.0, mom[c].std_pop() or 1.0) for c in num}
+    elif num and scaler != "robust":
+        raise ValueError(f"unknown scaling method {scaler!r}")
+    elif num:
+        quartiles = {c: fs.quartiles[f][c] for c in num}
+        affine = {c: (q[1] if q[1] is not None else 0.0, (q[2] - q[0] if q[0] is not None else 0.0) or 1.0) for c, q in quartiles.items()}
+    return Recipe(kept, fills, affine, {c: sorted(fs.vocab[f][c]) for c in kept if c not in fills})
+
+
+def _prepare_fold_shared(train_rows: DataFrame, val_rows: DataFrame, passthrough: list[str], fs, f: int,
+                         scaler: str, cleaning: dict | None, mode: str, feature_cols: list[str]):
+    """Fold stages built from the shared fold statistics (no feature step)."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+
+    recipe = _recipe(train_rows, fs, f, scaler, cleaning, feature_cols)
+    kept, num, cat = recipe.kept, list(recipe.fills), list(recipe.values)
     cleaner = ColumnCleanerModel(keptCols=kept, droppedCols=[c for c in feature_cols if c not in kept],
                                  excludeCols=passthrough)
-    num = [c for c in kept if TY.is_real_numeric(fields[c])]
-    cat = [c for c in kept if c not in num]
     stages: list = [cleaner]
     if num:
-        fills = {c: fs.fills[f][c] if fs.nulls[f][c] else 0.0 for c in num}
-        stages.append(PR.FillModel(inputCols=num, values=[fills[c] for c in num]))
-        if scaler == "standard":
-            from strata.operators.foldstats import Moments
-            # the scaler sees imputed values: add the NULLs back as copies of the fill value
-            mom = {c: fs.moments[f][c].merge(Moments(float(fs.nulls[f][c]), fills[c], 0.0)) for c in num}
-            centers = [mom[c].mean if mom[c].n else 0.0 for c in num]
-            scales = [mom[c].std_pop() or 1.0 for c in num]
-            stages.append(PR.AffineModel(inputCols=num, centers=centers, scales=scales))
-        elif scaler != "robust":
-            raise ValueError(f"unknown scaling method {scaler!r}")
-        else:
-            quartiles = [fs.quartiles[f][c] for c in num]
-            stages.append(PR.AffineModel(inputCols=num, centers=[q[1] if q[1] is not None else 0.0 for q in quartiles],
-                                         scales=[(q[2] - q[0] if q[0] is not None else 0.0) or 1.0 for q in quartiles]))
+        stages.append(PR.FillModel(inputCols=num, values=[recipe.fills[c] for c in num]))
+        stages.append(PR.AffineModel(inputCols=num, centers=[recipe.affine[c][0] for c in num], scales=[recipe.affine[c][1] for c in num]))
     ohe = []
     if cat:
         stages.append(PR.CategoricalFill(inputCols=cat))
         for c in cat:
-            stages.append(StringIndexerModel.from_labels(sorted(fs.vocab[f][c]), inputCol=c,
+            stages.append(StringIndexerModel.from_labels(recipe.values[c], inputCol=c,
                                                          outputCol=f"{c}__idx", handleInvalid="keep"))
         ohe = [f"{c}__ohe" for c in cat]
         enc = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=ohe, dropLast=True)
@@ -173,6 +188,54 @@ def _prepare_fold_shared(train_rows: DataFrame, val_rows: DataFrame, passthrough
             PR.feature_names(model), None)
 
 
+def _shared_products(data: DataFrame, recipes: dict[int, Recipe], gaps: set[str]):
+    """Training products of every fold's features, from one pass over the rows; None where they would be too wide.
+
+    A fold's features are sums of columns that all folds share: the numbers
+    with NULLs at a common value, marks of the NULLs (columns ``gaps``), and
+    a 0/1 column for each category.
+    """
+    from strata.operators import linear as L
+
+    refs: dict[str, float] = {}
+    values: dict[str, list[str]] = {}
+    for r in recipes.values():
+        for c, v in r.fills.items():
+            refs.setdefault(c, v)
+        for c, v in r.values.items():
+            values[c] = sorted({*values.get(c, []), *v})
+    slots = [*((c, None) for c in refs), *((c, True) for c in refs if c in gaps), *((c, v) for c in values for v in values[c])]
+    if not slots or len(slots) > L.MAX_WIDTH:
+        return None
+
+    def column(c, v):
+        if v is None:
+            return F.coalesce(F.col(c).cast("double"), F.lit(float(refs[c])))
+        if v is True:
+            return F.col(c).isNull().cast("double")
+        return (F.coalesce(F.col(c).cast("string"), F.lit(PR.MISSING_TOKEN)) == F.lit(v)).cast("double")
+
+    at = {slot: i for i, slot in enumerate(slots)}
+    names = [f"u{i}" for i in range(len(slots))]
+    own = data.select(*[column(c, v).alias(u) for u, (c, v) in zip(names, slots)], "label", "fold")
+    training = L.by_fold(own, names, "label", "fold", list(recipes))
+    out = {}
+    for f, r in recipes.items():
+        p = training[f]
+        if not p.n:
+            continue
+        rows = [(c, None) for c in r.fills] + [(c, v) for c in r.values for v in r.values[c]]
+        a, shift = np.zeros((len(rows) + 1, len(slots) + 1)), np.zeros(len(rows) + 1)
+        for i, (c, v) in enumerate(rows):
+            center, scale = r.affine[c] if v is None else (0.0, 1.0)
+            a[i, at[c, v]], shift[i] = 1 / scale, -center / scale
+            if v is None and c in gaps:
+                a[i, at[c, True]] = (r.fills[c] - refs[c]) / scale
+        a[-1, -1] = 1.0
+        out[f] = L.Products(p.n, a @ p.mean + shift, a @ p.scatter @ a.T)
+    return out
+
+
 def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: list[str] | None = None,
           models: list[str] | str | None = None, model_params: dict | None = None, k: int = 5, seed: int = 42,
           fe_step: FeatureStep | None = None, scaler: str = "standard", cleaning: dict | None = None,
@@ -205,6 +268,7 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
     # models that train all folds in the same passes, after the folds are prepared
     joint = {m: fit for m in models if (task, m) in M.REGISTRY and (fit := M.joint_fit(m, task, model_params.get(m))) is not None}
     views: dict[int, tuple[DataFrame, DataFrame]] = {}
+    recipes: dict[int, Recipe] = {}
 
     def run_fold(f: int):
         """A fold whose preparation fails counts against every model, not against the run."""
@@ -220,6 +284,7 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
         if shared is not None:
             tr, va, _, _, fe_err = _prepare_fold_shared(train_rows, val_rows, passthrough, shared, f, scaler,
                                                         cleaning, mode, feature_cols)
+            recipes[f] = _recipe(data, shared, f, scaler, cleaning, feature_cols)
             lm = shared.moments[f]["label"]
             ctx = M.FitContext(int(shared.n_rows[f]), (lm.std_pop() or 1.0) if lm.n else 1.0,
                                len(labels or []) if task == "classification" else 0)
@@ -273,6 +338,9 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
         t0 = time.time()
         try:
             if name not in errors:
+                if name in M.LEAST_SQUARES and shared is not None and "products" not in memo:
+                    found = _shared_products(data, dict(sorted(recipes.items())), {c for r in shared.nulls.values() for c, n in r.items() if n})
+                    memo |= {} if found is None else {"products": found}
                 held = fit([(f, *views[f]) for f in sorted(views)], len(labels or []), memo)
                 parts.append(_materialize(held.select(F.lit(name).alias("model"), "key", F.col("model").alias("fold"), "y", "prediction")))
         except Exception as e:  # a failing model is skipped (H19)
@@ -294,17 +362,19 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
     oof = reduce(lambda a, b: a.unionByName(b), parts)
     spark = df.sparkSession
     times = spark.createDataFrame([(m, round(timings[m], 3)) for m in ok_models], "model string, time_s double")
-    board = CV.rank_board(CV.leaderboard(oof, task).join(times, "model"))
+    losses = CV.fold_losses(oof, task, by=["model"])   # one row per model and fold: taken once, for the board, the winner and the result
+    losses = spark.createDataFrame(losses.collect(), losses.schema)
+    board = CV.rank_board(CV.leaderboard(oof, task, losses=losses).join(times, "model"))
     rows = board.collect()   # one row per model; the board is given out as it was scored, not to be scored anew by every reader
     board = spark.createDataFrame(rows, board.schema)
     # the board shows rounded losses; the winner is decided on the full ones (one row per model and fold)
     exact: dict[str, list[float]] = {m: [] for m in ok_models}
-    for r in CV.fold_losses(oof, task, by=["model"]).collect():
+    for r in losses.collect():
         exact[r["model"]].append(r["loss"])
     best = min(rows, key=lambda r: (math.fsum(exact[r["model"]]) / max(1, len(exact[r["model"]])), r["model"]))
     primary = "accuracy" if task == "classification" else "rmse"
     result = TrainResult("complete", task, best["model"], float(best[primary]), float(best["cv_loss_mean"]),
-                         leaderboard=board, oof=oof, fold_losses=CV.fold_losses(oof, task, by=["model"]),
+                         leaderboard=board, oof=oof, fold_losses=losses,
                          errors=errors, fe_error=fe_error, labels=labels, cached=parts)
     if refit:
         result.pipeline, result.feature_names = refit_best(data, target, task, best["model"], passthrough,

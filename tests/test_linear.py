@@ -107,3 +107,34 @@ def test_board_is_scored_once(spark):
     plan = res.leaderboard._jdf.queryExecution().toString()
     assert "InMemory" not in plan and "Aggregate" not in plan
     assert [r["rank"] for r in res.leaderboard.collect()] == [1, 2]
+
+
+def test_products_of_folds_without_their_vectors(spark, monkeypatch):
+    """Least squares of all folds from one pass over shared columns: NULLs filled by each fold's median, categories that a fold lacks."""
+    from strata.operators import train as T
+
+    rng = np.random.default_rng(5)
+    n = 600
+    rows = [(i, None if i % 7 == 0 else float(1e6 + rng.normal()), float(rng.normal()), None if i % 11 == 0 else "abc"[i % 3] if i != 1 else "rare",
+             bool(i % 2), float(rng.normal() + i % 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c string, d boolean, y double")
+    seen = {}
+    keep = linear.fit_least_squares
+
+    def spied(views, kind, alpha, max_iter, memo):
+        given = memo["products"]
+        for m, p in linear.products(linear._view_rows(views)).items():
+            assert given[m].n == p.n
+            np.testing.assert_allclose(given[m].mean, p.mean, rtol=1e-9, atol=1e-8)
+            np.testing.assert_allclose(given[m].scatter, p.scatter, rtol=1e-6, atol=1e-4)
+            seen[m, kind] = len(p.mean)
+        return keep(views, kind, alpha, max_iter, memo)
+
+    monkeypatch.setattr(linear, "fit_least_squares", spied)
+    for scaler in ("standard", "robust"):
+        seen.clear()
+        res = T.train(df, "y", "regression", key_cols=["id"], models=["Linear Regression", "Ridge"], k=3, refit=False, scaler=scaler)
+        assert res.status == "complete" and not res.errors and len(seen) == 6 and len(set(seen.values())) == 2   # one fold never trains on "rare"
+        assert res.oof.count() == 2 * n and res.fold_losses.count() == 6
+    monkeypatch.setattr(linear, "MAX_WIDTH", 3)
+    assert T._shared_products(df.withColumn("fold", F.lit(0)).withColumn("label", F.col("y")), {0: T.Recipe(["a"], {"a": 0.0}, {"a": (0.0, 1.0)}, {"c": list("abc")})}, {"a"}) is None

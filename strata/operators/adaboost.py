@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.boost import (DRIVER_BYTES, INSIDE_BYTES, MAX_BINS, REFRESH, TASK_BYTES, Growing, _BLOCK, _blocks, _joined, _packed, _route,
-                                    _started, _union, _values, bin_cuts)
+                                    _union, _values, bin_cuts)
+from strata.operators.cells import weight
 from strata.operators.persist import Saved
 from strata.operators.trees import Split, Tree
 from strata.session import checkpoint_dir
@@ -185,6 +186,12 @@ def _lost(s: _State, trees: dict[int, tuple]) -> Callable:
     return lost
 
 
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights at the start: how many rows each row stands for."""
+    for b in batches:
+        yield b.set_column(b.schema.get_field_index("margin"), "margin", b.column("w"))
+
+
 def _written(s: _State) -> Callable:
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -332,7 +339,7 @@ def fit_views(views: list[tuple[int, DataFrame, DataFrame | None]], task: str, n
     """One model for every (model, training rows, held-out rows), and the held-out predictions (model, key, y, prediction)."""
     spark = views[0][1].sparkSession
     train = _union([t.select(F.lit(m).cast("int").alias("model"), F.lit(False).alias("held"), F.lit(None).cast("string").alias("key"),
-                             F.col("label").cast("double").alias("y"), vector_to_array("features").alias("x"), F.lit(1.0).alias("w")) for m, t, _ in views])
+                             F.col("label").cast("double").alias("y"), vector_to_array("features").alias("x"), weight(t).alias("w")) for m, t, _ in views])
     cut = bin_cuts(train, MAX_BINS)
     facts = train.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("top")).collect()
     if len(facts) < len(views) or len(cut) < len(views):
@@ -341,7 +348,7 @@ def fit_views(views: list[tuple[int, DataFrame, DataFrame | None]], task: str, n
     classes = 0 if task == "regression" else max(votes, *[int(r["top"] or 0) + 1 for r in facts])
     size = {r["model"]: r["n"] * (len(cut[r["model"]]) + 24) for r in facts}
     inside, spread = [m for m in cut if size[m] <= task_bytes], [m for m in cut if size[m] > task_bytes]
-    packed = train.mapInArrow(_packed(cut, 1), _BLOCK).mapInArrow(_started({m: np.ones(1) for m in cut}), _BLOCK)
+    packed = train.mapInArrow(_packed(cut, 1), _BLOCK).mapInArrow(_weighed, _BLOCK)
     got: dict[int, tuple[list[Tree], list[float]]] = {}
     if inside:
         mine = packed.where(F.col("model").isin(inside)).repartitionByRange(len(inside), "model").groupBy("model")

@@ -44,7 +44,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.cells import merged
+from strata.operators.cells import merged, weight
 from strata.operators.persist import Saved
 from strata.operators.trees import Split, SplitRule, Tree, best_splits
 from strata.session import checkpoint_dir
@@ -558,19 +558,13 @@ def fit_views(views: list[tuple[int, DataFrame, DataFrame | None]], task: str, n
     outputs = 1 if task == "regression" or n_classes <= 2 else n_classes
     spark = views[0][1].sparkSession
 
-    def rows(m: int, df: DataFrame, held: bool) -> DataFrame:
-        key = F.col("__key").cast("string") if held else F.lit(None).cast("string")
-        return df.select(F.lit(m).cast("int").alias("model"), F.lit(held).alias("held"), key.alias("key"),
-                         F.col("label").cast("double").alias("y"), vector_to_array("features").alias("x"))
-
-    train = _union([rows(m, t, False) for m, t, _ in views])
+    train = _union([t.select(F.lit(m).cast("int").alias("model"), F.lit(False).alias("held"), F.lit(None).cast("string").alias("key"),
+                             F.col("label").cast("double").alias("y"), vector_to_array("features").alias("x"), weight(t).alias("w")) for m, t, _ in views])
     kept: list[DataFrame] = []
     # a loss's sums over rows of equal features (and class) follow from their number and mean label
     if (few := merged(train, task == "classification")) is not None:
         kept.append(few)
         train = few.select("model", F.lit(False).alias("held"), F.lit(None).cast("string").alias("key"), "y", "x", "w")
-    else:
-        train = train.withColumn("w", F.lit(1.0))
     cut = bin_cuts(train, params.bins)
     facts = train.groupBy("model").agg((F.sum(F.col("y") * F.col("w")) / F.sum(F.when(F.col("y").isNotNull(), F.col("w")))).alias("mean"),
                                        F.count(F.lit(1)).alias("n")).collect()

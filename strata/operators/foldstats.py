@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from strata.functions import types as TY
 from strata.functions.quantiles import quantiles_outside_folds
+from strata.operators.cells import WEIGHT
 
 
 @dataclass
@@ -64,8 +65,29 @@ class FoldStats:
     quartiles: dict = field(default_factory=dict)     # fold -> col -> [q1, median, q3] of the imputed rows
 
 
+def _weighted_moments(data: DataFrame, columns: list[str], numeric: list[str], num) -> dict[int, dict]:
+    """What job 1 gives, for rows that stand for WEIGHT rows each: sums about the mean of all rows, brought to each fold's."""
+    w = F.col(WEIGHT)
+    given = [F.when(num(c).isNotNull(), w) for c in numeric]
+    at = data.agg(*[(F.sum(num(c) * w) / F.sum(g)).alias(f"m{i}") for i, (c, g) in enumerate(zip(numeric, given))]).first() if numeric else {}
+    aggs = [F.sum(w).alias("__n"), *[F.coalesce(F.sum(F.when(F.col(c).isNull(), w)), F.lit(0)).alias(f"z{i}") for i, c in enumerate(columns)]]
+    for i, (c, g) in enumerate(zip(numeric, given)):
+        x = num(c) - F.lit(at[f"m{i}"] or 0.0)
+        aggs += [F.sum(g).alias(f"c{i}"), F.sum(x * w).alias(f"s{i}"), F.sum(x * x * w).alias(f"q{i}")]
+    out = {}
+    for r in data.groupBy("fold").agg(*aggs).collect():
+        out[r["fold"]] = got = r.asDict()
+        for i in range(len(numeric)):
+            if n := got[f"c{i}"]:
+                d = got[f"s{i}"] / n
+                got[f"m{i}"], got[f"v{i}"] = at[f"m{i}"] + d, max(got[f"q{i}"] / n - d * d, 0.0)
+    return out
+
+
 def fold_statistics(data: DataFrame, columns: list[str], label: str, k: int, max_categories: int | None,
-                    missing_token: str = "missing", scaler: str = "standard") -> FoldStats:
+                    missing_token: str = "missing", scaler: str = "standard", rows: DataFrame | None = None) -> FoldStats:
+    """Statistics of ``data``; where its rows stand for several (WEIGHT), ``rows`` are these, for the quantiles."""
+    rows, weighted = data if rows is None else rows, WEIGHT in data.columns
     fields = {f.name: f.dataType for f in data.schema.fields}
     numeric = [c for c in columns if TY.is_numeric(fields[c])] + [label]
 
@@ -80,7 +102,7 @@ def fold_statistics(data: DataFrame, columns: list[str], label: str, k: int, max
     for i, c in enumerate(numeric):
         x = num(c)
         aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
-    per_fold = {r["fold"]: r for r in data.groupBy("fold").agg(*aggs).collect()}
+    per_fold = _weighted_moments(data, columns, numeric, num) if weighted else {r["fold"]: r for r in data.groupBy("fold").agg(*aggs).collect()}
     st = FoldStats(k)
     for f in range(k):
         others = [per_fold[g] for g in per_fold if g != f]
@@ -99,11 +121,11 @@ def fold_statistics(data: DataFrame, columns: list[str], label: str, k: int, max
     # medians of the columns with NULLs, and for the robust scaler the quartiles after imputation
     real = [c for c in columns if TY.is_real_numeric(fields[c])]
     gaps = [c for c in real if any(st.nulls[f][c] for f in range(k))]
-    medians = quantiles_outside_folds(data, gaps, [0.5], "fold", k)
+    medians = quantiles_outside_folds(rows, gaps, [0.5], "fold", k)
     st.fills = {f: {c: medians[f][c][0] if medians[f][c][0] is not None else 0.0 for c in gaps} for f in range(k)}
     if scaler == "robust":
         copies = {f: {c: (st.fills[f][c], st.nulls[f][c]) for c in gaps} for f in range(k)}
-        st.quartiles = quantiles_outside_folds(data, real, [0.25, 0.5, 0.75], "fold", k, copies)
+        st.quartiles = quantiles_outside_folds(rows, real, [0.25, 0.5, 0.75], "fold", k, copies)
 
     # job 2: per (column, value) fold mask and per-fold counts
     def typed(c):
@@ -116,11 +138,16 @@ def fold_statistics(data: DataFrame, columns: list[str], label: str, k: int, max
         t = F.lit(None).cast("string") if (is_f or is_i) else F.col(c).cast("string")
         return F.struct(F.lit(c).alias("col"), d.alias("d"), n.alias("n"), t.alias("value"))
 
-    long = data.select("fold", F.explode(F.array(*[typed(c) for c in columns])).alias("kv")) \
-        .select("fold", "kv.col", "kv.d", "kv.n", "kv.value")
+    own = [WEIGHT] if weighted else []
+    long = data.select("fold", *own, F.explode(F.array(*[typed(c) for c in columns])).alias("kv")) \
+        .select("fold", *own, "kv.col", "kv.d", "kv.n", "kv.value")
+
+    def in_fold(g):
+        here = F.col("fold") == g
+        return F.coalesce(F.sum(F.when(here, F.col(WEIGHT))), F.lit(0).cast("long")) if weighted else F.count_if(here)
+
     by_value = long.groupBy("col", "d", "n", "value").agg(
-        F.bit_or(F.expr("shiftleft(1L, fold)")).alias("mask"),
-        *[F.count_if(F.col("fold") == g).alias(f"n{g}") for g in range(k)])
+        F.bit_or(F.expr("shiftleft(1L, fold)")).alias("mask"), *[in_fold(g).alias(f"n{g}") for g in range(k)])
     present = F.col("d").isNotNull() | F.col("n").isNotNull() | F.col("value").isNotNull()
     uniq = by_value.where(present).groupBy("col").agg(*[
         F.count_if(F.col("mask").bitwiseAND(F.lit(~(1 << f))) != 0).alias(f"u{f}") for f in range(k)]).collect()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators import boost
-from strata.operators.cells import merged
+from strata.operators.cells import WEIGHT, merged, weight
 from strata.operators.persist import Saved
 from strata.operators.trees import SplitRule, Tree
 from strata.session import checkpoint_dir
@@ -457,12 +457,17 @@ def fit_views(views: list[tuple[int, DataFrame, DataFrame | None]], task: str, n
     sizes = {m: t.count() for m, t, _ in views}
     if not all(sizes.values()):
         raise ValueError("a model has no training rows")
-    large = [(m, t) for m, t, _ in views if sizes[m] > small_rows]
+    weighted = any(WEIGHT in t.columns for _, t, _ in views)
+    # rows that stand for several are drawn as sets, however few they are
+    large = [(m, t) for m, t, _ in views if sizes[m] > small_rows or weighted]
     # classes: rows of equal features and label are drawn and split as sets; these fit a task if they are few
     few, of_sets, width = None, [], None
-    if large and classes and (few := merged(boost._union([rows(m, t, False) for m, t in large]), True)) is not None:
+    if large and classes and (few := merged(boost._union([t.select(F.lit(m).cast("int").alias("model"), F.col("label").cast("double").alias("y"),
+                                                                  vector_to_array("features").alias("x"), weight(t).alias("w")) for m, t in large]), True, weighted)) is not None:
         of_sets = [r["model"] for r in few.groupBy("model").count().collect() if r["count"] <= small_rows]
         large = [(m, t) for m, t in large if m not in of_sets]
+    if weighted and large:
+        raise ValueError("weighted rows of a forest must make few sets of equal rows and labels")
     cut = boost.bin_cuts(boost._union([rows(m, t, False) for m, t in large]), boost.MAX_BINS) if large else {}
     folder = f"{checkpoint_dir(spark).rstrip('/')}/strata-forest-{uuid.uuid4().hex}"
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -473,8 +478,8 @@ def fit_views(views: list[tuple[int, DataFrame, DataFrame | None]], task: str, n
         grown.append(_only_trees(spark.read.schema(_TREES).parquet(f"{folder}/of_sets")))
     if few is not None:
         few.unpersist()
-    small = [m for m, _, _ in views if sizes[m] <= small_rows]
-    parts = [rows(m, t, False) for m, t, _ in views if m not in of_sets] + [rows(m, h, True) for m, _, h in views if h is not None and sizes[m] <= small_rows]
+    small = [m for m, _, _ in views if sizes[m] <= small_rows and not weighted]
+    parts = [rows(m, t, False) for m, t, _ in views if m not in of_sets] + [rows(m, h, True) for m, _, h in views if h is not None and m in small]
     if parts:
         boost._union(parts).mapInArrow(_packed(cut), _BLOCK).write.parquet(f"{folder}/blocks")
         blocks = spark.read.parquet(f"{folder}/blocks")
@@ -501,7 +506,7 @@ def fit_views(views: list[tuple[int, DataFrame, DataFrame | None]], task: str, n
     votes = found.where("key is not null").groupBy("model", "key").agg(F.first("y").alias("y"), *[F.sum(F.col("votes")[c]).alias(f"v{c}") for c in range(k)])
     held = [votes.select("model", "key", "y", _decided(F.array(*[F.col(f"v{c}") / p.trees for c in range(k)]), classes).alias("prediction"))] if small else []
     held += [models[m].transform(h).select(F.lit(m).alias("model"), F.col("__key").alias("key"), F.col("label").cast("double").alias("y"), "prediction")
-             for m, _, h in views if h is not None and sizes[m] > small_rows]
+             for m, _, h in views if h is not None and m not in small]
     return models, boost._union(held)
 
 

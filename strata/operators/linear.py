@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.boost import _union, _values
-from strata.operators.cells import merged
+from strata.operators.cells import WEIGHT, merged, weight
 from strata.operators.persist import Saved
 
 MAX_WIDTH = 2_048
@@ -57,10 +57,15 @@ class Products:
         return Products(n, self.mean + d * (o.n / n), self.scatter + o.scatter + np.outer(d, d) * (self.n * o.n / n))
 
     @classmethod
-    def of(cls, z: np.ndarray) -> "Products":
-        mean = z.mean(axis=0)
+    def of(cls, z: np.ndarray, w: np.ndarray | None = None) -> "Products":
+        """Products of the rows of ``z``, each of which stands for ``w`` rows."""
+        if w is None:
+            mean = z.mean(axis=0)
+            c = z - mean
+            return cls(float(len(z)), mean, c.T @ c)
+        mean = w @ z / w.sum()
         c = z - mean
-        return cls(float(len(z)), mean, c.T @ c)
+        return cls(float(w.sum()), mean, (w[:, None] * c).T @ c)
 
 
 _PRODUCTS = "model int, n double, mean binary, scatter binary"
@@ -83,8 +88,9 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         model = b.column("model").to_numpy()
         z = np.concatenate([_values(b.column("x")), b.column("y").to_numpy()[:, None]], axis=1) if len(model) else np.zeros((0, 0))
+        w = b.column("w").to_numpy() if "w" in b.schema.names else None
         for m in np.unique(model):
-            p = Products.of(z[model == m])
+            p = Products.of(z[model == m], None if w is None else w[model == m])
             held[int(m)] = held[int(m)].merge(p) if int(m) in held else p
     yield pa.RecordBatch.from_pylist([_row(m, p) for m, p in held.items()], _ARROW)
 
@@ -97,8 +103,8 @@ def _merged(key: tuple, t: pa.Table) -> pa.Table:
 
 
 def products(rows: DataFrame) -> dict[int, Products]:
-    """Products of every model's rows (model, x, y)."""
-    got = rows.select("model", "x", "y").mapInArrow(_partial, _PRODUCTS).groupBy("model").applyInArrow(_merged, _PRODUCTS).collect()
+    """Products of every model's rows (model, x, y and, if they stand for several, w)."""
+    got = rows.select("model", "x", "y", *[c for c in rows.columns if c == "w"]).mapInArrow(_partial, _PRODUCTS).groupBy("model").applyInArrow(_merged, _PRODUCTS).collect()
     return {r["model"]: _read(r) for r in got}
 
 
@@ -148,8 +154,8 @@ def lasso(p: Products, alpha: float, max_iter: int = 1000, tolerance: float = 1e
 
 
 def _view_rows(views: list[tuple[int, DataFrame, DataFrame | None]]) -> DataFrame:
-    return _union([t.select(F.lit(m).cast("int").alias("model"), vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
-                   for m, t, _ in views])
+    return _union([t.select(F.lit(m).cast("int").alias("model"), vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"),
+                            *([weight(t).alias("w")] if WEIGHT in t.columns else [])) for m, t, _ in views])
 
 
 def _width(df: DataFrame) -> int:
@@ -341,7 +347,9 @@ class Logistic(Estimator):
         return _width(df) * (1 if self.n_classes <= 2 else self.n_classes) > MAX_WIDTH
 
     def _built_in(self, df: DataFrame) -> Model:
-        return LogisticRegression(maxIter=self.max_iter, regParam=1.0 / (self.c * max(df.count(), 1)), elasticNetParam=0.0, standardization=False, tol=1e-4).fit(df)
+        n = df.agg(F.sum(weight(df))).first()[0] or 1.0
+        lr = LogisticRegression(maxIter=self.max_iter, regParam=1.0 / (self.c * n), elasticNetParam=0.0, standardization=False, tol=1e-4)
+        return (lr.setWeightCol(WEIGHT) if WEIGHT in df.columns else lr).fit(df)
 
     def _fit(self, df: DataFrame) -> Model:
         return self._built_in(df) if self._wide(df) else fit_logistic([(0, df, None)], self.n_classes, self.c)[0][0]

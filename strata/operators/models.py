@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import adaboost, boost, forest, linear
 from strata.operators.adaboost import AdaBoostClassificationModel, AdaBoostClassifier, AdaBoostRegressionModel, AdaBoostRegressor  # noqa: F401
+from strata.operators.cells import WEIGHT
 
 SEED = 42
 
@@ -33,7 +34,8 @@ class FitContext:
 
 def fit_context(train: DataFrame, task: str, label_col: str = "label") -> FitContext:
     y = F.col(label_col).cast("double")
-    r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(y).alias("s"),
+    n = F.sum(WEIGHT) if WEIGHT in train.columns else F.count(F.lit(1))
+    r = train.agg(n.alias("n"), F.stddev_pop(y).alias("s"),
                   F.count_distinct(y).alias("k"), F.max(y).alias("mx")).first()
     k = int(max(r["k"] or 0, (r["mx"] or 0) + 1)) if task == "classification" else 0
     return FitContext(int(r["n"] or 0), float(r["s"] or 0.0) or 1.0, k)
@@ -87,6 +89,9 @@ def joint_fit(name: str, task: str, params: dict | None = None):
     return None
 
 
+#: Models whose training sums rows of equal features (and, for classes, label), so that one weighted row may stand for them.
+OF_CELLS = {"classification": {"Logistic Regression", "Random Forest", "Decision Tree", "Naive Bayes", "AdaBoost", *_BOOSTERS}, "regression": {*_BOOSTERS}}
+
 #: Least-squares models by name.
 LEAST_SQUARES = {"Linear Regression": "ols", "Ridge": "ridge", "Lasso": "lasso"}
 
@@ -205,6 +210,13 @@ def get_model(name: str, task: str, ctx: FitContext, params: dict | None = None)
     return spec.build(ctx, params)
 
 
+def fitted(est: Estimator, train: DataFrame):
+    """``est`` fitted to rows that may stand for several each."""
+    if WEIGHT in train.columns and est.hasParam("weightCol"):
+        est = est.copy({est.getParam("weightCol"): WEIGHT})
+    return est.fit(train)
+
+
 def catalogue(spark, task: str | None = None) -> DataFrame:
     """Model metadata as a small DataFrame, optionally filtered by task."""
     rows = [(m.name, m.task, m.info.get("complexity"), m.info.get("requires_scaling"),

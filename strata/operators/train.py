@@ -6,12 +6,22 @@ list then fits on those cached vectors (k preprocessing fits instead of
 k x m); boosters, forests and linear models fit all folds in the same jobs.  Held-out rows only pass through fitted stages, so no statistic
 sees them.  Out-of-fold predictions of all models form one table that is
 scored in one set of jobs.
+
+Above STORE_FROM rows nothing of the size of the rows is cached: the folded rows
+are a Parquet table in the shared folder, which holds them in a tenth of a cache's
+space, the folds' vectors are made when they are read, and predictions are tallied
+without being kept.  Where the feature columns take few different values and the
+models allow it (``models.OF_CELLS``), a row with a weight stands for all rows that
+are equal in them, the label and the fold (``cells``): statistics, training, held-out
+predictions and scores go over these cells, and only the out-of-fold table, if it is
+read, joins their predictions to the rows.
 """
 
 from __future__ import annotations
 
 import math
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -29,12 +39,18 @@ from pyspark.sql import functions as F
 from strata.functions import types as TY
 from strata.functions.features import FeatureStep
 from strata.operators import cv as CV
+from strata.operators import forest
 from strata.operators import models as M
 from strata.operators import prep as PR
+from strata.operators.cells import WEIGHT, cells
 from strata.operators.clean import ColumnCleaner, ColumnCleanerModel
 from strata.operators.profile import detect_task
+from strata.session import checkpoint_dir
 from strata.sources.readers import require_column
 
+#: Rows above which the folded rows are stored instead of cached.
+STORE_FROM = 500_000
+
 
 @dataclass
 class TrainResult:
@@ -119,12 +135,14 @@ def _prepare_fold(train: DataFrame, val: DataFrame, target: str, passthrough: li
 
 @dataclass
 class Prepared:
-    """Labelled rows with their fold, cached once and shared by several trainings."""
+    """Labelled rows with their fold, cached or stored once and shared by several trainings."""
     data: DataFrame
     task: str
     labels: list[str] | None
     n_rows: int
     k: int
+    stored: bool = False
+    cells: DataFrame | None = None      # rows of equal features, fold and (for classes) label, as one
 
     def release(self) -> None:
         self.data.unpersist()
@@ -132,20 +150,63 @@ class Prepared:
 
 def prepare(df: DataFrame, target: str, task: str, key_cols: list[str] | None = None, k: int = 5,
             seed: int = 42) -> Prepared:
-    """Label, assign stratified folds and cache the rows (H1-H4); reused across search rounds."""
+    """Label, assign stratified folds and keep the rows (H1-H4); reused across search rounds."""
     data = df.where(F.col(target).isNotNull())
-    data, labels = _label(data, target, task)
+    n = data.count()
+    labels = None
+    if n <= STORE_FROM:
+        data, labels = _label(data, target, task)
     if task == "classification":
         data = CV.assign_folds(data, k, strata_col=target, key_cols=key_cols, seed=seed)
     else:
         data = CV.regression_strata(data, target, k, out_col="__stratum", key_cols=key_cols, seed=seed)
         data = CV.assign_folds(data, k, strata_col="__stratum", key_cols=key_cols, seed=seed).drop("__stratum")
-    data = data.withColumn("__key", CV.key_string(df, key_cols))
+    key = CV.key_string(df, key_cols)
+    if n > STORE_FROM and key_cols:     # what follows from a row's columns is not stored with it
+        data = _written(data)
+    data = data.withColumn("__key", key)
     if not key_cols:  # equal rows get a number each, so that keys are unique
         copy = F.row_number().over(Window.partitionBy("__key").orderBy("fold"))
         data = data.withColumn("__key", F.concat_ws("#", "__key", copy.cast("string")))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    return Prepared(data, task, labels, data.count(), k)
+    if n <= STORE_FROM:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        return Prepared(data, task, labels, data.count(), k)
+    data = data if key_cols else _written(data)
+    features = [c for c in data.columns if c not in (target, "fold", "__key", *(key_cols or []))]
+    few = cells(data, [*features, *([target] if task == "classification" else []), "fold"], None if task == "classification" else target)
+    if few is not None:
+        few = _written(few.withColumn("__key", F.monotonically_increasing_id().cast("string")))
+    data, labels = _label(data, target, task)
+    if few is not None:
+        few = _label(few, target, task)[0]
+    return Prepared(data, task, labels, n, k, True, few)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/strata-rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _of_cells(prep_rows: Prepared, task: str, models: list[str], target: str) -> bool:
+    """Whether all the models may be trained on the cells."""
+    if prep_rows.cells is None or any(m not in M.OF_CELLS[task] for m in models):
+        return False
+    if "Random Forest" not in models:
+        return True
+    sets = prep_rows.cells.drop("fold", "label", "__key", WEIGHT).distinct().count()
+    return sets <= forest.SMALL_ROWS
+
+
+def _of_rows(held: DataFrame, few: DataFrame, data: DataFrame, columns: list[str], classes: bool) -> DataFrame:
+    """Out-of-fold rows (model, key, fold, y, prediction) from those of the cells, which agree with their rows in ``columns``."""
+    at = few.select("__key", *[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)]).join(
+        held.select("key", F.col("model").alias("__model"), F.col("y").alias("__y"), F.col("prediction").alias("__prediction")),
+        F.col("__key") == F.col("key")).drop("__key", "key")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__c{i}")) for i, c in enumerate(columns)])
+    return data.join(F.broadcast(at), same).select(F.col("__model").alias("model"), F.col("__key").alias("key"), "fold",
+                                                   F.col("__y" if classes else "label").alias("y"), F.col("__prediction").alias("prediction"))
 
 
 @dataclass
@@ -281,14 +342,19 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
     prep_rows = prepare(df, target, task, key_cols, k, seed) if own else prepared
     data, labels, n_rows, k = prep_rows.data, prep_rows.labels, prep_rows.n_rows, prep_rows.k
     mode = "exact" if n_rows <= PR.EXACT_ROW_LIMIT else "bracket"   # exact quantiles either way
-    passthrough = [target, "label", "fold", "__key"] + list(key_cols or [])
+    passthrough = [target, "label", "fold", "__key", WEIGHT] + list(key_cols or [])
 
     feature_cols = [c for c in data.columns if c not in passthrough]
+    rows, lean = data, prep_rows.stored and fe_step is None
+    if few := lean and _of_cells(prep_rows, task, models, target):
+        data = prep_rows.cells
     shared = None
     if fe_step is None:
         # every fold's training statistics from two jobs (see operators/foldstats.py)
         from strata.operators.foldstats import fold_statistics
-        shared = fold_statistics(data, feature_cols, "label", k, PR.MAX_CATEGORIES, scaler=scaler)
+        shared = fold_statistics(data, feature_cols, "label", k, PR.MAX_CATEGORIES, scaler=scaler, rows=rows)
+    # a table of rows is tallied as it is predicted, one of cells is kept
+    hold = _materialize if few or not lean else (lambda pred: pred)
 
     # models that train all folds in the same passes, after the folds are prepared
     joint = {m: fit for m in models if (task, m) in M.REGISTRY and (fit := M.joint_fit(m, task, model_params.get(m))) is not None}
@@ -318,8 +384,8 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
             tr, va, _, _, fe_err = _prepare_fold(train_rows, val_rows, target, passthrough, fe_step, scaler,
                                                   cleaning, mode)
             ctx = None
-        tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
-        va = va.persist(StorageLevel.MEMORY_AND_DISK)
+        if few or not lean:
+            tr, va = tr.persist(StorageLevel.MEMORY_AND_DISK), va.persist(StorageLevel.MEMORY_AND_DISK)
         if ctx is None:
             ctx = M.fit_context(tr, task)
         if task == "classification":
@@ -330,10 +396,10 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
             t0 = time.time()
             try:
                 est = M.get_model(name, task, ctx, model_params.get(name))
-                pred = est.fit(tr).transform(va).select(
+                pred = M.fitted(est, tr).transform(va).select(
                     F.lit(name).alias("model"), F.col("__key").alias("key"), "fold",
                     F.col("label").alias("y"), F.col("prediction").cast("double").alias("prediction"))
-                parts.append((name, _materialize(pred)))
+                parts.append((name, hold(pred)))
             except Exception as e:  # a failing model is skipped (H19)
                 errors[name] = _skipped(e)
             timings[name] += time.time() - t0
@@ -344,8 +410,8 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
             va.unpersist()
         return parts, timings, errors, fe_err
 
-    # folds are independent Spark jobs: a few run concurrently from driver threads
-    workers = max(1, min(parallelism, k))
+    # folds are independent Spark jobs: a few run concurrently from driver threads, large ones one by one, since what they cache adds up
+    workers = max(1, min(parallelism, k)) if few or not lean else 1
     if workers > 1:
         with ThreadPoolExecutor(max_workers=workers) as pool:
             fold_results = list(pool.map(run_fold, range(k)))
@@ -368,7 +434,7 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
                     found = _shared_products(data, dict(sorted(recipes.items())), {c for r in shared.nulls.values() for c, n in r.items() if n})
                     memo |= {} if found is None else {"products": found}
                 held = fit([(f, *views[f]) for f in sorted(views)], len(labels or []), memo)
-                parts.append(_materialize(held.select(F.lit(name).alias("model"), "key", F.col("model").alias("fold"), "y", "prediction")))
+                parts.append(hold(held.select(F.lit(name).alias("model"), "key", F.col("model").alias("fold"), "y", "prediction")))
         except Exception as e:  # a failing model is skipped (H19)
             errors[name] = _skipped(e)
         timings[name] += time.time() - t0
@@ -382,36 +448,47 @@ def train(df: DataFrame, target: str, task_type: str | None = None, key_cols: li
             for _, p in fr[0]:
                 p.unpersist()
         if own:
-            data.unpersist()
+            prep_rows.release()
         return TrainResult("failed", task, "", float("inf"), float("inf"), errors=errors, fe_error=fe_error,
                            labels=labels)
     oof = reduce(lambda a, b: a.unionByName(b), parts)
     spark = df.sparkSession
     times = spark.createDataFrame([(m, round(timings[m], 3)) for m in ok_models], "model string, time_s double")
-    losses = CV.fold_losses(oof, task, by=["model"])   # one row per model and fold: taken once, for the board, the winner and the result
+    metrics = None
+    if lean:
+        scored, by_cell = oof, few and task == "classification"
+        if few:
+            oof = _of_rows(oof, data, rows, [*feature_cols, *([target] if by_cell else []), "fold"], by_cell)
+        scored = scored.join(data.select(F.col("__key").alias("key"), WEIGHT), "key") if by_cell else oof
+        tallies = CV.tally(scored, task, ["model"], WEIGHT if by_cell else None).persist(StorageLevel.MEMORY_AND_DISK)
+        losses, metrics = CV.tallied_losses(tallies, task, ["model"]), CV.tallied_metrics(tallies, task, ["model"])
+    else:
+        losses = CV.fold_losses(oof, task, by=["model"])   # one row per model and fold: taken once, for the board, the winner and the result
     losses = spark.createDataFrame(losses.collect(), losses.schema)
-    board = CV.rank_board(CV.leaderboard(oof, task, losses=losses).join(times, "model"))
-    rows = board.collect()   # one row per model; the board is given out as it was scored, not to be scored anew by every reader
-    board = spark.createDataFrame(rows, board.schema)
+    board = CV.rank_board(CV.leaderboard(oof, task, losses=losses, metrics=metrics).join(times, "model"))
+    ranked = board.collect()   # one row per model; the board is given out as it was scored, not to be scored anew by every reader
+    board = spark.createDataFrame(ranked, board.schema)
+    if lean:
+        tallies.unpersist()
     # the board shows rounded losses; the winner is decided on the full ones (one row per model and fold)
     exact: dict[str, list[float]] = {m: [] for m in ok_models}
     for r in losses.collect():
         exact[r["model"]].append(r["loss"])
-    best = min(rows, key=lambda r: (math.fsum(exact[r["model"]]) / max(1, len(exact[r["model"]])), r["model"]))
+    best = min(ranked, key=lambda r: (math.fsum(exact[r["model"]]) / max(1, len(exact[r["model"]])), r["model"]))
     primary = "accuracy" if task == "classification" else "rmse"
     result = TrainResult("complete", task, best["model"], float(best[primary]), float(best["cv_loss_mean"]),
                          leaderboard=board, oof=oof, fold_losses=losses,
                          errors=errors, fe_error=fe_error, labels=labels, cached=parts)
     if refit:
-        result.pipeline, result.feature_names = refit_best(data, target, task, best["model"], passthrough,
+        result.pipeline, result.feature_names = refit_best(rows, target, task, best["model"], passthrough,
                                                             fe_step, scaler, cleaning, model_params.get(best["model"]),
-                                                            labels, mode)
+                                                            labels, mode, data)
         if explain:
             from strata.operators.explain import explain_model
-            result.importance = explain_model(result.pipeline, data, result.feature_names, key_cols, seed,
+            result.importance = explain_model(result.pipeline, rows, result.feature_names, key_cols, seed,
                                               explain_rows)
     if own:
-        data.unpersist()
+        prep_rows.release()
     return result
 
 
@@ -423,17 +500,17 @@ def _materialize(pred: DataFrame) -> DataFrame:
 
 
 def refit_best(data: DataFrame, target: str, task: str, name: str, passthrough: list[str],
-               fe_step, scaler, cleaning, params, labels, mode="auto"):
-    """Refit cleaning, features, preprocessing and the model on every row."""
+               fe_step, scaler, cleaning, params, labels, mode="auto", train_rows: DataFrame | None = None):
+    """Refit cleaning, features, preprocessing and the model on every row (H18); ``train_rows``, if given, stand for the rows in the model."""
     _, _, stages, names, _ = _prepare_fold(data, data.limit(0), target, passthrough, fe_step, scaler,
                                            cleaning, mode, val_rows=False)
-    prepared = data
+    prepared = data if train_rows is None else train_rows
     for st in stages:
         prepared = st.transform(prepared)
     ctx = M.fit_context(prepared, task)
     if task == "classification":
         ctx.n_classes = max(ctx.n_classes, len(labels or []))
-    model = M.get_model(name, task, ctx, params).fit(prepared)
+    model = M.fitted(M.get_model(name, task, ctx, params), prepared)
     return PipelineModel(stages=stages + [model]), names
 
 
